@@ -45,7 +45,8 @@ def _parse_turn(body: Column) -> Column:
 
 def parse(formatted: Column) -> Column:
     """Formatted conversation -> array of turns; null elements where the grammar doesn't hold. What precedes the first opening is dropped."""
-    return F.transform(F.slice(F.split(formatted, r"\[INST\]", -1), 2, 2**31 - 1), _parse_turn)
+    bodies = F.split(formatted, r"\[INST\]", -1)
+    return F.transform(F.slice(bodies, 2, F.size(bodies)), _parse_turn)
 
 
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
