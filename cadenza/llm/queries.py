@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, url_filter
+from . import bpe, chat, packing, url_filter
 from .common import table
 
 
+def vocabulary() -> str:
+    """Where the public word-level vocabulary lies; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -29,4 +40,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.page_outcomes(spark, sf_dir))
 
 
-QUERIES = {"op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
