@@ -60,4 +60,13 @@ select page_id, p.host, p.path, hit.rule as rule, coalesce(hit.verdict, case whe
 from p join q on p.host = q.host left join hits on p.host = hits.host and p.path = hits.path
 """
 
-ORACLE = {"op6_chat_format": OP6, "op8_url_filter": OP8}
+OP5 = r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, sha256(html) as payload_digest, strlen(html) as payload_bytes from p),
+f as (select payload_digest, min(page_id) as first, count(*) as copies from d where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, d.payload_digest, case when copies > 1 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when copies > 1 and page_id <> first then first end as refers_to
+from d left join f on d.payload_digest = f.payload_digest
+"""
+
+ORACLE = {"op5_warc": OP5, "op6_chat_format": OP6, "op8_url_filter": OP8}
