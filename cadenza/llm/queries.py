@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, url_filter, warc
+from . import bpe, chat, packing, simhash, url_filter, warc
 from .common import table
 
 
@@ -16,6 +16,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,4 +54,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_simhash": op1_simhash, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
