@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, simhash, url_filter, warc
+from . import bpe, chat, langid, packing, simhash, url_filter, warc
 from .common import table
 
 
@@ -21,6 +21,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    net = langid.train(docs.where(~F.coalesce(held_out, F.lit(True))).select("text", "lang"))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -54,4 +61,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
