@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, simhash, url_filter, warc
+from . import bpe, chat, langid, packing, quality, simhash, url_filter, vectors, warc
 from .common import table
 
 
@@ -32,6 +32,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "embeddings")
+    return vectors.nearest(held, held.where("vec_id % 100 = 0"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -69,4 +78,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {"op10_quality": op10_quality, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
+QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op7_nearest": op7_nearest, "op10_quality": op10_quality, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
