@@ -171,7 +171,8 @@ def training_windows(labelled: DataFrame, seed: int = 7) -> tuple[list[bytes], l
     rows = labelled.where("text is not null and lang is not null and length(text) > 0")
     n = rows.count()
     share = min(1.0, 1.05 * SAMPLE_DOCS / max(n, 1))
-    some = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE_DOCS)
+    some = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = some.dropDuplicates(["text", "lang"]).limit(SAMPLE_DOCS)  # else one text with many copies could fill the sample
 
     def run(batches):
         for batch in batches:

@@ -1,7 +1,61 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to packed training sequences, in four stages.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's ``docs``. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.llm import langid, packing, quality, simhash
+from cadenza.llm.common import materialize, table
+from cadenza.llm.queries import vocabulary
+
+#: A document whose likeliest language has less than this mean probability is in none of the known languages (a mixture of two has about a half).
+MIN_LANGUAGE_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a known language. Null and letterless texts (``und``) and those below MIN_LANGUAGE_SCORE go. Learns as op2 does."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    net = langid.train(docs.where(~F.coalesce(held_out, F.lit(True))).select("text", "lang"))
+    found = langid.predict(docs, net)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the quality classifier, learnt from the labels as op10 learns, takes for label 1."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    model = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality.predict(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by SimHash the document with the smallest doc_id stays (once, should its row be repeated). A group without any doc_id is dropped."""
+    chosen = simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place in it."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", classify_quality),
+    ("simhash_near_dedup", remove_near_copies),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Networks and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
