@@ -10,6 +10,8 @@ space, lower case; words by a pattern; byte-level symbols with an end-of-word ma
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import hashlib
 import json
 import unicodedata
@@ -21,7 +23,7 @@ import regex
 
 SUFFIX = "</w>"
 #: Cached words a generation, in each Python worker; two generations are kept.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4 << 20
 NEVER = np.iinfo(np.int64).max
@@ -183,21 +185,34 @@ class ChunkCache:
     def values(self, chunks: list[bytes]) -> list:
         got = list(map(self.young.get, chunks))
         if None in got:
-            miss = {c for c, v in zip(chunks, got, strict=True) if v is None}
+            places = [i for i, v in enumerate(got) if v is None]
             fresh = []
-            for c in miss:
+            for c in {chunks[i] for i in places}:
                 if (v := self.old.get(c)) is None:
                     fresh.append(c)
                 else:
                     self.young[c] = v
             for c, ids in zip(fresh, self.bpe.encode_chunks(fresh), strict=True):
                 self.young[c] = self.make(self.bpe, ids)
-            got = list(map(self.young.__getitem__, chunks))
+            for i in places:
+                got[i] = self.young[chunks[i]]
             if len(self.young) > CACHE_WORDS:
                 self.young, self.old = {}, self.young
         return got
 
 
+@contextlib.contextmanager
+def without_collector():
+    """Millions of small cached objects and no reference cycles: Python's cycle collector would only walk them again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about SLICE_BYTES of text each."""
     start, held = 0, 0
@@ -250,12 +265,13 @@ def _mapped(docs, path, text, added, work):
 
     def run(batches):
         cache = cache_for(path, _joined)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            made = work(cache, table.column(text).combine_chunks())
-            for name, column in made.items():
-                table = table.append_column(name, column)
-            yield from table.drop_columns([text]).to_batches()
+        with without_collector():
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                made = work(cache, table.column(text).combine_chunks())
+                for name, column in made.items():
+                    table = table.append_column(name, column)
+                yield from table.drop_columns([text]).to_batches()
 
     return docs.mapInArrow(run, schema)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import cache_for, chunked
+from .bpe import cache_for, chunked, without_collector
 from .common import materialize
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -33,20 +33,21 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
 
     def run(batches):
         cache, end, width = cache_for(path, _packed), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for first, chunks, counts in chunked(batch.column(1)):
-                got, at = cache.values(chunks), 0
-                for k, n in enumerate(counts):
-                    data = b"".join(got[at : at + n]) + end
-                    at += n
-                    doc = ids[first + k]
-                    for piece, start in enumerate(range(0, len(data), width)):
-                        part = data[start : start + width]
-                        rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_pydict(
-                {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())))}
-            )
+        with without_collector():
+            for batch in batches:
+                ids, rows = batch.column(0).to_pylist(), []
+                for first, chunks, counts in chunked(batch.column(1)):
+                    got, at = cache.values(chunks), 0
+                    for k, n in enumerate(counts):
+                        data = b"".join(got[at : at + n]) + end
+                        at += n
+                        doc = ids[first + k]
+                        for piece, start in enumerate(range(0, len(data), width)):
+                            part = data[start : start + width]
+                            rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_pydict(
+                    {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())))}
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
