@@ -1,13 +1,19 @@
 """All registered queries by name, with the SQL that gives the same results."""
 
+from __future__ import annotations
+
+from . import alignment, pool, tiers
+
+GROUPS = (alignment, pool, tiers)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return alignment.leaderboard(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: fn for group in GROUPS for name, (fn, _) in group.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
