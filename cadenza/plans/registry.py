@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, pool, tiers
+from . import alignment, pool, reports, tiers
 
-GROUPS = (alignment, pool, tiers)
+GROUPS = (alignment, pool, tiers, reports)
 
 
 def flagship(spark, sf_dir):
