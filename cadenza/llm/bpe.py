@@ -240,7 +240,7 @@ ENCODED = "ids array<int>, decoded string"
 def encode(docs, path: str, text: str = "text"):
     """All columns of ``docs`` but ``text``, with ids array<int> and decoded string of the whole text.
 
-    Null text: as empty, no ids. Rows may repeat; other columns pass through. An output name that a column of ``docs`` already has raises ValueError.
+    Null text: as empty, no ids. Rows may repeat; other columns pass through. A column of ``docs`` called like an output is replaced by it.
     Encoding is a map over rows without a shuffle.
     """
     return _mapped(docs, path, text, ENCODED, _encode_batch)
@@ -257,10 +257,10 @@ def encode_digest(docs, path: str, text: str = "text"):
 def _mapped(docs, path, text, added, work):
     from pyspark.sql.types import StructType
 
+    from .common import without
+
     new = StructType.fromDDL(added)
-    kept = [c for c in docs.columns if c != text]
-    if clash := {*kept} & {*new.names}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = without(docs, [n for n in new.names if n.lower() != text.lower()])
     schema = StructType([f for f in docs.schema.fields if f.name != text] + new.fields)
 
     def run(batches):

@@ -58,6 +58,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without columns that have one of ``names`` in any letter case: outputs take the place of inputs called like them."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph of ``edges(a long, b long)``.
 

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Bytes a window, hidden units a direction, windows worked on at once.
 WINDOW, HIDDEN, LANES = 64, 8, 2048
 #: The training sample: at most so many labelled documents, and windows from each.
@@ -199,17 +201,16 @@ def train(labelled: DataFrame) -> LanguageNet:
     return net
 
 
-def predict(docs: DataFrame, net: LanguageNet, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added: the likeliest language by the mean over every position of the whole text, and that mean.
+def predict(docs: DataFrame, net: LanguageNet, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (or other ``names``) added: the likeliest language by the mean over every position of the whole text, and that mean.
 
     Null text and text without a letter: ``und`` and score 0, and so is everything where the network knows no language. Ties go to the first language in
-    order. Rows may repeat; no rows: no rows. Columns called lang_pred or score are in the way and raise ValueError. A map over rows, no shuffle.
+    order. Rows may repeat; no rows: no rows. Columns of ``docs`` called like an output are replaced by it. A map over rows, no shuffle.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    added = StructType.fromDDL("lang_pred string, score double")
-    if clash := {*docs.columns} & {*added.names}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = without(docs, names)
+    added = [StructField(names[0], StringType()), StructField(names[1], DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
@@ -224,6 +225,6 @@ def predict(docs: DataFrame, net: LanguageNet, text: str = "text") -> DataFrame:
                 best = p.argmax(axis=1)
                 lang[known] = np.array(net.languages, object)[best]
                 score[known] = np.round(p[np.arange(len(best)), best], 6)
-            yield from table.append_column("lang_pred", pa.array(lang, pa.string())).append_column("score", pa.array(score)).to_batches()
+            yield from table.append_column(names[0], pa.array(lang, pa.string())).append_column(names[1], pa.array(score)).to_batches()
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields + added.fields))
+    return docs.mapInArrow(run, StructType(docs.schema.fields + added))

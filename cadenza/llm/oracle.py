@@ -43,7 +43,7 @@ rho as (select level, ((x2 - nn * p * p) / nullif(k - 1, 0) - v) / nullif(((nn -
 strength as (select level, case when rho > 0 then greatest(2.0::double, least(10000.0::double, 1 / rho - 1)) else 10000.0::double end as s from rho),
 ss as (
   select coalesce((select s from strength where level = 's'), 10000.0::double) as s1, coalesce((select s from strength where level = 'd'), 10000.0::double) as s2,
-    coalesce((select s from strength where level = 'h'), 10000.0::double) as s3, (select coalesce(sum(x)::double / nullif(sum(n), 0), 0.5::double) from s) as m0
+    coalesce((select s from strength where level = 'h'), 10000.0::double) as s3, (select coalesce(sum(x)::double / nullif(sum(n), 0), 0) from s) as m0
 ),
 m1 as (select suffix, (x + s1 * m0) / (n + s1) as m1 from s, ss),
 m2 as (select domain, (x + s2 * m1) / (n + s2) as m2 from d join m1 using (suffix), ss),

@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Rows and length of the table of vectors; lengths of the character n-grams of "<word>".
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: The training sample is at most so many labelled documents.
@@ -173,19 +175,18 @@ def train(docs: DataFrame, labels: DataFrame) -> SubwordClassifier:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: SubwordClassifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) added, from the whole text alone.
+def predict(docs: DataFrame, model: SubwordClassifier, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold), or other ``names``, added, from the whole text alone.
 
-    Null text counts as empty; a text without words gets the prior. Rows may repeat; no rows: no rows. Columns called score or predicted are in the way and
-    raise ValueError. A map over rows, no shuffle; the model is BUCKETS numbers whatever the data.
+    Null text counts as empty; a text without words gets the prior. Rows may repeat; no rows: no rows. Columns of ``docs`` called like an
+    output are replaced by it. A map over rows, no shuffle; the model is BUCKETS numbers whatever the data.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     from .bpe import without_collector
 
-    added = StructType.fromDDL("score double, predicted int")
-    if clash := {*docs.columns} & {*added.names}:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = without(docs, names)
+    added = [StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]
     shared = docs.sparkSession.sparkContext.broadcast(model.folded())
 
     def run(batches):
@@ -198,7 +199,7 @@ def predict(docs: DataFrame, model: SubwordClassifier, text: str = "text", thres
                 table = pa.Table.from_batches([batch])
                 texts = [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
                 score = np.round(_SCORERS[key].scores(texts), 6)
-                table = table.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= threshold).astype(np.int32)))
+                table = table.append_column(names[0], pa.array(score)).append_column(names[1], pa.array((score >= threshold).astype(np.int32)))
                 yield from table.to_batches()
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields + added.fields))
+    return docs.mapInArrow(run, StructType(docs.schema.fields + added))

@@ -61,7 +61,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    top = suffixes.agg(F.expr("coalesce(try_divide(cast(sum(x) as double), sum(n)), 0.5)").alias("m0"))
+    top = suffixes.agg(F.expr("coalesce(try_divide(cast(sum(x) as double), sum(n)), 0)").alias("m0"))
     top = top.crossJoin(_strength(suffixes, "s_suffix")).crossJoin(_strength(domains, "s_domain")).crossJoin(_strength(hosts, "s_host"))
     top = F.broadcast(top)  # a single row
 
@@ -79,7 +79,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: floa
     """``pages(page_id, url)`` and ``outcomes(page_id, bad int)`` -> page_id, host, path, rule, verdict, bad_mean, bad_bound.
 
     Null urls and urls without ``://`` have an empty host, which has a reputation like any other. Repeated pages stay repeated; several outcomes of
-    one page count as one (the worst). Outcomes of unknown pages and of a null page_id are ignored. Without outcomes every rate is 0.5's prior
+    one page count as one (the worst). Outcomes of unknown pages and of a null page_id are ignored. Without any outcome every rate is 0
     and nothing is blocked but by rules. Other columns are ignored.
     """
     host, path = url_parts(F.col("url"))

@@ -21,15 +21,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keep documents in a known language. Null and letterless texts (``und``) and those below MIN_LANGUAGE_SCORE go. Learns as op2 does."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     net = langid.train(docs.where(~F.coalesce(held_out, F.lit(True))).select("text", "lang"))
-    found = langid.predict(docs, net)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = langid.predict(docs, net, names=("_cadenza_lang", "_cadenza_score"))
+    return found.where((F.col("_cadenza_lang") != langid.UNKNOWN) & (F.col("_cadenza_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality classifier, learnt from the labels as op10 learns, takes for label 1."""
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     model = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    return quality.predict(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.predict(docs, model, names=("_cadenza_score", "_cadenza_predicted")).where("_cadenza_predicted = 1").select(*docs.columns)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
