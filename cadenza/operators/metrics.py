@@ -197,12 +197,12 @@ def edge_split(errors: DataFrame, group: list[str]) -> DataFrame:
 def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], Column], replicates: int = 1000, seed: int = 0) -> DataFrame:
     """95 % interval of a pooled mean over utterances: ``per_utt(group, utt_id, s, c)`` -> group, lo, hi (of sum s / sum c, per 1000).
 
-    Draw i of replicate b takes utterance number hash(b, i) mod n. The draws are counted per (group, replicate, utterance) before the join, and the
-    two-level aggregate leaves ``replicates`` numbers a group.
+    Draw i of replicate b takes utterance number hash(b, i) mod n. The two-level aggregate leaves ``replicates`` numbers a group.
     """
     number = per_utt.withColumn("u", F.row_number().over(Window.partitionBy(*group).orderBy("utt_id")) - 1)
     sizes = per_utt.groupBy(*group).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(*group, "b")  # a few rows become millions of draws: spread them first
+    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     draws = draws.withColumn("u", hash32(F.concat(F.lit(f"b:{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))) % F.col("n"))
     sums = draws.join(number, [*group, "u"]).groupBy(*group, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     stat = F.when(F.col("c") > 0, F.col("s") / F.col("c") / 1000)

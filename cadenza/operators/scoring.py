@@ -63,14 +63,14 @@ def boundary_errors(aligned: DataFrame, classify: Callable[[Column], Column], st
     so no row carries a whole tier.
     """
     g = lambda i: F.get(F.col("gold"), i)
-    cls = lambda i: F.coalesce(classify(g(i)["label"]), F.lit("silence"))
-    beside = lambda i: F.when((i >= 0) & (i < F.size("gold")), cls(i)).otherwise("silence")
+    cls = lambda i: F.coalesce(F.get(F.col("_cls"), i), F.lit("silence"))  # noqa: E731  beyond an end too
+    aligned = aligned.withColumn("_cls", F.transform("gold", lambda x: classify(x["label"])))  # each label is classified once
 
     def edges(s):
         h = F.get(F.col("hyp"), s["h"])
         return F.array(
-            F.struct(F.lit("onset").alias("edge"), g(s["g"])["start_us"].alias("gold_us"), h["start_us"].alias("hyp_us"), beside(s["g"] - 1).alias("left_class"), cls(s["g"]).alias("right_class"), h["conf"].alias("conf"), s["g"].alias("gold_idx")),
-            F.struct(F.lit("offset").alias("edge"), g(s["g"])["end_us"].alias("gold_us"), h["end_us"].alias("hyp_us"), cls(s["g"]).alias("left_class"), beside(s["g"] + 1).alias("right_class"), h["conf"].alias("conf"), s["g"].alias("gold_idx")),
+            F.struct(F.lit("onset").alias("edge"), g(s["g"])["start_us"].alias("gold_us"), h["start_us"].alias("hyp_us"), cls(s["g"] - 1).alias("left_class"), cls(s["g"]).alias("right_class"), h["conf"].alias("conf"), s["g"].alias("gold_idx")),
+            F.struct(F.lit("offset").alias("edge"), g(s["g"])["end_us"].alias("gold_us"), h["end_us"].alias("hyp_us"), cls(s["g"]).alias("left_class"), cls(s["g"] + 1).alias("right_class"), h["conf"].alias("conf"), s["g"].alias("gold_idx")),
         )
 
     rows = aligned.select(*PAIR, "speaker_id", "corpus", F.explode(F.flatten(F.transform(matched() if steps is None else steps, edges))).alias("e"))
@@ -97,16 +97,20 @@ def within_tolerance(gold: DataFrame, hyp: DataFrame, key: list[str], tol_us: in
     return h.join(g, on).where(d <= tol_us).select(*key, "i", "j", d.alias("d_us"))
 
 
-def strict_hits(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """One-to-one hits per key: candidates by (distance, i, j), greedily, each side used once. Keys without candidates have no row."""
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("h"))
+def _no_hits() -> Column:
+    return F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("h"))
+
+
+def _take(used: Column, c: Column) -> Column:
+    """Greedy step: a candidate counts if both its boundaries are free."""
+    free = ~F.array_contains(used["g"], c["i"]) & ~F.array_contains(used["h"], c["j"])
+    return F.when(free, F.struct(F.concat(used["g"], F.array(c["i"])).alias("g"), F.concat(used["h"], F.array(c["j"])).alias("h"))).otherwise(used)
 
-    def take(used, c):
-        free = ~F.array_contains(used["g"], c["i"]) & ~F.array_contains(used["h"], c["j"])
-        return F.when(free, F.struct(F.concat(used["g"], F.array(c["i"])).alias("g"), F.concat(used["h"], F.array(c["j"])).alias("h"))).otherwise(used)
 
+def strict_hits(candidates: DataFrame, key: list[str]) -> DataFrame:
+    """One-to-one hits per key: candidates by (distance, i, j), greedily, each side used once. Keys without candidates have no row."""
     ordered = F.array_sort(F.collect_list(F.struct("d_us", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))))
-    return candidates.groupBy(*key).agg(ordered.alias("c")).select(*key, F.size(F.aggregate("c", start, take)["g"]).cast("bigint").alias("hits"))
+    return candidates.groupBy(*key).agg(ordered.alias("c")).select(*key, F.size(F.aggregate("c", _no_hits(), _take)["g"]).cast("bigint").alias("hits"))
 
 
 def segmentation(gold: DataFrame, hyp: DataFrame, tol_us: int = 20_000) -> DataFrame:
@@ -120,6 +124,15 @@ def segmentation(gold: DataFrame, hyp: DataFrame, tol_us: int = 20_000) -> DataF
     return out.select(*PAIR, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(a) for c, a in (("n_gold_bnd", "n_gold_bnd"), ("n_hyp_bnd", "n_hyp_bnd"), ("hits", "n_hits"))])
 
 
+def segmentation_packed(aligned: DataFrame, tol_us: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As segmentation, from packed pairs and without a shuffle. Every boundary of a pair meets every other: for utterances, not for whole recordings."""
+    times = lambda tier: F.array_sort(F.array_distinct(F.transform(F.filter(tier, lambda x: x["pos"] > 0), lambda x: x["start_us"])))
+    p = aligned.select(*PAIR, *keep, times("gold").alias("g"), times("hyp").alias("h"))
+    near = F.flatten(F.transform("g", lambda x, i: F.filter(F.transform("h", lambda y, j: F.struct(F.abs(y - x).alias("d_us"), i.alias("i"), j.alias("j"))), lambda c: c["d_us"] <= tol_us)))
+    hits = F.size(F.aggregate(F.array_sort(near), _no_hits(), _take)["g"])
+    return p.select(*PAIR, *keep, F.size("g").cast("bigint").alias("n_gold_bnd"), F.size("h").cast("bigint").alias("n_hyp_bnd"), hits.cast("bigint").alias("n_hits"))
+
+
 def nearest_boundary(points: DataFrame, grid: DataFrame, key: list[str], tol_us: int) -> DataFrame:
     """For each of ``points(key, idx, t_us)`` the nearest of ``grid(key, idx, t_us)`` within ``tol_us`` (ties: the first), else -1: key, idx, t_us, nearest."""
     near = within_tolerance(grid, points, key, tol_us).groupBy(*key, F.col("j").alias("idx")).agg(F.min_by("i", F.struct("d_us", "i")).alias("nearest"))

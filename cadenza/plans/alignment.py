@@ -268,8 +268,7 @@ def leaderboard_table(spark, sf_dir):
     a = stage(S.align(gold, hyp), "aligned")
     rates = M.edit_rates(S.counters(a), G)
     pool = M.summary(S.boundary_errors(a, classify), G)
-    corpus = gold.select("utt_id", "corpus").distinct()
-    seg = M.detection(S.segmentation(gold, hyp).join(corpus, "utt_id"), G)
+    seg = M.detection(S.segmentation_packed(a, keep=("corpus",)), G)
     out = rates.join(pool, G, "left").join(seg, G, "left")
     return out.withColumn("underpowered", F.col("n_matched") < 50)
 
