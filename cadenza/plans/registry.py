@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, pool, reports, tiers
+from . import alignment, ingest, pool, reports, tiers
 
-GROUPS = (alignment, pool, tiers, reports)
+GROUPS = (alignment, pool, tiers, reports, ingest)
 
 
 def flagship(spark, sf_dir):
