@@ -19,14 +19,14 @@ LABEL_COST, CLASS_COST, SWAP_COST, INDEL_COST = 0.0, 0.5, 2.0, 1.0
 STEPS = ArrayType(StructType([StructField("g", IntegerType()), StructField("h", IntegerType())]))
 
 
-def _batches(n: np.ndarray, m: np.ndarray):
-    """Groups of pairs, of like size, whose padded matrices fit into CELLS."""
+def _batches(n: np.ndarray, m: np.ndarray, share: int = 1):
+    """Groups of pairs, of like size, whose padded matrices fit into CELLS / share."""
     order, start = np.lexsort((m, n)), 0
     while start < len(order):
         end, wide, high = start, 0, 0
         while end < len(order):
             w, h = max(wide, m[order[end]]), max(high, n[order[end]])
-            if end > start and (end - start + 1) * (w + 1) * (h + 1) > CELLS:
+            if end > start and (end - start + 1) * (w + 1) * (h + 1) > CELLS // share:
                 break
             wide, high, end = w, h, end + 1
         yield order[start:end], high, wide
@@ -96,30 +96,35 @@ def align_time_batch(gold: list[list[dict]], hyp: list[list[dict]], weight: floa
 
     Elements are dicts with label, cls, start_us and end_us.
     """
-    out = []
-    for g, h in zip(gold, hyp, strict=True):
-        n, m = len(g), len(h)
-        cost = np.zeros((n + 1, m + 1))
-        cost[:, 0], cost[0, :] = np.arange(n + 1) * INDEL_COST, np.arange(m + 1) * INDEL_COST
-        pair = np.zeros((n, m))
-        if n and m:
-            label = np.array([x["label"] for x in g], object)[:, None] == np.array([x["label"] for x in h], object)[None, :]
-            cls = np.array([x["cls"] for x in g], object)[:, None] == np.array([x["cls"] for x in h], object)[None, :]
-            start = np.abs(np.array([x["start_us"] for x in g])[:, None] - np.array([x["start_us"] for x in h])[None, :])
-            end = np.abs(np.array([x["end_us"] for x in g])[:, None] - np.array([x["end_us"] for x in h])[None, :])
-            pair = np.where(label, LABEL_COST, np.where(cls, CLASS_COST, SWAP_COST)) + weight * (start + end) / 1e6
-        for d in range(2, n + m + 1):  # anti-diagonals: every cell adds the same floats in the same order as a plain loop
-            i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (gold, hyp))
+    codes: dict[str, int] = {}
+    out = [None] * len(gold)
+    for pick, high, wide in _batches(n, m, share=4):
+        a, b = np.zeros((4, high, len(pick)), np.int64), np.zeros((4, wide, len(pick)), np.int64)
+        for into, side in ((a, gold), (b, hyp)):
+            for col, k in enumerate(pick):
+                for row, x in enumerate(side[k]):
+                    into[:, row, col] = codes.setdefault(x["label"], len(codes)), codes.setdefault(x["cls"], len(codes)), x["start_us"], x["end_us"]
+        same = a[:2, :, None, :] == b[:2, None, :, :]
+        off = np.abs(a[2:, :, None, :] - b[2:, None, :, :]).sum(axis=0)
+        pair = np.where(same[0], LABEL_COST, np.where(same[1], CLASS_COST, SWAP_COST)) + weight * off / 1e6
+        cost = np.zeros((high + 1, wide + 1, len(pick)))
+        cost[:, 0], cost[0, :] = (np.arange(high + 1) * INDEL_COST)[:, None], (np.arange(wide + 1) * INDEL_COST)[:, None]
+        for d in range(2, high + wide + 1):  # anti-diagonals of the whole batch: every cell adds the same floats in the same order as a plain loop
+            i = np.arange(max(1, d - wide), min(high, d - 1) + 1)
             j = d - i
             cost[i, j] = np.minimum(np.minimum(cost[i - 1, j - 1] + pair[i - 1, j - 1], cost[i - 1, j] + INDEL_COST), cost[i, j - 1] + INDEL_COST)
+        rows = np.arange(len(pick))
 
-        def move(i, j, cost=cost, pair=pair):
-            i, j = int(i[0]), int(j[0])
-            if i and j and cost[i, j] == cost[i - 1, j - 1] + pair[i - 1, j - 1]:
-                return np.array([0])
-            return np.array([1 if i and cost[i, j] == cost[i - 1, j] + INDEL_COST else 2])
+        def move(i, j, cost=cost, pair=pair, rows=rows):
+            up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+            here = cost[i, j, rows]
+            step = pair[up, left, rows] if pair.shape[0] and pair.shape[1] else np.zeros(len(rows))
+            diagonal = (i > 0) & (j > 0) & (here == cost[up, left, rows] + step)
+            return np.where(diagonal, 0, np.where((i > 0) & (here == cost[up, j, rows] + INDEL_COST), 1, 2))
 
-        out += _trace(np.array([n]), np.array([m]), move)
+        for k, steps in zip(pick, _trace(n[pick], m[pick], move), strict=True):
+            out[k] = steps
     return out
 
 

@@ -55,6 +55,14 @@ def test_alignment_in_small_batches(monkeypatch):
     assert [list(zip(g.tolist(), h.tolist(), strict=True)) for g, h in got] == [plain_alignment(g, h) for g, h in pairs]
 
 
+def test_time_alignment_in_batches_is_that_of_each_pair():
+    rng = random.Random(4)
+    side = lambda: [{"label": rng.choice("ab"), "cls": rng.choice("xy"), "start_us": rng.randrange(10**6), "end_us": rng.randrange(10**6)} for _ in range(rng.randrange(9))]
+    gold, hyp = [side() for _ in range(50)], [side() for _ in range(50)]
+    one = [A.align_time_batch([g], [h])[0] for g, h in zip(gold, hyp, strict=True)]
+    assert [(x.tolist(), y.tolist()) for x, y in A.align_time_batch(gold, hyp)] == [(x.tolist(), y.tolist()) for x, y in one]
+
+
 def test_time_alignment_is_cheapest():
     rng = random.Random(2)
     for _ in range(40):
