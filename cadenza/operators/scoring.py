@@ -23,9 +23,14 @@ def pack(tier: DataFrame, key: list[str], extra: tuple[str, ...] = (), also: tup
 
 
 def pair(gold: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Hypotheses with their reference, by utterance; hypotheses without one are dropped. Both shuffle on keys that begin with utt_id."""
-    g = pack(gold, ["utt_id"], also=("speaker_id", "corpus")).withColumnRenamed("tier", "gold")
-    h = pack(hyp, PAIR, extra=("conf",)).withColumnRenamed("tier", "hyp")
+    """Hypotheses with their reference, by utterance; hypotheses without one are dropped.
+
+    Both sides are dealt by utt_id once, which serves the packing and the join. The number of partitions is stated, as adaptive execution would
+    otherwise merge small ones and leave the alignment that follows, which costs far more than its bytes suggest, to a few tasks.
+    """
+    n = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = pack(gold.repartition(n, "utt_id"), ["utt_id"], also=("speaker_id", "corpus")).withColumnRenamed("tier", "gold")
+    h = pack(hyp.repartition(n, "utt_id"), PAIR, extra=("conf",)).withColumnRenamed("tier", "hyp")
     return h.join(g, "utt_id").withColumns({"gold_labels": F.col("gold")["label"], "hyp_labels": F.col("hyp")["label"]})
 
 
