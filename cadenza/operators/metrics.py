@@ -201,7 +201,9 @@ def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], C
     """
     number = per_utt.withColumn("u", F.row_number().over(Window.partitionBy(*group).orderBy("utt_id")) - 1)
     sizes = per_utt.groupBy(*group).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(*group, "b")  # a few rows become millions of draws: spread them first
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # a few rows become millions of draws: spread them first, over a stated number of partitions that adaptive execution leaves alone
+    draws = draws.repartition(int(per_utt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "b")
     draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     draws = draws.withColumn("u", hash32(F.concat(F.lit(f"b:{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))) % F.col("n"))
     sums = draws.join(number, [*group, "u"]).groupBy(*group, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
