@@ -67,3 +67,76 @@ def weighted_pick(items: DataFrame, choices: DataFrame, hash32: Callable[[Column
     c = choices.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("weight")).withColumn("total", F.sum("weight").over(Window.partitionBy()))
     d = items.withColumn("u", hash32(F.concat(F.lit("rir:"), F.col("item_id"))))
     return d.join(F.broadcast(c), (F.col("u") % F.col("total") >= F.col("lo")) & (F.col("u") % F.col("total") < F.col("hi"))).drop("u", "hi", "lo", "total", "weight")
+
+
+def smooth_probabilities(members: DataFrame, group: list[str], smoothing: float = 0.0, total: Column | float = 1.0) -> DataFrame:
+    """Completes and normalises ``probability`` within each group so that it sums to ``total``.
+
+    Members without one share what the others leave of 1 (nothing, if they leave none); the others move towards that share by ``smoothing``. A group whose
+    probabilities are all zero gets nulls.
+    """
+    w = Window.partitionBy(*group)
+    p, given = F.col("probability"), F.coalesce(F.sum("probability").over(w), F.lit(0.0))
+    open_ = F.sum(F.col("probability").isNull().cast("bigint")).over(w)
+    m = members.withColumn("_even", F.when((open_ > 0) & (given < 1), (1 - given) / open_).otherwise(0.0))
+    m = m.withColumn("probability", F.coalesce((1 - smoothing) * p + smoothing * F.col("_even"), F.col("_even")))
+    return m.withColumn("probability", F.try_divide(p, F.sum("probability").over(w)) * total).drop("_even")
+
+
+def _of(values: list, at: Column) -> Column:
+    """One of a few fixed values, by number modulo their count."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(at, F.lit(len(values))).cast("int"))
+
+
+def _key(prefix: str, *parts: str) -> Column:
+    return F.concat_ws(":", F.lit(prefix), *[F.col(p).cast("string") for p in parts])
+
+
+def background_draws(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], Column], size: int, counts: list[int], snrs: list[int]) -> DataFrame:
+    """Noises under a whole item, as many as one of ``counts`` says, each at one of ``snrs``: item_id, n, file, at_us (0), snr_db. No draws: no rows."""
+    many = _of(counts, hash32(_key("bgn", "item_id")))
+    d = items.select("item_id", F.explode(F.when(many > 0, F.sequence(F.lit(0), many - 1))).alias("n"))
+    d = d.withColumn("idx", hash32(_key("bg", "item_id", "n")) % size).join(pool, "idx")
+    return d.select("item_id", "n", "file", F.lit(0).cast("bigint").alias("at_us"), _of(snrs, hash32(_key("bgs", "item_id", "n"))).alias("snr_db"))
+
+
+def point_noises(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], Column], size: int, per_minute: int, snrs: dict[str, list[int]], share: int = 100) -> DataFrame:
+    """Point-source noises of ``items(item_id, dur_us)``: item_id, n, file, at_us, snr_db.
+
+    ``share`` percent of the items that are long enough take between one and floor(per_minute * minutes) noises of ``pool(idx, file, kind)``, kind being
+    foreground (from a random hundredth of a second on) or background (from 0, throughout). ``snrs`` of a kind take turns within an item, starting at a
+    hashed one, so that no order over all items is needed.
+    """
+    most = F.floor(F.col("dur_us") * per_minute / 60_000_000)
+    many = F.when((most >= 1) & (hash32(_key("ptp", "item_id")) % 100 < share), 1 + hash32(_key("ptn", "item_id")) % most)
+    d = items.select("item_id", "dur_us", F.explode(F.when(many >= 1, F.sequence(F.lit(0), many.cast("int") - 1))).alias("n"))
+    d = d.withColumn("idx", hash32(_key("pt", "item_id", "n")) % size).join(pool, "idx")
+    turn = F.count("*").over(Window.partitionBy("item_id", "kind").orderBy("n")) - 1 + hash32(_key("ptt", "kind", "item_id"))
+    front = F.col("kind") == "foreground"
+    at = F.when(front, hash32(_key("pta", "item_id", "n")) % (F.floor(F.col("dur_us") / 10_000) + 1) * 10_000).otherwise(0)
+    snr = F.when(front, _of(snrs["foreground"], turn)).otherwise(_of(snrs["background"], turn))
+    return d.select("item_id", "n", "file", at.cast("bigint").alias("at_us"), snr.alias("snr_db"))
+
+
+def isotropic_noises(items: DataFrame, noises: DataFrame, hash32: Callable[[Column], Column], snrs: list[int], share: int = 100) -> DataFrame:
+    """A room's own noise under ``share`` percent of its ``items(item_id, room)``: item_id, file, at_us (0), snr_db.
+
+    ``noises(room, file)`` holds the few recordings of each room; rooms without one add nothing. One join on room, which adaptive execution splits where
+    a room is hot.
+    """
+    held = noises.groupBy("room").agg(F.array_sort(F.collect_set("file")).alias("_files"))
+    d = items.where(hash32(_key("isp", "item_id")) % 100 < share).join(held, "room")
+    file = F.get("_files", (hash32(_key("iso", "item_id")) % F.size("_files")).cast("int"))
+    return d.select("item_id", file.alias("file"), F.lit(0).cast("bigint").alias("at_us"), _of(snrs, hash32(_key("iss", "item_id"))).alias("snr_db"))
+
+
+def replicate(table: DataFrame, ids: list[str], copies: int, prefix: str, original: bool = False) -> DataFrame:
+    """``copies`` copies of every row with ``<prefix><copy>-`` before each of its ids, and copy, from 1; with ``original`` also copy 0. No shuffle."""
+    t = table.withColumn("copy", F.explode(F.sequence(F.lit(0 if original else 1), F.lit(copies)))) if original or copies > 0 else table.withColumn("copy", F.lit(0)).where("false")
+    return t.withColumns({c: F.concat(F.lit(prefix), F.col("copy").cast("string"), F.lit("-"), F.col(c)) for c in ids})
+
+
+def rekey(table: DataFrame, ids: list[str], prefix: str = "", suffix: str = "") -> DataFrame:
+    """The same ids under a prefix and a suffix, in any side table; ``id -> original`` is ``rekey`` of a copy of the column."""
+    mark = lambda text: [F.lit(text)] if text else []
+    return table.withColumns({c: F.concat(*mark(prefix), F.col(c).cast("string"), *mark(suffix)) for c in ids})
