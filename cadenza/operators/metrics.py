@@ -194,12 +194,25 @@ def edge_split(errors: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, group: list[str], name: str, hash32: Callable[[Column], Column], seed: int = 0, parts: int = 64) -> DataFrame:
+    """Adds u, a number from 0 within each group, in order of a hash of ``name``.
+
+    Rows are counted within ``parts`` hash ranges and shifted by the counts of the ranges before, so no window spans a group.
+    """
+    p = rows.withColumn("_h", hash32(F.concat(F.lit(f"u:{seed}:"), F.col(name)))).withColumn("_part", F.floor(F.col("_h") * parts / 2**32).cast("int"))
+    counts = p.groupBy(*group, "_part").agg(F.count("*").alias("_n"))  # at most ``parts`` rows a group
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    p = p.withColumn("u", F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_h", name)) - 1)
+    return p.join(counts, [*group, "_part"]).withColumn("u", F.col("u") + F.col("_before")).drop("_h", "_part", "_before")
+
+
 def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], Column], replicates: int = 1000, seed: int = 0) -> DataFrame:
     """95 % interval of a pooled mean over utterances: ``per_utt(group, utt_id, s, c)`` -> group, lo, hi (of sum s / sum c, per 1000).
 
-    Draw i of replicate b takes utterance number hash(b, i) mod n. The two-level aggregate leaves ``replicates`` numbers a group.
+    Draw i of replicate b takes utterance number hash(b, i) mod n, utterances being numbered in hash order. The two-level aggregate leaves ``replicates`` numbers a group.
     """
-    number = per_utt.withColumn("u", F.row_number().over(Window.partitionBy(*group).orderBy("utt_id")) - 1)
+    number = numbered(per_utt, group, "utt_id", hash32, seed)
     sizes = per_utt.groupBy(*group).agg(F.count("*").alias("n"))
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     # a few rows become millions of draws: spread them first, over a stated number of partitions that adaptive execution leaves alone

@@ -184,12 +184,12 @@ def common_matched(spark, sf_dir):
     return kept.groupBy(*G).agg(F.count("*").alias("n_common"), M.mean_ms(F.col("abs_us")).alias("mae_common_ms"))
 
 
-COMMON_SQL = with_(
-    *BASE, MATCHED,
+COMMON_CTE = (
     "seen as (select distinct cond, utt_id, system, gold_idx from errs)", "ns as (select cond, utt_id, count(distinct system) as k from seen group by all)",
     "common as (select s.cond, s.utt_id, gold_idx from seen s join ns using (cond, utt_id) group by s.cond, s.utt_id, gold_idx having count(*) = any_value(k))",
-    select=f"select corpus, system, e.cond, count(*) as n_common, {mean_ms('abs_us')} as mae_common_ms from errs e join common c on c.cond = e.cond and c.utt_id = e.utt_id and c.gold_idx = e.gold_idx group by all", recursive=True,
+    f"cm as (select corpus, system, e.cond, count(*) as n_common, {mean_ms('abs_us')} as mae_common_ms from errs e join common c on c.cond = e.cond and c.utt_id = e.utt_id and c.gold_idx = e.gold_idx group by all)",
 )
+COMMON_SQL = with_(*BASE, MATCHED, *COMMON_CTE, select="select * from cm", recursive=True)
 
 
 def segmentation(spark, sf_dir):
@@ -252,14 +252,19 @@ def bootstrap_ci(spark, sf_dir):
     return M.bootstrap(stage(per, "perutt"), ["system", "cond"], fx.hash32, replicates=200, seed=7)
 
 
-BOOT_SQL = with_(
-    *BASE, MATCHED,
-    "pu as (select system, cond, utt_id, sum(abs_us)::bigint as s, count(*) as c, row_number() over (partition by system, cond order by utt_id) - 1 as u from errs group by system, cond, utt_id)",
-    "sz as (select system, cond, count(*) as n from pu group by all)",
-    f"dr as (select system, cond, b, {hash32(chr(39) + 'b:7:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i')} % n as u from sz, range(200) t(b), lateral (select unnest(range(n)) as i) z)",
-    "st as (select d.system, d.cond, b, sum(s)::bigint as s, sum(c)::bigint as c from dr d join pu p on p.system = d.system and p.cond = d.cond and p.u = d.u group by all)",
-    select="select system, cond, round(quantile_cont(s::double / c / 1000, 0.025), 9) as lo, round(quantile_cont(s::double / c / 1000, 0.975), 9) as hi from st group by all", recursive=True,
-)
+def boot_parts(g: str) -> tuple[str, ...]:
+    """Utterances' sums, their numbers, draws and replicates ``st`` by the columns ``g``."""
+    on = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in g.split(", "))
+    return (
+        f"pu as (select *, row_number() over (partition by {g} order by {hash32(chr(39) + 'u:7:' + chr(39) + ' || utt_id')}, utt_id) - 1 as u from (select {g}, utt_id, sum(abs_us)::bigint as s, count(*) as c from errs group by all) x)",
+        f"sz as (select {g}, count(*) as n from pu group by all)",
+        f"dr as (select {g}, b, {hash32(chr(39) + 'b:7:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i')} % n as u from sz, range(200) t(b), lateral (select unnest(range(n)) as i) z)",
+        f"st as (select {', '.join('d.' + c for c in g.split(', '))}, b, sum(s)::bigint as s, sum(c)::bigint as c from dr d join pu p on {on('d', 'p')} and p.u = d.u group by all)",
+        f"bt as (select {g}, round(quantile_cont(s::double / c / 1000, 0.025), 9) as lo, round(quantile_cont(s::double / c / 1000, 0.975), 9) as hi from st group by all)",
+    )
+
+
+BOOT_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select * from bt", recursive=True)
 
 
 def leaderboard_table(spark, sf_dir):
@@ -289,6 +294,37 @@ lateral (select nm::double / nullif(nh, 0) as p, nm::double / nullif(ng, 0) as r
 LEADERBOARD_SQL = with_(*LEADERBOARD_CTE, select="select * from lb", recursive=True)
 
 
+def leaderboard_full(spark, sf_dir):
+    """The leaderboard with everything else that is known of a cell: interval of the mean error, error over what all systems matched, confidence measures."""
+    gold, hyp = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
+    a = stage(S.align(gold, hyp), "aligned")
+    e = stage(S.boundary_errors(a, classify), "errors")
+    rows = M.edit_rates(S.counters(a), G).join(M.summary(e, G), G, "left").join(M.detection(S.segmentation_packed(a, keep=("corpus",)), G), G, "left")
+    per = e.groupBy(*G, "utt_id").agg(F.sum("abs_us").alias("s"), F.count("*").alias("c"))
+    interval = M.bootstrap(stage(per, "perutt"), G, fx.hash32, replicates=200, seed=7)
+    keys = ["cond", "utt_id"]
+    common = e.join(S.common_matched(e, keys), [*keys, "gold_idx"], "left_semi").groupBy(*G).agg(F.count("*").alias("n_common"), M.mean_ms(F.col("abs_us")).alias("mae_common_ms"))
+    out = rows.withColumn("underpowered", F.col("n_matched") < 50)
+    for more in (interval, common, M.spearman(e, G), M.auroc(e, G), M.ece(e, G)):  # each has a row a cell
+        out = out.join(more, G, "left")
+    return out
+
+
+FULL_SQL = with_(
+    *LEADERBOARD_CTE, *COMMON_CTE, *boot_parts("corpus, system, cond"),
+    "rk as (select corpus, system, cond, conf, abs_us, (abs_us <= 25000)::bigint as good from errs where conf is not null)",
+    "cc as (select corpus, system, cond, conf, count(*) as c, sum(good) as p from rk group by all)",
+    "cr as (select *, coalesce(sum(c) over (partition by corpus, system, cond order by conf rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0::double as rank from cc)",
+    "ac as (select corpus, system, cond, abs_us, count(*) as c from rk group by all)",
+    "ar as (select *, coalesce(sum(c) over (partition by corpus, system, cond order by abs_us rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0::double as rank from ac)",
+    "sp as (select corpus, system, cond, round(corr(cr.rank, -ar.rank), 6) as spearman from rk join cr using (corpus, system, cond, conf) join ar using (corpus, system, cond, abs_us) group by all)",
+    "au as (select corpus, system, cond, round((sum(p * rank) - sum(p)::double * (sum(p)::double + 1) / 2) / (sum(p)::double * sum(c - p)::double), 9) as auroc from cr group by all)",
+    "bn as (select corpus, system, cond, least(9, floor(round(conf * 1000) / 100)) as bin, count(*) as c, sum(good) as g, sum(round(conf * 1e6)::bigint) as m from rk group by all)",
+    "ec as (select corpus, system, cond, sum(c)::bigint as n_conf, round(sum(abs(g * 1000000 - m))::double / 1e6::double / sum(c), 9) as ece from bn group by all)",
+    select="select * from lb " + " ".join(f"left join {t} using (corpus, system, cond)" for t in ("bt", "cm", "sp", "au", "ec")), recursive=True,
+)
+
+
 def time_aligned(spark, sf_dir):
     """Counts of steps by kind under the time-aware alignment, per pair."""
     element = lambda x: F.struct(x["label"].alias("label"), classify(x["label"]).alias("cls"), x["start_us"].alias("start_us"), x["end_us"].alias("end_us"))
@@ -303,5 +339,5 @@ QUERIES = {
     "align_steps": (align_steps, align_steps_sql()), "align_times": (time_aligned, None), "edit_rates": (edit_counts, EDIT_SQL), "boundary_errors": (boundary_errors, ERRORS_SQL),
     "interior_errors": (interior_errors, INTERIOR_SQL), "per_type": (per_type, PER_TYPE_SQL), "class_matched_pool": (class_matched, CLASS_SQL), "common_matched_mae": (common_matched, COMMON_SQL),
     "segmentation_counts": (segmentation, SEG_SQL), "boundary_detection": (detection, DETECTION_SQL), "nearest_gold_boundary": (nearest_gold, NEAREST_SQL), "word_error_rates": (word_rates, WORD_SQL),
-    "bootstrap_ci": (bootstrap_ci, BOOT_SQL), "leaderboard": (leaderboard, LEADERBOARD_SQL),
+    "bootstrap_ci": (bootstrap_ci, BOOT_SQL), "leaderboard": (leaderboard, LEADERBOARD_SQL), "leaderboard_full": (leaderboard_full, FULL_SQL),
 }
