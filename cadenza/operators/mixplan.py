@@ -46,11 +46,17 @@ def pick_sources(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], C
     return j.withColumns({"offset_us": offset.cast("bigint"), "tiled": slack < 0}).drop("idx")
 
 
-def pick_babble(items: DataFrame, talkers: DataFrame, hash32: Callable[[Column], Column], k: int) -> DataFrame:
-    """``k`` distinct talkers an item, by hash of both: item_id, sources (joined by ``+``). ``talkers(talker)`` is a bounded pool."""
-    t = items.select("item_id").crossJoin(F.broadcast(talkers)).withColumn("h", hash32(F.concat_ws(":", F.lit("bab"), "item_id", "talker")))
-    top = t.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "talker"))).where(F.col("r") <= k)
-    return top.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("r", "talker")))["talker"], "+").alias("sources"))
+def pick_babble(items: DataFrame, talkers: DataFrame, hash32: Callable[[Column], Column], k: int, size: int) -> DataFrame:
+    """``k`` distinct talkers an item: item_id, sources (joined by ``+``). ``talkers(idx, talker)`` numbers ``size`` of them from 0, ``k`` or more.
+
+    The pool is cut into ``k`` slices and each gives one talker by hash, so an item costs ``k`` rows however large the pool is.
+    """
+    if size < k:
+        raise ValueError(f"{k} distinct talkers out of {size}")
+    d = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("n"))
+    low, high = F.floor(F.col("n") * size / k), F.floor((F.col("n") + 1) * size / k)
+    d = d.withColumn("idx", low + hash32(F.concat_ws(":", F.lit("bab"), "item_id", F.col("n").cast("string"))) % (high - low)).join(talkers, "idx")
+    return d.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "talker")))["talker"], "+").alias("sources"))
 
 
 def foreground_draws(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], Column], size: int, interval_us: int, most: int) -> DataFrame:
@@ -62,11 +68,18 @@ def foreground_draws(items: DataFrame, pool: DataFrame, hash32: Callable[[Column
 
 
 def weighted_pick(items: DataFrame, choices: DataFrame, hash32: Callable[[Column], Column]) -> DataFrame:
-    """One of ``choices(choice, weight int)`` an item, in proportion to the weights: cumulative ranges and a range join against a bounded table."""
-    upto = F.sum("weight").over(Window.orderBy("choice"))
-    c = choices.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("weight")).withColumn("total", F.sum("weight").over(Window.partitionBy()))
-    d = items.withColumn("u", hash32(F.concat(F.lit("rir:"), F.col("item_id"))))
-    return d.join(F.broadcast(c), (F.col("u") % F.col("total") >= F.col("lo")) & (F.col("u") % F.col("total") < F.col("hi"))).drop("u", "hi", "lo", "total", "weight")
+    """One of ``choices(choice, weight int)`` an item, in proportion to the weights. Without a positive weight no item gets one.
+
+    Choices take consecutive ranges of whole numbers, cut into as many buckets as there are choices; an item meets those of its bucket in an equi-join, two
+    on average. ``choices`` is a catalogue: its running sum is one window.
+    """
+    c = choices.where("weight > 0").withColumn("hi", F.sum("weight").over(Window.orderBy("choice"))).withColumn("lo", F.col("hi") - F.col("weight"))
+    whole = c.agg(F.sum("weight").alias("_total"), F.ceil(F.sum("weight") / F.count("*")).alias("_width"))  # one row
+    c = c.crossJoin(F.broadcast(whole)).drop("_total")
+    c = c.select("choice", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_width")), F.floor((F.col("hi") - 1) / F.col("_width")))).alias("_bucket"))
+    d = items.crossJoin(F.broadcast(whole)).withColumn("u", hash32(F.concat(F.lit("rir:"), F.col("item_id"))) % F.col("_total"))
+    d = d.withColumn("_bucket", F.floor(F.col("u") / F.col("_width")))
+    return d.join(c, "_bucket").where("u >= lo and u < hi").drop("u", "hi", "lo", "_bucket", "_total", "_width")
 
 
 def smooth_probabilities(members: DataFrame, group: list[str], smoothing: float = 0.0, total: Column | float = 1.0) -> DataFrame:

@@ -135,14 +135,14 @@ SOURCES_SQL = with_(
 
 
 def babble(spark, sf_dir):
-    t = fx.table(spark, sf_dir, "nation").select(F.concat(F.lit("spk"), F.col("n_nationkey").cast("string")).alias("talker"))
-    return X.pick_babble(utterances(spark, sf_dir).withColumnRenamed("utt_id", "item_id"), t, fx.hash32, 6)
+    t = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("idx"), F.concat(F.lit("spk"), F.col("n_nationkey").cast("string")).alias("talker"))
+    return X.pick_babble(utterances(spark, sf_dir).withColumnRenamed("utt_id", "item_id"), t, fx.hash32, 6, t.count())
 
 
 BABBLE_SQL = with_(
-    *PLAN_CTE,
-    f"t as (select utt_id as item_id, 'spk' || n_nationkey as talker, row_number() over (partition by utt_id order by {hash32(chr(39) + 'bab:' + chr(39) + ' || utt_id || ' + chr(39) + ':spk' + chr(39) + ' || n_nationkey')}, 'spk' || n_nationkey) as r from utts, nation)",
-    select="select item_id, string_agg(talker, '+' order by r) as sources from t where r <= 6 group by item_id",
+    *PLAN_CTE, "z as (select count(*) as size from nation)", "s as (select n, n * size // 6 as low, (n + 1) * size // 6 as high from z, range(6) r(n))",
+    f"t as (select utt_id as item_id, n, low + {hash32(chr(39) + 'bab:' + chr(39) + ' || utt_id || ' + chr(39) + ':' + chr(39) + ' || n')} % (high - low) as idx from utts, s)",
+    select="select item_id, string_agg('spk' || idx, '+' order by n) as sources from t group by item_id",
 )
 
 

@@ -122,3 +122,26 @@ def test_analytics(spark):
     assert a.run("n", spark.range(3)).first()[0] == 3 and [*a.held] == ["n"]
     with pytest.raises(ValueError):
         a.add("n", "again")(lambda df: df)
+
+
+def test_babble(spark):
+    items = spark.createDataFrame([(f"i{k}",) for k in range(200)], "item_id string")
+    for size in (6, 7, 40):
+        talkers = spark.createDataFrame([(i, f"t{i}") for i in range(size)], "idx bigint, talker string")
+        got = [r.sources.split("+") for r in X.pick_babble(items, talkers, fx.hash32, 6, size).collect()]
+        assert len(got) == 200 and all(len({*g}) == 6 for g in got) and len({t for g in got for t in g}) == size
+    with pytest.raises(ValueError):
+        X.pick_babble(items, talkers, fx.hash32, 41, 40)
+
+
+def test_weighted_pick(spark):
+    items = spark.createDataFrame([(f"i{k}",) for k in range(3000)], "item_id string")
+    weights = {"a": 1, "b": 0, "c": 7, "d": 1000, "e": 1, "f": 991}
+    choices = spark.createDataFrame([*weights.items()], "choice string, weight bigint")
+    got = {r.item_id: r.choice for r in X.weighted_pick(items, choices, fx.hash32).collect()}
+    ranges, low = {}, 0
+    for c, n in weights.items():
+        ranges[c], low = range(low, low + n), low + n
+    drawn = {r[0]: r[1] for r in items.select("item_id", fx.hash32(F.concat(F.lit("rir:"), "item_id"))).collect()}
+    assert len(got) == 3000 and all(drawn[i] % low in ranges[c] for i, c in got.items())
+    assert X.weighted_pick(items, choices.where("weight = 0"), fx.hash32).count() == 0
