@@ -178,7 +178,7 @@ def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def one_bit_codes(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
-    """Each vector's packed signs after centring and rotation, the residual's norm, and ``fit``, its cosine with its own code."""
+    """Each vector's packed signs after centring and rotation, the residual's norm, and ``fit``, its cosine with its own code (1 for a residual of zero)."""
     shared = vectors.sparkSession.sparkContext.broadcast(centre)
 
     def run(batches):
@@ -193,7 +193,7 @@ def one_bit_codes(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFram
                 at = np.flatnonzero(sizes == dim)
                 r = (matrix(v.take(pa.array(at)), dim) - shared.value[dim]) @ turns[dim]
                 norm[at] = np.sqrt((r * r).sum(axis=1))
-                fit[at] = np.abs(r).sum(axis=1) / np.where(norm[at] > 0, norm[at], 1) / math.sqrt(dim)
+                fit[at] = np.where(norm[at] > 0, np.abs(r).sum(axis=1) / np.where(norm[at] > 0, norm[at], 1) / math.sqrt(dim), 1)
                 packed = np.packbits(r > 0, axis=1)
                 code[at] = [p.tobytes() for p in packed]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sizes, pa.int32()), pa.array(code, pa.binary()), pa.array(norm), pa.array(fit), v], ["vec_id", "dim", "code", "norm", "fit", "embedding"])
@@ -252,7 +252,8 @@ def _cell(value, dim, turn, centre, k) -> pa.RecordBatch:
     error = np.sqrt(np.maximum(1 / fit**2 - 1, 0)) * WIDTH / math.sqrt(max(1, dim - 1)) + 1e-6
     base = norm[:, None] ** 2 + size[None, :] ** 2
     scale = 2 * norm[:, None] * size[None, :]
-    middle, low = base - scale * estimate, base - scale * np.minimum(1, estimate + error[:, None])
+    middle, low = base - scale * estimate, base * (1 - 1e-9) - scale * np.minimum(1, estimate + error[:, None])  # less what rounding may take from base
+    low[~np.isfinite(low)] = -np.inf  # no bound: ranked exactly
     out = [[], [], []]
     for c in range(len(asked)):
         others = np.flatnonzero(ids != asked[c])

@@ -257,6 +257,25 @@ def test_nearest(spark):
     assert vectors.nearest(df.limit(0), df).count() == 0 and vectors.nearest(df, df.limit(0)).count() == 0
 
 
+def nearest_rows(rows, q, k=10):
+    x = np.array([r[1] for r in rows])
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    return [(n + 1, i) for n, (_, i) in enumerate(sorted((float(d[i]), i) for i in range(len(rows)) if i != q)[:k])]
+
+
+def test_nearest_at_the_mean(spark):
+    rng = np.random.default_rng(4)
+    half = np.round(rng.normal(size=(20, 8)) * 64) / 64 + 3.0  # sums are exact
+    pairs = np.concatenate([half, 6.0 - half, np.full((1, 8), 3.0)])  # the last vector is the mean
+    copies, large = np.repeat(half[:1], 20, axis=0), np.concatenate([np.repeat(half[:1], 20, axis=0), -half]) * 1e5
+    for x in (pairs, copies, large):
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = {}
+        for r in vectors.nearest(*[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert {q: sorted(g) for q, g in got.items()} == {q: nearest_rows(rows, q) for q in range(len(rows))}
+
+
 # ---- 5
 
 
