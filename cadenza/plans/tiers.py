@@ -188,6 +188,26 @@ COMPARE_SQL = with_(
 )
 
 
+def compare_all(spark, sf_dir):
+    """Full outer comparison of two systems' runs over every interval and condition: how many have the same label, times and confidence, differ, or are in one run only."""
+    key, values = ["utt_id", "cond", "pos"], ["label", "start_us", "end_us", "conf"]
+    h = fx.hyp(spark, sf_dir)
+    a, b = (h.where(F.col("system") == s).select(*key, F.struct(*values).alias(n)) for s, n in (("sys_a", "a"), ("sys_b", "b")))
+    same = F.lit(True)
+    for v in values:
+        same = same & F.col(f"a.{v}").eqNullSafe(F.col(f"b.{v}"))
+    state = F.when(F.col("a").isNull(), "only_b").when(F.col("b").isNull(), "only_a").when(same, "same").otherwise("different")
+    return a.join(b, key, "full").groupBy("cond", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+COMPARE_ALL_SQL = with_(
+    GOLD, HYP, *(f"{n} as (select utt_id, cond, pos, label, start_us, end_us, conf from hyp where system = 'sys_{n}')" for n in "ab"),
+    select="""select cond, case when a.utt_id is null then 'only_b' when b.utt_id is null then 'only_a'
+  when a.label is not distinct from b.label and a.start_us is not distinct from b.start_us and a.end_us is not distinct from b.end_us and a.conf is not distinct from b.conf then 'same' else 'different' end as state,
+  count(*) as n from a full join b using (utt_id, cond, pos) group by all""",
+)
+
+
 def splits(spark, sf_dir):
     """Speakers in a hashed train/dev/test split: sizes, and overlap of each pair of splits (must be 0)."""
     g = fx.gold(spark, sf_dir).select("speaker_id", "utt_id").distinct()
@@ -232,6 +252,6 @@ QUERIES = {
     "segment_native": (segment_native, NATIVE_SQL), "segment_pauses": (segment_pauses, PAUSES_SQL), "clamp_intervals": (clamped, CLAMP_SQL), "clean_hyp": (cleaned, CLEAN_SQL),
     "onset_only": (onset_only, ONSET_SQL), "transcripts": (transcripts, TRANSCRIPT_SQL), "vocabulary": (vocabulary, VOCABULARY_SQL), "strip_oov": (strip_oov, OOV_SQL),
     "interval_violations": (interval_violations, VIOLATIONS_SQL), "gate_identical_share": (identical_share, IDENTICAL_SQL), "gate_coverage": (coverage, COVERAGE_SQL),
-    "gate_completion": (completion, COMPLETION_SQL), "gate_missing_cells": (missing_cells, MISSING_SQL), "compare_runs": (compare_runs, COMPARE_SQL), "split_disjointness": (splits, SPLITS_SQL),
+    "gate_completion": (completion, COMPLETION_SQL), "gate_missing_cells": (missing_cells, MISSING_SQL), "compare_runs": (compare_runs, COMPARE_SQL), "compare_all_runs": (compare_all, COMPARE_ALL_SQL), "split_disjointness": (splits, SPLITS_SQL),
     "speaker_utterances": (speaker_utterances, SPEAKER_SQL), "zero_duration_rate": (zero_rate, ZERO_SQL),
 }

@@ -145,3 +145,22 @@ def test_weighted_pick(spark):
     drawn = {r[0]: r[1] for r in items.select("item_id", fx.hash32(F.concat(F.lit("rir:"), "item_id"))).collect()}
     assert len(got) == 3000 and all(drawn[i] % low in ranges[c] for i, c in got.items())
     assert X.weighted_pick(items, choices.where("weight = 0"), fx.hash32).count() == 0
+
+
+def compare(spark, monkeypatch, rows):
+    hyp = spark.createDataFrame(rows, "utt_id string, system string, cond string, pos int, label string, start_us bigint, end_us bigint, conf double")
+    monkeypatch.setattr(fx, "hyp", lambda *_: hyp)
+    return {(r.cond, r.state): r.n for r in registry.queries()["compare_all_runs"](spark, SF).collect()}
+
+
+def test_runs_are_compared_whole(spark, monkeypatch):
+    row = lambda s, cond="clean", pos=0, label="x", end=9, conf=None: ("u", f"sys_{s}", cond, pos, label, 0, end, conf)
+    rows = [row("a"), row("b"), row("a", pos=1), row("b", pos=1, end=8), row("a", "noise"), row("b", "noise", label=None), row("a", "noise", 1, conf=0.5), row("b", "noise", 1)]
+    rows += [row("a", "noise", 2), row("b", "noise", 3), row("a", "noise", 4, None), row("b", "noise", 4, None), row("c", pos=7)]
+    want = {("clean", "same"): 1, ("clean", "different"): 1, ("noise", "different"): 2, ("noise", "only_a"): 1, ("noise", "only_b"): 1, ("noise", "same"): 1}
+    assert compare(spark, monkeypatch, rows) == want
+
+
+@pytest.mark.parametrize("name", ["compare_all_runs"])
+def test_whole_query_equals_sql(spark, name):
+    test_query_equals_sql(spark, name)
