@@ -207,11 +207,13 @@ def numbered(rows: DataFrame, group: list[str], name: str, hash32: Callable[[Col
     return p.join(counts, [*group, "_part"]).withColumn("u", F.col("u") + F.col("_before")).drop("_h", "_part", "_before")
 
 
-def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], Column], replicates: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], Column], replicates: int = 1000, seed: int = 0, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """95 % interval of a pooled mean over utterances: ``per_utt(group, utt_id, s, c)`` -> group, lo, hi (of sum s / sum c, per 1000).
 
+    ``more`` gives further means over the same draws: name -> (column of ``per_utt``, divisor), as name_lo and name_hi of sum column / sum c / divisor.
     Draw i of replicate b takes utterance number hash(b, i) mod n, utterances being numbered in hash order. The two-level aggregate leaves ``replicates`` numbers a group.
     """
+    stats = {"": ("s", 1000)} | {f"{k}_": v for k, v in (more or {}).items()}
     number = numbered(per_utt, group, "utt_id", hash32, seed)
     sizes = per_utt.groupBy(*group).agg(F.count("*").alias("n"))
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
@@ -219,6 +221,6 @@ def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], C
     draws = draws.repartition(int(per_utt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "b")
     draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     draws = draws.withColumn("u", hash32(F.concat(F.lit(f"b:{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))) % F.col("n"))
-    sums = draws.join(number, [*group, "u"]).groupBy(*group, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    stat = F.when(F.col("c") > 0, F.col("s") / F.col("c") / 1000)
-    return sums.groupBy(*group).agg(r(F.percentile(stat, 0.025)).alias("lo"), r(F.percentile(stat, 0.975)).alias("hi"))
+    sums = draws.join(number, [*group, "u"]).groupBy(*group, "b").agg(*[F.sum(v).alias(v) for v, _ in stats.values()], F.sum("c").alias("c"))
+    edge = lambda v, by, q: r(F.percentile(F.when(F.col("c") > 0, F.col(v) / F.col("c") / by), q))
+    return sums.groupBy(*group).agg(*[edge(v, by, q).alias(f"{name}{end}") for name, (v, by) in stats.items() for end, q in (("lo", 0.025), ("hi", 0.975))])

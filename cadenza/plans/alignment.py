@@ -264,6 +264,33 @@ def boot_parts(g: str) -> tuple[str, ...]:
     )
 
 
+#: The primary tolerance of threshold accuracy in microseconds, and the replicates of a whole bootstrap.
+PRIMARY_US, REPLICATES = 25_000, 1000
+
+
+def intervals(errors, group):
+    """95 % intervals of the mean error (lo, hi) and of threshold accuracy (ta_lo, ta_hi), from the same draws."""
+    within = F.sum((F.col("abs_us") <= PRIMARY_US).cast("bigint"))
+    per = errors.groupBy(*group, "utt_id").agg(F.sum("abs_us").alias("s"), within.alias("t"), F.count("*").alias("c"))
+    return M.bootstrap(stage(per, "perutt"), group, fx.hash32, replicates=REPLICATES, seed=7, more={"ta": ("t", 1)})
+
+
+def bootstrap_whole(spark, sf_dir):
+    """95 % intervals of each system's mean error and threshold accuracy, 1,000 replicates over utterances."""
+    return intervals(boundary_errors(spark, sf_dir), ["system", "cond"])
+
+
+def whole_parts(g: str) -> tuple[str, ...]:
+    """As boot_parts, with all replicates and threshold accuracy."""
+    pu, sz, dr, st, _ = boot_parts(g)
+    edge = lambda v, by, q: f"round(quantile_cont({v}::double / c / {by}, {q}), 9)"
+    return (
+        pu.replace("as s, count(*)", f"as s, count(*) filter (abs_us <= {PRIMARY_US}) as t, count(*)"), sz, dr.replace("range(200) t(b)", f"range({REPLICATES}) t(b)"), st.replace("sum(c)", "sum(t)::bigint as t, sum(c)"),
+        f"bt as (select {g}, {edge('s', 1000, 0.025)} as lo, {edge('s', 1000, 0.975)} as hi, {edge('t', 1, 0.025)} as ta_lo, {edge('t', 1, 0.975)} as ta_hi from st group by all)",
+    )
+
+
+BOOT_WHOLE_SQL = with_(*BASE, MATCHED, *whole_parts("system, cond"), select="select * from bt", recursive=True)
 BOOT_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select * from bt", recursive=True)
 
 
@@ -295,17 +322,24 @@ LEADERBOARD_SQL = with_(*LEADERBOARD_CTE, select="select * from lb", recursive=T
 
 
 def leaderboard_full(spark, sf_dir):
-    """The leaderboard with everything else that is known of a cell: interval of the mean error, error over what all systems matched, confidence measures."""
+    """The leaderboard with error over what all systems matched, confidence measures and a quick interval of the mean error (200 replicates; leaderboard_whole has both intervals)."""
+    return full(spark, sf_dir, lambda e: M.bootstrap(stage(e.groupBy(*G, "utt_id").agg(F.sum("abs_us").alias("s"), F.count("*").alias("c")), "perutt"), G, fx.hash32, replicates=200, seed=7))
+
+
+def leaderboard_whole(spark, sf_dir):
+    """As leaderboard_full, with the intervals of the mean error and of threshold accuracy over 1,000 replicates."""
+    return full(spark, sf_dir, lambda e: intervals(e, G))
+
+
+def full(spark, sf_dir, interval):
     gold, hyp = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
     a = stage(S.align(gold, hyp), "aligned")
     e = stage(S.boundary_errors(a, classify), "errors")
     rows = M.edit_rates(S.counters(a), G).join(M.summary(e, G), G, "left").join(M.detection(S.segmentation_packed(a, keep=("corpus",)), G), G, "left")
-    per = e.groupBy(*G, "utt_id").agg(F.sum("abs_us").alias("s"), F.count("*").alias("c"))
-    interval = M.bootstrap(stage(per, "perutt"), G, fx.hash32, replicates=200, seed=7)
     keys = ["cond", "utt_id"]
     common = e.join(S.common_matched(e, keys), [*keys, "gold_idx"], "left_semi").groupBy(*G).agg(F.count("*").alias("n_common"), M.mean_ms(F.col("abs_us")).alias("mae_common_ms"))
     out = rows.withColumn("underpowered", F.col("n_matched") < 50)
-    for more in (interval, common, M.spearman(e, G), M.auroc(e, G), M.ece(e, G)):  # each has a row a cell
+    for more in (interval(e), common, M.spearman(e, G), M.auroc(e, G), M.ece(e, G)):  # each has a row a cell
         out = out.join(more, G, "left")
     return out
 
@@ -323,6 +357,9 @@ FULL_SQL = with_(
     "ec as (select corpus, system, cond, sum(c)::bigint as n_conf, round(sum(abs(g * 1000000 - m))::double / 1e6::double / sum(c), 9) as ece from bn group by all)",
     select="select * from lb " + " ".join(f"left join {t} using (corpus, system, cond)" for t in ("bt", "cm", "sp", "au", "ec")), recursive=True,
 )
+WHOLE_SQL = FULL_SQL
+for _old, _new in zip(boot_parts("corpus, system, cond"), whole_parts("corpus, system, cond"), strict=True):
+    WHOLE_SQL = WHOLE_SQL.replace(_old, _new)
 
 
 def time_aligned(spark, sf_dir):
@@ -340,4 +377,5 @@ QUERIES = {
     "interior_errors": (interior_errors, INTERIOR_SQL), "per_type": (per_type, PER_TYPE_SQL), "class_matched_pool": (class_matched, CLASS_SQL), "common_matched_mae": (common_matched, COMMON_SQL),
     "segmentation_counts": (segmentation, SEG_SQL), "boundary_detection": (detection, DETECTION_SQL), "nearest_gold_boundary": (nearest_gold, NEAREST_SQL), "word_error_rates": (word_rates, WORD_SQL),
     "bootstrap_ci": (bootstrap_ci, BOOT_SQL), "leaderboard": (leaderboard, LEADERBOARD_SQL), "leaderboard_full": (leaderboard_full, FULL_SQL),
+    "bootstrap_whole": (bootstrap_whole, BOOT_WHOLE_SQL), "leaderboard_whole": (leaderboard_whole, WHOLE_SQL),
 }

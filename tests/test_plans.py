@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_entry import SF, TABLES
 
 from cadenza.operators import gates as Q
+from cadenza.operators import metrics as M
 from cadenza.operators import mixplan as X
 from cadenza.operators import systems as Y
 from cadenza.operators import tiers as T
@@ -150,7 +151,7 @@ def test_weighted_pick(spark):
 def compare(spark, monkeypatch, rows):
     hyp = spark.createDataFrame(rows, "utt_id string, system string, cond string, pos int, label string, start_us bigint, end_us bigint, conf double")
     monkeypatch.setattr(fx, "hyp", lambda *_: hyp)
-    return {(r.cond, r.state): r.n for r in registry.queries()["compare_all_runs"](spark, SF).collect()}
+    return {(r.cond, r.state): r.n for r in registry.queries()["compare_all_runs", "bootstrap_whole"](spark, SF).collect()}
 
 
 def test_runs_are_compared_whole(spark, monkeypatch):
@@ -161,6 +162,20 @@ def test_runs_are_compared_whole(spark, monkeypatch):
     assert compare(spark, monkeypatch, rows) == want
 
 
-@pytest.mark.parametrize("name", ["compare_all_runs"])
+@pytest.mark.parametrize("name", ["compare_all_runs", "bootstrap_whole"])
 def test_whole_query_equals_sql(spark, name):
     test_query_equals_sql(spark, name)
+
+
+def test_bootstrap_of_several_means(spark):
+    per = spark.createDataFrame([("g", f"u{k}", 1000 * k, k % 2, 1) for k in range(30)], "g string, utt_id string, s bigint, t bigint, c bigint")
+    one, both = (M.bootstrap(per, ["g"], fx.hash32, replicates=100, more=m).first().asDict() for m in (None, {"ta": ("t", 1)}))
+    assert {k: both[k] for k in one} == one and 0 < both["ta_lo"] < 0.5 < both["ta_hi"] < 1
+    same = M.bootstrap(per.withColumn("t", F.col("s")), ["g"], fx.hash32, replicates=100, more={"ta": ("t", 1000)}).first()
+    assert (same.ta_lo, same.ta_hi) == (same.lo, same.hi)
+
+
+def test_whole_intervals_take_all_replicates():
+    sql = registry.oracle_sql()
+    for name in ("bootstrap_whole", "leaderboard_whole"):
+        assert "range(1000) t(b)" in sql[name] and "range(200)" not in sql[name] and "ta_lo" in sql[name]
