@@ -36,15 +36,15 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, fp (the 64 bits as a signed number). Null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text)`` -> doc_id, fp (the 64 bits as a signed number), and the columns ``keep`` of long numbers. Null text counts as empty."""
 
     def run(batches):
         for batch in batches:
             made = np.array([fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), *[batch.column(c) for c in keep]], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *keep)))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -238,9 +238,26 @@ def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     graph, so a group of exact copies costs one comparison however large it is.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(distinct)).withColumnRenamed("node", "fp")
-    grouped = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = fp_components(prints)
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     of = materialize(grouped.join(smallest, "component").select("fp", "component_id"), "components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def fp_components(prints: DataFrame) -> DataFrame:
+    """``prints(doc_id, fp)`` -> a row for each fp: fp, first (its smallest doc_id), component (the smallest fp reachable over links)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each component of ``docs(doc_id, text, ...)``: that with the smallest doc_id, nulls last, then the smallest hash of its columns. All columns stay."""
+    parts = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]  # a hash skips nulls
+    key = ["_cadenza_row", "_cadenza_again"]
+    keyed = docs.withColumns({key[0]: F.xxhash64(*parts), key[1]: F.xxhash64(F.lit(SEED), *parts)})
+    prints = materialize(fingerprints(keyed, words, tuple(key)), "fingerprints")
+    of = materialize(fp_components(prints).select("fp", "component"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
+    chosen = prints.join(of, "fp").groupBy("component").agg(F.min(order).alias("m")).select(*[F.col("m")[k].alias(k) for k in key])
+    return keyed.join(chosen, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,9 +33,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash the document with the smallest doc_id stays (once, should its row be repeated). A group without any doc_id is dropped."""
-    chosen = simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of rows linked by SimHash one row stays: that with the smallest doc_id, nulls last. Rows are told apart by all their columns, not by doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

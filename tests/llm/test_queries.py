@@ -148,6 +148,16 @@ def test_pipeline_in_awkward_cases(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_copies_go_by_row(spark):
+    fox, other, third = "the quick brown fox jumps", "an entirely different line of words", "wholly unlike anything said before"
+    rows = [(None, fox, "en"), (None, fox, "en"), (None, fox.upper(), "en"), (None, other, "de"), (5, third, "en"), (5, "", "en"), (2, "", "en"), (None, third, None), (7, "lone words here", "en"), (7, "lone words here", "en")]
+    docs = spark.createDataFrame([(i, t, lang, None, 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.remove_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"].lower()) for r in got.collect()), key=str)
+    assert kept == sorted([(None, fox), (None, other), (5, third), (2, ""), (7, "lone words here")], key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == packing.PACKED.replace(" bigint", "").replace(" int", "").split(", ")
     assert langid.UNKNOWN == "und"
