@@ -179,3 +179,18 @@ def test_whole_intervals_take_all_replicates():
     sql = registry.oracle_sql()
     for name in ("bootstrap_whole", "leaderboard_whole"):
         assert "range(1000) t(b)" in sql[name] and "range(200)" not in sql[name] and "ta_lo" in sql[name]
+
+
+def test_segments_by_another_tier(spark):
+    s, tier = 1_000_000, "utt_id string, pos int, label string, start_us bigint, end_us bigint"
+    make = lambda rows: spark.createDataFrame([("u", i, lab, int(a * s), int(b * s)) for i, (lab, a, b) in enumerate(rows)], tier)
+    phones = make([("a", 0, 0.5), ("a", 0.5, 1), ("b", 1, 2), ("SIL", 2, 4), ("c", 4, 5), ("d", 5, 30), ("SIL", 30, 32), ("e", 32, 33), ("f", 33, 34)])
+    words = make([("one", 0, 1), ("two", 1, 2), ("<CUTFF-s=seem>", 4, 5), ("x", 5, 6), ("<SIL>", 30, 32), ("three", 32, 33), ("four", 33, 34)])
+    sil = F.col("label") == "SIL"
+    cut = lambda n, w: [(r.start_us // s, r.end_us // s, r.n_words) for r in T.segment_pauses(phones, ["utt_id"], sil, F.lit(False), s, 0, n, w, ~F.col("label").startswith("<")).orderBy("segment").collect()]
+    assert cut(2, words) == [(0, 2, 2), (32, 34, 2)] and cut(3, words) == [] and len(cut(2, None)) == 3
+    native = T.segment_native(words, ["utt_id"], F.col("label") == "<SIL>", s, 3, phones)
+    assert [(r.start_us // s, r.end_us // s, r.n) for r in native.collect()] == [(0, 6, 5)] and T.segment_native(words, ["utt_id"], F.col("label") == "<SIL>", s, 6, phones).count() == 0
+    assert sorted((r.label, r.start_us) for r in T.rebase(native.withColumn("start_us", F.lit(s)), phones, ["utt_id"]).collect()) == [("SIL", s), ("b", 0), ("c", 3 * s)]
+    bad = ["unknown", "<CUTOFF-a>", "<EXCLUDE>", "Excised", "<ERROR-a=b>", " <LAUGH-a=b>", "word", "<LAUGH=a_b>", None]
+    assert [r[0] for r in spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "i int, label string").orderBy("i").select(T.disqualifies(F.col("label"))).collect()] == [True] * 6 + [False] * 3
