@@ -215,12 +215,13 @@ def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], C
     """
     stats = {"": ("s", 1000)} | {f"{k}_": v for k, v in (more or {}).items()}
     number = numbered(per_utt, group, "utt_id", hash32, seed)
-    sizes = per_utt.groupBy(*group).agg(F.count("*").alias("n"))
+    sizes = per_utt.dropna(subset=group).groupBy(*group).agg(F.count("*").alias("n"))
     draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     # a few rows become millions of draws: spread them first, over a stated number of partitions that adaptive execution leaves alone
     draws = draws.repartition(int(per_utt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "b")
     draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     draws = draws.withColumn("u", hash32(F.concat(F.lit(f"b:{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))) % F.col("n"))
-    sums = draws.join(number, [*group, "u"]).groupBy(*group, "b").agg(*[F.sum(v).alias(v) for v, _ in stats.values()], F.sum("c").alias("c"))
+    # every draw has its utterance; as a left join, so that the draws, a few rows by Spark's estimate, are never broadcast
+    sums = draws.join(number, [*group, "u"], "left").groupBy(*group, "b").agg(*[F.sum(v).alias(v) for v, _ in stats.values()], F.sum("c").alias("c"))
     edge = lambda v, by, q: r(F.percentile(F.when(F.col("c") > 0, F.col(v) / F.col("c") / by), q))
     return sums.groupBy(*group).agg(*[edge(v, by, q).alias(f"{name}{end}") for name, (v, by) in stats.items() for end, q in (("lo", 0.025), ("hi", 0.975))])
