@@ -2,60 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.storage import discard, scratch_path, shared_dir, staged  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-machine sessions such as the tests) a temporary folder is chosen and set.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = tempfile.mkdtemp(prefix="cadenza-shared-")
-        spark.sparkContext.setCheckpointDir(place)
-        place = spark.sparkContext.getCheckpointDir()
-    return place
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unique path in the shared folder, deleted when the driver exits."""
-    path = f"{shared_dir(spark)}/cadenza-{label}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        discard(spark, path)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        pass
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read, never a recomputation, and a table read several times is computed once.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, label)[0]
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -72,29 +34,33 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round each node points at the neighbour (or itself) with the smallest hash and the graph is contracted along those pointers, so
     node counts shrink geometrically whatever order the ids have. Hub nodes are safe: pointers are minima, combined before the shuffle,
-    and the relabelling joins are plain equi-joins that adaptive execution splits.
+    and the relabelling joins are plain equi-joins that adaptive execution splits. A round's tables go when the next round's are written.
     """
+    spark = edges.sparkSession
     live = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    live = materialize(live.distinct(), "edges")
-    mapping = None
+    live, edges_at = staged(live.distinct(), "edges")
+    mapping, mapping_at = None, None
     while True:
         both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ranked = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("to"))
         best = both.groupBy("a").agg(F.min(ranked).alias("m"))
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("to"))
-        pointer = materialize(best.select(F.col("a").alias("from"), F.least("m", own)["to"].alias("to")), "pointer")
+        pointer, pointer_at = staged(best.select(F.col("a").alias("from"), F.least("m", own)["to"].alias("to")), "pointer")
         if mapping is None:
-            mapping = pointer.select(F.col("from").alias("node"), F.col("to").alias("root"))
+            moved = pointer.select(F.col("from").alias("node"), F.col("to").alias("root"))
         else:
-            moved = mapping.join(pointer, mapping["root"] == pointer["from"], "left")
-            mapping = moved.select("node", F.coalesce("to", "root").alias("root"))
-        mapping = materialize(mapping, "mapping")
+            moved = mapping.join(pointer, mapping["root"] == pointer["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
+        done = [mapping_at, edges_at, pointer_at]
+        mapping, mapping_at = staged(moved, "mapping")
         left = live.join(pointer, live["a"] == pointer["from"]).select(F.col("to").alias("a"), "b")
         right = left.join(pointer, left["b"] == pointer["from"]).select("a", F.col("to").alias("b"))
         again = right.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        live = materialize(again.distinct(), "edges")
+        live, edges_at = staged(again.distinct(), "edges")
+        for path in done:
+            if path:
+                discard(spark, path)
         if live.isEmpty():
             break
     smallest = mapping.groupBy("root").agg(F.min("node").alias("component"))
