@@ -2,7 +2,8 @@
 
 Two neighbouring bytes that stand next to each other inside no token of the vocabulary can never be merged across. Words are cut there, the
 fragments are encoded independently and their ids concatenated. The fragments of many words are encoded at once in numpy: each
-round applies, in every fragment, the merge of the lowest rank (leftmost first).
+round applies, in every short fragment, the merge of the lowest rank (leftmost first). Long fragments, such as a text without white space, are merged
+rank by rank instead, each rank at all its places at once, so that their cost grows with n log n.
 
 The vocabulary file is a parameter, never part of this repository. The class takes what the public word-level file declares: NFC, white space to one
 space, lower case; words by a pattern; byte-level symbols with an end-of-word mark; two special tokens that are matched in the raw text.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -22,8 +24,10 @@ import pyarrow as pa
 import regex
 
 SUFFIX = "</w>"
-#: Cached words a generation, in each Python worker; two generations are kept.
-CACHE_WORDS = 600_000
+#: Bytes a generation of cached words may take in each Python worker; two generations are kept, and longer words than CACHED_WORD bytes never are.
+CACHE_BYTES, CACHED_WORD = 160 << 20, 64
+#: Fragments of more bytes are merged rank by rank.
+LONG_FRAGMENT = 128
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4 << 20
 NEVER = np.iinfo(np.int64).max
@@ -64,7 +68,10 @@ class ForcedBoundaryBPE:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         keys = left << 20 | right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
+        self.keys, self.rank, self.made, self.left, self.right = keys[order], order.astype(np.int64), made, left, right
+        born = {t: i for i, t in enumerate(made.tolist())}
+        if len(born) < len(made) or any(born.get(t, -1) >= i for i, pair in enumerate(zip(left.tolist(), right.tolist(), strict=True)) for t in pair):
+            raise ValueError(f"{path}: a token is used before it is made, or made twice")  # merging rank by rank relies on this
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a and b; NEVER where there is no such merge."""
@@ -89,6 +96,12 @@ class ForcedBoundaryBPE:
         frag = np.cumsum(cut) - 1
         word_of = np.repeat(np.arange(len(words)), sizes)[cut]
         done_frag, done_sym = [], []
+        lengthy = (np.bincount(frag) > LONG_FRAGMENT)[frag]
+        if lengthy.any():
+            sym_of, frag_of = self._merge_by_rank(sym[lengthy], frag[lengthy])
+            done_frag.append(frag_of)
+            done_sym.append(sym_of)
+            sym, frag = sym[~lengthy], frag[~lengthy]
         ranks = np.full(len(sym), NEVER)
         same = frag[:-1] == frag[1:]
         ranks[:-1][same] = self._ranks(sym[:-1][same], sym[1:][same])
@@ -124,6 +137,59 @@ class ForcedBoundaryBPE:
         counts = np.bincount(word_of[frag], minlength=len(words))
         return sym[order], np.cumsum(counts)
 
+    def _merge_by_rank(self, sym: np.ndarray, frag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``sym`` with all merges made, and the fragments of what is left.
+
+        A token comes of one merge only, after those that made its parts, so a merge brings up pairs of higher ranks only: each rank's turn comes once. Places
+        wait in a heap's order of ranks; those that an earlier merge has changed are passed over.
+        """
+        n = len(sym)
+        after, before, dead = np.arange(1, n + 1), np.arange(-1, n - 1), np.zeros(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        turns: list[int] = []
+
+        def wait(places, following):
+            """Pairs at ``places`` wait for their rank's turn."""
+            rank = self._ranks(sym[places], sym[following])
+            fits = (rank < NEVER) & (frag[places] == frag[following])
+            places, rank = places[fits], rank[fits]
+            if not len(rank):
+                return
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            starts = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))).tolist()
+            for a, b in zip(starts, [*starts[1:], len(rank)], strict=True):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(turns, r)
+                waiting[r].append(places[a:b])
+
+        wait(np.arange(n - 1), np.arange(1, n))
+        while turns:
+            r = heapq.heappop(turns)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[~dead[at] & (sym[at] == self.left[r])]
+            at = at[after[at] < n]
+            at = at[(sym[after[at]] == self.right[r]) & (frag[after[at]] == frag[at])]
+            if self.left[r] == self.right[r] and len(at) > 1:  # of overlapping places every second one, from the left
+                chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            sym[at] = self.made[r]
+            dead[gone] = True
+            following = after[gone]
+            after[at] = following
+            inside = following < n
+            before[following[inside]] = at[inside]
+            previous = before[at]
+            some = previous >= 0
+            wait(np.concatenate([at[inside], previous[some]]), np.concatenate([following[inside], at[some]]))
+        return sym[~dead], frag[~dead]
+
     def pretokens(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk in UTF-8, and the ids of special tokens in it."""
         if "<|" in chunk:
@@ -176,28 +242,36 @@ def cache_for(path: str, make) -> ChunkCache:
 
 
 class ChunkCache:
-    """What ``make`` gives for a chunk's ids, kept for the chunks that come again; the memory is bounded."""
+    """What ``make`` gives for a chunk's ids, kept for the chunks that come again. Long chunks aren't kept, and what is kept is bounded in bytes."""
 
     def __init__(self, bpe: ForcedBoundaryBPE, make):
-        self.bpe, self.young, self.old = bpe, {}, {}
+        self.bpe, self.young, self.old, self.held = bpe, {}, {}, 0
         self.make = make
 
+    def _keep(self, chunk: bytes, value) -> None:
+        self.young[chunk] = value
+        self.held += 160 + len(chunk) + (len(value) if value.__class__ is bytes else sum(48 + len(x) for x in value))  # with what Python adds to each
+
     def values(self, chunks: list[bytes]) -> list:
         got = list(map(self.young.get, chunks))
         if None in got:
             places = [i for i, v in enumerate(got) if v is None]
-            fresh = []
+            fresh, once = [], {}
             for c in {chunks[i] for i in places}:
                 if (v := self.old.get(c)) is None:
                     fresh.append(c)
                 else:
-                    self.young[c] = v
+                    self._keep(c, v)
             for c, ids in zip(fresh, self.bpe.encode_chunks(fresh), strict=True):
-                self.young[c] = self.make(self.bpe, ids)
+                if len(c) > CACHED_WORD:
+                    once[c] = self.make(self.bpe, ids)
+                else:
+                    self._keep(c, self.make(self.bpe, ids))
             for i in places:
-                got[i] = self.young[chunks[i]]
-            if len(self.young) > CACHE_WORDS:
-                self.young, self.old = {}, self.young
+                c = chunks[i]
+                got[i] = once[c] if len(c) > CACHED_WORD else self.young[c]
+            if self.held > CACHE_BYTES:
+                self.young, self.old, self.held = {}, self.young, 0
         return got
 
 

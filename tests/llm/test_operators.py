@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +212,17 @@ def test_pack(spark, docs):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_pack_long_text_without_spaces(spark):
+    rng = random.Random(9)
+    texts = {1: "".join(rng.choices("abcdefgh中文", k=120_000)), 2: "x" * 200_000, 3: "y"}
+    got = packing.pack(spark.createDataFrame([*texts.items()], "doc_id long, text string"), PATH).collect()
+    tok = Tokenizer.from_file(PATH)
+    for i, text in texts.items():
+        data = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        parts = [data[a : a + 4 * 4096] for a in range(0, len(data), 4 * 4096)]
+        assert sorted((r["piece"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i) == [(k, len(p) // 4, zlib.crc32(p)) for k, p in enumerate(parts)]
+
+
 # ---- 4 and 7
 
 
@@ -378,12 +390,25 @@ def test_bpe_digests(spark, docs):
 
 
 def test_cache_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
     tok = bpe.ForcedBoundaryBPE(PATH)
-    cache, rng = bpe.ChunkCache(tok, lambda b, ids: tuple(ids)), random.Random(1)
+    cache, rng = bpe.ChunkCache(tok, bpe._joined), random.Random(1)
     for _ in range(20):
-        chunks = [rng.choice("abcdefgh").encode() * rng.randrange(1, 6) for _ in range(30)]
-        assert cache.values(chunks) == [tuple(i) for i in tok.encode_chunks(chunks)]
+        chunks = [rng.choice("abcdefgh").encode() * rng.choice([1, 2, 3, 5, 100]) for _ in range(30)]
+        assert cache.values(chunks) == [bpe._joined(tok, i) for i in tok.encode_chunks(chunks)]
+        assert all(len(c) <= bpe.CACHED_WORD for c in [*cache.young, *cache.old]) and len(cache.young) + len(cache.old) < 40
+
+
+def test_bpe_of_long_words():
+    tok, ours, rng = Tokenizer.from_file(PATH), bpe.ForcedBoundaryBPE(PATH), random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 1_000_000, "".join(rng.choices(letters, k=1_000_000)), "".join(rng.choices("中文字符集合日本語テキスト한국어", k=100_000)), "".join(rng.choices(["the", "ing", "over", "er"], k=50_000))]
+    texts += ["".join(rng.choices(rng.choice(["ab", "thein", letters, "eio中é"]), k=rng.randrange(100, 400))) for _ in range(200)]
+    began = time.perf_counter()
+    for text in texts:
+        got = [i for ids in ours.encode_chunks([text.encode()]) for i in ids]
+        assert got == tok.encode(text, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 60
 
 
 # ---- 10
