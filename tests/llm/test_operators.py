@@ -288,6 +288,58 @@ def test_nearest_at_the_mean(spark):
         assert {q: sorted(g) for q, g in got.items()} == {q: nearest_rows(rows, q) for q in range(len(rows))}
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-310])
+def test_vectors_of_any_size(spark, size):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(6, 8)), 4, axis=0) + 0.05 * rng.normal(size=(24, 8))
+    rows = [(i, (v * size).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    y = np.array([r[1] for r in rows]) / size
+    near = (y @ y.T) / np.sqrt(np.outer((y * y).sum(axis=1), (y * y).sum(axis=1))) >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.any() and {r["vec_id"]: r["n_links"] for r in vectors.near_dedup(df).collect()} == {i: int(near[i].sum()) for i in range(24)}
+    got = {}
+    for r in vectors.nearest(df, df, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert 0 < r["score"] < float("inf")
+    assert {q: sorted(g) for q, g in got.items()} == {q: nearest_rows([(i, v.tolist()) for i, v in enumerate(y)], q, 3) for q in range(24)}
+
+
+def test_nearest_in_shards_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 24))[rng.integers(0, 40, 1500)] + 0.3 * rng.normal(size=(1500, 24))).astype(np.float32)
+    rows = [(i, v.astype(float).tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(vectors, "SHARD_BYTES", 16 << 10)
+    monkeypatch.setattr(vectors, "SLICE_ROWS", 64)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = {}
+        for r in vectors.nearest(df, df.where("vec_id % 10 = 0")).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        right = sum(len({*got[q]} & {*nearest_rows(rows, q)}) for q in range(0, 1500, 10))
+        assert len(got) == 150 and all(len(g) == 10 for g in got.values()) and right >= 0.995 * 1500
+
+
+def test_estimates_keep_their_bounds():
+    rng = np.random.default_rng(5)
+    for dim in (3, 64, 100, 600):
+        turn, r, q = vectors.rotation(dim), rng.normal(size=(500, dim)), rng.normal(size=(20, dim))
+        assert turn @ turn.T == pytest.approx(np.eye(dim), abs=1e-9)
+        t, norm = r @ turn, np.sqrt((r * r).sum(axis=1))
+        fit = np.abs(t).sum(axis=1) / norm / np.sqrt(t.shape[1])
+        middle, low = vectors.Turned(q, turn).distances(np.packbits(t > 0, axis=1, bitorder="little").view(np.uint64), norm, fit)
+        true = ((q[:, None] - r[None]) ** 2).sum(axis=2)
+        assert (low <= true).mean() > 0.995 and np.abs(middle - true).mean() < 0.15 * true.mean()
+
+
+def test_sign_bound():
+    for signs in (16, 200, 1000):
+        k = vectors.most_differing(signs, 0.95)
+        differ = np.random.default_rng(signs).binomial(signs, np.arccos(0.95) / np.pi, 100_000)
+        assert k < signs and (differ <= k).all()
+
+
 # ---- 5
 
 
