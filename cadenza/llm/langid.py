@@ -1,8 +1,9 @@
 """Language identification by a small bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads UTF-8 bytes in windows of WINDOW, forwards and backwards, and gives every position a distribution over the languages; a document's
-probabilities are the means over all positions of its whole text. It is trained by backpropagation through time on windows from a bounded sample of
-labelled rows. Arrays are laid out (units, lanes), a lane being a window, so that every operation runs over long contiguous rows.
+The network reads UTF-8 bytes, forwards and backwards, and gives every position a distribution over the languages; a document's probabilities are the means
+over all positions of its whole text. It reads windows of WINDOW bytes that overlap by two MARGINs: a position is labelled in the window where at least
+MARGIN bytes of its text stand on either side (as far as the text goes). It is trained by backpropagation through time on such windows, drawn from anywhere in the whole
+texts of a bounded sample of labelled rows. Arrays are laid out (units, lanes), a lane being a window, so that every operation runs over long contiguous rows.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import without
 
-#: Bytes a window, hidden units a direction, windows worked on at once.
-WINDOW, HIDDEN, LANES = 64, 8, 2048
-#: The training sample: at most so many labelled documents, and windows from each.
-SAMPLE_DOCS, DOC_WINDOWS, STEPS, BATCH, RATE = 4000, 4, 250, 256, 0.02
+#: Bytes a window, and of it that only give context, hidden units a direction, windows worked on at once.
+WINDOW, MARGIN, HIDDEN, LANES = 128, 16, 8, 1024
+#: The training sample: at most so many labelled documents, shared evenly among the languages (one each at least).
+SAMPLE_DOCS, STEPS, BATCH, RATE = 4000, 250, 128, 0.02
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -30,6 +31,20 @@ def softsign(x: np.ndarray, spare: np.ndarray) -> None:
     x /= spare
 
 
+def windows_of(sizes: np.ndarray) -> np.ndarray:
+    """How many windows cover texts of so many bytes."""
+    step = WINDOW - 2 * MARGIN
+    return np.where(sizes > WINDOW, 1 + -(-(sizes - WINDOW) // step), (sizes > 0).astype(np.int64))
+
+
+def cut_windows(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, doc: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window ``nth`` of document ``doc``, for many at once: bytes (WINDOW, windows), 0 beyond the text, and which positions it labels."""
+    at, start = np.arange(WINDOW)[:, None], nth * (WINDOW - 2 * MARGIN)
+    left = sizes[doc] - start
+    x = np.where(at < left, data[np.minimum(begins[doc] + start + at, len(data) - 1)], 0)
+    return x, (at < left) & (at >= np.where(nth > 0, MARGIN, 0)) & ((at < WINDOW - MARGIN) | (left <= WINDOW))
+
+
 class Gru:
     """One direction; gates are (1 + softsign) / 2. ``e`` is (3H, 256): a byte's input to update gate, reset gate and candidate; ``u`` (3H, H) recurrent, ``b`` (H, 1) inside the reset."""
 
@@ -128,13 +143,16 @@ class LanguageNet:
             out |= {name + key: v for key, v in g.items()}
         return out
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, label: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7):
-        """Adam over random batches of windows; ``x`` and ``mask`` are (window, all windows)."""
+    def fit(self, texts: list[bytes], label: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7):
+        """Adam over random batches: a document each time, then any of its windows. No text is empty."""
         rng, m, v = np.random.default_rng(seed), {}, {}
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        data, begins, counts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, windows_of(sizes)
         for i in range(1, steps + 1):
-            pick = rng.integers(0, x.shape[1], batch)
+            pick = rng.integers(0, len(texts), batch)
+            x, mask = cut_windows(data, begins, sizes, pick, rng.integers(0, counts[pick]))
             lr = rate * min(1, 2 * (1 - i / (steps + 1)))
-            for name, g in self.gradients(x[:, pick], mask[:, pick], label[pick]).items():
+            for name, g in self.gradients(x, mask.astype(np.float32), label[pick]).items():
                 np.clip(g, -1, 1, out=g)
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * g
                 v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
@@ -143,20 +161,15 @@ class LanguageNet:
         return self
 
     def positions(self, texts: list[bytes]):
-        """For slice after slice of windows: probabilities (window, languages, windows), the windows' documents, and which positions are text."""
+        """For slice after slice of windows: probabilities (window, languages, windows), the windows' documents, and which positions are labelled: each of a text in one window."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        begins = np.cumsum(sizes) - sizes
-        counts = -(-sizes // WINDOW)
+        data, begins, counts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, windows_of(sizes)
         doc = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        step = np.arange(WINDOW)[:, None]
         for a in range(0, len(doc), LANES):
-            d, k = doc[a : a + LANES], nth[a : a + LANES]
-            left = sizes[d] - k * WINDOW
-            mask = step < left
-            at = np.minimum(begins[d] + k * WINDOW + step, len(data) - 1)
-            yield self.run(np.where(mask, data[at], 0))[0], d, mask
+            d = doc[a : a + LANES]
+            x, mask = cut_windows(data, begins, sizes, d, nth[a : a + LANES])
+            yield self.run(x)[0], d, mask
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """(documents, languages): means over all positions; empty texts get equal shares."""
@@ -168,36 +181,31 @@ class LanguageNet:
         return np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], 1 / max(1, len(self.languages)))
 
 
-def training_windows(labelled: DataFrame, seed: int = 7) -> tuple[list[bytes], list[str]]:
-    """Up to DOC_WINDOWS windows, anywhere in the text, from each of at most SAMPLE_DOCS rows of ``labelled(text, lang)``, picked by hash."""
-    rows = labelled.where("text is not null and lang is not null and length(text) > 0")
-    n = rows.count()
-    share = min(1.0, 1.05 * SAMPLE_DOCS / max(n, 1))
-    some = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    some = some.dropDuplicates(["text", "lang"]).limit(SAMPLE_DOCS)  # else one text with many copies could fill the sample
+def training_sample(labelled: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 7) -> tuple[list[bytes], list[str]]:
+    """Whole texts and languages of at most ``sample`` distinct rows of ``labelled(text, lang)``, and one of each language at least.
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places = np.random.default_rng(len(text)).integers(0, max(1, len(text) - WINDOW + 1), DOC_WINDOWS)
-                out += [(text[a : a + WINDOW], lang) for a in dict.fromkeys(places.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.string())], ["bytes", "lang"])
-
-    got = some.select("text", "lang").mapInArrow(run, "bytes binary, lang string").toArrow().sort_by([("lang", "ascending"), ("bytes", "ascending")])
-    return got.column("bytes").to_pylist(), got.column("lang").to_pylist()
-
-
-def train(labelled: DataFrame) -> LanguageNet:
+    Every language gives as many, as far as it has them: those first by a hash of the text, whatever the partitions. Rows without a language or a letter are left out. A
+    sketch of how many texts a language has bounds what is sorted; copies count once in it. The driver holds those texts whole, and a row for each language.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("text", "lang", F.xxhash64("text", F.lit(seed)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not counts:
+        return [], []
+    each, whole = max(1, sample // len(counts)), 10**12
+    cuts = [(lang, int(whole * min(1, (2 * each + 50) / max(n, 1)))) for lang, n in counts.items()]
+    cuts = F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, cut bigint"))  # a row for each language
+    some = rows.join(cuts, "lang").where(F.pmod("h", F.lit(whole)) < F.col("cut")).drop("cut").dropDuplicates(["lang", "text"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(whole)), "text"))
+    got = some.withColumn("nth", nth).where(F.col("nth") <= each).select("text", "lang", "nth").toArrow().sort_by([("lang", "ascending"), ("nth", "ascending")])
+    return got.column("text").cast(pa.binary()).to_pylist(), got.column("lang").to_pylist()
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> LanguageNet:
     """Fit on a bounded sample of ``labelled(text, lang)``. Without a usable row the network knows no language."""
-    windows, langs = training_windows(labelled)
+    texts, langs = training_sample(labelled, sample)
     net = LanguageNet(sorted(set(langs)))
     if len(net.languages) > 1:
-        x, mask = np.zeros((WINDOW, len(windows)), np.uint8), np.zeros((WINDOW, len(windows)), np.float32)
-        for i, w in enumerate(windows):
-            x[: len(w), i] = np.frombuffer(w, np.uint8)
-            mask[: len(w), i] = 1
-        net.fit(x, mask, np.searchsorted(net.languages, langs))
+        net.fit(texts, np.searchsorted(net.languages, langs))
     return net
 
 

@@ -1,6 +1,7 @@
 """Quality classifier over supervised subword embeddings.
 
-A document's features are its words, their character n-grams and its word pairs, hashed into BUCKETS rows of a learned table. The vectors are averaged, a
+A document's features are its words, their character n-grams and its word pairs, hashed into BUCKETS rows of a learned table. A pair of equal words counts
+once more by its pattern alone, which has the table's last row for itself, whatever the word; its vector is learned like any other. The vectors are averaged, a
 linear layer and a softmax follow, and stochastic gradient descent in numpy trains both on a bounded sample of labelled rows. As the layer is
 linear, a trained table folds into one number a bucket, and a word's share is computed once and kept for when the word comes again.
 """
@@ -18,10 +19,10 @@ from .common import without
 #: Rows and length of the table of vectors; lengths of the character n-grams of "<word>".
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: The training sample is at most so many labelled documents.
-SAMPLE_DOCS, STEPS, RATE, SEED = 4000, 16_000, 3.0, 11
+SAMPLE_DOCS, STEPS, RATE, LAYER_RATE, BIAS_RATE, SEED = 4000, 16_000, 30.0, 1.0, 0.02, 11
 THRESHOLD = 0.3
-#: Distinct words kept in each Python worker, and bytes of text worked on at once.
-CACHE_WORDS, SLICE_BYTES = 600_000, 4 << 20
+#: Distinct words kept in each Python worker, if no longer than CACHED_WORD bytes, and bytes of text worked on at once.
+CACHE_WORDS, CACHED_WORD, SLICE_BYTES = 600_000, 64, 4 << 20
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,11 +50,11 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(which), np.concatenate(buckets), own
 
 
-def pair_buckets(own: np.ndarray) -> np.ndarray:
-    """Buckets of the pairs of neighbouring words, from the words' hashes. A word and itself again are one pair, whatever the word: bucket 0."""
+def pair_features(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the pairs of neighbouring words, from the words' hashes, and which pairs are of equal words: those count for bucket BUCKETS as well."""
     if len(own) < 2:
-        return np.zeros(0, np.int64)
-    return np.where(own[:-1] == own[1:], 0, mixed((own[:-1] * PAIR) ^ own[1:]))
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    return mixed((own[:-1] * PAIR) ^ own[1:]), own[:-1] == own[1:]
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +64,8 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     at = np.array([number[w] for w in words], np.int64)
     which, buckets, own = word_features(list(number))
     times = np.bincount(at, minlength=len(number))[which]
-    pairs = pair_buckets(own[at])
+    pairs, equal = pair_features(own[at])
+    pairs = np.concatenate([pairs, np.full(equal.sum(), BUCKETS)])
     ids, place = np.unique(np.concatenate([buckets, pairs]), return_inverse=True)
     counts = np.bincount(place, np.concatenate([times, np.ones(len(pairs))]), len(ids))
     return ids, (counts / max(1.0, counts.sum())).astype(np.float32)
@@ -72,11 +74,20 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 class SubwordClassifier:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+        self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
         self.layer, self.bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
 
+    def gradients(self, ids: np.ndarray, weight: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one document's cross-entropy: by the vectors of ``ids``, the layer and the bias."""
+        mean = weight @ self.vectors[ids] if len(ids) else np.zeros(DIM, np.float32)
+        out = self.layer @ mean + self.bias
+        p = np.exp(out - out.max())
+        p /= p.sum()
+        p[label] -= 1
+        return np.outer(weight, p @ self.layer), np.outer(p, mean), p
+
     def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = STEPS, rate: float = RATE, seed: int = SEED):
-        """A gradient step a document, in random order over and over; the rate falls linearly to 0."""
+        """A gradient step a document, in random order over and over; the rates fall linearly to 0. That of the vectors is large, as a feature's share of a document is small."""
         rng, done = np.random.default_rng(seed), 0
         total = -(-steps // max(1, len(docs))) * len(docs)
         if labels:
@@ -84,19 +95,14 @@ class SubwordClassifier:
             self.bias[:] = [np.log(1 - share), np.log(share)]
         while done < total:
             for i in rng.permutation(len(docs)):
-                ids, weight = docs[i]
-                lr = rate * (1 - done / total)
+                left = 1 - done / total
                 done += 1
-                mean = weight @ self.vectors[ids] if len(ids) else np.zeros(DIM, np.float32)
-                out = self.layer @ mean + self.bias
-                p = np.exp(out - out.max())
-                p /= p.sum()
-                p[labels[i]] -= 1
-                back = p @ self.layer
-                self.layer -= lr * np.outer(p, mean)
-                self.bias -= 0.02 * lr * p
+                ids, weight = docs[i]
+                by_vector, by_layer, by_bias = self.gradients(ids, weight, labels[i])
+                self.layer -= LAYER_RATE * left * by_layer
+                self.bias -= BIAS_RATE * left * by_bias
                 if len(ids):
-                    self.vectors[ids] -= lr * DIM * np.sqrt(weight)[:, None] * back * weight.max()
+                    self.vectors[ids] -= rate * left * by_vector
         return self
 
     def folded(self) -> tuple[np.ndarray, float]:
@@ -105,7 +111,7 @@ class SubwordClassifier:
 
 
 class Scorer:
-    """Scores texts with a folded model; a word's sum over its buckets is kept."""
+    """Scores texts with a folded model; a word's sum over its buckets is kept, unless the word is long."""
 
     def __init__(self, weight: np.ndarray, bias: float):
         self.weight, self.bias = weight.astype(np.float64), bias
@@ -115,8 +121,8 @@ class Scorer:
         self.place = {}
         self.value, self.count, self.own = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16, np.uint64)
 
-    def _learn(self, words: set[bytes]):
-        words, start = list(words), len(self.place)
+    def _learn(self, words: list[bytes], start: int):
+        """Put what ``words`` add at places from ``start`` on."""
         which, buckets, own = word_features(words)
         while start + len(words) > len(self.value):
             self.value, self.count, self.own = (np.concatenate([a, np.zeros_like(a)]) for a in (self.value, self.count, self.own))
@@ -124,7 +130,7 @@ class Scorer:
         self.value[start:end] = np.bincount(which, self.weight[buckets], len(words))
         self.count[start:end] = np.bincount(which, minlength=len(words))
         self.own[start:end] = own
-        self.place.update(zip(words, range(start, end), strict=True))
+        return dict(zip(words, range(start, end), strict=True))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = []
@@ -144,30 +150,34 @@ class Scorer:
         at = list(map(self.place.get, words))
         if None in at:
             missing = [i for i, v in enumerate(at) if v is None]
-            self._learn({words[i] for i in missing})
+            new = dict.fromkeys(words[i] for i in missing)
+            self.place |= self._learn([w for w in new if len(w) <= CACHED_WORD], len(self.place))
+            once = self._learn([w for w in new if len(w) > CACHED_WORD], len(self.place))  # the next words to learn take their places
             for i in missing:
-                at[i] = self.place[words[i]]
+                w = words[i]
+                at[i] = once[w] if len(w) > CACHED_WORD else self.place[w]
         at = np.array(at, np.int64)
         doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in per])
         total = np.bincount(doc, self.value[at], len(texts))
         count = np.bincount(doc, self.count[at], len(texts))
         if len(at) > 1:
             inside = doc[1:] == doc[:-1]
-            pairs = self.weight[pair_buckets(self.own[at])]
-            total += np.bincount(doc[1:][inside], pairs[inside], len(texts))
-            count += np.bincount(doc[1:][inside], minlength=len(texts))
+            pairs, equal = pair_features(self.own[at])
+            total += np.bincount(doc[1:][inside], (self.weight[pairs] + self.weight[BUCKETS] * equal)[inside], len(texts))
+            count += np.bincount(doc[1:][inside], 1 + equal[inside], len(texts))
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> SubwordClassifier:
-    """Fit on whole texts of at most SAMPLE_DOCS documents: ``docs(doc_id, text)``, ``labels(doc_id, label)``; those first by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> SubwordClassifier:
+    """Fit on whole texts of at most ``sample`` rows of ``docs(doc_id, text)`` with a label in ``labels(doc_id, label)``, those first by a hash of doc_id.
 
-    Null ids and labels are left out; repeated labels count each. The labels are sampled first, so what is broadcast to the scan of ``docs`` is bounded.
+    The sample is the same however the tables are partitioned: the first ``sample`` labels by the hash, then by doc_id and label, meet their documents, of which the first ``sample``
+    by the same order and the text's hash are taken (a repeated doc_id gives several rows). Null ids and labels are left out; repeated labels count each. What is
+    broadcast to the scan of ``docs`` is ``sample`` ids and labels. The driver holds those texts whole.
     """
-    rows = labels.where("label is not null and doc_id is not null").select("doc_id", "label")
-    share = min(1.0, 1.05 * SAMPLE_DOCS / max(rows.count(), 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE_DOCS)
-    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(2 * SAMPLE_DOCS)
+    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("label")]
+    picked = labels.where("label is not null and doc_id is not null").select("doc_id", "label").orderBy(*order).limit(sample)
+    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(*order, F.xxhash64("text")).limit(sample)
     got = sorted(some.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or "", r["label"]))
     return SubwordClassifier().fit([document_features(r["text"]) for r in got], [int(r["label"]) for r in got])
 

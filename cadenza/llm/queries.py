@@ -22,9 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id isn't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    net = langid.train(docs.where(~F.coalesce(held_out, F.lit(True))).select("text", "lang"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    net = langid.train(docs.where(~held_out).select("text", "lang"))
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), net).drop("text")
 
 
@@ -71,8 +72,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id isn't held out, and never learnt from, as no label can name it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
     return quality.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")

@@ -162,6 +162,32 @@ def test_every_position_counts():
     assert len(parts) == len(text) and whole == pytest.approx(parts.mean(axis=0), abs=1e-5)
 
 
+@pytest.mark.parametrize("size", [1, 16, 127, 128, 129, 224, 225, 1000])
+def test_windows_give_context(size):
+    data = np.random.default_rng(size).integers(1, 256, size).astype(np.uint8)
+    n = int(langid.windows_of(np.array([size]))[0])
+    x, mask = langid.cut_windows(data, np.array([0]), np.array([size]), np.zeros(n, int), np.arange(n))
+    place = np.arange(langid.WINDOW)[:, None] + np.arange(n) * (langid.WINDOW - 2 * langid.MARGIN)
+    assert sorted(place[mask].tolist()) == list(range(size)) and (x[mask] == data[place[mask]]).all()
+    for t, k in zip(*np.nonzero(mask), strict=True):
+        assert min(t, place[t, k]) >= min(langid.MARGIN, place[t, k]) and min(langid.WINDOW - 1 - t, size - 1 - place[t, k]) >= min(langid.MARGIN, size - 1 - place[t, k])
+
+
+def test_network_equals_plain_loop():
+    net, text = langid.LanguageNet(["a", "b", "c"], hidden=4), "où ça? 中".encode()
+    squash = lambda x: x / (1 + abs(x))
+    sums = np.zeros((len(text), 3))
+    for part, gru in enumerate((net.fore, net.back)):
+        h = np.zeros(4)
+        for t in range(len(text)) if part == 0 else range(len(text) - 1, -1, -1):
+            into, held = gru.e[:, text[t]].astype(float), gru.u.astype(float) @ h
+            z, r = (0.5 + 0.5 * squash(into[4 * g : 4 * g + 4] + held[4 * g : 4 * g + 4]) for g in (0, 1))
+            h = z * h + (1 - z) * squash(into[8:] + r * (held[8:] + gru.b[:, 0]))
+            sums[t] += net.o[part].astype(float) @ h
+    want = np.exp(sums + net.c[:, 0]) / np.exp(sums + net.c[:, 0]).sum(axis=1, keepdims=True)
+    assert net.run(np.frombuffer(text, np.uint8)[:, None])[0][:, :, 0] == pytest.approx(want, abs=1e-4)
+
+
 # ---- 3
 
 
@@ -482,6 +508,52 @@ def test_quality(spark, docs):
     assert quality.predict(docs, untaught).count() == len(DOCS)
 
 
+def test_quality_gradients():
+    model = quality.SubwordClassifier()
+    model.layer[:] = np.random.default_rng(1).normal(size=model.layer.shape)
+    ids, weight = quality.document_features("a rose is a rose rose is is")
+    assert quality.BUCKETS in ids
+
+    def loss():
+        out = (model.layer @ (weight @ model.vectors[ids]) + model.bias).astype(np.float64)
+        return np.log(np.exp(out).sum()) - out[1]
+
+    by_vector, by_layer, by_bias = model.gradients(ids, weight, 1)
+    for array, at, grad in [(model.vectors, (ids[k], d), by_vector[k, d]) for k in (0, 5, len(ids) - 1) for d in (0, 3)] + [(model.layer, (1, 2), by_layer[1, 2]), (model.bias, 0, by_bias[0])]:
+        kept = array[at]
+        array[at] = kept + 0.05
+        up = loss()
+        array[at] = kept - 0.05
+        down = loss()
+        array[at] = kept
+        assert grad == pytest.approx((up - down) / 0.1, rel=0.02, abs=1e-4)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    rng, words = random.Random(4), "the and of rain sun moon tree house water stone der und les que".split()
+    rows = [(i % 300, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))), rng.choice("ab"), i % 2) for i in range(400)] + [(7, "one text again and again", "a", 1)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int")
+    one, many = df.coalesce(1).orderBy(F.desc("text")), df.repartition(7)
+    a, b = (quality.train(f.select("doc_id", "text"), f.select("doc_id", "label"), sample=60) for f in (one, many))
+    assert (a.vectors == b.vectors).all() and (a.layer == b.layer).all()
+    samples = [langid.training_sample(f.select("text", "lang"), sample=60) for f in (one, many)]
+    assert samples[0] == samples[1] and len(samples[0][0]) == 60 == 2 * samples[0][1].count("a") and len({*samples[0][0]}) > 50
+    assert len(langid.training_sample(df.where("label = 1").select(F.concat("text", "doc_id").alias("text"), F.col("doc_id").cast("string").alias("lang")), sample=5)[0]) >= 150
+
+
+def test_quality_of_long_words():
+    model = quality.SubwordClassifier().fit([quality.document_features("a a b"), quality.document_features("c d")], [1, 0], steps=50)
+    weight, bias = model.folded()
+    scorer = quality.Scorer(weight, bias)
+    texts = ["x" * 300_000, "中文" * 40_000 + " b", "a " + "y" * 100 + " a", "a b"]
+    for _ in range(2):
+        got = scorer.scores([t.encode() for t in texts])
+        for text, score in zip(texts, got, strict=True):
+            ids, share = quality.document_features(text)
+            assert score == pytest.approx(1 / (1 + np.exp(-(float(share @ weight[ids]) + bias))), abs=1e-5)
+    assert {*scorer.place} == {b"a", b"b"}
+
+
 def test_scorer_equals_plain_sum():
     model = quality.SubwordClassifier().fit([quality.document_features("a a b"), quality.document_features("c d")], [1, 0], steps=50)
     weight, bias = model.folded()
