@@ -53,7 +53,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     """``turns(conv_id, turn, role, text)`` -> one row per conversation, as read back from its formatted text.
 
     Columns: conv_id, formatted string, turns array<struct<role, text, raw_role, raw_text>> (parsed from ``formatted``), loss_spans
-    array<struct<start, end>> (code points of ``formatted``, end exclusive, in order), loss_text (the spans' text without escapes).
+    array<struct<start, end>> (code points of ``formatted``, end exclusive, in order), loss_text (what ``formatted`` holds under the spans, without escapes).
 
     Null text or role: empty. Rows of one conversation with equal (or null, first) ``turn`` go by role, then text; repeated rows stay repeated turns. A null
     conv_id is a conversation of its own. An empty table gives no rows. Other columns are ignored. One conversation becomes one string, so it has to
@@ -73,19 +73,25 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     upto = F.sum(F.char_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"pos": F.row_number().over(order), "end": (upto - len(TURN_END)).cast("long")})
     span = F.struct((F.col("end") - F.char_length("content")).alias("start"), "end")
-    rows = rows.select("conv_id", F.struct("pos", "role", "text", "piece", span.alias("span")).alias("made"))
+    body_at = F.col("end") + len(TURN_END) - F.char_length("piece") + len(OPEN)
+    rows = rows.select("conv_id", F.struct("pos", "role", "text", "piece", span.alias("span"), body_at.alias("body_at")).alias("made"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("made")).alias("source"))
     whole = whole.withColumn("formatted", F.array_join(F.col("source")["piece"], ""))
     whole = whole.withColumn("turns", parse(F.col("formatted")))
     same = (F.col("turns")["role"] == F.col("source")["role"]) & (F.col("turns")["text"] == F.col("source")["text"])
     broken = F.raise_error(F.lit("a conversation doesn't survive its round trip")).cast("string")
     whole = whole.withColumn("formatted", F.when(F.coalesce(same, F.lit(False)), F.col("formatted")).otherwise(broken))
-    spoken = F.filter("turns", lambda t: t["role"].isin(*loss_roles))
     masked = F.filter("source", lambda t: t["role"].isin(*loss_roles))
+    bodies = F.split("formatted", r"\[INST\]", -1)  # what follows each opening, so that spans are cut without counting from the conversation's start each time
+
+    def under_mask(turn: Column, body: Column) -> Column:
+        span = turn["span"]
+        return F.when(turn["role"].isin(*loss_roles), unescape(F.substring(body, (span["start"] - turn["body_at"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")))).otherwise("")
+
     return whole.select(
         "conv_id",
         "formatted",
         "turns",
         masked["span"].alias("loss_spans"),
-        F.array_join(F.transform(spoken, lambda t: t["text"]), "").alias("loss_text"),
+        F.array_join(F.zip_with("source", F.slice(bodies, 2, F.size("source")), under_mask), "").alias("loss_text"),
     )

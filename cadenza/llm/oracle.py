@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .url_filter import SUFFIXES
+
 OP6 = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -29,8 +31,14 @@ p as (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
 ),
 worst as (select doc_id as page_id, max(case when quality is null and toxic is null then null when quality = 0 or toxic = 1 then 1 when quality is null or toxic is null then null else 0 end) as bad from labels group by doc_id),
-h0 as (select host, count(bad) as n, coalesce(sum(bad), 0)::bigint as x from p left join worst using (page_id) group by host),
-h as (select *, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix from h0),
+h0 as (select regexp_replace(host, ':[0-9]*$', '') as host, count(bad) as n, coalesce(sum(bad), 0)::bigint as x from p left join worst using (page_id) group by 1),
+h1 as (select *, string_split(host, '.') as labels, array_to_string(string_split(host, '.')[-2:], '.') as two, regexp_matches(host, '^[0-9]+([.][0-9]+){3}$|^\[.*\]$') as address from h0),
+h2 as (select *, two in (@SUFFIXES) as paired from h1),
+h as (
+  select host, n, x, case when address then host when paired then array_to_string(labels[-3:], '.') else two end as domain,
+    case when address then '(address)' when paired then two else labels[-1] end as suffix
+  from h2
+),
 d as (select domain, suffix, sum(n)::bigint as n, sum(x)::bigint as x from h group by all),
 s as (select suffix, sum(n)::bigint as n, sum(x)::bigint as x from d group by all),
 levels as (select 'h' as level, n, x from h union all select 'd', n, x from d union all select 's', n, x from s),
@@ -48,7 +56,7 @@ ss as (
 m1 as (select suffix, (x + s1 * m0) / (n + s1) as m1 from s, ss),
 m2 as (select domain, (x + s2 * m1) / (n + s2) as m2 from d join m1 using (suffix), ss),
 r as (select host, n, (x + s3 * m2) / (n + s3) as m, s3 from h join m2 using (domain), ss),
-q as (select host, m as bad_mean, m - 1.645::double * sqrt(m * (1 - m) / (n + s3 + 1)) as bad_bound from r),
+q as (select host, m as bad_mean, greatest(0.0::double, m - 1.645::double * sqrt(m * (1 - m) / (n + s3 + 1))) as bad_bound from r),
 rules(verdict, name, prefix) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 urls as (select distinct host, path from p),
 hits as (
@@ -57,9 +65,11 @@ hits as (
 )
 select page_id, p.host, p.path, hit.rule as rule, coalesce(hit.verdict, case when bad_bound > 0.3::double then 'block' else 'allow' end) as verdict,
   round(bad_mean, 6) as bad_mean, round(bad_bound, 6) as bad_bound
-from p join q on p.host = q.host left join hits on p.host = hits.host and p.path = hits.path
+from p join q on regexp_replace(p.host, ':[0-9]*$', '') = q.host left join hits on p.host = hits.host and p.path = hits.path
 """
 
+OP8 = OP8.replace("@SUFFIXES", ", ".join(f"'{x}'" for x in SUFFIXES))
+
 OP5 = r"""
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, sha256(html) as payload_digest, strlen(html) as payload_bytes from p),

@@ -387,10 +387,46 @@ def test_warc(spark):
 
 
 def test_ranges_coalesce():
-    import pandas as pd
-
-    index = pd.DataFrame({"file": ["b", "a", "a", "a"], "offset": [0, 100, 0, 10**7], "length": [5, 50, 100, 10]})
-    assert list(warc.ranges(index)) == [("a", 0, 150, [2, 1]), ("a", 10**7, 10**7 + 10, [3]), ("b", 0, 5, [0])]
+    places = [("a", 0, 100), ("a", 100, 50), ("a", 10**7, 10), ("b", 0, 5)]
+    assert list(warc.ranges(iter(places))) == [("a", 0, 150, [(0, 100), (100, 50)]), ("a", 10**7, 10**7 + 10, [(10**7, 10)]), ("b", 0, 5, [(0, 5)])]
+    assert [len(r[3]) for r in warc.ranges(("a", i * 2000, 2000) for i in range(20_000))] == [8388, 8388, 3224]
+
+
+def independent_records(data: bytes):
+    """Records of a gzip WARC file, read by the format's own rules."""
+    while data:
+        reader = zlib.decompressobj(31)
+        record = reader.decompress(data)
+        data = reader.unused_data
+        version, rest = record.split(b"\r\n", 1)
+        head, rest = rest.split(b"\r\n\r\n", 1)
+        fields = {k.strip().lower(): v.strip() for k, v in (line.split(b":", 1) for line in head.split(b"\r\n"))}
+        size = int(fields[b"content-length"])
+        assert version == b"WARC/1.0" and rest[size:] == b"\r\n\r\n"
+        yield fields, rest[:size]
+
+
+def test_warc_files_are_valid(spark, tmp_path):
+    big = "y" * 200
+    rows = [(i, f"http://h/{i}", big if i % 3 == 0 else f"page {i} " + "z" * i) for i in range(60)] + [(0, "http://h/0", big), (0, "http://h/0", big), (None, None, "n"), (70, "", "m")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.write_archives(df, f"file://{tmp_path}/w", date="2024-01-02T03:04:05Z")
+    seen, ids = {}, []
+    for path in (tmp_path / "w").iterdir():
+        for fields, block in independent_records(path.read_bytes()):
+            assert {b"warc-type", b"warc-record-id", b"warc-date", b"warc-target-uri", b"warc-payload-digest"} <= fields.keys() and fields[b"warc-date"] == b"2024-01-02T03:04:05Z"
+            ids.append(fields[b"warc-record-id"])
+            if fields[b"warc-type"] == b"response":
+                head, body = block.split(b"\r\n\r\n", 1)
+                assert fields[b"content-type"] == b"application/http; msgtype=response" and head.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(body)}".encode() in head
+                assert fields[b"warc-payload-digest"].decode() == "sha256:" + hashlib.sha256(body).hexdigest()
+            else:
+                assert block == b"" and fields[b"warc-type"] == b"revisit" and fields[b"warc-refers-to-target-uri"] == b"http://h/0" and b"warc-profile" in fields
+            seen[fields[b"warc-target-uri"]] = fields[b"warc-type"]
+    assert len(ids) == len({*ids}) == len(rows) and seen[b"http://h/3"] == b"revisit" and seen[b"http://h/0"] == b"response" and seen[b"about:blank"] == b"response"
+    some = warc.read_records(index.where("page_id % 7 = 1").orderBy(F.desc("offset"))).collect()
+    assert sorted(r["page_id"] for r in some) == [i for i in range(60) if i % 7 == 1] + [] and all(bytes(r["payload"]).startswith(b"page") for r in some if r["record_type"] == "response")
+    assert {r["url"] for r in warc.read_records(index.where("page_id is null or page_id = 70")).collect()} == {None, ""}
 
 
 # ---- 6
@@ -408,7 +444,8 @@ def test_chat(spark):
         said = [t["text"] for t in r["turns"] if t["role"] == "assistant"]
         assert r["loss_text"] == "".join(said) and len(r["loss_spans"]) == len(said)
         raw = [t["raw_text"] for t in r["turns"] if t["role"] == "assistant"]
-        assert [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]] == raw
+        under = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert under == raw and r["loss_text"] == "".join(u.replace("\\2", "<").replace("\\1", "[").replace("\\0", "\\") for u in under)
         assert r["formatted"].count("[INST]") == len(r["turns"]) == r["formatted"].count("</s>")
     assert chat.format_conversations(df.limit(0)).count() == 0
 
@@ -434,6 +471,19 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "10.0.0.1": ("10.0.0.1", url_filter.ADDRESSES),
+        "1.2.3.4.com": ("4.com", "com"), "[::1]": ("[::1]", url_filter.ADDRESSES), "x.co.zz": ("co.zz", "zz"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = url_filter.domain_parts(F.col("host"))
+    assert {r["host"]: (r["d"], r["s"]) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == want
+    rows = [("shop.net:8080", 1)] * 30 + [("shop.net", 1)] * 30 + [(f"h{i}.org", 0) for i in range(50)]
+    got = {r["host"]: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert got["shop.net"]["n"] == 60 and len(got) == 51 and all(r["bad_bound"] >= 0 for r in got.values())
+
+
 def test_reputation_shrinks(spark):
     rows = [("spam.bad.net", 1)] * 60 + [("one.bad.net", None)] + [(f"h{i}.good.net", i % 20 == 0 and 1 or 0) for i in range(200)] + [(None, 0)]
     got = {r["host"]: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
