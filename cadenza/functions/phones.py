@@ -37,7 +37,7 @@ FOLD_61 = {
 # fixed values: ARPABET labels that fold
 FOLD_ARPABET = {"aa": "ao", "ah": "ax", "er": "axr", "ih": "ix", "l": "el", "m": "em", "n": "en", "sh": "zh", "uw": "ux", "sil": "sp spn"}
 # fixed values: word labels that stand for silence
-SILENCE_WORDS = ("", "sil", "sp", "spn", "<eps>", "<sil>", "[sil]")
+SILENCE_WORDS = ("", "sil", "sp", "spn", "silence", "<sil>", "[sil]")
 
 SOURCES = ("timit61", "arpabet")
 

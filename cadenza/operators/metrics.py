@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 9
+#: A cell with fewer matches is underpowered.
+LEAST = 30
+#: From which of 65,536 values on a Poisson variable of mean 1 is at least 1, 2, ...
+POISSON = (24110, 48219, 60274, 64292, 65297, 65498, 65531)
 
 
 def r(x: Column) -> Column:
@@ -80,7 +84,7 @@ def summary(errors: DataFrame, group: list[str], thresholds_ms: tuple[int, ...]
     )
 
 
-def per_type(errors: DataFrame, group: list[str], primary_ms: int = 25, least: int = 50) -> DataFrame:
+def per_type(errors: DataFrame, group: list[str], primary_ms: int = 25, least: int = LEAST) -> DataFrame:
     """Per group and (left_class, right_class): n, mae_ms, ta, underpowered."""
     return errors.groupBy(*group, "left_class", "right_class").agg(
         F.count("*").alias("n"), mean_ms(ABS()).alias("mae_ms"), share(ABS() <= primary_ms * 1000).alias("ta"), (F.count("*") < least).alias("underpowered")
@@ -194,34 +198,23 @@ def edge_split(errors: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, group: list[str], name: str, hash32: Callable[[Column], Column], seed: int = 0, parts: int = 64) -> DataFrame:
-    """Adds u, a number from 0 within each group, in order of a hash of ``name``.
-
-    Rows are counted within ``parts`` hash ranges and shifted by the counts of the ranges before, so no window spans a group.
-    """
-    p = rows.withColumn("_h", hash32(F.concat(F.lit(f"u:{seed}:"), F.col(name)))).withColumn("_part", F.floor(F.col("_h") * parts / 2**32).cast("int"))
-    counts = p.groupBy(*group, "_part").agg(F.count("*").alias("_n"))  # at most ``parts`` rows a group
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    p = p.withColumn("u", F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_h", name)) - 1)
-    return p.join(counts, [*group, "_part"]).withColumn("u", F.col("u") + F.col("_before")).drop("_h", "_part", "_before")
-
-
-def bootstrap(per_utt: DataFrame, group: list[str], hash32: Callable[[Column], Column], replicates: int = 1000, seed: int = 0, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+def bootstrap(per_utt: DataFrame, group: list[str], replicates: int = 1000, seed: int = 0, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """95 % interval of a pooled mean over utterances: ``per_utt(group, utt_id, s, c)`` -> group, lo, hi (of sum s / sum c, per 1000).
 
     ``more`` gives further means over the same draws: name -> (column of ``per_utt``, divisor), as name_lo and name_hi of sum column / sum c / divisor.
-    Draw i of replicate b takes utterance number hash(b, i) mod n, utterances being numbered in hash order. The two-level aggregate leaves ``replicates`` numbers a group.
+    An utterance's weight in a replicate is a Poisson draw of mean 1 by hash of seed, utterance and replicate, eight to a digest, so that each row makes its own draws:
+    nothing is numbered or joined, and sums combine before the shuffle into ``replicates`` (rounded up to eights) numbers a group.
     """
     stats = {"": ("s", 1000)} | {f"{k}_": v for k, v in (more or {}).items()}
-    number = numbered(per_utt, group, "utt_id", hash32, seed)
-    sizes = per_utt.dropna(subset=group).groupBy(*group).agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    # a few rows become millions of draws: spread them first, over a stated number of partitions that adaptive execution leaves alone
-    draws = draws.repartition(int(per_utt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "b")
-    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    draws = draws.withColumn("u", hash32(F.concat(F.lit(f"b:{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))) % F.col("n"))
-    # every draw has its utterance; as a left join, so that the draws, a few rows by Spark's estimate, are never broadcast
-    sums = draws.join(number, [*group, "u"], "left").groupBy(*group, "b").agg(*[F.sum(v).alias(v) for v, _ in stats.values()], F.sum("c").alias("c"))
+    # a few rows become very many draws: spread them first, over a stated number of partitions that adaptive execution leaves alone
+    rows = per_utt.repartition(int(per_utt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "utt_id")
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))))
+    digest = F.md5(F.concat(F.lit(f"b:{seed}:"), F.col("utt_id"), F.lit(":"), F.col("_k").cast("string")))
+    rows = rows.withColumn("_m", digest)
+    value = lambda j: F.conv(F.substring("_m", 1 + 4 * j, 4), 16, 10).cast("int")
+    rows = rows.select(*group, *[v for v, _ in stats.values()], "c", "_k", F.posexplode(F.array(*[value(j) for j in range(8)])).alias("_j", "_v"))
+    weight = sum(((F.col("_v") >= t).cast("int") for t in POISSON[1:]), (F.col("_v") >= POISSON[0]).cast("int"))
+    rows = rows.withColumns({"w": weight, "b": F.col("_k") * 8 + F.col("_j")}).where("w > 0")
+    sums = rows.groupBy(*group, "b").agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v, _ in stats.values()], F.sum(F.col("c") * F.col("w")).alias("c"))
     edge = lambda v, by, q: r(F.percentile(F.when(F.col("c") > 0, F.col(v) / F.col("c") / by), q))
     return sums.groupBy(*group).agg(*[edge(v, by, q).alias(f"{name}{end}") for name, (v, by) in stats.items() for end, q in (("lo", 0.025), ("hi", 0.975))])

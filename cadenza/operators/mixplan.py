@@ -59,9 +59,13 @@ def pick_babble(items: DataFrame, talkers: DataFrame, hash32: Callable[[Column],
     return d.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "talker")))["talker"], "+").alias("sources"))
 
 
-def foreground_draws(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], Column], size: int, interval_us: int, most: int) -> DataFrame:
-    """Noises one after another, an interval between them, until the item is covered: item_id, n, file, at_us. ``most`` draws must suffice for any item."""
-    d = items.select("item_id", "dur_us", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("n"))
+def foreground_draws(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], Column], size: int, interval_us: int, shortest_us: int) -> DataFrame:
+    """Noises one after another, an interval between them, until the item is covered: item_id, n, file, at_us.
+
+    ``shortest_us`` is the length of the pool's shortest noise: it bounds an item's draws, so that each is covered whatever its length.
+    """
+    most = F.ceil(F.col("dur_us") / F.lit(shortest_us + interval_us)).cast("int")
+    d = items.where("dur_us > 0").select("item_id", "dur_us", F.explode(F.sequence(F.lit(0), most - 1)).alias("n"))
     d = d.withColumn("idx", hash32(F.concat(F.lit("fg:"), F.col("item_id"), F.lit(":"), F.col("n").cast("string"))) % size).join(pool, "idx")
     at = F.sum(F.col("noise_us") + interval_us).over(Window.partitionBy("item_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     return d.withColumn("at_us", F.coalesce(at, F.lit(0)).cast("bigint")).where("at_us < dur_us").select("item_id", "n", "file", "at_us")

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .align import align_labels
 
@@ -61,15 +64,18 @@ def counters(aligned: DataFrame) -> DataFrame:
     )
 
 
-def boundary_errors(aligned: DataFrame, classify: Callable[[Column], Column], steps: Column | None = None) -> DataFrame:
+def boundary_errors(aligned: DataFrame, classify: Callable[[Column], Column], steps: Column | None = None, by_class: bool = False) -> DataFrame:
     """Two rows for each matched pair: edge, gold_us, hyp_us, signed_us, abs_us, left_class, right_class, conf, gold_idx.
 
-    Left and right classes come from the reference's neighbours; beyond its ends lies silence. The arrays are projected before they're exploded,
+    Matched are equal labels; with ``by_class`` all aligned pairs of one class, substitutions included; or what ``steps`` says. Left and right classes come from the reference's neighbours; beyond its ends lies silence. The arrays are projected before they're exploded,
     so no row carries a whole tier.
     """
     g = lambda i: F.get(F.col("gold"), i)
     cls = lambda i: F.coalesce(F.get(F.col("_cls"), i), F.lit("silence"))  # noqa: E731  beyond an end too
     aligned = aligned.withColumn("_cls", F.transform("gold", lambda x: classify(x["label"])))  # each label is classified once
+    if by_class:
+        aligned = aligned.withColumn("_hcls", F.transform("hyp", lambda x: classify(x["label"])))
+        steps = F.filter("steps", lambda s: s["g"].isNotNull() & s["h"].isNotNull() & (F.get(F.col("_cls"), s["g"]) == F.get(F.col("_hcls"), s["h"])))
 
     def edges(s):
         h = F.get(F.col("hyp"), s["h"])
@@ -84,64 +90,103 @@ def boundary_errors(aligned: DataFrame, classify: Callable[[Column], Column], st
     return rows.withColumns({"signed_us": signed, "abs_us": F.abs(signed)})
 
 
-def boundary_times(tier: DataFrame, key: list[str], same_us: int = 0) -> DataFrame:
-    """Interior boundaries of a tier: starts of all intervals but the first, sorted, near-equal neighbours (within ``same_us``) once. Adds idx from 0."""
-    starts = tier.where("pos > 0").groupBy(*key).agg(F.array_sort(F.collect_list("start_us")).alias("all"))
-    last = lambda a: F.element_at(a, -1)
-    keep = F.aggregate("all", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - last(F.when(F.size(a) > 0, a).otherwise(F.array(t))) > same_us), F.concat(a, F.array(t))).otherwise(a))
-    return starts.select(*key, F.posexplode(keep).alias("idx", "t_us"))
+def boundary_times(tier: DataFrame, key: list[str]) -> DataFrame:
+    """Interior boundaries of a tier: distinct starts of all intervals but the first, sorted, as one array ``t_us`` a key. Keys without any have no row."""
+    return tier.where("pos > 0").groupBy(*key).agg(F.array_sort(F.collect_set("start_us")).alias("t_us"))
 
 
-def within_tolerance(gold: DataFrame, hyp: DataFrame, key: list[str], tol_us: int) -> DataFrame:
-    """Pairs of boundaries at most ``tol_us`` apart: key of ``hyp``, i, j, d_us. A range join on time buckets, so long tracks don't meet pairwise."""
-    g = gold.select(*[c for c in key if c in gold.columns], F.col("idx").alias("i"), F.col("t_us").alias("g_us"), F.floor(F.col("t_us") / tol_us).alias("bucket"))
-    near = F.explode(F.array(*[F.floor(F.col("t_us") / tol_us) + d for d in (-1, 0, 1)]))
-    h = hyp.select(*key, F.col("idx").alias("j"), F.col("t_us").alias("h_us"), near.alias("bucket"))
-    on = [c for c in key if c in gold.columns] + ["bucket"]
-    d = F.abs(F.col("h_us") - F.col("g_us"))
-    return h.join(g, on).where(d <= tol_us).select(*key, "i", "j", d.alias("d_us"))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All times of a list column, and how many each row has."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _no_hits() -> Column:
-    return F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("h"))
+def _apart(times: np.ndarray, sizes: np.ndarray, low: int, room: int) -> np.ndarray:
+    """Rows' sorted times moved so far apart that one search serves all rows."""
+    return times - low + np.repeat(np.arange(len(sizes)) * room, sizes)
 
 
-def _take(used: Column, c: Column) -> Column:
-    """Greedy step: a candidate counts if both its boundaries are free."""
-    free = ~F.array_contains(used["g"], c["i"]) & ~F.array_contains(used["h"], c["j"])
-    return F.when(free, F.struct(F.concat(used["g"], F.array(c["i"])).alias("g"), F.concat(used["h"], F.array(c["j"])).alias("h"))).otherwise(used)
+def hits_of(g: np.ndarray, n_g: np.ndarray, h: np.ndarray, n_h: np.ndarray, tol_us: int) -> np.ndarray:
+    """One-to-one hits of each row: pairs at most ``tol_us`` apart by (distance, i, j), greedily, each boundary used once. Times ascend within a row."""
+    hits = np.zeros(len(n_g), np.int64)
+    if not len(g) or not len(h):
+        return hits
+    low = min(g.min(), h.min())
+    room = max(g.max(), h.max()) - low + 2 * tol_us + 1
+    ga, ha = _apart(g, n_g, low, room), _apart(h, n_h, low, room)
+    first, last = np.searchsorted(ha, ga - tol_us, "left"), np.searchsorted(ha, ga + tol_us, "right")
+    count = last - first
+    i = np.repeat(np.arange(len(g)), count)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    row = np.repeat(np.arange(len(n_g)), n_g)[i]
+    order = np.lexsort((j, i, np.abs(ha[j] - ga[i]), row))
+    used_g, used_h = bytearray(len(g)), bytearray(len(h))
+    for r, x, y in zip(row[order].tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        if not (used_g[x] or used_h[y]):
+            used_g[x] = used_h[y] = 1
+            hits[r] += 1
+    return hits
 
 
-def strict_hits(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """One-to-one hits per key: candidates by (distance, i, j), greedily, each side used once. Keys without candidates have no row."""
-    ordered = F.array_sort(F.collect_list(F.struct("d_us", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))))
-    return candidates.groupBy(*key).agg(ordered.alias("c")).select(*key, F.size(F.aggregate("c", _no_hits(), _take)["g"]).cast("bigint").alias("hits"))
+def _with_hits(pairs: DataFrame, tol_us: int) -> DataFrame:
+    """``pairs(..., g, h)``, sorted arrays of times, with n_gold_bnd, n_hyp_bnd and n_hits in their place. A map over rows."""
+    kept = [f for f in pairs.schema.fields if f.name not in ("g", "h")]
+    names = ["n_gold_bnd", "n_hyp_bnd", "n_hits"]
+
+    def run(batches):
+        for batch in batches:
+            g, n_g = _flat(batch.column("g"))
+            h, n_h = _flat(batch.column("h"))
+            made = [pa.array(n) for n in (n_g, n_h, hits_of(g, n_g, h, n_h, tol_us))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *made], [*[f.name for f in kept], *names])
+
+    return pairs.mapInArrow(run, StructType(kept + [StructField(n, LongType()) for n in names]))
 
 
 def segmentation(gold: DataFrame, hyp: DataFrame, tol_us: int = 20_000) -> DataFrame:
-    """Per pair: n_gold_bnd, n_hyp_bnd, n_hits."""
-    pairs = hyp.select(*PAIR).distinct()
-    g, h = boundary_times(gold, ["utt_id"]), boundary_times(hyp, PAIR)
-    hits = strict_hits(within_tolerance(g, h, PAIR, tol_us), PAIR)
-    n_g = g.groupBy("utt_id").agg(F.count("*").alias("n_gold_bnd"))
-    n_h = h.groupBy(*PAIR).agg(F.count("*").alias("n_hyp_bnd"))
-    out = pairs.join(n_h, PAIR, "left").join(hits, PAIR, "left").join(n_g, "utt_id", "left")
-    return out.select(*PAIR, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(a) for c, a in (("n_gold_bnd", "n_gold_bnd"), ("n_hyp_bnd", "n_hyp_bnd"), ("hits", "n_hits"))])
+    """Per pair: n_gold_bnd, n_hyp_bnd, n_hits. A key's boundary times come together sorted, whole recordings too, and are swept: no pairs but those within ``tol_us``."""
+    times = F.array_sort(F.collect_set(F.when(F.col("pos") > 0, F.col("start_us"))))
+    h = hyp.groupBy(*PAIR).agg(times.alias("h"))
+    g = gold.groupBy("utt_id").agg(times.alias("g"))
+    return _with_hits(h.join(g, "utt_id", "left").select(*PAIR, "g", "h"), tol_us)
 
 
 def segmentation_packed(aligned: DataFrame, tol_us: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """As segmentation, from packed pairs and without a shuffle. Every boundary of a pair meets every other: for utterances, not for whole recordings."""
+    """As segmentation, from packed pairs and without a shuffle."""
     times = lambda tier: F.array_sort(F.array_distinct(F.transform(F.filter(tier, lambda x: x["pos"] > 0), lambda x: x["start_us"])))
-    p = aligned.select(*PAIR, *keep, times("gold").alias("g"), times("hyp").alias("h"))
-    near = F.flatten(F.transform("g", lambda x, i: F.filter(F.transform("h", lambda y, j: F.struct(F.abs(y - x).alias("d_us"), i.alias("i"), j.alias("j"))), lambda c: c["d_us"] <= tol_us)))
-    hits = F.size(F.aggregate(F.array_sort(near), _no_hits(), _take)["g"])
-    return p.select(*PAIR, *keep, F.size("g").cast("bigint").alias("n_gold_bnd"), F.size("h").cast("bigint").alias("n_hyp_bnd"), hits.cast("bigint").alias("n_hits"))
-
-
-def nearest_boundary(points: DataFrame, grid: DataFrame, key: list[str], tol_us: int) -> DataFrame:
-    """For each of ``points(key, idx, t_us)`` the nearest of ``grid(key, idx, t_us)`` within ``tol_us`` (ties: the first), else -1: key, idx, t_us, nearest."""
-    near = within_tolerance(grid, points, key, tol_us).groupBy(*key, F.col("j").alias("idx")).agg(F.min_by("i", F.struct("d_us", "i")).alias("nearest"))
-    return points.join(near, [*key, "idx"], "left").select(*key, "idx", "t_us", F.coalesce("nearest", F.lit(-1)).alias("nearest"))
+    return _with_hits(aligned.select(*PAIR, *keep, times("gold").alias("g"), times("hyp").alias("h")), tol_us)
+
+
+def nearest_of(g: np.ndarray, n_g: np.ndarray, h: np.ndarray, n_h: np.ndarray, tol_us: int) -> np.ndarray:
+    """For each of ``h`` the number, within its row, of the nearest of ``g`` at most ``tol_us`` away (ties: the first), else -1."""
+    if not len(g):
+        return np.full(len(h), -1)
+    low = min(g.min(), h.min(initial=g.min()))
+    room = max(g.max(), h.max(initial=g.max())) - low + 2 * tol_us + 1
+    ga, ha = _apart(g, n_g, low, room), _apart(h, n_h, low, room)
+    after = np.searchsorted(ga, ha, "left")
+    before, after = np.maximum(after - 1, 0), np.minimum(after, len(ga) - 1)
+    best = np.where(np.abs(ga[before] - ha) <= np.abs(ga[after] - ha), before, after)
+    start = np.repeat(np.cumsum(n_g) - n_g, n_h)
+    return np.where(np.abs(ga[best] - ha) <= tol_us, best - start, -1)
+
+
+def nearest_boundary(points: DataFrame, grid: DataFrame, key: list[str], on: list[str], tol_us: int) -> DataFrame:
+    """For each of ``points(key, t_us)`` the nearest of ``grid(on, t_us)``, both sorted arrays (``boundary_times``), within ``tol_us`` (ties: the first), else -1:
+    key, idx, t_us, nearest."""
+    pairs = points.select(*key, F.col("t_us").alias("h")).join(grid.select(*on, F.col("t_us").alias("g")), on, "left")
+    kept = [f for f in pairs.schema.fields if f.name in key]
+
+    def run(batches):
+        for batch in batches:
+            g, n_g = _flat(batch.column("g"))
+            h, n_h = _flat(batch.column("h"))
+            of = pa.array(np.repeat(np.arange(len(n_h)), n_h))
+            idx = np.arange(len(h)) - np.repeat(np.cumsum(n_h) - n_h, n_h)
+            made = [pa.array(idx.astype(np.int32)), pa.array(h), pa.array(nearest_of(g, n_g, h, n_h, tol_us).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(of) for f in kept], *made], [*[f.name for f in kept], "idx", "t_us", "nearest"])
+
+    out = StructType(kept + StructType.fromDDL("idx int, t_us bigint, nearest int").fields)
+    return pairs.mapInArrow(run, out)
 
 
 def common_matched(errors: DataFrame, key: list[str], system: str = "system") -> DataFrame:

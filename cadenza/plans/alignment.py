@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.phones import SILENCE_WORDS
 from ..operators import metrics as M
 from ..operators import scoring as S
+from ..operators import tiers as T
 from ..operators.align import align_times
 from ..sources.storage import stage
 from . import fixtures as fx
@@ -153,7 +155,7 @@ def per_type(spark, sf_dir):
     return M.per_type(boundary_errors(spark, sf_dir), G)
 
 
-PER_TYPE_SQL = with_(*BASE, MATCHED, select=f"select corpus, system, cond, left_class, right_class, count(*) as n, {mean_ms('abs_us')} as mae_ms, {div('sum((abs_us <= 25000)::bigint)', 'count(*)')} as ta, count(*) < 50 as underpowered from errs group by all", recursive=True)
+PER_TYPE_SQL = with_(*BASE, MATCHED, select=f"select corpus, system, cond, left_class, right_class, count(*) as n, {mean_ms('abs_us')} as mae_ms, {div('sum((abs_us <= 25000)::bigint)', 'count(*)')} as ta, count(*) < 30 as underpowered from errs group by all", recursive=True)
 
 
 def class_matched(spark, sf_dir):
@@ -214,10 +216,8 @@ from {DETECTION}""",
 
 def nearest_gold(spark, sf_dir):
     """For every hypothesis boundary the nearest reference boundary within 15 ms, else -1."""
-    g, h = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
-    pairs = h.select(*S.PAIR).distinct()
-    grid = S.boundary_times(g, ["utt_id"]).join(pairs, "utt_id")
-    return S.nearest_boundary(S.boundary_times(h, S.PAIR), grid, S.PAIR, 15_000)
+    points, grid = S.boundary_times(fx.hyp(spark, sf_dir), S.PAIR), S.boundary_times(fx.gold(spark, sf_dir), ["utt_id"])
+    return S.nearest_boundary(points, grid, S.PAIR, ["utt_id"], 15_000)
 
 
 NEAREST_SQL = with_(
@@ -227,17 +227,25 @@ from hb left join (select hb.utt_id, system, cond, j, arg_min(i, abs(hb.t - gb.t
 on n.utt_id = hb.utt_id and n.system = hb.system and n.cond = hb.cond and n.j = hb.j""",
 )
 
-SILENCE_TOKENS = ("uh", "the", "de")
+def spoken(tier):
+    """Words as systems say them: a hesitation is reported as ``sil``, or ``SP`` at every third place."""
+    mark = F.when(F.col("pos") % 3 == 0, "SP").otherwise("sil")
+    return tier.withColumn("label", F.when(F.col("label") == "uh", mark).otherwise(F.col("label")))
+
+
+def words_only(tier, key):
+    """Labels lower-cased and trimmed, without words that stand for silence."""
+    return T.drop_labels(tier.withColumn("label", F.lower(F.trim("label"))), key, SILENCE_WORDS)
 
 
 def word_rates(spark, sf_dir):
-    """Word error rate: labels lower-cased and trimmed, silence tokens dropped on both sides before aligning."""
-    clean = lambda t: t.withColumn("label", F.lower(F.trim("label"))).where(~F.col("label").isin(*SILENCE_TOKENS))
-    counts = S.counters(S.align(clean(fx.gold(spark, sf_dir)), clean(fx.hyp(spark, sf_dir))))
+    """Word error rate: silence words are dropped on both sides before aligning."""
+    counts = S.counters(S.align(words_only(fx.gold(spark, sf_dir), ["utt_id"]), words_only(spoken(fx.hyp(spark, sf_dir)), S.PAIR)))
     return M.edit_rates(counts, G).withColumnRenamed("per", "wer")
 
 
-_CLEAN = "select * exclude (label, pos), (row_number() over (partition by {key} order by pos) - 1)::int as pos, lower(trim(label)) as label from {t} where lower(trim(label)) not in ('uh', 'the', 'de')"
+_SILENT = ", ".join(f"'{w}'" for w in ("uh", *SILENCE_WORDS))
+_CLEAN = f"select * exclude (label, pos), (row_number() over (partition by {{key}} order by pos) - 1)::int as pos, lower(trim(label)) as label from {{t}} where lower(trim(label)) not in ({_SILENT})"
 WORD_SQL = with_(
     GOLD, HYP, f"gold_c as materialized ({_CLEAN.format(key='utt_id', t='gold')})", f"hyp_c as materialized ({_CLEAN.format(key='utt_id, system, cond', t='hyp')})",
     *(x.replace("from gold group", "from gold_c group").replace("from hyp h", "from hyp_c h").replace("join gold a", "join gold_c a").replace("join hyp b", "join hyp_c b").replace("from gold)", "from gold_c)") for x in (ALIGN, MATCHED)),
@@ -245,26 +253,7 @@ WORD_SQL = with_(
 )
 
 
-def bootstrap_ci(spark, sf_dir):
-    """95 % interval of each system's mean error, 200 replicates over utterances."""
-    e = boundary_errors(spark, sf_dir)
-    per = e.groupBy("system", "cond", "utt_id").agg(F.sum("abs_us").alias("s"), F.count("*").alias("c"))
-    return M.bootstrap(stage(per, "perutt"), ["system", "cond"], fx.hash32, replicates=200, seed=7)
-
-
-def boot_parts(g: str) -> tuple[str, ...]:
-    """Utterances' sums, their numbers, draws and replicates ``st`` by the columns ``g``."""
-    on = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in g.split(", "))
-    return (
-        f"pu as (select *, row_number() over (partition by {g} order by {hash32(chr(39) + 'u:7:' + chr(39) + ' || utt_id')}, utt_id) - 1 as u from (select {g}, utt_id, sum(abs_us)::bigint as s, count(*) as c from errs group by all) x)",
-        f"sz as (select {g}, count(*) as n from pu group by all)",
-        f"dr as (select {g}, b, {hash32(chr(39) + 'b:7:' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i')} % n as u from sz, range(200) t(b), lateral (select unnest(range(n)) as i) z)",
-        f"st as (select {', '.join('d.' + c for c in g.split(', '))}, b, sum(s)::bigint as s, sum(c)::bigint as c from dr d join pu p on {on('d', 'p')} and p.u = d.u group by all)",
-        f"bt as (select {g}, round(quantile_cont(s::double / c / 1000, 0.025), 9) as lo, round(quantile_cont(s::double / c / 1000, 0.975), 9) as hi from st group by all)",
-    )
-
-
-#: The primary tolerance of threshold accuracy in microseconds, and the replicates of a whole bootstrap.
+#: The primary tolerance of threshold accuracy in microseconds, and the replicates of a bootstrap.
 PRIMARY_US, REPLICATES = 25_000, 1000
 
 
@@ -272,43 +261,52 @@ def intervals(errors, group):
     """95 % intervals of the mean error (lo, hi) and of threshold accuracy (ta_lo, ta_hi), from the same draws."""
     within = F.sum((F.col("abs_us") <= PRIMARY_US).cast("bigint"))
     per = errors.groupBy(*group, "utt_id").agg(F.sum("abs_us").alias("s"), within.alias("t"), F.count("*").alias("c"))
-    return M.bootstrap(stage(per, "perutt"), group, fx.hash32, replicates=REPLICATES, seed=7, more={"ta": ("t", 1)})
+    return M.bootstrap(stage(per, "perutt"), group, replicates=REPLICATES, seed=7, more={"ta": ("t", 1)})
+
+
+def bootstrap_ci(spark, sf_dir):
+    """95 % interval of each system's mean error, over utterances."""
+    return intervals(boundary_errors(spark, sf_dir), ["system", "cond"]).select("system", "cond", "lo", "hi")
 
 
 def bootstrap_whole(spark, sf_dir):
-    """95 % intervals of each system's mean error and threshold accuracy, 1,000 replicates over utterances."""
+    """95 % intervals of each system's mean error and threshold accuracy, over utterances."""
     return intervals(boundary_errors(spark, sf_dir), ["system", "cond"])
 
 
-def whole_parts(g: str) -> tuple[str, ...]:
-    """As boot_parts, with all replicates and threshold accuracy."""
-    pu, sz, dr, st, _ = boot_parts(g)
+def boot_parts(g: str) -> tuple[str, ...]:
+    """Utterances' sums, their weights in each replicate, and the replicates' intervals by the columns ``g``."""
     edge = lambda v, by, q: f"round(quantile_cont({v}::double / c / {by}, {q}), 9)"
+    weight = " + ".join(f"(v >= {t})::int" for t in M.POISSON)
     return (
-        pu.replace("as s, count(*)", f"as s, count(*) filter (abs_us <= {PRIMARY_US}) as t, count(*)"), sz, dr.replace("range(200) t(b)", f"range({REPLICATES}) t(b)"), st.replace("sum(c)", "sum(t)::bigint as t, sum(c)"),
+        f"pu as (select {g}, utt_id, sum(abs_us)::bigint as s, count(*) filter (abs_us <= {PRIMARY_US}) as t, count(*) as c from errs group by all)",
+        f"md as (select pu.*, k, md5('b:7:' || utt_id || ':' || k) as m from pu, range({REPLICATES // 8}) r(k))",
+        f"wt as (select {g}, s, t, c, k * 8 + j as b, ('0x' || substr(m, 1 + 4 * j, 4))::int as v from md, range(8) q(j))",
+        f"st as (select {g}, b, sum(s * w)::bigint as s, sum(t * w)::bigint as t, sum(c * w)::bigint as c from (select *, {weight} as w from wt) x where w > 0 group by all)",
         f"bt as (select {g}, {edge('s', 1000, 0.025)} as lo, {edge('s', 1000, 0.975)} as hi, {edge('t', 1, 0.025)} as ta_lo, {edge('t', 1, 0.975)} as ta_hi from st group by all)",
-    )
+    )
 
 
-BOOT_WHOLE_SQL = with_(*BASE, MATCHED, *whole_parts("system, cond"), select="select * from bt", recursive=True)
-BOOT_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select * from bt", recursive=True)
+BOOT_WHOLE_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select * from bt", recursive=True)
+BOOT_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select system, cond, lo, hi from bt", recursive=True)
 
 
 def leaderboard_table(spark, sf_dir):
-    """All metrics in one wide row per corpus, system and condition."""
+    """All metrics in one wide row per corpus, system and condition. Errors are pooled over aligned pairs of one class, recall counts equal labels only."""
     gold, hyp = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
     a = stage(S.align(gold, hyp), "aligned")
     rates = M.edit_rates(S.counters(a), G)
-    pool = M.summary(S.boundary_errors(a, classify), G)
+    pool = M.summary(S.boundary_errors(a, classify, by_class=True), G)
     seg = M.detection(S.segmentation_packed(a, keep=("corpus",)), G)
     out = rates.join(pool, G, "left").join(seg, G, "left")
-    return out.withColumn("underpowered", F.col("n_matched") < 50)
+    return out.withColumn("underpowered", F.col("n_matched") < M.LEAST)
 
 
 leaderboard = leaderboard_table
 
+MATCHED_BY_CLASS = MATCHED.replace("where g_label = h_label", f"where s.h is not null and {cls_sql('g_label')} = {cls_sql('h_label')}")
 LEADERBOARD_CTE = (
-    *BASE, MATCHED, BOUNDS,
+    *BASE, MATCHED_BY_CLASS, BOUNDS,
     f"rates as (select *, {RATES} from (select corpus, system, cond, count(*) as n_utts, count(distinct speaker_id) as n_speakers, {SUMS} from counts group by all) x)",
     f"pool as (select corpus, system, cond, count(*) as n_boundaries, {pool_sql()}, {EDGE_MEANS} from errs group by all)",
     """dets as (select corpus, system, cond, ng as n_bnd_gold, nh as n_bnd_hyp, nm as n_hits, round(p, 9) as bnd_precision, round(r, 9) as bnd_recall,
@@ -316,35 +314,35 @@ LEADERBOARD_CTE = (
   round(1 - (abs(sqrt(pow(1 - r, 2) + pow(os, 2))) + abs((r - 1 - os) / sqrt(2.0::double))) / 2, 9) as r_value
 from (select corpus, system, cond, sum(n_gold_bnd)::bigint as ng, sum(n_hyp_bnd)::bigint as nh, sum(n_hits)::bigint as nm from seg join (select distinct utt_id, corpus from gold) c using (utt_id) group by all) s,
 lateral (select nm::double / nullif(nh, 0) as p, nm::double / nullif(ng, 0) as r, nh::double / nullif(ng, 0) - 1 as os) q)""",
-    "lb as materialized (select rates.*, pool.* exclude (corpus, system, cond), dets.* exclude (corpus, system, cond), n_matched < 50 as underpowered from rates left join pool using (corpus, system, cond) left join dets using (corpus, system, cond))",
+    "lb as materialized (select rates.*, pool.* exclude (corpus, system, cond), dets.* exclude (corpus, system, cond), n_matched < 30 as underpowered from rates left join pool using (corpus, system, cond) left join dets using (corpus, system, cond))",
 )
 LEADERBOARD_SQL = with_(*LEADERBOARD_CTE, select="select * from lb", recursive=True)
 
 
 def leaderboard_full(spark, sf_dir):
-    """The leaderboard with error over what all systems matched, confidence measures and a quick interval of the mean error (200 replicates; leaderboard_whole has both intervals)."""
-    return full(spark, sf_dir, lambda e: M.bootstrap(stage(e.groupBy(*G, "utt_id").agg(F.sum("abs_us").alias("s"), F.count("*").alias("c")), "perutt"), G, fx.hash32, replicates=200, seed=7))
+    """The leaderboard with error over what all systems matched, confidence measures and the interval of the mean error (leaderboard_whole has that of threshold accuracy too)."""
+    return full(spark, sf_dir, lambda e: intervals(e, G).drop("ta_lo", "ta_hi"))
 
 
 def leaderboard_whole(spark, sf_dir):
-    """As leaderboard_full, with the intervals of the mean error and of threshold accuracy over 1,000 replicates."""
+    """As leaderboard_full, with the intervals of the mean error and of threshold accuracy."""
     return full(spark, sf_dir, lambda e: intervals(e, G))
 
 
 def full(spark, sf_dir, interval):
     gold, hyp = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
     a = stage(S.align(gold, hyp), "aligned")
-    e = stage(S.boundary_errors(a, classify), "errors")
+    e = stage(S.boundary_errors(a, classify, by_class=True), "errors")
     rows = M.edit_rates(S.counters(a), G).join(M.summary(e, G), G, "left").join(M.detection(S.segmentation_packed(a, keep=("corpus",)), G), G, "left")
     keys = ["cond", "utt_id"]
     common = e.join(S.common_matched(e, keys), [*keys, "gold_idx"], "left_semi").groupBy(*G).agg(F.count("*").alias("n_common"), M.mean_ms(F.col("abs_us")).alias("mae_common_ms"))
-    out = rows.withColumn("underpowered", F.col("n_matched") < 50)
+    out = rows.withColumn("underpowered", F.col("n_matched") < M.LEAST)
     for more in (interval(e), common, M.spearman(e, G), M.auroc(e, G), M.ece(e, G)):  # each has a row a cell
         out = out.join(more, G, "left")
     return out
 
 
-FULL_SQL = with_(
+WHOLE_SQL = with_(
     *LEADERBOARD_CTE, *COMMON_CTE, *boot_parts("corpus, system, cond"),
     "rk as (select corpus, system, cond, conf, abs_us, (abs_us <= 25000)::bigint as good from errs where conf is not null)",
     "cc as (select corpus, system, cond, conf, count(*) as c, sum(good) as p from rk group by all)",
@@ -357,9 +355,7 @@ FULL_SQL = with_(
     "ec as (select corpus, system, cond, sum(c)::bigint as n_conf, round(sum(abs(g * 1000000 - m))::double / 1e6::double / sum(c), 9) as ece from bn group by all)",
     select="select * from lb " + " ".join(f"left join {t} using (corpus, system, cond)" for t in ("bt", "cm", "sp", "au", "ec")), recursive=True,
 )
-WHOLE_SQL = FULL_SQL
-for _old, _new in zip(boot_parts("corpus, system, cond"), whole_parts("corpus, system, cond"), strict=True):
-    WHOLE_SQL = WHOLE_SQL.replace(_old, _new)
+FULL_SQL = WHOLE_SQL.replace("\nselect * from lb ", "\nselect * exclude (ta_lo, ta_hi) from lb ")
 
 
 def time_aligned(spark, sf_dir):

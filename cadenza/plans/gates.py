@@ -111,9 +111,8 @@ union all select 'lossy', count(*), count(*) filter (pos % 5 <> 4), round(count(
 
 def pause_errors(spark, sf_dir):
     """Word errors inside and beside pauses: silence tokens go first; an edge is beside a pause if it is the tier's or its gap is over 1 ms."""
-    clean = lambda t, key: T.drop_labels(t.withColumn("label", F.lower(F.trim("label"))), key, A.SILENCE_TOKENS)
-    g = clean(fx.gold(spark, sf_dir), ["utt_id"])
-    e = S.boundary_errors(S.align(g, clean(fx.hyp(spark, sf_dir), S.PAIR)), A.classify)
+    g = A.words_only(fx.gold(spark, sf_dir), ["utt_id"])
+    e = S.boundary_errors(S.align(g, A.words_only(A.spoken(fx.hyp(spark, sf_dir)), S.PAIR)), A.classify)
     e = e.join(T.pauses(g, ["utt_id"], 1_000).select("utt_id", F.col("pos").alias("gold_idx"), "before", "after"), ["utt_id", "gold_idx"])
     return M.edge_split(e.withColumn("silence_adjacent", F.when(F.col("edge") == "onset", F.col("before")).otherwise(F.col("after"))), ["system", "cond"])
 

@@ -149,12 +149,13 @@ BABBLE_SQL = with_(
 def foreground(spark, sf_dir):
     p = pool(spark, sf_dir).where("half = 'train'").select("idx", "file", "noise_us")
     i = utterances(spark, sf_dir).withColumnRenamed("utt_id", "item_id")
-    return X.foreground_draws(i, p, fx.hash32, p.count(), 500_000, 16)
+    size = p.agg(F.count("*").alias("n"), F.min("noise_us").alias("least")).first()
+    return X.foreground_draws(i, p, fx.hash32, size["n"], 500_000, size["least"])
 
 
 FOREGROUND_SQL = with_(
     *PLAN_CTE, "tr as (select *, count(*) over () as size from pool where half = 'train')",
-    f"d as (select utt_id as item_id, dur_us, n, {hash32(chr(39) + 'fg:' + chr(39) + ' || utt_id || ' + chr(39) + ':' + chr(39) + ' || n')} % (select max(size) from tr) as idx from utts, range(16) r(n))",
+    f"d as (select utt_id as item_id, dur_us, n, {hash32(chr(39) + 'fg:' + chr(39) + ' || utt_id || ' + chr(39) + ':' + chr(39) + ' || n')} % (select max(size) from tr) as idx from utts, range((select max(dur_us) // (500000 + (select min(noise_us) from tr)) + 1 from utts)) r(n))",
     "a as (select item_id, dur_us, n::int as n, file, coalesce(sum(noise_us + 500000) over (partition by item_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as at_us from d join tr using (idx))",
     select="select item_id, n, file, at_us from a where at_us < dur_us",
 )

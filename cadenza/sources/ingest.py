@@ -13,8 +13,8 @@ INTERVALS = "array<struct<label:string,start_us:bigint,end_us:bigint,conf:double
 HYP = f"item_id string, utt_id string, condition string, aligner string, mode string, source string, rtf double, words {INTERVALS}, phones {INTERVALS}"
 # fixed value: the order of the parts of a cell's path
 CELL = ["kind", "tool", "lang", "corpus", "subset", "cell_condition"]
-# fixed value: names that betray machine-made annotation; callers may add to them, never take away
-MACHINE_ALIGNED = ("mfa", "montreal", "auto", "aligned", "whisper")
+# fixed value: names of corpora whose annotation is machine-made; callers may add to them, never take away
+MACHINE_ALIGNED = ("librispeech-alignments", "libritts", "libritts-r", "common-voice-alignments", "commonvoice", "cmu-arctic", "mfa-aligned")
 
 
 def read_json(spark: SparkSession, path: str, schema: str = HYP) -> DataFrame:
@@ -80,7 +80,7 @@ def word_pronunciations(tier: DataFrame) -> DataFrame:
 
 def textgrids(files: DataFrame) -> DataFrame:
     """Interval tiers of long-form TextGrids: path, tier (lower case), pos, label, start_us, end_us. Empty labels are ``sil``; of error-coded ``a,b,c`` the first stays; words are lower-cased."""
-    tiers = files.select("path", F.explode(F.slice(F.split("content", r"item \[\d+\]:"), 2, 10_000)).alias("body")).where(F.contains("body", F.lit('"IntervalTier"')))
+    tiers = files.select("path", F.explode(F.slice(F.split("content", r"item \[\d+\]:"), 2, F.size(F.split("content", r"item \[\d+\]:")))).alias("body")).where(F.contains("body", F.lit('"IntervalTier"')))
     name = F.lower(F.regexp_extract("body", r'name = "([^"]*)"', 1))
     pattern = r'intervals \[\d+\]:\s*xmin = ([-0-9.eE]+)\s*xmax = ([-0-9.eE]+)\s*text = "((?:[^"]|"")*)"'
     found = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "t"))])
@@ -137,12 +137,18 @@ def layout_probe(files: DataFrame, probes: list[tuple[str, int]]) -> DataFrame:
     return p.join(n, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"), "least", (F.coalesce("n", F.lit(0)) >= F.col("least")).alias("ok"))
 
 
+def machine_aligned(path: Column, more: tuple[str, ...] = ()) -> Column:
+    """The first name of the list that ``path`` contains, whatever the case and with ``_`` as ``-``; null if none."""
+    plain = lambda x: x.lower().replace("_", "-")
+    hay = F.replace(F.lower(path), F.lit("_"), F.lit("-"))
+    return F.coalesce(*[F.when(F.contains(hay, F.lit(plain(n))), n) for n in dict.fromkeys((*MACHINE_ALIGNED, *more))])
+
+
 def assert_gold_allowed(files: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """``files`` unchanged; raises if a part of a path says that its annotation is machine-made."""
-    names = "|".join(dict.fromkeys(MACHINE_ALIGNED + tuple(n.lower() for n in more)))
-    bad = files.where(F.lower("path").rlike(rf"(^|[/_.-])({names})([/_.-]|$)")).select("path").take(1)
+    """``files`` unchanged; raises if a path names a corpus whose annotation is machine-made."""
+    bad = files.select("path", machine_aligned(F.col("path"), more).alias("name")).where("name is not null").take(1)
     if bad:
-        raise ValueError(f"machine-aligned annotation can't be a reference: {bad[0][0]}")
+        raise ValueError(f"machine-aligned annotation can't be a reference: {bad[0]['path']} ({bad[0]['name']})")
     return files
 
 

@@ -120,10 +120,18 @@ def test_class_matching_leaves_recall(spark):
     assert (c["n_matched"], c["n_gold"], c["n_sub"]) == (1, 3, 2)
 
 
-def test_greedy_is_not_maximum(spark):
-    bounds = lambda times, **k: spark.createDataFrame([("u", "s", "c", i, t) for i, t in enumerate(times)], "utt_id string, system string, cond string, idx int, t_us long")
-    g, h = bounds([0, 15_000]).drop("system", "cond"), bounds([14_000, 34_000])
-    assert S.strict_hits(S.within_tolerance(g, h, S.PAIR, 20_000), S.PAIR).first()["hits"] == 1
+def test_greedy_is_not_maximum():
+    at = lambda x: (np.array(x, np.int64), np.array([len(x)]))
+    assert S.hits_of(*at([0, 15_000]), *at([14_000, 34_000]), 20_000).tolist() == [1]
+
+
+def test_nearest_of():
+    rng = np.random.default_rng(2)
+    g, h = ([np.unique(rng.integers(-50, 300, n)) for n in sizes] for sizes in ([5, 0, 9, 1, 30], [4, 3, 0, 7, 20]))
+    sizes = lambda x: np.array([len(y) for y in x])
+    got = S.nearest_of(np.concatenate(g), sizes(g), np.concatenate(h), sizes(h), 15)
+    want = [min(((abs(a - t), i) for i, a in enumerate(x) if abs(a - t) <= 15), default=(0, -1))[1] for x, y in zip(g, h, strict=True) for t in y]
+    assert got.tolist() == want and S.hits_of(np.concatenate(g), sizes(g), np.concatenate(h), sizes(h), 15).tolist() == [slow_hits(x, y, 15) for x, y in zip(g, h, strict=True)]
 
 
 def slow_hits(g, h, tol):
@@ -228,6 +236,9 @@ def test_tier_edges(spark):
     assert {(r["pos"], r["rule"]) for r in T.violations(t, ["utt_id"], F.lit(50), 1).collect()} == {(0, "negative_start"), (1, "not_positive"), (2, "past_end")}
     kept, dropped = T.drop_out_of_range(t, ["utt_id"], F.lit(50), 10)
     assert kept.count() == 2 and dropped.first()["n_dropped"] == 1
+    odd = tier(spark, [("early", -11, 5), ("edge", -10, 60), ("late", 61, 5), ("fine", 1, 2)])
+    assert [r["label"] for r in T.drop_out_of_range(odd, ["utt_id"], F.lit(50), 10)[0].orderBy("pos").collect()] == ["edge", "fine"]
+    assert T.drop_out_of_range(odd, ["utt_id"], F.lit(None).cast("long"), 10)[1].first()["n_dropped"] == 0
     words = spark.createDataFrame([("<EXT-a_b-c>",), ("<EXT-x=y>",), ("plain",), ("<EXT->",)], "label string")
     assert [r[0] for r in words.select(T.recover_hidden_words(F.col("label"))).collect()] == ["a b c", None, None, None]
     assert T.overlapping(t, tier(spark, [("x", 20, 30)]), ["utt_id"]).count() == 1
@@ -254,7 +265,9 @@ def test_readers(spark, tmp_path):
     c = {r["key"]: r for r in I.mix_commands(one).collect()}
     assert c["u1"]["noises"] == ["/n/a.wav", "/n/b c.wav"] and c["u1"]["snrs"] == [5, 10.5] and c["u1"]["rir"] == "/r/x.wav" and c["u2"]["noises"] == [] and c["u2"]["rir"] is None
     with pytest.raises(ValueError):
-        I.assert_gold_allowed(spark.createDataFrame([("/x/mfa/a.txt",)], "path string"))
+        I.assert_gold_allowed(spark.createDataFrame([("/x/LibriTTS_R/a.txt",)], "path string"))
+    found = {x: spark.range(1).select(I.machine_aligned(F.lit(x), ("own_list",))).first()[0] for x in ("/a/LibriTTS_R/b", "/a/librispeech-alignments", "/x/cmu_arctic/1", "/x/own-list/1", "/x/timit/train")}
+    assert [*found.values()] == ["libritts", "librispeech-alignments", "cmu-arctic", "own_list", None]
     assert I.layout_probe(spark.createDataFrame([("/a/b.wav",)], "path string"), [(r"\.wav$", 1), (r"\.txt$", 1)]).where("ok").count() == 1
     cells = spark.createDataFrame([("/root/aligners/t/en/c/dev/origin/f.json",)], "path string").select(*I.cell_key(F.col("path"))).first()
     assert tuple(cells) == ("aligners", "t", "en", "c", "dev", "origin")

@@ -1,6 +1,7 @@
 """Noise plans, gates and systems under test: known answers, empty tables, and queries against their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_entry import SF, TABLES
@@ -151,7 +152,7 @@ def test_weighted_pick(spark):
 def compare(spark, monkeypatch, rows):
     hyp = spark.createDataFrame(rows, "utt_id string, system string, cond string, pos int, label string, start_us bigint, end_us bigint, conf double")
     monkeypatch.setattr(fx, "hyp", lambda *_: hyp)
-    return {(r.cond, r.state): r.n for r in registry.queries()["compare_all_runs", "bootstrap_whole"](spark, SF).collect()}
+    return {(r.cond, r.state): r.n for r in registry.queries()["compare_all_runs"](spark, SF).collect()}
 
 
 def test_runs_are_compared_whole(spark, monkeypatch):
@@ -169,16 +170,48 @@ def test_whole_query_equals_sql(spark, name):
 
 def test_bootstrap_of_several_means(spark):
     per = spark.createDataFrame([("g", f"u{k}", 1000 * k, k % 2, 1) for k in range(30)], "g string, utt_id string, s bigint, t bigint, c bigint")
-    one, both = (M.bootstrap(per, ["g"], fx.hash32, replicates=100, more=m).first().asDict() for m in (None, {"ta": ("t", 1)}))
+    one, both = (M.bootstrap(per, ["g"], replicates=100, more=m).first().asDict() for m in (None, {"ta": ("t", 1)}))
     assert {k: both[k] for k in one} == one and 0 < both["ta_lo"] < 0.5 < both["ta_hi"] < 1
-    same = M.bootstrap(per.withColumn("t", F.col("s")), ["g"], fx.hash32, replicates=100, more={"ta": ("t", 1000)}).first()
+    same = M.bootstrap(per.withColumn("t", F.col("s")), ["g"], replicates=100, more={"ta": ("t", 1000)}).first()
     assert (same.ta_lo, same.ta_hi) == (same.lo, same.hi)
 
 
-def test_whole_intervals_take_all_replicates():
-    sql = registry.oracle_sql()
-    for name in ("bootstrap_whole", "leaderboard_whole"):
-        assert "range(1000) t(b)" in sql[name] and "range(200)" not in sql[name] and "ta_lo" in sql[name]
+def test_weights_are_poisson(spark):
+    values = np.arange(65_536)
+    weight = sum((values >= t).astype(int) for t in M.POISSON)
+    assert abs(weight.mean() - 1) < 1e-4 and abs(weight.var() - 1) < 1e-3 and abs((weight == 0).mean() - np.exp(-1)) < 2e-5
+    rng = np.random.default_rng(1)
+    x = rng.gamma(2, 5000, 400).astype(int)
+    got = M.bootstrap(spark.createDataFrame([("g", f"u{i}", int(v), 1) for i, v in enumerate(x)], "g string, utt_id string, s bigint, c bigint"), ["g"]).first()
+    plain = np.quantile([rng.choice(x, len(x)).mean() / 1000 for _ in range(2000)], [0.025, 0.975])
+    assert [got.lo, got.hi] == pytest.approx(plain, rel=0.03)
+
+
+def test_foreground_covers_long_items(spark):
+    items = spark.createDataFrame([("long", 10_000_000), ("short", 1), ("none", 0)], "item_id string, dur_us bigint")
+    pool = spark.createDataFrame([(0, "a", 100_000), (1, "b", 300_000)], "idx int, file string, noise_us bigint")
+    rows = X.foreground_draws(items, pool, fx.hash32, 2, 50_000, 100_000).orderBy("item_id", "n").collect()
+    size, at = {"a": 100_000, "b": 300_000}, 0
+    for r in [r for r in rows if r.item_id == "long"]:
+        assert r.at_us == at < 10_000_000
+        at += size[r.file] + 50_000
+    assert at >= 10_000_000 and sum(r.item_id == "short" for r in rows) == 1 and not any(r.item_id == "none" for r in rows)
+
+
+def test_labels_of_speech(spark):
+    labels = ["SIL", "ah", "<X>", "", "AH", "lau", "{B_TRANS}", "Noise", "t-", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, label string").orderBy("i")
+    rows = df.select(T.is_break(F.col("label")), T.is_nonspeech(F.col("label")), T.is_real_phone(F.col("label")), T.rename_events(F.col("label")), T.is_sil(F.col("label"))).collect()
+    assert [r[0] for r in rows] == [True, False, True, False, False, False, True, True, False, None]
+    assert [r[1] for r in rows] == [True, False, True, True, True, False, True, True, False, None]
+    assert [r[2] for r in rows] == [False, True, False, False, False, True, False, False, True, None]
+    assert [r[3] for r in rows] == ["!sil", "ah", "<X>", "", "AH", "lau", "{B_TRANS}", "[noise]", "t-", None]
+
+
+def test_segments_keep_their_numbers(spark):
+    s = spark.createDataFrame([("a", 0, -5, 300_000), ("a", 1, 400_000, 950_000), ("a", 2, 990_000, 2_000_000), ("b", 0, 5, 9)], "track string, segment int, start_us bigint, end_us bigint")
+    got = T.clamp_segments(s, spark.createDataFrame([("a", 1_000_000)], "track string, dur_us bigint"), ["track"]).orderBy("track", "segment").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0, 300_000), ("a", 1, 400_000, 950_000), ("b", 0, 5, 9)]
 
 
 def test_segments_by_another_tier(spark):
