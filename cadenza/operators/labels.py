@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.phones import SOURCES, norm_key
+from ..functions import phones
+from ..functions.phones import norm_key
 
 
 def canonicalize(tier: DataFrame, label_map: DataFrame, source: str = "source") -> DataFrame:
@@ -25,9 +26,9 @@ def canonicalize(tier: DataFrame, label_map: DataFrame, source: str = "source")
     return t.select(*tier.columns, canonical.alias("canonical"), outcome.alias("outcome"))
 
 
-def check_source(source: str) -> str:
-    if source not in SOURCES:
-        raise ValueError(f"unknown label source {source!r}; known: {', '.join(SOURCES)}")
+def check_source(source: str, accent: str = "us") -> str:
+    if source not in phones.sources(accent):
+        raise ValueError(f"unknown label source {source!r}; known: {', '.join(phones.sources(accent))}")
     return source
 
 
@@ -51,7 +52,34 @@ def inventory(tier: DataFrame, group: list[str]) -> DataFrame:
     return tier.groupBy(*group).agg(F.countDistinct("label").alias("n_labels"), F.count("*").alias("n"))
 
 
-def agree_by_category(pairs: DataFrame, rhotic_ref: tuple[str, ...] = ("er", "r"), rhotic_test: tuple[str, ...] = ("er", "ax", "ah")) -> DataFrame:
-    """Category agreement of (ref_label, ref_cat, test_label, test_cat): a listed test label against a listed reference label takes the reference's; unknown never agrees."""
-    cat = F.when(F.col("ref_label").isin(*rhotic_ref) & F.col("test_label").isin(*rhotic_test), F.col("ref_cat")).otherwise(F.col("test_cat"))
-    return pairs.withColumn("test_cat", cat).withColumn("agree", (F.col("ref_cat") == F.col("test_cat")) & (F.col("ref_cat") != "unknown"))
+def categorize(pairs: DataFrame, categories: DataFrame) -> DataFrame:
+    """``pairs(corpus, family, ref_label, test_label, ...)`` with ref_cat, test_cat and agree added.
+
+    ``categories(side, family, label, category)`` is a dimension of a few hundred rows. Labels it doesn't have are unknown, and unknown never agrees; a mark for an
+    utterance's edge is silence. A rhotic test label against a rhotic reference label takes the reference's category, whatever its own.
+    """
+    side = lambda s, c: F.broadcast(categories.where(F.col("side") == s).select(F.col("family").alias(f"_{c}f"), F.col("label").alias(f"_{c}l"), F.col("category").alias(f"_{c}")))
+    t = pairs.join(side("ref", "r"), (F.col("corpus") == F.col("_rf")) & (F.col("ref_label") == F.col("_rl")), "left")
+    t = t.join(side("test", "t"), (F.col("family") == F.col("_tf")) & (F.col("test_label") == F.col("_tl")), "left")
+    ref = F.when(F.col("ref_label") == phones.EDGE, "silence").otherwise(F.coalesce("_r", F.lit(phones.UNKNOWN)))
+    test = F.when(F.col("test_label") == phones.EDGE, "silence").otherwise(F.coalesce("_t", F.lit(phones.UNKNOWN)))
+    rhotic = F.col("test_label").isin(*phones.RHOTIC_TEST) & F.col("ref_label").isin(*phones.RHOTIC_REFERENCE)
+    t = t.withColumns({"ref_cat": ref, "test_cat": F.when(rhotic, ref).otherwise(test)})
+    return t.select(*pairs.columns, "ref_cat", "test_cat", ((F.col("ref_cat") == F.col("test_cat")) & (F.col("ref_cat") != phones.UNKNOWN)).alias("agree"))
+
+
+def read_mapping(files: DataFrame) -> DataFrame:
+    """Mapping files(path, content) of ``label: reference`` lines -> path, label, refs array<string>.
+
+    A value is one label, a list in brackets, or a list of ``- label`` lines below. Quotes around labels are taken off; comments and other lines are passed over.
+    """
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^['"](.*)['"]$""", "$1")
+    ls = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("line", "text")).where(~F.col("text").rlike(r"^\s*(#|$)"))
+    head = F.regexp_extract("text", r"^([^\s-].*?):(\s|$)", 1)
+    w = Window.partitionBy("path").orderBy("line")
+    ls = ls.withColumn("label", F.last(F.when(head != "", bare(head)), ignorenulls=True).over(w))
+    value = F.when(head != "", F.regexp_extract("text", r"^[^\s-].*?:\s*(.*)$", 1)).otherwise(F.regexp_extract("text", r"^\s*-\s+(.*)$", 1))
+    inner = F.regexp_extract(F.trim(value), r"^\[(.*)\]$", 1)
+    found = F.when(inner != "", F.split(inner, ",")).otherwise(F.array(value))
+    refs = ls.where("label is not null").select("path", "label", "line", F.posexplode(found).alias("k", "ref")).select("path", "label", "line", "k", bare(F.col("ref")).alias("ref")).where("ref <> ''")
+    return refs.groupBy("path", "label").agg(F.array_sort(F.collect_list(F.struct("line", "k", "ref")))["ref"].alias("refs"))

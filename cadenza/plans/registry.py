@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, gates, ingest, noise, pool, reports, tiers
+from . import alignment, gates, ingest, labelling, noise, pool, reports, tiers
 
-GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates)
+GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling)
 
 
 def flagship(spark, sf_dir):
