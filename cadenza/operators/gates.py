@@ -82,3 +82,42 @@ def rank_within(table: DataFrame, track: list[str], metric: str, member: str = "
     """Adds place by ``metric`` (smallest first, ties share one) inside each track; rows without a value have none. Tracks never share a ranking."""
     place = F.rank().over(Window.partitionBy(*track).orderBy(F.col(metric).asc_nulls_last()))
     return table.withColumn("place", F.when(F.col(metric).isNotNull(), place))
+
+
+def cell_status(expected: DataFrame, have: DataFrame, key: list[str]) -> DataFrame:
+    """Expected cells with n_records and status: ``done``, or ``empty`` where ``have(key, n_records)`` has no row or none."""
+    s = expected.select(*key).join(have, key, "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+    return s.withColumn("status", F.when(F.col("n_records") > 0, "done").otherwise("empty"))
+
+
+def identical_conditions(hyp: DataFrame, group: list[str], limit: float) -> DataFrame:
+    """For each pair of conditions of a group the share of utterances in both whose intervals are the same; ok below ``limit``.
+
+    ``hyp(group, utt_id, cond, pos, label, start_us, end_us)``. An utterance's intervals are packed once and its few conditions meet in one join on it.
+    """
+    t = hyp.groupBy(*group, "utt_id", "cond").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "start_us", "end_us"))).alias("t"))
+    t = t.withColumn("t", F.transform("t", lambda x: F.struct(x["label"], x["start_us"], x["end_us"])))
+    a, b = t.withColumnsRenamed({"cond": "cond_a", "t": "ta"}), t.withColumnsRenamed({"cond": "cond_b", "t": "tb"})
+    same = F.sum((F.col("ta") == F.col("tb")).cast("bigint"))
+    pairs = a.join(b, [*group, "utt_id"]).where("cond_a < cond_b").groupBy(*group, "cond_a", "cond_b").agg(F.count("*").alias("n"), same.alias("n_same"))
+    share = F.col("n_same") / F.col("n")
+    return pairs.select("*", F.round(share, 9).alias("share"), (share < limit).alias("ok"))
+
+
+def ingest_summary(tier: DataFrame, report: DataFrame, group: str) -> DataFrame:
+    """Per group: utterances, speakers and intervals of ``tier``, errors and warnings of ``report(group, severity)``."""
+    n = lambda s: F.sum((F.col("severity") == s).cast("bigint"))
+    found = report.groupBy(group).agg(n("error").alias("n_errors"), n("warning").alias("n_warnings"))
+    made = tier.groupBy(group).agg(F.countDistinct("utt_id").alias("n_utts"), F.countDistinct("speaker_id").alias("n_speakers"), F.count("*").alias("n_intervals"))
+    return made.join(found, group, "left").fillna(0, ["n_errors", "n_warnings"])
+
+
+def strata(members: DataFrame, side: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Members and their utterances in each combination of ``by``, columns of ``side(key, ...)``."""
+    return members.join(side, key).groupBy(*by).agg(F.countDistinct(key).alias(f"n_{key.removesuffix('_id')}s"), F.count("*").alias("n_utts"))
+
+
+def snr_gate(measured: DataFrame, tolerance_db: float = 0.5) -> DataFrame:
+    """``measured(item_id, snr_db, achieved_db, n_clean, n_mixed)`` with error_db and ok: as long as the clean one, and its SNR within the tolerance. A silent noise achieves none."""
+    error = F.abs(F.col("achieved_db") - F.col("snr_db"))
+    return measured.withColumns({"error_db": error, "ok": (F.col("n_clean") == F.col("n_mixed")) & F.coalesce(error < tolerance_db, F.lit(False))})

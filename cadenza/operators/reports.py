@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,70 @@ def would_change(published: DataFrame, new: DataFrame) -> DataFrame:
     """Rows only one of two tables has: side (removed or added) and the row's columns."""
     new = new.select(*published.columns)
     return published.exceptAll(new).withColumn("side", F.lit("removed")).unionByName(new.exceptAll(published).withColumn("side", F.lit("added")))
+
+
+def view(lb: DataFrame, corpus: str, condition: str, columns: list[str], key: tuple[str, ...] = ("system",)) -> DataFrame:
+    """A corpus and condition's rows with chosen columns, and place, their number in order of ``key``. A display table: its order is one window over it."""
+    rows = lb.where((F.col("corpus") == corpus) & (F.col("cond") == condition))
+    return rows.select(F.row_number().over(Window.orderBy(*key)).alias("place"), *key, *columns)
+
+
+def condition_parts(condition: Column) -> tuple[Column, Column]:
+    """Noise and SNR in dB of ``<noise>_snr<dB>``; a condition without an SNR is its own noise and has a null SNR."""
+    snr = F.regexp_extract(condition, r"^(.*)_snr(-?\d+)$", 2)
+    return F.when(snr != "", F.regexp_extract(condition, r"^(.*)_snr(-?\d+)$", 1)).otherwise(condition), F.nullif(snr, F.lit("")).cast("int")
+
+
+def robustness(lb: DataFrame, key: list[str], metric: str, at_snr: int = 10, tolerance: float = 0.15, clean: str = "clean") -> DataFrame:
+    """Per key and noise: clean and degraded value at ``at_snr``, their ratio (null for a clean value of 0 or none), and whether the metric never improves by more than
+    ``tolerance`` as the SNR falls, the clean value first. Nulls are passed over."""
+    noise, snr = condition_parts(F.col("cond"))
+    rows = lb.withColumns({"noise": noise, "snr": snr})
+    base = rows.where(F.col("cond") == clean).select(*key, F.col(metric).alias("clean"))
+    series = F.array_sort(F.collect_list(F.when(F.col(metric).isNotNull(), F.struct((-F.col("snr")).alias("by"), F.col(metric).alias("v")))))
+    made = rows.where("snr is not null").groupBy(*key, "noise").agg(series["v"].alias("s"), F.max(F.when(F.col("snr") == at_snr, F.col(metric))).alias("degraded")).join(base, key, "left")
+    seq = F.when(F.col("clean").isNull(), F.col("s")).otherwise(F.concat(F.array("clean"), "s"))
+    steps = F.transform(seq, lambda x, i: F.coalesce(x >= F.get(seq, i - 1) * (1 - tolerance), F.lit(True)))
+    ratio = F.when(F.col("clean") != 0, F.round(F.col("degraded") / F.col("clean"), 9))
+    return made.select(*key, "noise", "clean", "degraded", ratio.alias("ratio"), F.forall(steps, lambda x: x).alias("monotone"))
+
+
+def published(lb: DataFrame, hidden_prefixes: tuple[str, ...] = (), kept: tuple[str, ...] = (), blank: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Without systems that are, or begin with, a hidden name and ``_`` unless they're in ``kept``; columns of the systems in ``blank`` are null."""
+    hidden = F.lit(False)
+    for p in hidden_prefixes:
+        hidden = hidden | (F.col("system") == p) | F.startswith("system", F.lit(p + "_"))
+    rows = lb.where(~hidden | F.col("system").isin(*kept))
+    columns = {c for cs in (blank or {}).values() for c in cs}
+    return rows.withColumns({c: F.when(~F.col("system").isin(*[s for s, cs in blank.items() if c in cs]), F.col(c)) for c in sorted(columns)})
+
+
+def shown(value: Column, digits: int = 2, scale: float = 1.0) -> Column:
+    """A number for display; nulls are a dash."""
+    return F.coalesce(_fixed(value * scale, digits), F.lit("—"))
+
+
+def _fixed(value: Column, digits: int) -> Column:
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.round(value, digits)))
+
+
+def pair_cell(a: Column, b: Column, digits: int = 3) -> Column:
+    return F.concat(shown(a, digits), F.lit("/"), shown(b, digits))
+
+
+def interval_cell(value: Column, low: Column, high: Column, digits: int = 2) -> Column:
+    """``value [low,high]``, or the value alone where there is no interval."""
+    return F.concat(shown(value, digits), F.coalesce(F.concat(F.lit(" ["), _fixed(low, digits), F.lit(","), _fixed(high, digits), F.lit("]")), F.lit("")))
+
+
+def best_covered(lb: DataFrame, key: list[str], split: str, coverage: str) -> DataFrame:
+    """Of each key's rows those of the split with the largest summed coverage (ties: the first by name)."""
+    by = lb.groupBy(*key, split).agg(F.sum(coverage).alias("_n"))
+    best = by.groupBy(*key).agg(F.min_by(split, F.struct(-F.col("_n"), F.col(split))).alias(split))
+    return lb.join(best, [*key, split], "left_semi")
+
+
+def in_reporting_order(lb: DataFrame, subset: str, order: list[str]) -> DataFrame:
+    """Adds rank, the subset's place in ``order``; subsets it doesn't name come last."""
+    at = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(subset))
+    return lb.withColumn("rank", F.when(at > 0, at).otherwise(len(order) + 1).cast("int"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, gates, ingest, labelling, noise, pool, reports, tiers
+from . import alignment, cells, gates, ingest, labelling, noise, pool, reports, tiers, words
 
-GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling)
+GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells)
 
 
 def flagship(spark, sf_dir):

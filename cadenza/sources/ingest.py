@@ -6,6 +6,10 @@ Schemas are always explicit.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,23 @@ def cell_key(path: Column) -> list[Column]:
     return [F.regexp_extract(path, "/" + "/".join(["([^/]+)"] * 6) + "/[^/]+$", i + 1).alias(c) for i, c in enumerate(CELL)]
 
 
+def list_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Every cell below ``path`` that has files, with n_files: found by listing, contents are never read. Folders may be named ``<part>`` or ``<column>=<part>``."""
+    bare = [F.regexp_replace(c, rf"^{n}=", "").alias(n) for c, n in zip(cell_key(F.col("path")), CELL, strict=True)]
+    return listing(spark, path).where(~F.col("path").rlike("/[._][^/]*$")).select(*bare).groupBy(*CELL).agg(F.count("*").alias("n_files"))
+
+
+def read_cells(spark: SparkSession, path: str, schema: str = HYP) -> DataFrame:
+    """The items of all cells below ``path`` (folders named ``<column>=<part>``) with the cell's parts as columns; a filter on those skips the other folders."""
+    parts = ", ".join(f"{c} string" for c in CELL)
+    return read_json(spark, path, f"{schema}, {parts}")
+
+
+def read_speakers(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A tab-separated table; lines that begin with ``#`` are comments."""
+    return spark.read.schema(schema).option("sep", "\t").option("comment", "#").csv(path)
+
+
 def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
 
@@ -122,6 +143,28 @@ def mix_commands(text: DataFrame) -> DataFrame:
     return kv.select("key", numbers("snrs").alias("snrs"), noises.alias("noises"), numbers("start-times").alias("start_times"), rir.alias("rir"))
 
 
+def padded_durations(commands: DataFrame, media: DataFrame) -> DataFrame:
+    """Length of what each of text(value: id, then a command or a path) gives: that of ``media(path, dur_us)``, a delay in ms and a padding in seconds: key, dur_us (null without a medium)."""
+    kv = key_values(commands)
+    named = F.regexp_extract("value", r"-i\s+(\S+)", 1)
+    path = F.when(named != "", named).otherwise(F.trim(F.regexp_replace(F.trim("value"), r"\|$", "")))
+    extra = lambda pattern, by: F.coalesce(F.round(F.regexp_extract("value", pattern, 1).try_cast("double") * by).cast("bigint"), F.lit(0))
+    t = kv.select("key", path.alias("path"), (extra(r"adelay=(\d+)", 1000) + extra(r"pad_dur=([\d.]+)", 1_000_000)).alias("_more"))
+    return t.join(media, "path", "left").select("key", (F.col("dur_us") + F.col("_more")).alias("dur_us"))
+
+
+def noise_catalog(files: DataFrame, notes: DataFrame) -> DataFrame:
+    """Noise files(path: …/<kind>/<name>.wav) by name: kind, vocals and missing.
+
+    ``notes(value)`` are lines about music: a name, anything, and at the end whether there are vocals (Y or N). A file without a note has null vocals; a note without a
+    file is missing music.
+    """
+    f = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("kind"), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), "path")
+    p = F.split(F.trim("value"), r"\s+")
+    n = notes.where(F.size(p) >= 2).select(F.get(p, F.lit(0)).alias("name"), (F.element_at(p, -1) == "Y").alias("vocals"))
+    return f.join(n, "name", "full").select("name", F.coalesce("kind", F.lit("music")).alias("kind"), "path", "vocals", F.col("path").isNull().alias("missing"))
+
+
 def resolve_media(utts: DataFrame, files: DataFrame, priority: tuple[str, ...] = ("wav", "flac", "sph")) -> DataFrame:
     """One file an utterance by extension, first in ``priority``: utts with path (null if none). ``files(path)`` are named ``<utt_id>.<ext>``."""
     f = files.select("path", F.regexp_extract("path", r"([^/]+)\.([A-Za-z0-9]+)$", 1).alias("utt_id"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
@@ -152,15 +195,62 @@ def assert_gold_allowed(files: DataFrame, more: tuple[str, ...] = ()) -> DataFra
     return files
 
 
+def export_refs(tier: DataFrame, path: str, partition: list[str]) -> None:
+    """Reference tiers as JSON lines, an utterance a line: utt_id and intervals(label, start, end) in seconds of six digits, by ``partition``. Utterances without intervals have none."""
+    sec = lambda c: F.round(F.col(c) / 1_000_000, 6)
+    one = F.struct("pos", F.struct("label", sec("start_us").alias("start"), sec("end_us").alias("end")).alias("x"))
+    made = tier.groupBy(*partition, "utt_id").agg(F.array_sort(F.collect_list(one))["x"].alias("intervals"))
+    export_tier(made, path, partition)
+
+
 def export_tier(tier: DataFrame, path: str, partition: list[str]) -> None:
-    """Reference tiers as JSON lines, partitioned; a partition that is written again is replaced whole, others stay."""
-    tier.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*partition).json(path)
+    """JSON lines, partitioned, in order of utterance within a file; a partition that is written again is replaced whole, others stay."""
+    order = [c for c in ("utt_id", "pos") if c in tier.columns]
+    tier.repartition(*partition, F.pmod(F.xxhash64("utt_id"), F.lit(64))).sortWithinPartitions(*partition, *order).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*partition).json(path)
+
+
+def replace_table(table: DataFrame, path: str, form: str = "parquet", **options) -> None:
+    """Write a new version beside the old ones, then name it in ``path``/CURRENT by one rename: readers see the old table or the new one, never half of either."""
+    spark = table.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    table.write.options(**options).format(form).save(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, named = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (f"_{version}", "CURRENT"))
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, named, over)
+
+
+def current_table(spark: SparkSession, path: str, form: str = "parquet", **options) -> DataFrame:
+    """What ``replace_table`` wrote last."""
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.options(**options).format(form).load(f"{path}/{version}")
+
+
+def write_results(table: DataFrame, per_type: DataFrame, path: str, keys: tuple[str, ...] = ("corpus", "system", "cond")) -> None:
+    """The leaderboard as Parquet and CSV and the table by type as Parquet, each replaced as a whole, rows in order of ``keys``."""
+    ordered = table.orderBy(*keys)
+    replace_table(ordered, f"{path}/leaderboard")
+    replace_table(ordered, f"{path}/leaderboard_csv", "csv", header=True)
+    replace_table(per_type.orderBy(*keys, "left_class", "right_class"), f"{path}/per_type")
+
+
+def variant_key(**parts) -> str:
+    """A name for a result that changes with whatever changes the result: subset, protocol, options, the folder of the audio."""
+    return hashlib.sha1(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def media_key(path: Column) -> Column:
+    """A short name for the folder a medium lies in, so that two roots never share an output."""
+    return F.concat(F.lit("a"), F.substring(F.sha1(F.regexp_replace(path, r"/[^/]*$", "")), 1, 8))
 
 
-def write_results(table: DataFrame, path: str) -> None:
-    """Parquet and CSV, replaced as a whole by Spark's commit."""
-    table.write.mode("overwrite").parquet(f"{path}/parquet")
-    table.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+def first_items(tier: DataFrame, n: int, key: str = "utt_id") -> DataFrame:
+    """The tiers of the first ``n`` items by name, for a trial run."""
+    return tier.join(tier.select(key).distinct().orderBy(key).limit(n), key, "left_semi")
 
 
 def publish(table: DataFrame, path: str, month: str) -> None:
