@@ -157,3 +157,35 @@ def rekey(table: DataFrame, ids: list[str], prefix: str = "", suffix: str = "")
     """The same ids under a prefix and a suffix, in any side table; ``id -> original`` is ``rekey`` of a copy of the column."""
     mark = lambda text: [F.lit(text)] if text else []
     return table.withColumns({c: F.concat(*mark(prefix), F.col(c).cast("string"), *mark(suffix)) for c in ids})
+
+
+#: Parameters of the conditions that add noise to whole corpora; values as they're given to the augmentation tools.
+RECIPES = (
+    ("reverb", "rooms", "smallroom:0.5,mediumroom:0.5"), ("reverb", "speech_probability", "1"), ("noise", "fg_interval_s", "1"), ("noise", "fg_snrs", "15:10:5:0"), ("music", "bg_snrs", "15:10:8:5"), ("music", "num_bg_noises", "1"),
+    ("babble", "bg_snrs", "20:17:15:13"), ("babble", "num_bg_noises", "3:4:5:6:7"),
+)
+
+
+def recipes(spark) -> DataFrame:
+    """kind, parameter, value: a row each; lists of values are joined by colons."""
+    return spark.createDataFrame(list(RECIPES), "kind string, parameter string, value string")
+
+
+def recipe_values(kind: str, parameter: str) -> list[int]:
+    """A recipe's list of whole numbers."""
+    return [int(v) for v in dict(((k, p), v) for k, p, v in RECIPES)[kind, parameter].split(":")]
+
+
+def plan_table(items: DataFrame, sources: DataFrame, scales: DataFrame, media: Column) -> DataFrame:
+    """The manifest of a mix, a row an item: item_id, utt_id, condition, noise_type, snr_db, noise_source_file, noise_offset_s, noise_scale, mixed_audio_path.
+
+    ``items(item_id, utt_id, condition, noise_type, snr_db, path)``, ``sources(item_id, file, offset_us)``, ``scales(item_id, scale)``; clean items have neither. Offsets are
+    rounded to six digits, scales to eight. Outputs lie below ``media``, a name for the folder the item's audio comes from, so that two roots never share one.
+    """
+    t = items.join(sources, "item_id", "left").join(scales, "item_id", "left")
+    noisy = F.col("noise_type").isNotNull()
+    path = F.concat_ws("/", media, "utt_id", F.concat(F.when(noisy, F.col("condition")).otherwise("clean"), F.lit(".wav")))
+    return t.select(
+        "item_id", "utt_id", "condition", "noise_type", "snr_db", F.when(noisy, F.col("file")).alias("noise_source_file"), F.when(noisy, F.round(F.col("offset_us") / 1e6, 6)).alias("noise_offset_s"),
+        F.when(noisy, F.round("scale", 8)).alias("noise_scale"), path.alias("mixed_audio_path"),
+    )

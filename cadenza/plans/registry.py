@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cells, gates, ingest, labelling, noise, pool, reports, tiers, words
+from . import alignment, cells, gates, ingest, labelling, mixes, noise, pool, reports, tiers, words
 
-GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells)
+GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells, mixes)
 
 
 def flagship(spark, sf_dir):
