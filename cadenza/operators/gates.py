@@ -55,15 +55,18 @@ def plausibility(
 def coverage_gaps(table: DataFrame, member: str, split: str) -> DataFrame:
     """(member, split) combinations that no row has, although each of both occurs: members x splits, both small dimensions, without those seen."""
     seen = table.select(member, split).distinct()
-    splits = seen.agg(F.collect_set(split).alias("_s"))  # a few names
-    want = seen.select(member).distinct().join(F.broadcast(splits)).select(member, F.explode("_s").alias(split))
+    splits = seen.select(split).distinct()
+    want = seen.select(member).distinct().crossJoin(splits)  # as many rows as the answer may have; Spark broadcasts the smaller side if its size allows
     return want.join(seen, [member, split], "left_anti")
 
 
 def coverage_summary(table: DataFrame, member: str, split: str) -> DataFrame:
-    """n_splits, n_members and whether every split has the same members."""
-    sets = table.groupBy(split).agg(F.array_sort(F.collect_set(member)).alias("_m"))
-    return sets.agg(F.count("*").alias("n_splits"), F.coalesce(F.max(F.size("_m")), F.lit(0)).cast("bigint").alias("n_most"), (F.countDistinct("_m") <= 1).alias("same"))
+    """n_splits, n_most (members of the largest) and whether every split has the same members: each as many as there are in all."""
+    seen = table.select(member, split).distinct()
+    sizes = seen.groupBy(split).agg(F.count("*").alias("_n"))
+    whole = seen.agg(F.countDistinct(member).alias("_all"))  # a single row
+    sizes = sizes.agg(F.count("*").alias("n_splits"), F.coalesce(F.max("_n"), F.lit(0)).alias("n_most"), F.coalesce(F.min("_n"), F.lit(0)).alias("_least"))
+    return sizes.crossJoin(whole).select("n_splits", "n_most", (F.col("_least") == F.col("_all")).alias("same"))
 
 
 def link_degraded(gold: DataFrame, media: DataFrame, expected_absent: Column, key: str = "utt_id") -> DataFrame:

@@ -118,10 +118,18 @@ def detection(counts: DataFrame, group: list[str], prefix: str = "bnd") -> DataF
 
 
 def by_value(errors: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Counts per distinct value with the tie-averaged rank of each: ranks and quantiles then run over distinct values, never over raw rows."""
+    """Counts per distinct value with the tie-averaged rank of each: ranks and quantiles then run over distinct values, never over raw rows.
+
+    Values are ranked within ranges, and ranges by their sums, so no window spans a group. The ranges' bounds are approximate quantiles; the ranks are exact whatever they are.
+    """
     c = errors.groupBy(*group, value).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return c.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2)
+    bounds = c.groupBy(*group).agg(F.percentile_approx(value, [k / 32 for k in range(1, 32)], 1000).alias("_bounds"))
+    c = c.join(bounds, group).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+    ranges = c.groupBy(*group, "_range").agg(F.sum("c").alias("_s"))  # at most 32 rows a group
+    upto = F.sum("_s").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    c = c.join(ranges.select(*group, "_range", F.coalesce(upto, F.lit(0)).alias("_upto")), [*group, "_range"])
+    before = F.sum("c").over(Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return c.select(*group, value, "c", (F.col("_upto") + F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def usable_conf(errors: DataFrame) -> DataFrame:
@@ -198,6 +206,19 @@ def edge_split(errors: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, group: list[str], name: str, hash32: Callable[[Column], Column], seed: int = 0, parts: int = 64) -> DataFrame:
+    """Adds u, a number from 0 within each group, in order of a hash of ``name``.
+
+    Rows are counted within ``parts`` hash ranges and shifted by the counts of the ranges before, so no window spans a group.
+    """
+    p = rows.withColumn("_h", hash32(F.concat(F.lit(f"u:{seed}:"), F.col(name)))).withColumn("_part", F.floor(F.col("_h") * parts / 2**32).cast("int"))
+    counts = p.groupBy(*group, "_part").agg(F.count("*").alias("_n"))  # at most ``parts`` rows a group
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    p = p.withColumn("u", F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_h", name)) - 1)
+    return p.join(counts, [*group, "_part"]).withColumn("u", F.col("u") + F.col("_before")).drop("_h", "_part", "_before")
+
+
 def bootstrap(per_utt: DataFrame, group: list[str], replicates: int = 1000, seed: int = 0, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """95 % interval of a pooled mean over utterances: ``per_utt(group, utt_id, s, c)`` -> group, lo, hi (of sum s / sum c, per 1000).
 

@@ -50,29 +50,30 @@ CUMULATIVE_SQL = with_(
 def pronunciations(spark, sf_dir):
     """Share of words said as the dictionary has them; one in three loses its first sound."""
     g = fx.gold(spark, sf_dir)
+    g = g.withColumn("label", F.replace("label", F.lit(";"), F.lit(":")))
     sounds = F.regexp_replace("label", r"(.)(?=.)", "$1 ")
     said = F.when(F.col("pos") % 3 == 0, F.regexp_replace(sounds, r"^\S+ ", "")).otherwise(sounds)
-    w = I.word_pronunciations(I.cumulative_tiers(files(g.where(~F.contains("label", F.lit(";"))), F.concat(F.format_string("%.6f", F.col("end_us") / 1e6), F.lit(" 121 "), "label", F.lit("; "), sounds, F.lit("; "), said), "#\n")))
+    w = I.word_pronunciations(I.cumulative_tiers(files(g, F.concat(F.format_string("%.6f", F.col("end_us") / 1e6), F.lit(" 121 "), "label", F.lit("; "), sounds, F.lit("; "), said), "#\n")))
     return w.agg(F.count("*").alias("n"), F.sum(F.col("is_canonical").cast("bigint")).alias("n_canonical"), M.share(F.col("is_canonical")).alias("share"))
 
 
 PRONUNCIATION_SQL = with_(
     GOLD,
-    "w as (select label, pos % 3 <> 0 or length(label) = 1 as same from gold where not contains(label, ';') and not starts_with(label, '<') and not starts_with(label, '{') and not contains(label, 'U') and trim(label) <> '')",
+    "w as (select label, pos % 3 <> 0 or length(label) = 1 as same from (select * replace (replace(label, ';', ':') as label) from gold) g where not starts_with(label, '<') and not starts_with(label, '{') and not contains(label, 'U') and trim(label) <> '')",
     select="select count(*) as n, count(*) filter (same) as n_canonical, round(count(*) filter (same)::double / count(*), 9) as share from w",
 )
 
 
 def textgrids(spark, sf_dir):
-    g = fx.gold(spark, sf_dir).where(~F.contains("label", F.lit('"')))
+    g = fx.gold(spark, sf_dir)
     sec = lambda c: F.format_string("%.6f", F.col(c) / 1e6)
-    line = F.concat(F.lit("intervals [1]:\n xmin = "), sec("start_us"), F.lit("\n xmax = "), sec("end_us"), F.lit('\n text = "'), "label", F.lit('"'))
+    line = F.concat(F.lit("intervals [1]:\n xmin = "), sec("start_us"), F.lit("\n xmax = "), sec("end_us"), F.lit('\n text = "'), F.replace("label", F.lit('"'), F.lit('""')), F.lit('"'))
     t = I.textgrids(files(g, line, 'File type = "ooTextFile"\nitem []:\n item [1]:\n class = "IntervalTier"\n name = "Words"\n'))
     return t.groupBy("tier").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"), F.countDistinct("label").alias("n_labels"), F.sum(F.col("end_us") - F.col("start_us")).alias("total_us"))
 
 
 TEXTGRID_SQL = with_(
-    GOLD, "k as (select utt_id, case when trim(split_part(label, ',', 1)) = '' then 'sil' else lower(trim(split_part(label, ',', 1))) end as label, end_us - start_us as d from gold where not contains(label, '\"'))",
+    GOLD, "k as (select utt_id, case when trim(split_part(label, ',', 1)) = '' then 'sil' else lower(trim(split_part(label, ',', 1))) end as label, end_us - start_us as d from gold)",
     select="select 'words' as tier, count(*) as n, count(distinct utt_id) as n_files, count(distinct label) as n_labels, sum(d)::bigint as total_us from k",
 )
 
@@ -149,13 +150,14 @@ MERGED_SQL = with_(
 def hidden(spark, sf_dir):
     """Words recovered from event tags."""
     g = fx.gold(spark, sf_dir)
+    g = g.withColumn("label", F.regexp_replace("label", "[-_=<>]", "x"))
     tag = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("<LAUGH-"), "label", F.lit("_so>"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("<EXT-a="), "label", F.lit(">"))).otherwise(F.col("label"))
-    r = g.where(~F.col("label").rlike("[-_=<>]")).withColumn("word", T.recover_hidden_words(tag))
+    r = g.withColumn("word", T.recover_hidden_words(tag))
     return r.groupBy("word").agg(F.count("*").alias("n"))
 
 
 HIDDEN_SQL = with_(
-    GOLD, "h as (select case when pos % 3 = 0 then trim(label || ' so') end as word from gold where not regexp_matches(label, '[-_=<>]'))", select="select word, count(*) as n from h group by word"
+    GOLD, "h as (select case when pos % 3 = 0 then trim(regexp_replace(label, '[-_=<>]', 'x', 'g') || ' so') end as word from gold)", select="select word, count(*) as n from h group by word"
 )
 
 

@@ -63,16 +63,16 @@ POINT_SQL = with_(
 
 
 def isotropic(spark, sf_dir):
-    """Items stand in a room by hash; suppliers are rooms' recordings, of which the first five rooms have none."""
+    """Items stand in a room by hash; suppliers are recordings of rooms from number 5 on, so that five rooms have none."""
     i = items(spark, sf_dir).withColumn("room", (fx.hash32(fx.text("room:", F.col("item_id"))) % 25).cast("int"))
-    s = fx.table(spark, sf_dir, "supplier").where("s_nationkey >= 5")
-    n = s.select(F.col("s_nationkey").cast("int").alias("room"), fx.text("iso", F.col("s_suppkey")).alias("file"))
+    s = fx.table(spark, sf_dir, "supplier")
+    n = s.select((F.col("s_nationkey") + 5).cast("int").alias("room"), fx.text("iso", F.col("s_suppkey")).alias("file"))
     return X.isotropic_noises(i, n, fx.hash32, SNRS["background"], 90)
 
 
 ISOTROPIC_SQL = with_(
     *PLAN_CTE, f"i as (select utt_id as item_id, {h(chr(39) + 'room' + chr(39), 'utt_id')} % 25 as room from utts)",
-    "f as (select s_nationkey as room, list('iso' || s_suppkey order by 'iso' || s_suppkey) as files from supplier where s_nationkey >= 5 group by 1)",
+    "f as (select s_nationkey + 5 as room, list('iso' || s_suppkey order by 'iso' || s_suppkey) as files from supplier group by 1)",
     select=f"""select item_id, files[({h(chr(39) + 'iso' + chr(39), 'item_id')} % len(files) + 1)::int] as file, 0::bigint as at_us, {of(SNRS['background'], h(chr(39) + 'iss' + chr(39), 'item_id'))} as snr_db
 from i join f using (room) where {h(chr(39) + 'isp' + chr(39), 'item_id')} % 100 < 90""",
 )

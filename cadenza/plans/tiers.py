@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from ..operators import tiers as T
 from . import fixtures as fx
-from .fixture_sql import GOLD, HYP, TRACK, with_
+from .fixture_sql import GOLD, HYP, TRACK, hash32, with_
 
 U, H, K = ["utt_id"], ["utt_id", "system", "cond"], ["track"]
 MINUTE = 60_000_000
@@ -174,17 +175,17 @@ where not exists (select 1 from hyp h where h.utt_id = g.utt_id and h.system = s
 
 
 def compare_runs(spark, sf_dir):
-    """Full outer comparison of two systems' first labels: how many utterances agree, differ or are in one run only (null equals null)."""
-    h = fx.hyp(spark, sf_dir).where("pos = 0 and cond = 'clean'")
-    a, b = (h.where(F.col("system") == s).select("utt_id", F.col("label").alias(n), F.lit(True).alias(f"in_{n}")) for s, n in (("sys_a", "a"), ("sys_b", "b")))
-    j = a.join(b, "utt_id", "full")
+    """Full outer comparison of two systems' labels at every place: how many agree, differ or are in one run only (null equals null)."""
+    h, key = fx.hyp(spark, sf_dir), ["utt_id", "cond", "pos"]
+    a, b = (h.where(F.col("system") == s).select(*key, F.col("label").alias(n), F.lit(True).alias(f"in_{n}")) for s, n in (("sys_a", "a"), ("sys_b", "b")))
+    j = a.join(b, key, "full")
     state = F.when(F.col("in_a").isNull(), "only_b").when(F.col("in_b").isNull(), "only_a").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("different")
     return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 COMPARE_SQL = with_(
-    GOLD, HYP, "a as (select utt_id, label from hyp where pos = 0 and cond = 'clean' and system = 'sys_a')", "b as (select utt_id, label from hyp where pos = 0 and cond = 'clean' and system = 'sys_b')",
-    select="select case when a.utt_id is null then 'only_b' when b.utt_id is null then 'only_a' when a.label is not distinct from b.label then 'same' else 'different' end as state, count(*) as n from a full join b using (utt_id) group by 1",
+    GOLD, HYP, "a as (select utt_id, cond, pos, label from hyp where system = 'sys_a')", "b as (select utt_id, cond, pos, label from hyp where system = 'sys_b')",
+    select="select case when a.utt_id is null then 'only_b' when b.utt_id is null then 'only_a' when a.label is not distinct from b.label then 'same' else 'different' end as state, count(*) as n from a full join b using (utt_id, cond, pos) group by 1",
 )
 
 
@@ -226,12 +227,14 @@ SPLITS_SQL = with_(
 
 
 def speaker_utterances(spark, sf_dir):
-    """Utterances of each speaker, sorted: the inverse of utterance -> speaker, under prefixed ids."""
-    g = fx.gold(spark, sf_dir).select("speaker_id", "utt_id").distinct()
-    return g.groupBy(F.concat(F.lit("aug-"), "speaker_id").alias("speaker_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("aug-"), "utt_id"))), " ").alias("utts"))
+    """The inverse of utterance -> speaker under prefixed ids: a row for each utterance with its number among its speaker's, so that no list grows with a speaker."""
+    g = fx.gold(spark, sf_dir).select(F.concat(F.lit("aug-"), "speaker_id").alias("speaker_id"), F.concat(F.lit("aug-"), "utt_id").alias("utt_id")).distinct()
+    return M.numbered(g, ["speaker_id"], "utt_id", fx.hash32).select("speaker_id", "utt_id", F.col("u").cast("bigint").alias("n"))
 
 
-SPEAKER_SQL = with_(GOLD, select="select 'aug-' || speaker_id as speaker_id, string_agg('aug-' || utt_id, ' ' order by 'aug-' || utt_id) as utts from (select distinct speaker_id, utt_id from gold) x group by 1")
+SPEAKER_SQL = with_(
+    GOLD, "g as (select distinct 'aug-' || speaker_id as speaker_id, 'aug-' || utt_id as utt_id from gold)", select=f"select speaker_id, utt_id, row_number() over (partition by speaker_id order by {hash32(chr(39) + 'u:0:' + chr(39) + ' || utt_id')}, utt_id) - 1 as n from g"
+)
 
 
 def zero_rate(spark, sf_dir):

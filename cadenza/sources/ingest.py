@@ -100,14 +100,14 @@ def word_pronunciations(tier: DataFrame) -> DataFrame:
 
 
 def textgrids(files: DataFrame) -> DataFrame:
-    """Interval tiers of long-form TextGrids: path, tier (lower case), pos, label, start_us, end_us. Empty labels are ``sil``; of error-coded ``a,b,c`` the first stays; words are lower-cased."""
+    """Interval tiers of long-form TextGrids: path, tier (lower case), pos, label, start_us, end_us. Empty labels are ``sil``, doubled quotes single; of error-coded ``a,b,c`` the first stays; words are lower-cased."""
     tiers = files.select("path", F.explode(F.slice(F.split("content", r"item \[\d+\]:"), 2, F.size(F.split("content", r"item \[\d+\]:")))).alias("body")).where(F.contains("body", F.lit('"IntervalTier"')))
     name = F.lower(F.regexp_extract("body", r'name = "([^"]*)"', 1))
     pattern = r'intervals \[\d+\]:\s*xmin = ([-0-9.eE]+)\s*xmax = ([-0-9.eE]+)\s*text = "((?:[^"]|"")*)"'
     found = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), i).alias(n) for i, n in ((1, "a"), (2, "b"), (3, "t"))])
     t = tiers.select("path", name.alias("tier"), F.posexplode(found).alias("pos", "x"))
     us = lambda c: F.round(F.col(c).cast("double") * 1_000_000).cast("bigint")
-    label = F.trim(F.get(F.split("x.t", ","), F.lit(0)))
+    label = F.trim(F.get(F.split(F.replace(F.col("x.t"), F.lit('""'), F.lit('"')), ","), F.lit(0)))
     label = F.when(label == "", "sil").when(F.col("tier") == "words", F.lower(label)).otherwise(label)
     return t.select("path", "tier", "pos", label.alias("label"), us("x.a").alias("start_us"), us("x.b").alias("end_us"))
 
