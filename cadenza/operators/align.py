@@ -14,7 +14,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the padded matrices that are held at once.
 CELLS = 8_000_000
-LABEL_COST, CLASS_COST, SWAP_COST, INDEL_COST = 0.0, 0.5, 2.0, 1.0
+#: Costs by time, in millionths, so that sums are whole and ties exact.
+LABEL_COST, CLASS_COST, SWAP_COST, INDEL_COST = 0, 500_000, 2_000_000, 1_000_000
 
 STEPS = ArrayType(StructType([StructField("g", IntegerType()), StructField("h", IntegerType())]))
 
@@ -92,7 +93,7 @@ def align_label_batch(gold: list[list[str]], hyp: list[list[str]]) -> list[tuple
 
 
 def align_time_batch(gold: list[list[dict]], hyp: list[list[dict]], weight: float = 2.0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """As above, at least cost: label penalty (0 equal, half for an equal class, else 2) plus ``weight`` times the seconds both edges are off; indels cost 1.
+    """As above, at least cost: label penalty (0 equal, half for an equal class, else 2) plus ``weight`` times the seconds both edges are off, to the millionth; indels cost 1.
 
     Elements are dicts with label, cls, start_us and end_us.
     """
@@ -107,10 +108,10 @@ def align_time_batch(gold: list[list[dict]], hyp: list[list[dict]], weight: floa
                     into[:, row, col] = codes.setdefault(x["label"], len(codes)), codes.setdefault(x["cls"], len(codes)), x["start_us"], x["end_us"]
         same = a[:2, :, None, :] == b[:2, None, :, :]
         off = np.abs(a[2:, :, None, :] - b[2:, None, :, :]).sum(axis=0)
-        pair = np.where(same[0], LABEL_COST, np.where(same[1], CLASS_COST, SWAP_COST)) + weight * off / 1e6
-        cost = np.zeros((high + 1, wide + 1, len(pick)))
+        pair = np.where(same[0], LABEL_COST, np.where(same[1], CLASS_COST, SWAP_COST)) + np.rint(weight * off).astype(np.int64)
+        cost = np.zeros((high + 1, wide + 1, len(pick)), np.int64)
         cost[:, 0], cost[0, :] = (np.arange(high + 1) * INDEL_COST)[:, None], (np.arange(wide + 1) * INDEL_COST)[:, None]
-        for d in range(2, high + wide + 1):  # anti-diagonals of the whole batch: every cell adds the same floats in the same order as a plain loop
+        for d in range(2, high + wide + 1):  # anti-diagonals of the whole batch
             i = np.arange(max(1, d - wide), min(high, d - 1) + 1)
             j = d - i
             cost[i, j] = np.minimum(np.minimum(cost[i - 1, j - 1] + pair[i - 1, j - 1], cost[i - 1, j] + INDEL_COST), cost[i, j - 1] + INDEL_COST)
@@ -119,7 +120,7 @@ def align_time_batch(gold: list[list[dict]], hyp: list[list[dict]], weight: floa
         def move(i, j, cost=cost, pair=pair, rows=rows):
             up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
             here = cost[i, j, rows]
-            step = pair[up, left, rows] if pair.shape[0] and pair.shape[1] else np.zeros(len(rows))
+            step = pair[up, left, rows] if pair.shape[0] and pair.shape[1] else np.zeros(len(rows), np.int64)
             diagonal = (i > 0) & (j > 0) & (here == cost[up, left, rows] + step)
             return np.where(diagonal, 0, np.where((i > 0) & (here == cost[up, j, rows] + INDEL_COST), 1, 2))
 

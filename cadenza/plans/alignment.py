@@ -368,8 +368,36 @@ def time_aligned(spark, sf_dir):
     return a.select(*S.PAIR, n(lambda s: s["g"].isNotNull() & s["h"].isNotNull()).alias("n_paired"), n(lambda s: s["h"].isNull()).alias("n_gold_only"), n(lambda s: s["g"].isNull()).alias("n_hyp_only"))
 
 
+_COST = "case when {a}.label = {b}.label then 0 when {a}.cls = {b}.cls then 500000 else 2000000 end + 2 * (abs({a}.s - {b}.s) + abs({a}.e - {b}.e))"
+_ELEMENT = lambda t: f"struct_pack(label := {t}.label, cls := {cls_sql(f'{t}.label')}, s := {t}.start_us, e := {t}.end_us)"
+TIMES_SQL = with_(
+    GOLD, HYP,
+    f"""packed as materialized (select h.utt_id, h.system, h.cond, any_value(g.t) as a, list({_ELEMENT('h')} order by h.pos) as b
+  from hyp h join (select utt_id, list({_ELEMENT('gold')} order by pos) as t from gold group by utt_id) g on g.utt_id = h.utt_id group by h.utt_id, h.system, h.cond)""",
+    f"""dp as (
+  select utt_id, system, cond, a, b, 0 as i, list_transform(range(0, len(b) + 1), lambda j: j * 1000000)::bigint[] as cur, [list_transform(range(0, len(b) + 1), lambda j: j * 1000000)::bigint[]] as rows from packed
+  union all
+  select utt_id, system, cond, a, b, i + 1, nr, list_append(rows, nr) from (
+    select *, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]::bigint[]),
+      lambda acc, jj: list_append(acc, least(cur[jj[1]] + {_COST.format(a='a[i + 1]', b='b[jj[1]]')}, cur[jj[1] + 1] + 1000000, acc[len(acc)] + 1000000)), [(i + 1) * 1000000]::bigint[]) as nr
+    from dp where i < len(a)) z
+)""",
+    "fin as materialized (select * from dp where i = len(a))",
+    f"""tb as (
+  select utt_id, system, cond, len(a)::int as i, len(b)::int as j, null::int as g, null::int as h from fin
+  union all
+  select utt_id, system, cond, case when mv < 2 then i - 1 else i end, case when mv <> 1 then j - 1 else j end, case when mv < 2 then i - 1 end, case when mv <> 1 then j - 1 end
+  from (
+    select tb.utt_id, tb.system, tb.cond, tb.i, tb.j, case
+      when tb.i > 0 and tb.j > 0 and f.rows[tb.i + 1][tb.j + 1] = f.rows[tb.i][tb.j] + {_COST.format(a='f.a[tb.i]', b='f.b[tb.j]')} then 0
+      when tb.i > 0 and f.rows[tb.i + 1][tb.j + 1] = f.rows[tb.i][tb.j + 1] + 1000000 then 1 else 2 end as mv
+    from tb join fin f on f.utt_id = tb.utt_id and f.system = tb.system and f.cond = tb.cond where tb.i > 0 or tb.j > 0) z
+)""",
+    select="select utt_id, system, cond, count(*) filter (g is not null and h is not null) as n_paired, count(*) filter (h is null) as n_gold_only, count(*) filter (g is null) as n_hyp_only from tb where g is not null or h is not null group by all", recursive=True,
+)
+
 QUERIES = {
-    "align_steps": (align_steps, align_steps_sql()), "align_times": (time_aligned, None), "edit_rates": (edit_counts, EDIT_SQL), "boundary_errors": (boundary_errors, ERRORS_SQL),
+    "align_steps": (align_steps, align_steps_sql()), "align_times": (time_aligned, TIMES_SQL), "edit_rates": (edit_counts, EDIT_SQL), "boundary_errors": (boundary_errors, ERRORS_SQL),
     "interior_errors": (interior_errors, INTERIOR_SQL), "per_type": (per_type, PER_TYPE_SQL), "class_matched_pool": (class_matched, CLASS_SQL), "common_matched_mae": (common_matched, COMMON_SQL),
     "segmentation_counts": (segmentation, SEG_SQL), "boundary_detection": (detection, DETECTION_SQL), "nearest_gold_boundary": (nearest_gold, NEAREST_SQL), "word_error_rates": (word_rates, WORD_SQL),
     "bootstrap_ci": (bootstrap_ci, BOOT_SQL), "leaderboard": (leaderboard, LEADERBOARD_SQL), "leaderboard_full": (leaderboard_full, FULL_SQL),
