@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phones import SILENCE_WORDS
 from ..operators import metrics as M
+from ..operators import score as E
 from ..operators import scoring as S
 from ..operators import tiers as T
 from ..operators.align import align_times
@@ -293,13 +294,8 @@ BOOT_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select sys
 
 def leaderboard_table(spark, sf_dir):
     """All metrics in one wide row per corpus, system and condition. Errors are pooled over aligned pairs of one class, recall counts equal labels only."""
-    gold, hyp = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
-    a = stage(S.align(gold, hyp), "aligned")
-    rates = M.edit_rates(S.counters(a), G)
-    pool = M.summary(S.boundary_errors(a, classify, by_class=True), G)
-    seg = M.detection(S.segmentation_packed(a, keep=("corpus",)), G)
-    out = rates.join(pool, G, "left").join(seg, G, "left")
-    return out.withColumn("underpowered", F.col("n_matched") < M.LEAST)
+    a = stage(E.aligned(fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir), classify), "aligned")
+    return E.leaderboard(a, E.errors(a, classify), G)
 
 
 leaderboard = leaderboard_table
@@ -330,13 +326,11 @@ def leaderboard_whole(spark, sf_dir):
 
 
 def full(spark, sf_dir, interval):
-    gold, hyp = fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir)
-    a = stage(S.align(gold, hyp), "aligned")
-    e = stage(S.boundary_errors(a, classify, by_class=True), "errors")
-    rows = M.edit_rates(S.counters(a), G).join(M.summary(e, G), G, "left").join(M.detection(S.segmentation_packed(a, keep=("corpus",)), G), G, "left")
+    a = stage(E.aligned(fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir), classify), "aligned")
+    e = stage(E.errors(a, classify), "errors")
+    out = E.leaderboard(a, e, G)
     keys = ["cond", "utt_id"]
     common = e.join(S.common_matched(e, keys), [*keys, "gold_idx"], "left_semi").groupBy(*G).agg(F.count("*").alias("n_common"), M.mean_ms(F.col("abs_us")).alias("mae_common_ms"))
-    out = rows.withColumn("underpowered", F.col("n_matched") < M.LEAST)
     for more in (interval(e), common, M.spearman(e, G), M.auroc(e, G), M.ece(e, G)):  # each has a row a cell
         out = out.join(more, G, "left")
     return out
@@ -368,9 +362,19 @@ def time_aligned(spark, sf_dir):
     return a.select(*S.PAIR, n(lambda s: s["g"].isNotNull() & s["h"].isNotNull()).alias("n_paired"), n(lambda s: s["h"].isNull()).alias("n_gold_only"), n(lambda s: s["g"].isNull()).alias("n_hyp_only"))
 
 
+#: Pairs by label and time, equal labels only, neither boundary beside silence.
+BY_TIME = E.Options(matcher="times", by_class=False, interior=True, thresholds_ms=(10, 25, 50), least=100)
+
+
+def scored_by_time(spark, sf_dir):
+    """The leaderboard under other options."""
+    a = stage(E.aligned(fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir), classify, BY_TIME), "aligned")
+    return E.leaderboard(a, E.errors(a, classify, BY_TIME), G, BY_TIME)
+
+
 _COST = "case when {a}.label = {b}.label then 0 when {a}.cls = {b}.cls then 500000 else 2000000 end + 2 * (abs({a}.s - {b}.s) + abs({a}.e - {b}.e))"
 _ELEMENT = lambda t: f"struct_pack(label := {t}.label, cls := {cls_sql(f'{t}.label')}, s := {t}.start_us, e := {t}.end_us)"
-TIMES_SQL = with_(
+TIMES_CTE = (
     GOLD, HYP,
     f"""packed as materialized (select h.utt_id, h.system, h.cond, any_value(g.t) as a, list({_ELEMENT('h')} order by h.pos) as b
   from hyp h join (select utt_id, list({_ELEMENT('gold')} order by pos) as t from gold group by utt_id) g on g.utt_id = h.utt_id group by h.utt_id, h.system, h.cond)""",
@@ -393,10 +397,19 @@ TIMES_SQL = with_(
       when tb.i > 0 and f.rows[tb.i + 1][tb.j + 1] = f.rows[tb.i][tb.j + 1] + 1000000 then 1 else 2 end as mv
     from tb join fin f on f.utt_id = tb.utt_id and f.system = tb.system and f.cond = tb.cond where tb.i > 0 or tb.j > 0) z
 )""",
+)
+TIMES_SQL = with_(
+    *TIMES_CTE,
     select="select utt_id, system, cond, count(*) filter (g is not null and h is not null) as n_paired, count(*) filter (h is null) as n_gold_only, count(*) filter (g is null) as n_hyp_only from tb where g is not null or h is not null group by all", recursive=True,
 )
+BY_TIME_SQL = with_(
+    *TIMES_CTE, "steps as materialized (select utt_id, system, cond, g, h from tb where g is not null or h is not null)", MATCHED, BOUNDS, LEADERBOARD_CTE[5],
+    f"pool as (select corpus, system, cond, count(*) as n_boundaries, {pool_sql((10, 25, 50))}, {EDGE_MEANS} from errs where left_class <> 'silence' and right_class <> 'silence' group by all)",
+    LEADERBOARD_CTE[7], LEADERBOARD_CTE[8].replace("n_matched < 30", "n_matched < 100"), select="select * from lb", recursive=True,
+)
 
 QUERIES = {
+    "leaderboard_by_time": (scored_by_time, BY_TIME_SQL),
     "align_steps": (align_steps, align_steps_sql()), "align_times": (time_aligned, TIMES_SQL), "edit_rates": (edit_counts, EDIT_SQL), "boundary_errors": (boundary_errors, ERRORS_SQL),
     "interior_errors": (interior_errors, INTERIOR_SQL), "per_type": (per_type, PER_TYPE_SQL), "class_matched_pool": (class_matched, CLASS_SQL), "common_matched_mae": (common_matched, COMMON_SQL),
     "segmentation_counts": (segmentation, SEG_SQL), "boundary_detection": (detection, DETECTION_SQL), "nearest_gold_boundary": (nearest_gold, NEAREST_SQL), "word_error_rates": (word_rates, WORD_SQL),
