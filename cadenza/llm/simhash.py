@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize
 
-RADIUS, SEED, CELL, SMALL, QUERIES_AT_ONCE, TASKS_AT_ONCE = 2, 42, 1024, 128, 64, 1 << 18
+RADIUS, SEED, CELL, SMALL, QUERIES_AT_ONCE, TASKS_AT_ONCE = 2, 42, 4096, 128, 64, 1 << 18
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 BITS = np.arange(64, dtype=np.uint64)
 
