@@ -133,14 +133,25 @@ def key_values(text: DataFrame) -> DataFrame:
 
 
 def mix_commands(text: DataFrame) -> DataFrame:
-    """Mixing commands (text(value): id, then a shell command): key, snrs, noises, start_times, rir. What a command doesn't say is empty, the response null."""
-    kv = key_values(text)
-    option = lambda name: F.regexp_extract("value", rf"--{name}='([^']*)'", 1)
-    numbers = lambda name: F.transform(F.filter(F.split(option(name), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("double"))
-    file = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r'"([^"]+\.wav)"', 1), F.lit("")), F.nullif(F.regexp_extract(x, r"(\S+\.wav)", 1), F.lit("")))
-    noises = F.filter(F.transform(F.split(option("additive-signals"), ","), file), lambda x: x.isNotNull())
-    rir = F.nullif(F.regexp_extract("value", r'--impulse-response="[^"]*?([^\s"]+\.wav)', 1), F.lit(""))
-    return kv.select("key", numbers("snrs").alias("snrs"), noises.alias("noises"), numbers("start-times").alias("start_times"), rir.alias("rir"))
+    """Mixing commands (text(value): id, then a shell command): key, snrs, noises, start_times, rir. What a command doesn't say is empty, the response null.
+
+    A command is shell words: quotes hold blanks together, and ``--option=value`` is one word. Signals in a list may be commands of their own; a signal's file is its
+    first word that ends in ``.wav``.
+    """
+    kv = key_values(text).withColumn("_words", F.regexp_extract_all("value", F.lit(r"""(?:[^\s'"]|'[^']*'|"[^"]*")+"""), 0))
+
+    def option(name):
+        word = F.get(F.filter("_words", lambda w: F.startswith(w, F.lit(f"--{name}="))), F.lit(0))
+        return F.coalesce(F.regexp_replace(F.substr(word, F.lit(len(name) + 4)), r"""^(['"])(.*)\1$""", "$2"), F.lit(""))
+
+    def file(signal):
+        words = F.transform(F.regexp_extract_all(signal, F.lit(r'"[^"]*"|\S+'), 0), lambda w: F.replace(w, F.lit('"'), F.lit("")))
+        return F.get(F.filter(words, lambda w: F.endswith(w, F.lit(".wav"))), F.lit(0))
+
+    listed = lambda name: F.filter(F.transform(F.split(option(name), ","), lambda x: F.trim(x)), lambda x: x != "")
+    numbers = lambda name: F.transform(listed(name), lambda x: x.cast("double"))
+    noises = F.filter(F.transform(listed("additive-signals"), file), lambda x: x.isNotNull())
+    return kv.select("key", numbers("snrs").alias("snrs"), noises.alias("noises"), numbers("start-times").alias("start_times"), file(option("impulse-response")).alias("rir"))
 
 
 def padded_durations(commands: DataFrame, media: DataFrame) -> DataFrame:
