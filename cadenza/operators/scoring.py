@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -189,6 +189,19 @@ def nearest_boundary(points: DataFrame, grid: DataFrame, key: list[str], on: lis
     return pairs.mapInArrow(run, out)
 
 
+def error_view(errors: DataFrame) -> DataFrame:
+    """Boundary errors as analytics take them: ``errors`` with abs_ms, signed_ms and silence_adjacent, whether silence lies on either side."""
+    silent = (F.col("left_class") == "silence") | (F.col("right_class") == "silence")
+    return errors.withColumns({"abs_ms": F.col("abs_us") / 1000, "signed_ms": F.col("signed_us") / 1000, "silence_adjacent": silent})
+
+
+def first_items(table: DataFrame, cell: list[str], n: int, item: str = "utt_id") -> DataFrame:
+    """The rows of each cell's first ``n`` items by name: a sample that doesn't depend on the order of files."""
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy(item))
+    picked = table.select(*cell, item).distinct().withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
+    return table.join(picked, [*cell, item], "left_semi")
+
+
 def common_matched(errors: DataFrame, key: list[str], system: str = "system") -> DataFrame:
     """Reference intervals matched by every system that matched any in the same ``key``: key, gold_idx. Keys one system reaches are that system's alone."""
     seen = errors.select(*key, system, "gold_idx").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -188,7 +190,31 @@ PATH_SQL = with_(
     select="select pool.*, n_all, n_edges from pool join (select system, cond, count(*) as n_all, count(*) filter (first) as n_edges from pw where r is not null and t is not null group by all) w using (system, cond)", recursive=True,
 )
 
+def word_tiers(spark, sf_dir):
+    """Word tiers in capitals, in folders by speaker: ids come from the path, labels in lower case."""
+    g = fx.gold(spark, sf_dir)
+    ticks = lambda c: (F.col(c) * 16 / 1000).cast("bigint").cast("string")
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", ticks("start_us"), ticks("end_us"), F.translate("label", string.ascii_lowercase, string.ascii_uppercase)).alias("line"))))["line"], "\n")
+    f = g.groupBy("speaker_id", "utt_id").agg(body.alias("content")).select(F.concat(F.lit("/set/"), "speaker_id", F.lit("/"), "utt_id", F.lit(".wrd")).alias("path"), "content")
+    return I.word_tiers(f, 16_000).select("utt_id", "pos", "label", "start_us", "end_us")
+
+
+WORDS_SQL = with_(
+    GOLD, select="select speaker_id || '_' || utt_id as utt_id, (row_number() over (partition by utt_id order by pos) - 1)::int as pos, lower(label) as label, start_us, end_us from gold where trim(label) <> ''"
+)
+PROBES = [(r"/s[0-9]+[.]wav$", 1), (r"[13579][.]wav$", 10), (r"[.]flac$", 1), (r"/nothing/", 0)]
+
+
+def probes(spark, sf_dir):
+    """Files of parts against what a layout should have."""
+    f = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("/d/s"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("path"))
+    return I.layout_probe(f, PROBES)
+
+
+PROBES_SQL = "with f as (select '/d/s' || p_partkey || '.wav' as path from part), p(pattern, least) as (values " + ", ".join(f"('{p}', {n}::int)" for p, n in PROBES) + ") select pattern, count(*) filter (regexp_matches(path, pattern)) as n, least, count(*) filter (regexp_matches(path, pattern)) >= least as ok from p, f group by pattern, least"
+
 QUERIES = {
+    "ingest_word_tiers": (word_tiers, WORDS_SQL), "layout_probe": (probes, PROBES_SQL),
     "ingest_sample_tiers": (sample_tiers, SAMPLE_SQL), "ingest_cumulative_tiers": (cumulative_tiers, CUMULATIVE_SQL), "word_pronunciations": (pronunciations, PRONUNCIATION_SQL), "ingest_textgrids": (textgrids, TEXTGRID_SQL),
     "ingest_json_cells": (json_cells, JSON_SQL), "mix_commands": (commands, COMMANDS_SQL), "resolve_media": (media, MEDIA_SQL), "apply_split": (split_applied, SPLIT_SQL), "merge_closures": (merged, MERGED_SQL),
     "recover_hidden_words": (hidden, HIDDEN_SQL), "path_protocol": (path_protocol, PATH_SQL),

@@ -168,7 +168,31 @@ BEST_SQL = with_(
     select="select system, corpus, cond, case when cond = 'noise' then 1 else 2 end::int as rank, mae_ms from lb join b using (system, corpus)", recursive=True,
 )
 
+def error_view(spark, sf_dir):
+    """Errors over pairs of one class beside silence and elsewhere: counts, means, and the share beside silence."""
+    a = S.align(fx.gold(spark, sf_dir), fx.hyp(spark, sf_dir))
+    return M.edge_split(S.error_view(S.boundary_errors(a, A.classify, by_class=True)), G)
+
+
+VIEW_SQL = with_(
+    *A.BASE, A.MATCHED_BY_CLASS, "v as (select *, left_class = 'silence' or right_class = 'silence' as s from errs)",
+    select=f"""select corpus, system, cond, sum((not s)::bigint)::bigint as n_interior, sum(s::bigint)::bigint as n_edge, {A.mean_ms('case when not s then abs_us end')} as interior_mae, {A.mean_ms('case when s then abs_us end')} as edge_mae,
+  {A.div('sum(s::bigint)', 'count(*)', '100.0::double')} as pct_edge from v group by all""", recursive=True,
+)
+
+
+def samples(spark, sf_dir):
+    """Each cell's first five utterances by name: how much they hold."""
+    return S.first_items(fx.hyp(spark, sf_dir), G, 5).groupBy(*G, "utt_id").agg(F.count("*").alias("n"), F.max("end_us").alias("end_us"))
+
+
+SAMPLES_SQL = with_(
+    GOLD, HYP, "c as (select corpus, system, cond, utt_id, count(*) as n, max(end_us) as end_us from hyp group by all)", "u as (select *, row_number() over (partition by corpus, system, cond order by utt_id) as k from c)",
+    select="select corpus, system, cond, utt_id, n, end_us from u where k <= 5",
+)
+
 QUERIES = {
+    "error_view": (error_view, VIEW_SQL), "cell_samples": (samples, SAMPLES_SQL),
     "word_boundary_errors": (word_errors, WORD_ERRORS_SQL), "word_table": (word_table, WORD_TABLE_SQL), "real_time_factors": (real_time, RTF_SQL), "leaderboard_view": (board, BOARD_SQL),
     "calibration_panel": (calibration_panel, PANEL_SQL), "robustness": (robust, ROBUST_SQL), "published_table": (display, DISPLAY_SQL), "best_covered_split": (best_split, BEST_SQL),
 }

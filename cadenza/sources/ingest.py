@@ -62,6 +62,17 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
 
 
+def path_id(path: Column, parts: int) -> Column:
+    """An utterance's id from the last ``parts`` parts of its path, the extension left off, joined by ``_``."""
+    p = F.split(F.regexp_replace(path, r"\.[^./]*$", ""), "/")
+    return F.array_join(F.slice(p, F.greatest(F.lit(1), F.size(p) - parts + 1), parts), "_")
+
+
+def word_tiers(files: DataFrame, rate: int, parts: int = 2) -> DataFrame:
+    """As sample_tiers, for words: labels in lower case, and utt_id from the path."""
+    return sample_tiers(files, rate).withColumns({"label": F.lower("label"), "utt_id": path_id(F.col("path"), parts)})
+
+
 def sample_tiers(files: DataFrame, rate: int) -> DataFrame:
     """``start end label…`` in samples, a row a line; the label is the rest of the line. Lines with fewer parts or other numbers are dropped. File order gives pos."""
     p = lines(files).withColumn("p", F.split(F.trim("text"), r"\s+", 3)).where(F.size("p") == 3)
@@ -185,10 +196,10 @@ def resolve_media(utts: DataFrame, files: DataFrame, priority: tuple[str, ...] =
 
 
 def layout_probe(files: DataFrame, probes: list[tuple[str, int]]) -> DataFrame:
-    """How many files fit each pattern, against a minimum: pattern, n, least, ok. Probes are a short list."""
-    p = F.broadcast(files.sparkSession.createDataFrame(probes, "pattern string, least int"))
-    n = files.join(p, F.expr("path rlike pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
-    return p.join(n, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"), "least", (F.coalesce("n", F.lit(0)) >= F.col("least")).alias("ok"))
+    """How many files fit each pattern, against a minimum: pattern, n, least, ok. Probes are a short list, all counted in one pass."""
+    sums = files.agg(*[F.coalesce(F.sum(F.col("path").rlike(p).cast("bigint")), F.lit(0)).alias(f"n{k}") for k, (p, _) in enumerate(probes)])
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"n{k}").alias("n"), F.lit(least).alias("least")) for k, (p, least) in enumerate(probes)])
+    return sums.select(F.explode(rows).alias("p")).select("p.*").withColumn("ok", F.col("n") >= F.col("least"))
 
 
 def machine_aligned(path: Column, more: tuple[str, ...] = ()) -> Column:
@@ -264,9 +275,9 @@ def first_items(tier: DataFrame, n: int, key: str = "utt_id") -> DataFrame:
     return tier.join(tier.select(key).distinct().orderBy(key).limit(n), key, "left_semi")
 
 
-def publish(table: DataFrame, path: str, month: str) -> None:
-    """A dated snapshot (``month`` as YYYYMM)."""
-    table.withColumn("month", F.lit(month)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(path)
+def publish(table: DataFrame, path: str, month: str | None = None) -> None:
+    """A dated snapshot (``month`` as YYYYMM; default: the current one)."""
+    table.withColumn("month", F.lit(month) if month else F.date_format(F.current_date(), "yyyyMM")).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(path)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
