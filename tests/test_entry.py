@@ -13,7 +13,7 @@ from cadenza.plans import registry
 
 ROOT, SF = Path(__file__).parent.parent, "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["edit_rates", "boundary_detection", "pool_summary", "calibration", "mae_decomposition", "segment_pauses", "interval_violations", "canonicalize_labels", "mix_sources", "foreground_draws", "register_transfer", "ingest_textgrids", "path_protocol"]
+CHECKED = ["edit_rates", "boundary_detection", "pool_summary", "calibration", "mae_decomposition", "segment_pauses", "interval_violations", "canonicalize_labels", "mix_sources", "foreground_draws", "register_transfer", "ingest_textgrids", "path_protocol", "canonical_sources", "category_agreement", "segment_native_phones", "out_of_range", "word_boundary_errors", "utterance_report", "cell_status", "mix_manifest", "align_times", "leaderboard_by_time", "error_view"]
 
 
 def test_flagship(spark):

@@ -155,3 +155,27 @@ def test_shared_folder_has_a_scheme(spark):
     storage.discard(spark, path)
     with pytest.raises(Exception, match="(?i)path|exist"):
         spark.read.parquet(path).count()
+
+
+def test_ids_from_paths(spark):
+    p = spark.createDataFrame([("/a/b/spk1/utt.2.wrd",), ("one.txt",)], "p string")
+    assert [r[0] for r in p.select(I.path_id(F.col("p"), 2)).collect()] == ["spk1_utt.2", "one"]
+    files = spark.createDataFrame([("/x/S1/u1.wrd", "0 16000 HELLO\n16000 32000 World now")], "path string, content string")
+    assert [(r.utt_id, r.label, r.end_us) for r in I.word_tiers(files, 16_000).orderBy("pos").collect()] == [("S1_u1", "hello", 1_000_000), ("S1_u1", "world now", 2_000_000)]
+    assert [tuple(r) for r in I.layout_probe(files, [("S1", 1), ("S2", 1), ("S3", 0)]).orderBy("pattern").collect()] == [("S1", 1, 1, True), ("S2", 0, 1, False), ("S3", 0, 0, True)]
+
+
+def test_samples_go_by_name(spark):
+    from cadenza.operators import scoring as S
+
+    t = spark.createDataFrame([("c", f"u{i}", k) for i in (3, 1, 2) for k in range(2)] + [("d", "z", 0)], "cell string, utt_id string, pos int")
+    assert {(r.cell, r.utt_id) for r in S.first_items(t, ["cell"], 2).collect()} == {("c", "u1"), ("c", "u2"), ("d", "z")} and S.first_items(t, ["cell"], 2).count() == 5
+    e = spark.createDataFrame([(1500, -1500, "silence", "vowel"), (10, 10, "vowel", "stop")], "abs_us long, signed_us long, left_class string, right_class string")
+    assert [(r.abs_ms, r.signed_ms, r.silence_adjacent) for r in S.error_view(e).collect()] == [(1.5, -1.5, True), (0.01, 0.01, False)]
+
+
+def test_coverage_of_splits(spark):
+    t = lambda rows: spark.createDataFrame(rows, "m string, s string")
+    assert tuple(Q.coverage_summary(t([("a", "x"), ("b", "x"), ("b", "y"), ("b", "y")]), "m", "s").first()) == (2, 2, False)
+    assert tuple(Q.coverage_summary(t([("a", "x"), ("a", "y")]), "m", "s").first()) == (2, 1, True)
+    assert {tuple(r) for r in Q.coverage_gaps(t([("a", "x"), ("b", "x"), ("b", "y")]), "m", "s").collect()} == {("a", "y")}
