@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from .common import worker_cache
+
 SUFFIX = "</w>"
 #: Bytes a generation of cached words may take in each Python worker; two generations are kept, and longer words than CACHED_WORD bytes never are.
-CACHE_BYTES, CACHED_WORD = 160 << 20, 64
+CACHE_BYTES, CACHED_WORD = 100 << 20, 64
 #: Fragments of more bytes are merged rank by rank.
 LONG_FRAGMENT = 128
 #: Bytes of text that are worked on at once.
@@ -231,14 +233,13 @@ class ForcedBoundaryBPE:
 
 
 _BPES: dict[str, ForcedBoundaryBPE] = {}
-_CACHES: dict[tuple, ChunkCache] = {}
 
 
 def cache_for(path: str, make) -> ChunkCache:
     """This Python worker's encoder and cache for a vocabulary file; they outlive a task, as workers are used again."""
     if path not in _BPES:
         _BPES[path] = ForcedBoundaryBPE(path)
-    return _CACHES.setdefault((path, make), ChunkCache(_BPES[path], make))
+    return worker_cache((path, make), lambda: ChunkCache(_BPES[path], make))
 
 
 class ChunkCache:

@@ -26,6 +26,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+_CACHE: dict = {}
+
+
+def worker_cache(key, make):
+    """What ``make`` gives, kept in this Python worker for tasks to come. Workers outlive stages: another key's cache takes this one's place, so they never add up."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph of ``edges(a long, b long)``.
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import without, worker_cache
 
 #: Rows and length of the table of vectors; lengths of the character n-grams of "<word>".
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (2, 3, 4)
@@ -182,9 +182,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subw
     return SubwordClassifier().fit([document_features(r["text"]) for r in got], [int(r["label"]) for r in got])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: SubwordClassifier, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold), or other ``names``, added, from the whole text alone.
 
@@ -200,15 +197,12 @@ def predict(docs: DataFrame, model: SubwordClassifier, text: str = "text", thres
     shared = docs.sparkSession.sparkContext.broadcast(model.folded())
 
     def run(batches):
-        key = hash(shared.value[0].tobytes())
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*shared.value)
+        scorer = worker_cache(hash(shared.value[0].tobytes()), lambda: Scorer(*shared.value))
         with without_collector():
             for batch in batches:
                 table = pa.Table.from_batches([batch])
                 texts = [t or b"" for t in table.column(text).cast(pa.binary()).to_pylist()]
-                score = np.round(_SCORERS[key].scores(texts), 6)
+                score = np.round(scorer.scores(texts), 6)
                 table = table.append_column(names[0], pa.array(score)).append_column(names[1], pa.array((score >= threshold).astype(np.int32)))
                 yield from table.to_batches()
 

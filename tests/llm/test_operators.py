@@ -527,6 +527,13 @@ def test_cache_forgets_and_stays_right(monkeypatch):
         assert all(len(c) <= bpe.CACHED_WORD for c in [*cache.young, *cache.old]) and len(cache.young) + len(cache.old) < 40
 
 
+def test_caches_do_not_add_up():
+    from cadenza.llm import common
+
+    a = common.worker_cache("a", lambda: [1])
+    assert common.worker_cache("a", list) is a and common.worker_cache("b", lambda: [2]) == [2] and [*common._CACHE] == ["b"]
+
+
 def test_bpe_of_long_words():
     tok, ours, rng = Tokenizer.from_file(PATH), bpe.ForcedBoundaryBPE(PATH), random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz"
