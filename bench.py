@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from cadenza.plans import registry
+from cadenza.plans import alignment, fixtures, registry
 
 HEADLINE = [
     "leaderboard", "align_steps", "boundary_errors", "per_type", "common_matched_mae", "boundary_detection", "nearest_gold_boundary", "word_error_rates", "bootstrap_ci", "pool_summary", "tail_percentiles",
@@ -33,7 +33,10 @@ def main() -> None:
         began = time.perf_counter()
         made[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(sf_dir).name.removeprefix("sf")}))
+    cells = len(fixtures.SYSTEMS) * len(fixtures.CONDITIONS)
+    pairs = fixtures.gold(spark, sf_dir).select("utt_id").distinct().count() * cells
+    rates = {"pairs_aligned": pairs, "pairs_per_sec": round(pairs / times["align_steps"], 1), "replicates_per_sec": round(alignment.REPLICATES * cells / times["bootstrap_ci"], 1)}  # with all that comes before them
+    print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": Path(sf_dir).name.removeprefix("sf"), "rates": rates}))
     spark.stop()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import mean_ms
+
 GAP, EDGE = "-", "<utterance_edge>"
 
 
@@ -38,3 +40,17 @@ def agreeing(boundaries: DataFrame, categorize) -> DataFrame:
 def path_errors(boundaries: DataFrame) -> DataFrame:
     """As rows of an error pool: a single edge, hypothesis minus reference."""
     return boundaries.withColumns({"edge": F.lit("boundary"), "signed_us": -F.col("error_us"), "abs_us": F.abs("error_us")}).drop("error_us")
+
+
+def score_cells(steps: DataFrame, expected: DataFrame, families: DataFrame, category, cell: list[str]) -> DataFrame:
+    """Cells under the path protocol: cell, n, mae_ms, signed_ms, n_failed.
+
+    ``steps`` are path_steps of (cell, utt_id); ``families(system, family)`` is a small table, and systems without a family, whose labels no mapping fits, are skipped.
+    ``expected(utt_id)`` are the utterances that should have been aligned: those without any step in a cell have failed there and are counted. A cell in which
+    all failed has no pool.
+    """
+    known = steps.join(F.broadcast(families.select("system").distinct()), "system", "left_semi")
+    pool = path_errors(agreeing(path_boundaries(known, [*cell, "utt_id"]), category)).groupBy(*cell)
+    pool = pool.agg(F.count("*").alias("n"), mean_ms(F.col("abs_us")).alias("mae_ms"), mean_ms(F.col("signed_us")).alias("signed_ms"))
+    done = known.groupBy(*cell).agg(F.countDistinct("utt_id").alias("_done"))
+    return done.crossJoin(expected.agg(F.countDistinct("utt_id").alias("_all"))).join(pool, cell, "left").select(*cell, "n", "mae_ms", "signed_ms", (F.col("_all") - F.col("_done")).alias("n_failed"))

@@ -213,8 +213,20 @@ def probes(spark, sf_dir):
 
 PROBES_SQL = "with f as (select '/d/s' || p_partkey || '.wav' as path from part), p(pattern, least) as (values " + ", ".join(f"('{p}', {n}::int)" for p, n in PROBES) + ") select pattern, count(*) filter (regexp_matches(path, pattern)) as n, least, count(*) filter (regexp_matches(path, pattern)) >= least as ok from p, f group by pattern, least"
 
+def path_cells(spark, sf_dir):
+    """Cells under the path protocol: one system's labels fit no mapping, and one in eleven utterances has failed."""
+    steps = stage(path_rows(spark, sf_dir).where(fx.hash32(fx.text("fail:", F.col("utt_id"))) % 11 != 0), "path")
+    families = spark.createDataFrame([("sys_a", "arpa"), ("sys_b", "maps")], "system string, family string")
+    return P.score_cells(steps, fx.gold(spark, sf_dir).select("utt_id"), families, lambda ref, test: (A.classify(ref), A.classify(test)), ["system", "cond"])
+
+
+_FAILED = f"{hash32(chr(39) + 'fail:' + chr(39) + ' || utt_id')} % 11 <> 0"
+PATH_CELLS_SQL = PATH_SQL[: PATH_SQL.index("pool as (")] + f"""pool as (select system, cond, count(*) as n, {A.mean_ms('abs(tu - ru)')} as mae_ms, {A.mean_ms('tu - ru')} as signed_ms from ok where system <> 'sys_c' and {_FAILED} group by all),
+f as (select count(distinct utt_id) filter (not ({_FAILED})) as n_failed from gold)
+select pool.*, n_failed from pool, f"""
+
 QUERIES = {
-    "ingest_word_tiers": (word_tiers, WORDS_SQL), "layout_probe": (probes, PROBES_SQL),
+    "path_cells": (path_cells, PATH_CELLS_SQL), "ingest_word_tiers": (word_tiers, WORDS_SQL), "layout_probe": (probes, PROBES_SQL),
     "ingest_sample_tiers": (sample_tiers, SAMPLE_SQL), "ingest_cumulative_tiers": (cumulative_tiers, CUMULATIVE_SQL), "word_pronunciations": (pronunciations, PRONUNCIATION_SQL), "ingest_textgrids": (textgrids, TEXTGRID_SQL),
     "ingest_json_cells": (json_cells, JSON_SQL), "mix_commands": (commands, COMMANDS_SQL), "resolve_media": (media, MEDIA_SQL), "apply_split": (split_applied, SPLIT_SQL), "merge_closures": (merged, MERGED_SQL),
     "recover_hidden_words": (hidden, HIDDEN_SQL), "path_protocol": (path_protocol, PATH_SQL),
