@@ -12,7 +12,7 @@ from ..operators import tiers as T
 from ..operators.align import align_times
 from ..sources.storage import stage
 from . import fixtures as fx
-from .fixture_sql import ALIGN, GOLD, HYP, hash32, with_
+from .fixture_sql import ALIGN, GOLD, HYP, with_
 
 G = ["corpus", "system", "cond"]
 
