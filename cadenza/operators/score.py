@@ -41,10 +41,11 @@ def aligned(gold: DataFrame, hyp: DataFrame, classify: Callable[[Column], Column
         from .tiers import drop_labels
 
         gold, hyp = drop_labels(gold, ["utt_id"], options.drop), drop_labels(hyp, S.PAIR, options.drop)
-    pairs = S.pair(gold, hyp)
+    gold, hyp = (t.withColumn("cls", classify(F.col("label"))) for t in (gold, hyp))  # before packing, where it's compiled
+    pairs = S.pair(gold, hyp, ("cls",))
     if options.matcher == "labels":
         return align_labels(pairs)
-    element = lambda x: F.struct(x["label"].alias("label"), classify(x["label"]).alias("cls"), x["start_us"].alias("start_us"), x["end_us"].alias("end_us"))
+    element = lambda x: F.struct(x["label"].alias("label"), x["cls"].alias("cls"), x["start_us"].alias("start_us"), x["end_us"].alias("end_us"))
     timed = pairs.withColumns({"_g": F.transform("gold", element), "_h": F.transform("hyp", element)})
     return align_times(timed, "_g", "_h", options.weight).drop("_g", "_h")
 

@@ -25,15 +25,15 @@ def pack(tier: DataFrame, key: list[str], extra: tuple[str, ...] = (), also: tup
     return tier.groupBy(*key).agg(made, *[F.first(c).alias(c) for c in also])
 
 
-def pair(gold: DataFrame, hyp: DataFrame) -> DataFrame:
-    """Hypotheses with their reference, by utterance; hypotheses without one are dropped.
+def pair(gold: DataFrame, hyp: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Hypotheses with their reference, by utterance; hypotheses without one are dropped. ``extra`` columns of both tiers stay with their intervals.
 
     Both sides are dealt by utt_id once, which serves the packing and the join. The number of partitions is stated, as adaptive execution would
     otherwise merge small ones and leave the alignment that follows, which costs far more than its bytes suggest, to a few tasks.
     """
     n = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    g = pack(gold.repartition(n, "utt_id"), ["utt_id"], also=("speaker_id", "corpus")).withColumnRenamed("tier", "gold")
-    h = pack(hyp.repartition(n, "utt_id"), PAIR, extra=("conf",)).withColumnRenamed("tier", "hyp")
+    g = pack(gold.repartition(n, "utt_id"), ["utt_id"], extra=extra, also=("speaker_id", "corpus")).withColumnRenamed("tier", "gold")
+    h = pack(hyp.repartition(n, "utt_id"), PAIR, extra=("conf", *extra)).withColumnRenamed("tier", "hyp")
     return h.join(g, "utt_id").withColumns({"gold_labels": F.col("gold")["label"], "hyp_labels": F.col("hyp")["label"]})
 
 
@@ -64,6 +64,12 @@ def counters(aligned: DataFrame) -> DataFrame:
     )
 
 
+def _classes(aligned: DataFrame, side: str, classify: Callable[[Column], Column]) -> Column:
+    """Each label's class, made once: ``cls`` of the intervals where they bring it along."""
+    held = "cls" in aligned.schema[side].dataType.elementType.names
+    return F.col(side)["cls"] if held else F.transform(side, lambda x: classify(x["label"]))
+
+
 def boundary_errors(aligned: DataFrame, classify: Callable[[Column], Column], steps: Column | None = None, by_class: bool = False) -> DataFrame:
     """Two rows for each matched pair: edge, gold_us, hyp_us, signed_us, abs_us, left_class, right_class, conf, gold_idx.
 
@@ -72,9 +78,9 @@ def boundary_errors(aligned: DataFrame, classify: Callable[[Column], Column], st
     """
     g = lambda i: F.get(F.col("gold"), i)
     cls = lambda i: F.coalesce(F.get(F.col("_cls"), i), F.lit("silence"))  # noqa: E731  beyond an end too
-    aligned = aligned.withColumn("_cls", F.transform("gold", lambda x: classify(x["label"])))  # each label is classified once
+    aligned = aligned.withColumn("_cls", _classes(aligned, "gold", classify))
     if by_class:
-        aligned = aligned.withColumn("_hcls", F.transform("hyp", lambda x: classify(x["label"])))
+        aligned = aligned.withColumn("_hcls", _classes(aligned, "hyp", classify))
         steps = F.filter("steps", lambda s: s["g"].isNotNull() & s["h"].isNotNull() & (F.get(F.col("_cls"), s["g"]) == F.get(F.col("_hcls"), s["h"])))
 
     def edges(s):
