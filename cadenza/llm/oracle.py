@@ -79,4 +79,46 @@ select page_id, payload_bytes, d.payload_digest, case when copies > 1 and page_i
 from d left join f on d.payload_digest = f.payload_digest
 """
 
-ORACLE = {"op5_warc": OP5, "op6_chat_format": OP6, "op8_url_filter": OP8}
+
+#: CRC32 by the rule of its polynomial: a table of 256 steps, then a step a byte.
+STEPS = "steps(t) as (select list(c order by i) from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i)))"
+
+
+def _crc32(text: str) -> str:
+    """Of a text's UTF-8; needs ``steps`` in the query."""
+    listed = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda p: ('0x' || p)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {listed}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _kd_tree(shards: int) -> str:
+    """Level by level: extents of each node, its widest dimension, rows in order along it, those whose middle byte lies up to the target go left."""
+    h = lambda x: f"cast('0x' || substr(md5({x}), 1, 15) as bigint)"
+    kept = "doc_id, size, text_crc32, by_text, by_row, d0, d1, d2, d3"
+    sql = f"""
+with {STEPS},
+r0 as (
+  select doc_id, coalesce(strlen(text), 0) + 16 as size, coalesce(text, '') as text, coalesce({h("text")}, 0) as by_text, doc_id as m0, {h("source")} as m1, {h("lang")} as m2, n_chars as m3,
+    {h("coalesce(doc_id::varchar, '-') || ',' || coalesce(source, '-') || ',' || coalesce(lang, '-') || ',' || coalesce(n_chars::varchar, '-') || ','")} as by_row from documents
+),
+least as (select {", ".join(f"coalesce(min(m{i}), 0) as o{i}, (coalesce(max(m{i}), 0) - coalesce(min(m{i}), 0))::double as g{i}" for i in range(4))} from r0),
+n0 as (select doc_id, size, {_crc32("text")} as text_crc32, by_text, by_row, {", ".join(f"coalesce(m{i}, o{i}) as d{i}" for i in range(4))}, 0 as first, {shards} as leaves from r0, least, steps)"""
+    level = 0
+    while 2**level < shards:
+        width = [f"case when any_value(g{i}) > 0 then (max(d{i}) - min(d{i}))::double / any_value(g{i}) else 0::double end as w{i}" for i in range(4)]
+        sql += f""",
+e{level} as (select first, {", ".join(width)}, sum(size) as weight from n{level}, least group by first),
+k{level} as (
+  select n.*, weight, case when w0 >= greatest(w1, w2, w3) then d0 when w1 >= greatest(w2, w3) then d1 when w2 >= w3 then d2 else d3 end as k from n{level} n join e{level} using (first)
+),
+c{level} as (select *, 2 * sum(size) over (partition by first order by k, by_text, by_row rows unbounded preceding) - size as middle from k{level}),
+n{level + 1} as (
+  select {kept}, case when leaves = 1 or middle <= 2 * weight * (leaves // 2) // leaves then first else first + leaves // 2 end as first,
+    case when leaves = 1 then 1 when middle <= 2 * weight * (leaves // 2) // leaves then leaves // 2 else leaves - leaves // 2 end as leaves from c{level}
+)"""
+        level += 1
+    return sql + f"""
+select doc_id, size, text_crc32, 'bytes' as law, first::int as shard, row_number() over (partition by first order by by_row, by_text) - 1 as slot, cast(null as int) as grown_shard from n{level}
+"""
+
+
+ORACLE = {"op11_sharding": _kd_tree(40), "op5_warc": OP5, "op6_chat_format": OP6, "op8_url_filter": OP8}
