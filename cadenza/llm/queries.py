@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, sharding, simhash, url_filter, vectors, warc
+from . import bpe, chat, langid, packing, quality, sharding, simhash, url_filter, vectors, warc, whitening
 from .common import table
 
 
@@ -87,4 +87,8 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op11_sharding": op11_sharding, "op4_embedding_dedup": op4_embedding_dedup, "op7_nearest": op7_nearest, "op10_quality": op10_quality, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op12_whitening": op12_whitening, "op11_sharding": op11_sharding, "op4_embedding_dedup": op4_embedding_dedup, "op7_nearest": op7_nearest, "op10_quality": op10_quality, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
