@@ -121,4 +121,55 @@ select doc_id, size, text_crc32, 'bytes' as law, first::int as shard, row_number
 """
 
 
-ORACLE = {"op11_sharding": _kd_tree(40), "op5_warc": OP5, "op6_chat_format": OP6, "op8_url_filter": OP8}
+def _merkle(levels: int, upper: int) -> str:
+    """Level by level: runs of three become their parents while a group has several nodes; leaves then climb with the siblings of their run, by ``levels`` and ``upper`` levels at most."""
+    field = lambda x: f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+    leaf = lambda t: f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', t)))})"
+    sql = f"""
+with {STEPS},
+docs as (
+  select doc_id, text, case when source is null then '0' else '1' || source end as key, {leaf("text")} as leaf, {leaf("replace(text, chr(10), '')")} as other, {_crc32("doc_id::varchar")} % 2 = 0 as chosen
+  from documents, steps
+),
+placed as (select *, case when chosen and text is not null then other else leaf end as forged, row_number() over (partition by key order by doc_id nulls first, leaf) - 1 as pos from docs),
+a0 as (select key, pos, leaf as node, count(*) over (partition by key) as m from placed)"""
+
+    def climb(name: str, k: int) -> str:
+        return f""",
+{name}r{k} as (
+  select key, pos // 3 as run, any_value(m) as m, max(case when pos % 3 = 0 then node end) as n0, max(case when pos % 3 = 1 then node end) as n1, max(case when pos % 3 = 2 then node end) as n2
+  from {name}{k} group by key, pos // 3
+),
+{name}{k + 1} as (
+  select key, run as pos, case when m > 1 then sha256(n0 || coalesce(n1, '') || coalesce(n2, '')) else n0 end as node, case when m > 1 then (m + 2) // 3 else m end as m from {name}r{k}
+)"""
+
+    def fold(name: str, state: str, k: int) -> str:
+        own = [f"coalesce(case when place % 3 = {i} then acc else n{i} end, '')" for i in range(3)]
+        rest = [f"case when place % 3 = {i} then '' else coalesce(n{i}, '') end" for i in range(3)]
+        return f""",
+{state}{k + 1} as (
+  select s.* exclude (acc, way, place), case when r.m > 1 then sha256({" || ".join(own)}) else acc end as acc, case when r.m > 1 then way || {" || ".join(rest)} else way end as way, place // 3 as place
+  from {state}{k} s join {name}r{k} r on r.key = s.tree and r.run = s.place // 3
+)"""
+
+    for k in range(levels):
+        sql += climb("a", k)
+    sql += f""",
+b0 as (select '' as key, row_number() over (order by key) - 1 as pos, node, count(*) over () as m, key as grp from a{levels})"""
+    for k in range(upper):
+        sql += climb("b", k)
+    sql += """,
+s0 as (select doc_id, key as tree, leaf, forged as acc, '' as way, pos as place from placed)"""
+    for k in range(levels):
+        sql += fold("a", "s", k)
+    sql += f""",
+u0 as (select s.* exclude (tree, place), '' as tree, b0.pos as place, b0.node as subroot from s{levels} s join b0 on b0.grp = s.tree)"""
+    for k in range(upper):
+        sql += fold("b", "u", k)
+    return sql + f"""
+select doc_id, leaf, subroot, b.node as root, sha256(way) as proof_sha256, acc as folded_root, acc = b.node as verified from u{upper}, b{upper} b
+"""
+
+
+ORACLE = {"op13_merkle": _merkle(13, 9), "op11_sharding": _kd_tree(40), "op5_warc": OP5, "op6_chat_format": OP6, "op8_url_filter": OP8}

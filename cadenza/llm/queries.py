@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, packing, quality, sharding, simhash, url_filter, vectors, warc, whitening
+from . import bpe, chat, langid, merkle, packing, quality, sharding, simhash, url_filter, vectors, warc, whitening
 from .common import table
 
 
@@ -91,4 +91,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op12_whitening": op12_whitening, "op11_sharding": op11_sharding, "op4_embedding_dedup": op4_embedding_dedup, "op7_nearest": op7_nearest, "op10_quality": op10_quality, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the CRC32 of the doc_id the text loses its line feeds; a null doc_id isn't tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, altered, proofs=False).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {"op13_merkle": op13_merkle, "op12_whitening": op12_whitening, "op11_sharding": op11_sharding, "op4_embedding_dedup": op4_embedding_dedup, "op7_nearest": op7_nearest, "op10_quality": op10_quality, "op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_best_fit_packing": op3_best_fit_packing, "op9_bpe": op9_bpe, "op5_warc": op5_warc, "op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter}
