@@ -1,8 +1,8 @@
-"""Boundaries scored along an alignment path: steps (key, step, ref_label, ref_us, test_label, test_us), gaps with the label ``-`` and null times."""
+"""Boundaries scored along an alignment path: steps (ref_label, ref_us, test_label, test_us), gaps with the label ``-`` and null times, as an array ``path`` a pair or as rows with their ``step``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import mean_ms
@@ -10,25 +10,48 @@ from .metrics import mean_ms
 GAP, EDGE = "-", "<utterance_edge>"
 
 
-def path_steps(rows: DataFrame) -> DataFrame:
-    """``(…, g_label, g_us, h_label, h_us)`` of aligned steps, null where one side is missing, as a path."""
-    return rows.withColumns({"ref_label": F.coalesce("g_label", F.lit(GAP)), "test_label": F.coalesce("h_label", F.lit(GAP)), "ref_us": F.col("g_us"), "test_us": F.col("h_us")}).drop("g_label", "h_label", "g_us", "h_us")
+def paths(aligned: DataFrame, key: list[str]) -> DataFrame:
+    """Aligned packed pairs (gold, hyp, steps) -> key, path."""
+
+    def side(name, i):
+        return F.get(F.col(name), i)
+
+    def step(s):
+        g, h = side("gold", s["g"]), side("hyp", s["h"])
+        return F.struct(F.coalesce(g["label"], F.lit(GAP)).alias("ref_label"), g["start_us"].alias("ref_us"), F.coalesce(h["label"], F.lit(GAP)).alias("test_label"), h["start_us"].alias("test_us"))
+
+    return aligned.select(*key, F.transform("steps", step).alias("path"))
+
+
+def packed(steps: DataFrame, key: list[str]) -> DataFrame:
+    """Steps as rows -> a path a key, in order of ``step``."""
+    made = F.array_sort(F.collect_list(F.struct("step", "ref_label", "ref_us", "test_label", "test_us")))
+    return steps.groupBy(*key).agg(made.alias("path"))
 
 
 def path_boundaries(steps: DataFrame, key: list[str], edges: bool = False, gaps: bool = False) -> DataFrame:
     """A boundary at the start of every step that has both sides, named by the labels before and after it.
 
     The first step counts only with ``edges`` (what lies before it is an edge mark); a step right after a gap only with ``gaps``.
+    A path is read where it lies: neighbours come from the array, and only boundaries become rows.
     """
-    w = Window.partitionBy(*key).orderBy("step")
-    s = steps.withColumns({"prev_ref": F.lag("ref_label").over(w), "prev_test": F.lag("test_label").over(w), "first": F.row_number().over(w) == 1})
-    s = s.where((F.col("ref_label") != GAP) & (F.col("test_label") != GAP))
-    if not edges:
-        s = s.where(~F.col("first"))
-    if not gaps:
-        s = s.where(F.col("first") | ((F.col("prev_ref") != GAP) & (F.col("prev_test") != GAP)))
-    mark = lambda c: F.when(F.col("first"), EDGE).otherwise(F.col(c))
-    return s.select(*key, "step", mark("prev_ref").alias("prev_ref"), "ref_label", mark("prev_test").alias("prev_test"), "test_label", "ref_us", "test_us", (F.col("ref_us") - F.col("test_us")).alias("error_us"))
+    p = steps if "path" in steps.columns else packed(steps, key)
+
+    def boundary(x, i):
+        before = F.get("path", i - 1)
+        mark = lambda c: F.when(i == 0, EDGE).otherwise(before[c])
+        return F.struct(
+            i.cast("int").alias("step"), mark("ref_label").alias("prev_ref"), x["ref_label"].alias("ref_label"), mark("test_label").alias("prev_test"), x["test_label"].alias("test_label"),
+            x["ref_us"].alias("ref_us"), x["test_us"].alias("test_us"), (x["ref_us"] - x["test_us"]).alias("error_us"),
+        )
+
+    def counts(b):
+        keep = (b["ref_label"] != GAP) & (b["test_label"] != GAP)
+        if not edges:
+            keep = keep & (b["step"] > 0)
+        return keep if gaps else keep & (b["prev_ref"] != GAP) & (b["prev_test"] != GAP)
+
+    return p.select(*key, F.inline(F.filter(F.transform("path", boundary), counts)))
 
 
 def agreeing(boundaries: DataFrame, categorize) -> DataFrame:
@@ -42,15 +65,28 @@ def path_errors(boundaries: DataFrame) -> DataFrame:
     return boundaries.withColumns({"edge": F.lit("boundary"), "signed_us": -F.col("error_us"), "abs_us": F.abs("error_us")}).drop("error_us")
 
 
-def score_cells(steps: DataFrame, expected: DataFrame, families: DataFrame, category, cell: list[str]) -> DataFrame:
-    """Cells under the path protocol: cell, n, mae_ms, signed_ms, n_failed.
+def attempts(gold: DataFrame, hyp: DataFrame, cell: list[str]) -> DataFrame:
+    """The pairs of each cell: cell, utt_id, attempted (both tiers hold intervals). A hypothesis that is missing or empty is no pair; one without a reference isn't attempted."""
+    there = gold.select("utt_id").distinct().withColumn("attempted", F.lit(True))
+    return hyp.select(*cell, "utt_id").distinct().join(there, "utt_id", "left").select(*cell, "utt_id", F.coalesce("attempted", F.lit(False)).alias("attempted"))
+
+
+def score_cells(results: DataFrame, tried: DataFrame, families: DataFrame, category, cell: list[str]) -> DataFrame:
+    """Cells under the path protocol: cell, state, n, mae_ms, signed_ms, n_attempted, n_failed.
 
-    ``steps`` are path_steps of (cell, utt_id); ``families(system, family)`` is a small table, and systems without a family, whose labels no mapping fits, are skipped.
-    ``expected(utt_id)`` are the utterances that should have been aligned: those without any step in a cell have failed there and are counted. A cell in which
-    all failed has no pool.
+    ``tried`` is what ``attempts`` gave, ``results`` has the paths of (cell, utt_id) that came back, and ``families(system, family)`` says whose labels a mapping fits. State:
+    ``skipped`` for a system without a family (nothing is counted), ``empty`` where nothing was attempted, ``failed`` where no path came back, else ``scored``. Failed are
+    attempted pairs without a path; what was never attempted isn't a failure.
     """
-    known = steps.join(F.broadcast(families.select("system").distinct()), "system", "left_semi")
-    pool = path_errors(agreeing(path_boundaries(known, [*cell, "utt_id"]), category)).groupBy(*cell)
+    known = families.select("system", F.lit(True).alias("_known")).distinct()
+    got = results.select(*cell, "utt_id").distinct().withColumn("_done", F.lit(True))
+    all_cells = tried.join(got, [*cell, "utt_id"], "left").groupBy(*cell).agg(
+        F.sum(F.col("attempted").cast("bigint")).alias("n_attempted"), F.sum((F.col("attempted") & F.col("_done").isNull()).cast("bigint")).alias("n_failed")
+    )
+    fits = results.join(known, "system").drop("_known").join(tried.where("attempted").select(*cell, "utt_id"), [*cell, "utt_id"], "left_semi")
+    pool = path_errors(agreeing(path_boundaries(fits, [*cell, "utt_id"]), category)).groupBy(*cell)
     pool = pool.agg(F.count("*").alias("n"), mean_ms(F.col("abs_us")).alias("mae_ms"), mean_ms(F.col("signed_us")).alias("signed_ms"))
-    done = known.groupBy(*cell).agg(F.countDistinct("utt_id").alias("_done"))
-    return done.crossJoin(expected.agg(F.countDistinct("utt_id").alias("_all"))).join(pool, cell, "left").select(*cell, "n", "mae_ms", "signed_ms", (F.col("_all") - F.col("_done")).alias("n_failed"))
+    state = F.when(F.col("_known").isNull(), "skipped").when(F.col("n_attempted") == 0, "empty").when(F.col("n_attempted") == F.col("n_failed"), "failed").otherwise("scored")
+    counted = lambda c: F.when(F.col("_known"), F.col(c)).alias(c)
+    out = all_cells.join(known, "system", "left").join(pool, cell, "left").withColumn("state", state)
+    return out.select(*cell, "state", "n", "mae_ms", "signed_ms", counted("n_attempted"), counted("n_failed"))

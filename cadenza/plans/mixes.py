@@ -10,8 +10,9 @@ from ..operators import waveform as W
 from ..sources import ingest as I
 from . import fixtures as fx
 from .fixture_sql import hash32, with_
+from .levels import RATE, level_cte, waves
 from .noise import h, items, of
-from .reports import PLAN_CTE, pool, waves
+from .reports import PLAN_CTE, pool
 
 CONDITIONS = [("clean", None, None), ("next_snr10", "next", 10.0), ("next_snr0", "next", 0.0)]
 
@@ -34,7 +35,7 @@ def manifest(spark, sf_dir):
     i = wave_items(spark, sf_dir)
     offset = (fx.hash32(fx.text("off:", F.col("item_id"))) % 5_000_000).cast("bigint")
     s = i.where("noise_type is not null").select("item_id", F.concat(F.lit("w"), (F.col("vec_id") + 1).cast("string")).alias("file"), offset.alias("offset_us"))
-    scales = W.mix(mixed(spark, sf_dir)).select("item_id", "scale")
+    scales = W.mix(mixed(spark, sf_dir), RATE).select("item_id", "scale")
     return X.plan_table(i, s, scales, I.media_key(F.col("path")))
 
 
@@ -42,7 +43,8 @@ _MIXED = "m as (select i.item_id, a.embedding as s, b.embedding as n, i.snr_db f
 _ITEMS = "items as (select vec_id, 'w' || vec_id as utt_id, '/root' || vec_id % 3 as root, 'w' || vec_id || '__' || condition as item_id, c.* from embeddings, (values ('clean', null, null), ('next_snr10', 'next', 10.0::double), ('next_snr0', 'next', 0.0::double)) c(condition, noise_type, snr_db))"
 _POWER = "list_sum(list_transform({x}, lambda v: v::double * v::double)) / len({x})"
 MANIFEST_SQL = with_(
-    _ITEMS, _MIXED, f"p as (select item_id, sqrt({_POWER.format(x='s')} / pow(10, snr_db / 10) / ({_POWER.format(x='n')})) as scale from m)",
+    _ITEMS, _MIXED.replace("select i.item_id,", "select i.item_id, i.vec_id,"), "sig as (select vec_id as id, embedding as s from embeddings)", level_cte("sig"),
+    f"p as (select item_id, sqrt(power / pow(10, snr_db / 10) / ({_POWER.format(x='m.n')})) as scale from m join level on level.id = vec_id)",
     select=f"""select item_id, utt_id, condition, noise_type, snr_db, case when noise_type is not null then 'w' || (vec_id + 1) end as noise_source_file,
   case when noise_type is not null then round({hash32(chr(39) + 'off:' + chr(39) + ' || item_id')} % 5000000 / 1e6::double, 6) end as noise_offset_s, round(scale, 8) as noise_scale,
   'a' || substr(sha1(root), 1, 8) || '/' || utt_id || '/' || case when noise_type is null then 'clean' else condition end || '.wav' as mixed_audio_path from items left join p using (item_id)""",
@@ -53,13 +55,13 @@ def achieved(spark, sf_dir):
     """Whether each mix has the SNR asked for, measured again from mixture less speech. Every seventh is a tenth too loud in its noise, every eleventh a sample short."""
     m = mixed(spark, sf_dir)
     k = fx.hash32(fx.text("fault:", F.col("item_id")))
-    w = W.mix(m).select("item_id", "samples").join(m.select("item_id", "speech", "snr_db"), "item_id")
+    w = W.mix(m, RATE).select("item_id", "samples").join(m.select("item_id", "speech", "snr_db"), "item_id")
     loud = F.when(k % 7 == 0, 1.1).otherwise(1.0)
     noise = F.transform(F.arrays_zip("samples", "speech"), lambda x: (x["samples"] - x["speech"]) * loud)
-    power = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
     short = F.when(k % 11 == 0, F.slice("samples", 1, F.size("samples") - 1)).otherwise(F.col("samples"))
-    got = 10 * F.log10(power(F.col("speech")) / power(noise))
-    g = Q.snr_gate(w.select("item_id", "snr_db", got.alias("achieved_db"), F.size("speech").alias("n_clean"), F.size(short).alias("n_mixed")))
+    got = W.measure_snr(w.select("item_id", "speech", noise.alias("noise")), RATE).withColumnRenamed("snr_db", "achieved_db")
+    lengths = w.select("item_id", "snr_db", F.size("speech").alias("n_clean"), F.size(short).alias("n_mixed"))
+    g = Q.snr_gate(lengths.join(got, "item_id"))
     return g.select("item_id", "n_clean", "n_mixed", F.round("error_db", 6).alias("error_db"), "ok")
 
 

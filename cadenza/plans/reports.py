@@ -12,6 +12,7 @@ from ..operators import waveform as W
 from . import alignment as A
 from . import fixtures as fx
 from .fixture_sql import GOLD, HYP, hash32, with_
+from .levels import RATE, level_cte, waves
 
 # ---- labels: the letters of every reference word as a phone tier
 
@@ -176,11 +177,6 @@ ROOMS_SQL = with_(
 # ---- waveforms: an embedding is a waveform, its neighbour by number the noise
 
 
-def waves(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
-
-
 def wave_frames(spark, sf_dir):
     f = W.frames(waves(spark, sf_dir), ["vec_id"], 16, 8)
     return f.select("vec_id", "frame", "at", F.round("power", 9).alias("power"))
@@ -204,13 +200,14 @@ def wave_mix(spark, sf_dir):
     w = waves(spark, sf_dir)
     n = w.select((F.col("vec_id") - 1).alias("vec_id"), F.col("samples").alias("noise"))
     plan = w.join(n, "vec_id").select(F.col("vec_id").cast("string").alias("item_id"), F.col("samples").alias("speech"), "noise", F.lit(10.0).alias("snr_db"))
-    m = W.mix(plan)
+    m = W.mix(plan, RATE)
     power = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x) / F.size("samples")
     return m.select("item_id", F.round("scale", 6).alias("scale"), F.round("snr_db", 6).alias("snr_db"), F.round(power, 6).alias("power"))
 
 
-MIX_SQL = """with p as (select a.vec_id, a.embedding as s, b.embedding as n from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
-q as (select *, list_sum(list_transform(s, lambda x: x::double * x)) / len(s) as ps, list_sum(list_transform(n, lambda x: x::double * x)) / len(n) as pn from p),
+MIX_SQL = f"""with sig as (select vec_id as id, embedding as s from embeddings),{level_cte("sig")},
+p as (select a.vec_id, a.embedding as s, b.embedding as n from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+q as (select p.*, power as ps, list_sum(list_transform(p.n, lambda x: x::double * x)) / len(p.n) as pn from p join level on level.id = vec_id),
 z as (select *, sqrt(ps / 10 / pn) as scale from q)
 select vec_id::varchar as item_id, round(scale, 6) as scale, round(10.0::double, 6) as snr_db,
   round(list_sum(list_transform(list_zip(s, n), lambda x: pow(x[1]::double + scale * x[2]::double, 2))) / len(s), 6) as power from z"""

@@ -287,10 +287,10 @@ def test_snapshots(spark, tmp_path):
 def test_mixing(spark):
     rng = np.random.default_rng(0)
     rows = [(str(s), rng.normal(size=64).tolist(), rng.normal(size=64).tolist(), float(s)) for s in (20, 15, 10)]
-    got = W.mix(spark.createDataFrame(rows, "item_id string, speech array<double>, noise array<double>, snr_db double")).collect()
+    got = W.mix(spark.createDataFrame(rows, "item_id string, speech array<double>, noise array<double>, snr_db double"), 16_000).collect()
     assert all(abs(r["snr_db"] - float(r["item_id"])) < 0.5 and len(r["samples"]) == 64 for r in got)
     with pytest.raises(Exception, match="samples"):
-        W.mix(spark.createDataFrame([("x", [1.0, 2.0], [1.0], 5.0)], "item_id string, speech array<double>, noise array<double>, snr_db double")).collect()
+        W.mix(spark.createDataFrame([("x", [1.0, 2.0], [1.0], 5.0)], "item_id string, speech array<double>, noise array<double>, snr_db double"), 16_000).collect()
     pool = spark.range(20).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"))
     a, b = (X.split_pool(pool, "file", fx.hash32, 3).orderBy("file").collect() for _ in range(2))
     assert a == b and sum(r["half"] == "train" for r in a) == 10 and {r["idx"] for r in a if r["half"] == "eval"} == set(range(10))
