@@ -149,18 +149,29 @@ MERGED_SQL = with_(
 )
 
 
+#: Tags of every kind, the word in the place of @.
+TAGS = ["<LAUGH-@_so>", "<EXT-a=@>", "<laugh=@>", "<IVER-@>", "<EXCLUDE-@>", "<Hes-@-@>", "<NOISE=@_and_@>", "<VOCNOISE>", "<ERROR-@=so>", "<NOISE->", "{B_@}", "<vocnoise-__>", "<EXT-@"]
+
+
+def tagged(word):
+    """A word by its place: plain, or in one of TAGS."""
+    k = F.col("pos") % (len(TAGS) + 1)
+    return F.coalesce(F.replace(F.get(F.array(*[F.lit(t) for t in TAGS]), (k - 1).cast("int")), F.lit("@"), word), word)
+
+
 def hidden(spark, sf_dir):
-    """Words recovered from event tags."""
-    g = fx.gold(spark, sf_dir)
-    g = g.withColumn("label", F.regexp_replace("label", "[-_=<>]", "x"))
-    tag = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("<LAUGH-"), "label", F.lit("_so>"))).when(F.col("pos") % 3 == 1, F.concat(F.lit("<EXT-a="), "label", F.lit(">"))).otherwise(F.col("label"))
-    r = g.withColumn("word", T.recover_hidden_words(tag))
-    return r.groupBy("word").agg(F.count("*").alias("n"))
+    """Words recovered from tags of every kind, and what disqualifies a segment."""
+    g = fx.gold(spark, sf_dir).withColumn("label", tagged(F.regexp_replace("label", "[-_=<>{}]", "x")))
+    r = g.withColumns({"word": T.recover_hidden_words(F.col("label")), "bad": T.disqualifies(F.col("label"))})
+    return r.groupBy("word", "bad").agg(F.count("*").alias("n"))
 
 
 HIDDEN_SQL = with_(
-    GOLD, "h as (select case when pos % 3 = 0 then trim(regexp_replace(label, '[-_=<>]', 'x', 'g') || ' so') end as word from gold)", select="select word, count(*) as n from h group by word"
-)
+    GOLD, "h0 as (select pos, regexp_replace(label, '[-_=<>{}]', 'x', 'g') as w from gold)",
+    f"""h as (select w, coalesce(replace({TAGS!r}[(pos % {len(TAGS) + 1})::int], '@', w), w) as label, pos % {len(TAGS) + 1} as k from h0)""",
+    select="""select case when k = 1 then w || ' so' when k = 3 then w when k = 6 then w || ' ' || w when k = 7 then w || ' and ' || w end as word,
+  regexp_matches(lower(label), 'unknown|cutoff|exclud|excis|error') or k in (2, 9) as bad, count(*) as n from h group by all""",
+)
 
 
 def path_rows(spark, sf_dir):

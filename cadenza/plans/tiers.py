@@ -40,6 +40,68 @@ PAUSES_SQL = with_(
 )
 
 
+#: Events by a hash of the word: its place in the word tier, and the phone below it (none: two phones of speech).
+EVENTS = {1: ("<LAUGH-@_so>", None), 2: ("<IVER-@>", "IVER"), 3: ("<vocnoise=@>", "VOCNOISE"), 4: ("<ERROR-@=x>", None), 5: ("<EXCLUDE-@>", "EXCLUDE"), 6: ("<SIL>", "SIL"), 7: ("<SIL>", "SIL"), 8: ("<LAUGH>", "LAUGH")}
+SPLIT_US, PAD_US, FEWEST = 35_000, 25_000, 2
+
+
+def annotated(spark, sf_dir):
+    """Words with events among them, their phones with pauses, and how long half of the recordings are."""
+    g = fx.gold(spark, sf_dir).withColumns({"w": F.regexp_replace("label", "[-_=<>{}]", "x"), "h": (fx.hash32(fx.text("tag:", F.col("utt_id"), ":", F.col("pos"))) % 34).cast("int")})
+    of = lambda at: F.coalesce(*[F.when(F.col("h") == k, F.lit(v[at])) for k, v in EVENTS.items() if v[at]])
+    g = g.withColumns({"label": F.coalesce(F.replace(of(0), F.lit("@"), F.col("w")), F.col("w")), "event": of(1)})
+    part = lambda label, a, b: F.struct(F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"), a.cast("bigint").alias("start_us"), b.cast("bigint").alias("end_us"))
+    a, b = F.col("start_us"), F.col("end_us")
+    middle = F.expr("start_us + (end_us - start_us) div 2")
+    own = F.when(F.col("event").isNotNull(), F.array(part(F.col("event"), a, b))).otherwise(F.array(part("aa", a, middle), part("b", middle, b)))
+    pause = F.when(F.col("pos") % 7 == 6, F.array(part("SIL", a - 30_000, a))).otherwise(F.filter(own, lambda x: F.lit(False)))
+    phones = g.select("utt_id", F.inline(F.concat(pause, own)))
+    phones = phones.withColumn("pos", F.row_number().over(Window.partitionBy("utt_id").orderBy("start_us", "end_us")) - 1)
+    media = g.groupBy("utt_id").agg((F.max("end_us") + 60_000).alias("dur_us")).where(fx.hash32(fx.text("media:", F.col("utt_id"))) % 2 == 0)
+    return g.select("utt_id", "pos", "label", "start_us", "end_us"), phones, media
+
+
+def segments_with_words(spark, sf_dir):
+    """Segments with their words and phones, timed from each segment's start."""
+    words, phones, media = annotated(spark, sf_dir)
+    segments, items = T.whole_segments(words, phones, U, SPLIT_US, PAD_US, FEWEST, media)
+    return items.join(segments.select("utt_id", "segment", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us"), "n_words"), ["utt_id", "segment"])
+
+
+_TAGGED = " ".join(f"when {k} then replace('{t}', '@', w)" for k, (t, _) in EVENTS.items())
+_BELOW = ", ".join(f"({k}, '{e}')" for k, (_, e) in EVENTS.items() if e)
+WHOLE_SQL = with_(
+    GOLD, f"ann as (select utt_id, pos, start_us, end_us, regexp_replace(label, '[-_=<>{{}}]', 'x', 'g') as w, ({hash32(chr(39) + 'tag:' + chr(39) + ' || utt_id || ' + chr(39) + ':' + chr(39) + ' || pos')} % 34)::int as h from gold)",
+    f"wd as (select *, case h {_TAGGED} else w end as label, case when h = 1 then w || ' so' when h not between 1 and 8 then w end as said from ann)",
+    f"ev(h, event) as (values {_BELOW})",
+    """ph0 as (
+  select utt_id, 'SIL' as label, start_us - 30000 as s, start_us as e from ann where pos % 7 = 6
+  union all select utt_id, event, start_us, end_us from ann join ev using (h)
+  union all select utt_id, 'aa', start_us, start_us + (end_us - start_us) // 2 from ann where h not in (select h from ev)
+  union all select utt_id, 'b', start_us + (end_us - start_us) // 2, end_us from ann where h not in (select h from ev)
+)""",
+    "ph as (select *, row_number() over (partition by utt_id order by s, e) - 1 as pos from ph0)",
+    f"md as (select utt_id, max(end_us) + 60000 as dur from gold where {hash32(chr(39) + 'media:' + chr(39) + ' || utt_id')} % 2 = 0 group by utt_id)",
+    f"t0 as (select *, label = 'SIL' as sil, e - s as len, label not in ('aa', 'b', 'SIL') or (label = 'SIL' and e - s >= {SPLIT_US}) as hard from ph)",
+    "t1 as (select *, sum((not sil)::int) over (partition by utt_id order by pos) as run from t0)",
+    "t2 as (select *, sum(case when sil then len else 0 end) over (partition by utt_id, run order by pos) as upto, sum(case when sil then len else 0 end) over (partition by utt_id, run) as after, run = max(run) over (partition by utt_id) as final from t1)",
+    "t3 as (select *, coalesce(lag(upto) over (partition by utt_id order by pos), 0) as before, sum(hard::int) over (partition by utt_id order by pos) as island from t2)",
+    "sp as (select utt_id, island, min(s) as s, max(e) as e, arg_min(before, pos) as b, arg_max(after, pos) as a, bool_or(final) as final from t3 where not hard and not sil group by all)",
+    "ov as (select sp.utt_id, island, count(said) as n_words, bool_or(regexp_matches(lower(label), 'unknown|cutoff|exclud|excis|error') or h = 4) as bad from sp join wd on wd.utt_id = sp.utt_id and wd.end_us > sp.s and wd.start_us < sp.e group by all)",
+    f"""sg as (
+  select sp.utt_id, s, e, n_words, (row_number() over (partition by sp.utt_id order by s) - 1)::int as segment, greatest(0, s - least(b, {PAD_US}))::bigint as from_us,
+    (e + least(case when final then greatest(a, coalesce(dur - e, 0)) else a end, {PAD_US}))::bigint as to_us
+  from sp join ov using (utt_id, island) left join md using (utt_id) where not bad and n_words >= {FEWEST}
+)""",
+    """it as (
+  select sg.utt_id, segment, 'word' as kind, said as label, start_us - from_us as start_us, end_us - from_us as end_us, from_us, to_us, n_words from sg join wd on wd.utt_id = sg.utt_id and end_us > s and start_us < e and said is not null
+  union all
+  select sg.utt_id, segment, 'phone', case when label = 'SIL' then '!sil' else label end, ph.s - from_us, ph.e - from_us, from_us, to_us, n_words from sg join ph on ph.utt_id = sg.utt_id and ph.s >= sg.s - 1 and ph.e <= sg.e + 1
+)""",
+    select="select *, (row_number() over (partition by utt_id, segment, kind order by start_us, end_us, label) - 1)::int as pos from it",
+)
+
+
 def clamped(spark, sf_dir):
     """Hypotheses clamped to the reference's end; how many intervals that changed, and how many were left without length."""
     dur = fx.gold(spark, sf_dir).groupBy("utt_id").agg(F.max("end_us").alias("dur"))
@@ -252,6 +314,7 @@ ZERO_SQL = with_(
 )
 
 QUERIES = {
+    "segments_with_words": (segments_with_words, WHOLE_SQL),
     "segment_native": (segment_native, NATIVE_SQL), "segment_pauses": (segment_pauses, PAUSES_SQL), "clamp_intervals": (clamped, CLAMP_SQL), "clean_hyp": (cleaned, CLEAN_SQL),
     "onset_only": (onset_only, ONSET_SQL), "transcripts": (transcripts, TRANSCRIPT_SQL), "vocabulary": (vocabulary, VOCABULARY_SQL), "strip_oov": (strip_oov, OOV_SQL),
     "interval_violations": (interval_violations, VIOLATIONS_SQL), "gate_identical_share": (identical_share, IDENTICAL_SQL), "gate_coverage": (coverage, COVERAGE_SQL),
