@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resample import POISSON, exact_sums, poisson_sums  # noqa: F401
+
 DIGITS = 9
 #: A cell with fewer matches is underpowered.
 LEAST = 30
-#: From which of 65,536 values on a Poisson variable of mean 1 is at least 1, 2, ...
-POISSON = (24110, 48219, 60274, 64292, 65297, 65498, 65531)
 
 
 def r(x: Column) -> Column:
@@ -219,23 +219,17 @@ def numbered(rows: DataFrame, group: list[str], name: str, hash32: Callable[[Col
     return p.join(counts, [*group, "_part"]).withColumn("u", F.col("u") + F.col("_before")).drop("_h", "_part", "_before")
 
 
-def bootstrap(per_utt: DataFrame, group: list[str], replicates: int = 1000, seed: int = 0, more: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+def bootstrap(per_utt: DataFrame, group: list[str], replicates: int = 1000, seed: int = 0, more: dict[str, tuple[str, float]] | None = None, exact: bool = False) -> DataFrame:
     """95 % interval of a pooled mean over utterances: ``per_utt(group, utt_id, s, c)`` -> group, lo, hi (of sum s / sum c, per 1000).
 
     ``more`` gives further means over the same draws: name -> (column of ``per_utt``, divisor), as name_lo and name_hi of sum column / sum c / divisor.
-    An utterance's weight in a replicate is a Poisson draw of mean 1 by hash of seed, utterance and replicate, eight to a digest, so that each row makes its own draws:
-    nothing is numbered or joined, and sums combine before the shuffle into ``replicates`` (rounded up to eights) numbers a group.
+    An utterance's weight in a replicate is a Poisson draw of mean 1 by hash, so that each row makes its own draws and nothing is numbered or joined; with ``exact`` the weights
+    are those of n draws of n utterances, dealt down a tree of ranges. Either way a task adds up whole replicates before the shuffle.
     """
     stats = {"": ("s", 1000)} | {f"{k}_": v for k, v in (more or {}).items()}
-    # a few rows become very many draws: spread them first, over a stated number of partitions that adaptive execution leaves alone
+    columns = [*dict.fromkeys([v for v, _ in stats.values()] + ["c"])]
+    # few rows become very many draws: spread them over a stated number of partitions that adaptive execution leaves alone
     rows = per_utt.repartition(int(per_utt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "utt_id")
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))))
-    digest = F.md5(F.concat(F.lit(f"b:{seed}:"), F.col("utt_id"), F.lit(":"), F.col("_k").cast("string")))
-    rows = rows.withColumn("_m", digest)
-    value = lambda j: F.conv(F.substring("_m", 1 + 4 * j, 4), 16, 10).cast("int")
-    rows = rows.select(*group, *[v for v, _ in stats.values()], "c", "_k", F.posexplode(F.array(*[value(j) for j in range(8)])).alias("_j", "_v"))
-    weight = sum(((F.col("_v") >= t).cast("int") for t in POISSON[1:]), (F.col("_v") >= POISSON[0]).cast("int"))
-    rows = rows.withColumns({"w": weight, "b": F.col("_k") * 8 + F.col("_j")}).where("w > 0")
-    sums = rows.groupBy(*group, "b").agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v, _ in stats.values()], F.sum(F.col("c") * F.col("w")).alias("c"))
+    sums = (exact_sums if exact else poisson_sums)(rows, group, columns, replicates, seed)
     edge = lambda v, by, q: r(F.percentile(F.when(F.col("c") > 0, F.col(v) / F.col("c") / by), q))
     return sums.groupBy(*group).agg(*[edge(v, by, q).alias(f"{name}{end}") for name, (v, by) in stats.items() for end, q in (("lo", 0.025), ("hi", 0.975))])

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.phones import SILENCE_WORDS
 from ..operators import metrics as M
+from ..operators import resample as RS
 from ..operators import score as E
 from ..operators import scoring as S
 from ..operators import tiers as T
 from ..operators.align import align_times
 from ..sources.storage import stage
 from . import fixtures as fx
-from .fixture_sql import ALIGN, GOLD, HYP, with_
+from .fixture_sql import ALIGN, GOLD, HYP, hash32, with_
 
 G = ["corpus", "system", "cond"]
 
@@ -275,20 +276,83 @@ def bootstrap_whole(spark, sf_dir):
     return intervals(boundary_errors(spark, sf_dir), ["system", "cond"])
 
 
+def bootstrap_exact(spark, sf_dir):
+    """As bootstrap_whole, by n draws of n utterances."""
+    within = F.sum((F.col("abs_us") <= PRIMARY_US).cast("bigint"))
+    per = boundary_errors(spark, sf_dir).groupBy("system", "cond", "utt_id").agg(F.sum("abs_us").alias("s"), within.alias("t"), F.count("*").alias("c"))
+    return M.bootstrap(stage(per, "perutt"), ["system", "cond"], replicates=REPLICATES, seed=7, more={"ta": ("t", 1)}, exact=True)
+
+
+def mixed(rows: str, name: str = "x") -> str:
+    """``rows`` with its column ``name`` (ubigint) spread over 32 bits."""
+    for step in ("xor({x}, {x} >> 16)", f"({{x}} * {RS.FIRST}::ubigint) % 4294967296::ubigint", "xor({x}, {x} >> 13)", f"({{x}} * {RS.SECOND}::ubigint) % 4294967296::ubigint", "xor({x}, {x} >> 16)"):
+        rows = f"(select * replace ({step.format(x=name)} as {name}) from {rows})"
+    return rows
+
+
+_PER_UTT = f"sum(abs_us)::bigint as s, count(*) filter (abs_us <= {PRIMARY_US}) as t, count(*) as c"
+_SEEDS = f"sd as (select b, x as seed from {mixed('(select b, (b + 7)::ubigint as x from range(' + str(REPLICATES) + ') r(b))')})"
+
+
+def _edges(g: str) -> str:
+    edge = lambda v, by, q: f"round(quantile_cont({v}::double / c / {by}, {q}), 9)"
+    return f"bt as (select {g}, {edge('s', 1000, 0.025)} as lo, {edge('s', 1000, 0.975)} as hi, {edge('t', 1, 0.025)} as ta_lo, {edge('t', 1, 0.975)} as ta_hi from st group by all)"
+
+
 def boot_parts(g: str) -> tuple[str, ...]:
     """Utterances' sums, their weights in each replicate, and the replicates' intervals by the columns ``g``."""
-    edge = lambda v, by, q: f"round(quantile_cont({v}::double / c / {by}, {q}), 9)"
-    weight = " + ".join(f"(v >= {t})::int" for t in M.POISSON)
+    weight = " + ".join(f"(x >> 16 >= {t})::int" for t in RS.POISSON)
+    drawn = mixed(f"(select {g}, s, t, c, b, xor({hash32('utt_id')}::ubigint, seed) as x from pu, sd)")
     return (
-        f"pu as (select {g}, utt_id, sum(abs_us)::bigint as s, count(*) filter (abs_us <= {PRIMARY_US}) as t, count(*) as c from errs group by all)",
-        f"md as (select pu.*, k, md5('b:7:' || utt_id || ':' || k) as m from pu, range({REPLICATES // 8}) r(k))",
-        f"wt as (select {g}, s, t, c, k * 8 + j as b, ('0x' || substr(m, 1 + 4 * j, 4))::int as v from md, range(8) q(j))",
-        f"st as (select {g}, b, sum(s * w)::bigint as s, sum(t * w)::bigint as t, sum(c * w)::bigint as c from (select *, {weight} as w from wt) x where w > 0 group by all)",
-        f"bt as (select {g}, {edge('s', 1000, 0.025)} as lo, {edge('s', 1000, 0.975)} as hi, {edge('t', 1, 0.025)} as ta_lo, {edge('t', 1, 0.975)} as ta_hi from st group by all)",
+        f"pu as (select {g}, utt_id, {_PER_UTT} from errs group by all)",
+        _SEEDS,
+        f"st as (select {g}, b, sum(s * w)::bigint as s, sum(t * w)::bigint as t, sum(c * w)::bigint as c from (select *, {weight} as w from {drawn} y) z where w > 0 group by all)",
+        _edges(g),
     )
 
 
+def exact_parts(g: str, chunk: int, levels: int) -> tuple[str, ...]:
+    """n draws of n, dealt down the tree of hash ranges level by level (``levels`` at most), then to the rows of a range."""
+    parts = [
+        f"pu as (select {g}, utt_id, {hash32('utt_id')} as h, {_PER_UTT} from errs group by all)",
+        f"sz as (select greatest(0, ceil(log2(max(n)::double / {chunk})))::int as bits from (select count(*) as n from pu group by {g}) x)",
+        f"pc as (select pu.*, bits, (h >> (32 - bits))::bigint as chunk from pu, sz)",
+        f"pr as materialized (select *, row_number() over (partition by {g}, chunk order by h, utt_id) - 1 as i, count(*) over (partition by {g}, chunk) as m from pc)",
+        f"ct as materialized (select {g}, chunk, any_value(bits) as bits, count(*) as n from pc group by {g}, chunk)",
+        _SEEDS,
+        f"n0 as (select {g}, b, seed, 0::bigint as q, sum(n)::bigint as m, sum(n)::bigint as d, any_value(bits) as bits from ct, sd group by {g}, b, seed)",
+    ]
+    for k in range(levels):
+        node = mixed(f"(select *, (q + {2**k + 2**24})::ubigint as x from n{k})")
+        base = mixed(f"(select * replace (xor(seed, x) as x) from {node} y)")
+        two = mixed(mixed(f"(select *, (x + 1) % 4294967296::ubigint as x1, (x + 2) % 4294967296::ubigint as x2 from {base} y)", "x1"), "x2")
+        parts += [
+            f"l{k} as (select {g}, chunk >> greatest(bits - {k + 1}, 0) as q, sum(n)::bigint as ml from ct where bits > {k} group by {g}, chunk >> greatest(bits - {k + 1}, 0))",
+            f"u{k} as materialized (select y.* exclude (x, x1, x2), ((x1 >> 5)::double * 67108864 + (x2 >> 6)::double) / 9007199254740992::double as u, coalesce(l.ml, 0) as ml from {two} y left join l{k} l on {' and '.join(f'l.{c.strip()} = y.{c.strip()}' for c in g.split(','))} and l.q = 2 * y.q)",
+            f"""w{k} as (select *, ml::double / m as p, floor((d + 1) * (ml::double / m))::bigint as mode, ceil({RS.SPREAD} * sqrt(d * (ml::double / m) * (1 - ml::double / m)))::bigint + {RS.SPREAD} as half from u{k} where bits > {k} and d > 0 and ml > 0 and ml < m)""",
+            f"x{k} as (select {g}, b, q, u, d, p, unnest(range(greatest(0, mode - half), least(d, mode + half) + 1)) as k from w{k})",
+            f"c{k} as (select {g}, b, q, u, k, sum(exp(lgamma(d + 1) - lgamma(k + 1) - lgamma(d - k + 1) + k * ln(p) + (d - k) * ln(1 - p))) over (partition by {g}, b, q order by k) as f from x{k})",
+            f"d{k} as (select {g}, b, q, coalesce(min(k) filter (f >= u), max(k)) as dl from c{k} group by {g}, b, q)",
+            f"s{k} as (select u.*, case when bits <= {k} then null when ml = 0 or d = 0 then 0 when ml = m then d else dl end as given from u{k} u left join d{k} using ({g}, b, q))",
+            f"""n{k + 1} as (
+  select {g}, b, seed, q, m, d, bits from s{k} where bits <= {k}
+  union all select {g}, b, seed, 2 * q, ml, given, bits from s{k} where bits > {k}
+  union all select {g}, b, seed, 2 * q + 1, m - ml, d - given, bits from s{k} where bits > {k}
+)""",
+        ]
+    base = mixed(f"(select {g}, b, q, d, xor(seed, q::ubigint) as x from n{levels} where d > 0)")
+    drawn = mixed(f"(select * replace ((x + j::ubigint * 2654435769::ubigint) % 4294967296::ubigint as x) from (select *, unnest(range(d)) as j from {base} y) z)")
+    parts += [
+        f"ms as (select distinct {g}, chunk, m from pr)",
+        f"dr as (select {g}, b, q, ((x * m::ubigint) >> 32)::bigint as i, count(*) as w from {drawn} y join ms using ({g}) where ms.chunk = q group by all)",
+        f"st as (select {g}, b, sum(s * w)::bigint as s, sum(t * w)::bigint as t, sum(c * w)::bigint as c from dr join pr using ({g}, i) where pr.chunk = q group by {g}, b)",
+        _edges(g),
+    ]
+    return tuple(parts)
+
+
 BOOT_WHOLE_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select * from bt", recursive=True)
+EXACT_SQL = with_(*BASE, MATCHED, *exact_parts("system, cond", RS.CHUNK, 3), select="select * from bt", recursive=True)
 BOOT_SQL = with_(*BASE, MATCHED, *boot_parts("system, cond"), select="select system, cond, lo, hi from bt", recursive=True)
 
 
@@ -409,7 +473,7 @@ BY_TIME_SQL = with_(
 )
 
 QUERIES = {
-    "leaderboard_by_time": (scored_by_time, BY_TIME_SQL),
+    "bootstrap_exact": (bootstrap_exact, EXACT_SQL), "leaderboard_by_time": (scored_by_time, BY_TIME_SQL),
     "align_steps": (align_steps, align_steps_sql()), "align_times": (time_aligned, TIMES_SQL), "edit_rates": (edit_counts, EDIT_SQL), "boundary_errors": (boundary_errors, ERRORS_SQL),
     "interior_errors": (interior_errors, INTERIOR_SQL), "per_type": (per_type, PER_TYPE_SQL), "class_matched_pool": (class_matched, CLASS_SQL), "common_matched_mae": (common_matched, COMMON_SQL),
     "segmentation_counts": (segmentation, SEG_SQL), "boundary_detection": (detection, DETECTION_SQL), "nearest_gold_boundary": (nearest_gold, NEAREST_SQL), "word_error_rates": (word_rates, WORD_SQL),
