@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cells, gates, ingest, labelling, levels, mixes, noise, pool, reports, tiers, words
+from . import alignment, cells, gates, ingest, labelling, levels, mixes, noise, pool, recordings, reports, tiers, words
 
-GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells, mixes, levels)
+GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells, mixes, levels, recordings)
 
 
 def flagship(spark, sf_dir):

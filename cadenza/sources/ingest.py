@@ -143,17 +143,26 @@ def key_values(text: DataFrame) -> DataFrame:
     return text.where(F.size(p) == 2).select(F.get(p, F.lit(0)).alias("key"), F.get(p, F.lit(1)).alias("value"))
 
 
+def shell_words(command: Column) -> Column:
+    """A command's words: quotes hold blanks together."""
+    return F.regexp_extract_all(command, F.lit(r"""(?:[^\s'"]|'[^']*'|"[^"]*")+"""), 0)
+
+
+def unquoted(word: Column) -> Column:
+    return F.regexp_replace(word, r"""^(['"])(.*)\1$""", "$2")
+
+
 def mix_commands(text: DataFrame) -> DataFrame:
     """Mixing commands (text(value): id, then a shell command): key, snrs, noises, start_times, rir. What a command doesn't say is empty, the response null.
 
     A command is shell words: quotes hold blanks together, and ``--option=value`` is one word. Signals in a list may be commands of their own; a signal's file is its
     first word that ends in ``.wav``.
     """
-    kv = key_values(text).withColumn("_words", F.regexp_extract_all("value", F.lit(r"""(?:[^\s'"]|'[^']*'|"[^"]*")+"""), 0))
+    kv = key_values(text).withColumn("_words", shell_words(F.col("value")))
 
     def option(name):
         word = F.get(F.filter("_words", lambda w: F.startswith(w, F.lit(f"--{name}="))), F.lit(0))
-        return F.coalesce(F.regexp_replace(F.substr(word, F.lit(len(name) + 4)), r"""^(['"])(.*)\1$""", "$2"), F.lit(""))
+        return F.coalesce(unquoted(F.substr(word, F.lit(len(name) + 4))), F.lit(""))
 
     def file(signal):
         words = F.transform(F.regexp_extract_all(signal, F.lit(r'"[^"]*"|\S+'), 0), lambda w: F.replace(w, F.lit('"'), F.lit("")))
@@ -166,12 +175,23 @@ def mix_commands(text: DataFrame) -> DataFrame:
 
 
 def padded_durations(commands: DataFrame, media: DataFrame) -> DataFrame:
-    """Length of what each of text(value: id, then a command or a path) gives: that of ``media(path, dur_us)``, a delay in ms and a padding in seconds: key, dur_us (null without a medium)."""
-    kv = key_values(commands)
-    named = F.regexp_extract("value", r"-i\s+(\S+)", 1)
-    path = F.when(named != "", named).otherwise(F.trim(F.regexp_replace(F.trim("value"), r"\|$", "")))
-    extra = lambda pattern, by: F.coalesce(F.round(F.regexp_extract("value", pattern, 1).try_cast("double") * by).cast("bigint"), F.lit(0))
-    t = kv.select("key", path.alias("path"), (extra(r"adelay=(\d+)", 1000) + extra(r"pad_dur=([\d.]+)", 1_000_000)).alias("_more"))
+    """Length of what each of text(value: id, then a path or a command) gives: that of ``media(path, dur_us)`` and what the command's filters add: key, dur_us (null without a medium).
+
+    The medium is the word after ``-i``, or all of a command without one, but for a last ``|``. Filters are a word of ``name=value`` items joined by ``,``, values of one filter by ``:``; a
+    delay is in ms (that of the first channel), a padding in seconds.
+    """
+    kv = key_values(commands).withColumn("_words", shell_words(F.col("value")))
+    at = F.array_position("_words", "-i").cast("int")  # counted from 1, 0: there is none
+    bare = F.trim(F.rtrim(F.col("value"), F.lit("| ")))
+    path = unquoted(F.when(at > 0, F.get("_words", at)).otherwise(bare))
+    items = F.flatten(F.transform("_words", lambda w: F.transform(F.split(unquoted(w), "[,:]"), lambda x: F.reverse(F.split(x, "=")))))  # value, name, filter
+
+    def added(name, per):
+        value = F.get(F.get(F.filter(items, lambda x: F.get(x, F.lit(1)) == name), F.lit(0)), F.lit(0))
+        return F.coalesce(F.round(F.substring_index(value, "|", 1).try_cast("double") * per).cast("bigint"), F.lit(0))
+
+    delay, padding = added("adelay", 1000), added("pad_dur", 1_000_000)
+    t = kv.select("key", path.alias("path"), (delay + padding).alias("_more"))
     return t.join(media, "path", "left").select("key", (F.col("dur_us") + F.col("_more")).alias("dur_us"))
 
 
