@@ -179,7 +179,7 @@ def exported(spark, sf_dir):
     g = fx.gold(spark, sf_dir).where(fx.hash32(fx.text("hide:", F.col("utt_id"))) % 9 != 0)
     path = scratch_path(spark, "refs")
     I.export_refs(g.withColumn("level", F.lit("words")), path, ["corpus", "level"])
-    r = spark.read.schema("utt_id string, intervals array<struct<label: string, start: double, end: double>>, corpus string, level string").json(path)
+    r = I.exported(spark, path)
     us = lambda x: F.round(x * 1_000_000).cast("bigint")
     total = F.aggregate("intervals", F.lit(0).cast("bigint"), lambda a, x: a + us(x["end"]) - us(x["start"]))
     return r.groupBy("corpus", "level").agg(F.count("*").alias("n_utts"), F.sum(F.size("intervals")).alias("n"), F.sum(total).alias("total_us"))

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import results
+
 INTERVALS = "array<struct<label:string,start_us:bigint,end_us:bigint,conf:double>>"
 HYP = f"item_id string, utt_id string, condition string, aligner string, mode string, source string, rtf double, words {INTERVALS}, phones {INTERVALS}"
 # fixed value: the order of the parts of a cell's path
@@ -246,9 +248,15 @@ def export_refs(tier: DataFrame, path: str, partition: list[str]) -> None:
 
 
 def export_tier(tier: DataFrame, path: str, partition: list[str]) -> None:
-    """JSON lines, partitioned, in order of utterance within a file; a partition that is written again is replaced whole, others stay."""
+    """JSON lines, partitioned, in order of utterance within a file; a partition that is written again is replaced whole, others stay, and readers see all of it or nothing (``exported``)."""
     order = [c for c in ("utt_id", "pos") if c in tier.columns]
-    tier.repartition(*partition, F.pmod(F.xxhash64("utt_id"), F.lit(64))).sortWithinPartitions(*partition, *order).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*partition).json(path)
+    rows = tier.repartition(*partition, F.pmod(F.xxhash64("utt_id"), F.lit(64))).sortWithinPartitions(*partition, *order)
+    results.publish(tier.sparkSession, path, {"items": results.Part(rows, tuple(partition), "json")})
+
+
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """What ``export_tier`` wrote."""
+    return results.current(spark, path).table("items")
 
 
 def replace_table(table: DataFrame, path: str, form: str = "parquet", **options) -> None:
@@ -273,11 +281,13 @@ def current_table(spark: SparkSession, path: str, form: str = "parquet", **optio
 
 
 def write_results(table: DataFrame, per_type: DataFrame, path: str, keys: tuple[str, ...] = ("corpus", "system", "cond")) -> None:
-    """The leaderboard as Parquet and CSV and the table by type as Parquet, each replaced as a whole, rows in order of ``keys``."""
+    """The leaderboard as Parquet and CSV and the table by type as Parquet, rows in order of ``keys``, published as one: see ``results.current``."""
     ordered = table.orderBy(*keys)
-    replace_table(ordered, f"{path}/leaderboard")
-    replace_table(ordered, f"{path}/leaderboard_csv", "csv", header=True)
-    replace_table(per_type.orderBy(*keys, "left_class", "right_class"), f"{path}/per_type")
+    parts = {
+        "leaderboard": results.Part(ordered), "leaderboard_csv": results.Part(ordered, form="csv", options={"header": "true"}),
+        "per_type": results.Part(per_type.orderBy(*keys, "left_class", "right_class")),
+    }
+    results.publish(table.sparkSession, path, parts)
 
 
 def variant_key(**parts) -> str:
@@ -296,12 +306,13 @@ def first_items(tier: DataFrame, n: int, key: str = "utt_id") -> DataFrame:
 
 
 def publish(table: DataFrame, path: str, month: str | None = None) -> None:
-    """A dated snapshot (``month`` as YYYYMM; default: the current one)."""
-    table.withColumn("month", F.lit(month) if month else F.date_format(F.current_date(), "yyyyMM")).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(path)
+    """A dated snapshot (``month`` as YYYYMM; default: the current one), which takes the place of one of that month at once."""
+    dated = table.withColumn("month", F.lit(month) if month else F.date_format(F.current_date(), "yyyyMM"))
+    results.publish(table.sparkSession, path, {"snapshots": results.Part(dated, ("month",))})
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot: the month is found in partition values alone, and only its files are read."""
-    t = spark.read.option("recursiveFileLookup", False).parquet(path)
+    t = results.current(spark, path).table("snapshots")
     newest = t.agg(F.max("month")).first()[0]
     return t.where(F.col("month") == newest)

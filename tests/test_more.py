@@ -13,6 +13,7 @@ from cadenza.operators import mixplan as X
 from cadenza.operators import reports as R
 from cadenza.operators import tiers as T
 from cadenza.sources import ingest as I
+from cadenza.sources import results
 from cadenza.sources import storage
 
 
@@ -118,14 +119,15 @@ def test_tables_are_replaced_whole(spark, tmp_path):
     assert old.count() == 3 and I.current_table(spark, path).count() == 5  # who read the old version still can
     lb = spark.createDataFrame([("b", "s", "c", 1.5), ("a", "s", "c", None)], "corpus string, system string, cond string, mae double")
     I.write_results(lb, lb.withColumns({"left_class": F.lit("x"), "right_class": F.lit("y")}), path)
-    assert [r.corpus for r in I.current_table(spark, f"{path}/leaderboard").collect()] == ["a", "b"]
-    assert I.current_table(spark, f"{path}/leaderboard_csv", "csv", header=True).columns == lb.columns and I.current_table(spark, f"{path}/per_type").count() == 2
+    now = results.current(spark, path)
+    assert [r.corpus for r in now.table("leaderboard").collect()] == ["a", "b"]
+    assert now.table("leaderboard_csv").columns == lb.columns and now.table("per_type").count() == 2
 
 
 def test_exports(spark, tmp_path):
     g = spark.createDataFrame([("u2", 0, "a", 0, 1_234_567, "c"), ("u1", 1, "b", 5, 10, "c"), ("u1", 0, "a", 0, 5, "c")], "utt_id string, pos int, label string, start_us long, end_us long, corpus string")
     I.export_refs(g, str(tmp_path / "e"), ["corpus"])
-    rows = {r.utt_id: [tuple(x) for x in r.intervals] for r in spark.read.schema("utt_id string, intervals array<struct<label: string, start: double, end: double>>").json(str(tmp_path / "e")).collect()}
+    rows = {r.utt_id: [tuple(x) for x in r.intervals] for r in I.exported(spark, str(tmp_path / "e")).collect()}
     assert rows == {"u2": [("a", 0.0, 1.234567)], "u1": [("a", 0.0, 0.000005), ("b", 0.000005, 0.00001)]}
     assert {r.utt_id for r in I.first_items(g, 1).collect()} == {"u1"}
     assert I.variant_key(a=1, b="x") == I.variant_key(b="x", a=1) != I.variant_key(a=2, b="x")
