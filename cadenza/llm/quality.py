@@ -1,8 +1,7 @@
 """Quality classifier over supervised subword embeddings.
 
-A document's features are its words, their character n-grams and its word pairs, hashed into BUCKETS rows of a learned table. A pair of equal words counts
-once more by its pattern alone, which has the table's last row for itself, whatever the word; its vector is learned like any other. The vectors are averaged, a
-linear layer and a softmax follow, and stochastic gradient descent in numpy trains both on a bounded sample of labelled rows. As the layer is
+A document's features are its words, its word pairs, and its character n-grams, both those inside a word and those over the blank between two words, hashed into BUCKETS rows of a
+learned table. The vectors are averaged, a linear layer and a softmax follow, and stochastic gradient descent in numpy trains both on a bounded sample of labelled rows. As the layer is
 linear, a trained table folds into one number a bucket, and a word's share is computed once and kept for when the word comes again.
 """
 
@@ -19,11 +18,13 @@ from .common import without, worker_cache
 #: Rows and length of the table of vectors; lengths of the character n-grams of "<word>".
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: The training sample is at most so many labelled documents.
-SAMPLE_DOCS, STEPS, RATE, LAYER_RATE, BIAS_RATE, SEED = 4000, 16_000, 30.0, 1.0, 0.02, 11
+SAMPLE_DOCS, STEPS, RATE, LAYER_RATE, BIAS_RATE, SEED = 8000, 32_000, 30.0, 1.0, 0.02, 11
 THRESHOLD = 0.3
+#: Features a pair of neighbouring words has.
+PAIRED = 4
 #: Distinct words kept in each Python worker, if no longer than CACHED_WORD bytes, and bytes of text worked on at once.
 CACHE_WORDS, CACHED_WORD, SLICE_BYTES = 600_000, 64, 4 << 20
-PAIR = np.uint64(0x9E3779B97F4A7C15)
+PAIR, LETTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,7 +34,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of many words at once: the word's number and the bucket of each (the word, then its character n-grams), and the words' 64-bit hashes."""
+    """Features of many words at once: the word's number and the bucket of each (the word, then its character n-grams), and what pairs are made of: the
+    word's 64-bit hash, its first letter, first two, last and last two, a row a word."""
     own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     texts = [f"<{w.decode()}>" for w in words]
     letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -43,18 +45,21 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         places = max(0, len(letters) - n + 1)
         code = np.full(places, n, np.uint64)
         for k in range(n):
-            code = code * np.uint64(0x100000001B3) + letters[k : k + places]
+            code = code * LETTER + letters[k : k + places]
         inside = of[:places] == of[n - 1 : n - 1 + places]
         which.append(of[:places][inside])
         buckets.append(mixed(code[inside]))
-    return np.concatenate(which), np.concatenate(buckets), own
+    end = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    start = end - [len(t) for t in texts] if texts else end
+    first, last = letters[start + 1], letters[end - 2]
+    return np.concatenate(which), np.concatenate(buckets), np.column_stack([own, first, first * LETTER + letters[start + 2], last, letters[end - 3] * LETTER + last])
 
 
-def pair_features(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the pairs of neighbouring words, from the words' hashes, and which pairs are of equal words: those count for bucket BUCKETS as well."""
-    if len(own) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    return mixed((own[:-1] * PAIR) ^ own[1:]), own[:-1] == own[1:]
+def pair_features(parts: np.ndarray) -> np.ndarray:
+    """Buckets of what neighbouring words make, four a pair: the two words, and the n-grams over their blank with one letter on either side, two before it, two after it."""
+    a, b = parts[:-1], parts[1:]
+    grams = [((a[:, i] * LETTER + np.uint64(k)) * PAIR + b[:, j]) for k, (i, j) in enumerate(((3, 1), (4, 1), (3, 2)), 7)]
+    return np.column_stack([mixed((a[:, 0] * PAIR) ^ b[:, 0]), *map(mixed, grams)]) if len(parts) > 1 else np.zeros((0, PAIRED), np.int64)
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +67,9 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").encode().split()
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     at = np.array([number[w] for w in words], np.int64)
-    which, buckets, own = word_features(list(number))
+    which, buckets, parts = word_features(list(number))
     times = np.bincount(at, minlength=len(number))[which]
-    pairs, equal = pair_features(own[at])
-    pairs = np.concatenate([pairs, np.full(equal.sum(), BUCKETS)])
+    pairs = pair_features(parts[at]).ravel()
     ids, place = np.unique(np.concatenate([buckets, pairs]), return_inverse=True)
     counts = np.bincount(place, np.concatenate([times, np.ones(len(pairs))]), len(ids))
     return ids, (counts / max(1.0, counts.sum())).astype(np.float32)
@@ -74,7 +78,7 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 class SubwordClassifier:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
+        self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
         self.layer, self.bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
 
     def gradients(self, ids: np.ndarray, weight: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,17 +123,17 @@ class Scorer:
 
     def _empty(self):
         self.place = {}
-        self.value, self.count, self.own = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16, np.uint64)
+        self.value, self.count, self.parts = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros((1 << 16, 5), np.uint64)
 
     def _learn(self, words: list[bytes], start: int):
         """Put what ``words`` add at places from ``start`` on."""
-        which, buckets, own = word_features(words)
+        which, buckets, parts = word_features(words)
         while start + len(words) > len(self.value):
-            self.value, self.count, self.own = (np.concatenate([a, np.zeros_like(a)]) for a in (self.value, self.count, self.own))
+            self.value, self.count, self.parts = (np.concatenate([a, np.zeros_like(a)]) for a in (self.value, self.count, self.parts))
         end = start + len(words)
         self.value[start:end] = np.bincount(which, self.weight[buckets], len(words))
         self.count[start:end] = np.bincount(which, minlength=len(words))
-        self.own[start:end] = own
+        self.parts[start:end] = parts
         return dict(zip(words, range(start, end), strict=True))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -162,9 +166,9 @@ class Scorer:
         count = np.bincount(doc, self.count[at], len(texts))
         if len(at) > 1:
             inside = doc[1:] == doc[:-1]
-            pairs, equal = pair_features(self.own[at])
-            total += np.bincount(doc[1:][inside], (self.weight[pairs] + self.weight[BUCKETS] * equal)[inside], len(texts))
-            count += np.bincount(doc[1:][inside], 1 + equal[inside], len(texts))
+            pairs = pair_features(self.parts[at])[inside]
+            total += np.bincount(doc[1:][inside], self.weight[pairs].sum(axis=1), len(texts))
+            count += PAIRED * np.bincount(doc[1:][inside], minlength=len(texts))
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
@@ -172,14 +176,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subw
     """Fit on whole texts of at most ``sample`` rows of ``docs(doc_id, text)`` with a label in ``labels(doc_id, label)``, those first by a hash of doc_id.
 
     The sample is the same however the tables are partitioned: the first ``sample`` labels by the hash, then by doc_id and label, meet their documents, of which the first ``sample``
-    by the same order and the text's hash are taken (a repeated doc_id gives several rows). Null ids and labels are left out; repeated labels count each. What is
-    broadcast to the scan of ``docs`` is ``sample`` ids and labels. The driver holds those texts whole.
+    by the same order and the text's hash are taken (a repeated doc_id gives several rows, one a text). Null ids and labels are left out; repeated labels count each. What is
+    broadcast to the scans of ``docs`` is ``sample`` ids and hashes. Executors turn the texts into features; the driver holds those, at most 12 BUCKETS bytes a document.
     """
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"), F.col("label")]
     picked = labels.where("label is not null and doc_id is not null").select("doc_id", "label").orderBy(*order).limit(sample)
-    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(*order, F.xxhash64("text")).limit(sample)
-    got = sorted(some.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["text"] or "", r["label"]))
-    return SubwordClassifier().fit([document_features(r["text"]) for r in got], [int(r["label"]) for r in got])
+    named = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id").distinct()), "doc_id").select("doc_id", F.xxhash64("text").alias("h")).distinct()
+    chosen = named.join(F.broadcast(picked), "doc_id").orderBy(*order, "h").limit(sample).toArrow()  # ids, hashes and labels only
+    wanted = docs.sparkSession.createDataFrame(chosen.select(["doc_id", "h"])).distinct()
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id").withColumn("h", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+
+    def features(batches):
+        for batch in batches:
+            made = [document_features(t) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "ids", "share"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(features, f"doc_id {kind}, h bigint, ids array<int>, share array<float>").toArrow().combine_chunks()
+    place = {k: i for i, k in enumerate(zip(got.column("doc_id").to_pylist(), got.column("h").to_pylist(), strict=True))}
+    vectors = [_lists(got.column(c)) for c in ("ids", "share")]
+    use = sorted(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "h", "label")), strict=True))
+    return SubwordClassifier().fit([(vectors[0][i], vectors[1][i]) for i in (place[d, h] for d, h, _ in use)], [int(label) for *_, label in use])
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column, without copies."""
+    out = []
+    for chunk in column.chunks:
+        flat, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 def predict(docs: DataFrame, model: SubwordClassifier, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

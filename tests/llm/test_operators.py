@@ -569,7 +569,7 @@ def test_quality_gradients():
     model = quality.SubwordClassifier()
     model.layer[:] = np.random.default_rng(1).normal(size=model.layer.shape)
     ids, weight = quality.document_features("a rose is a rose rose is is")
-    assert quality.BUCKETS in ids
+    assert ids.max() < quality.BUCKETS and abs(weight.sum() - 1) < 1e-5
 
     def loss():
         out = (model.layer @ (weight @ model.vectors[ids]) + model.bias).astype(np.float64)
@@ -586,6 +586,34 @@ def test_quality_gradients():
         assert grad == pytest.approx((up - down) / 0.1, rel=0.02, abs=1e-4)
 
 
+def test_features_of_pairs():
+    """N-grams over the blank between two words, spelt out."""
+    _, _, parts = quality.word_features([b"ab", "é".encode()])
+    assert parts[:, 1:].tolist() == [[97, (97 * 0x100000001B3 + 98), 98, (97 * 0x100000001B3 + 98)], [233, (233 * 0x100000001B3 + 62), 233, (60 * 0x100000001B3 + 233)]]
+    same = quality.pair_features(parts[[0, 1, 0, 1]])
+    assert same.shape == (3, 4) and same[0].tolist() == same[2].tolist() != same[1].tolist()
+    assert quality.pair_features(parts[:1]).shape == (0, 4)
+    ids, share = quality.document_features("ab é ab é")
+    assert {*same.ravel().tolist()} <= {*ids.tolist()} and len(quality.document_features(None)[0]) == len(quality.document_features(" \n ")[0]) == 0
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    rows = [(i, f"good words here {i}" if i % 2 else f"bad bad bad {i}", i % 2) for i in range(200)] + [(7, f"good again {k}", 1) for k in range(3)] + [(8, "same bad text", 0)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    labels = df.select("doc_id", "label").distinct().unionAll(spark.createDataFrame([(None, 1), (3, None), (999, 1)], "doc_id long, label int"))
+    for sample in (30, 1000):
+        seen = []
+        fit = quality.SubwordClassifier.fit
+        quality.SubwordClassifier.fit = lambda self, docs, labels, seen=seen, **k: seen.append((len(docs), len(labels))) or fit(self, docs, labels, steps=500)
+        try:
+            model = quality.train(df.select("doc_id", "text"), labels, sample)
+        finally:
+            quality.SubwordClassifier.fit = fit
+        assert seen == [(min(sample, 204), min(sample, 204))]  # one row a document and text, however often it comes
+    got = {r["text"]: r["predicted"] for r in quality.predict(df, model).collect()}
+    assert got["good words here 1"] == 1 and got["bad bad bad 0"] == 0
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     rng, words = random.Random(4), "the and of rain sun moon tree house water stone der und les que".split()
     rows = [(i % 300, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))), rng.choice("ab"), i % 2) for i in range(400)] + [(7, "one text again and again", "a", 1)] * 50
