@@ -118,21 +118,23 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
     """``docs(doc_id, text)`` -> the pieces of ``cut_pieces`` with sequence_id and offset.
 
     Sequences have no gaps from offset 0. An empty table gives no rows; null text is an empty document of one token; rows with a repeated or null doc_id are
-    packed each by itself (ties between equal keys are broken arbitrarily). Other columns are ignored. The driver sees only the histogram of lengths, at most
-    ``capacity`` numbers, and makes the plan; ranks within a length come from windows over (length, salt), as one length may hold most pieces.
+    packed each by itself. Other columns are ignored. The driver sees only the histogram of lengths, at most
+    ``capacity`` numbers, and makes the plan; ranks within a length come from windows over (length, salt), as one length may hold most pieces. A piece's salt is drawn by its place when the
+    pieces are written, so rows of one document and text spread like others, and a task that runs again ranks them as before.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut_pieces(docs, path, capacity, end_id), "pieces")
+    drawn = cut_pieces(docs, path, capacity, end_id).withColumn("draw", F.xxhash64(F.monotonically_increasing_id()))
+    pieces = materialize(drawn, "pieces")
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod("draw", F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = spark.sparkContext.broadcast(plan_runs(minimum_slack_plan(histogram, capacity)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("draw", "doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(offsets, ["length", "salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("within") - 1).alias("rank"))
+    ranked = ranked.select(*[c for c in pieces.columns if c != "draw"], (F.col("before") + F.col("within") - 1).alias("rank"))
 
     def place(batches):
         table = runs.value

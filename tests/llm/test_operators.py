@@ -646,3 +646,42 @@ def test_scorer_equals_plain_sum():
         ids, share = quality.document_features(text)
         odds = float(share @ weight[ids]) + bias if len(ids) else bias
         assert quality.Scorer(weight, bias).scores([text.encode()])[0] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-5)
+
+
+def test_long_texts_go_through(spark):
+    """Texts of 2 MB, with and without blanks, through the operators that have no such test of their own."""
+    rows = [(1, "x" * 2_000_000), (2, "the and of " * 190_000), (3, "é" * 1_000_000), (4, None), (5, "plain words of a short text")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    assert simhash.near_dedup(docs).count() == 5
+    net = langid.train(docs.where("doc_id = 5").unionByName(docs.where("doc_id = 2").withColumn("lang", F.lit("de"))).select("text", "lang"))
+    assert langid.predict(docs, net).where("lang_pred = 'und'").count() == 1
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.org/"), F.coalesce("text", F.lit(""))).alias("url"), F.col("text").alias("html"))
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.read_records(warc.write_archives(pages)).collect()}
+    assert got == {i: len((t or "").encode()) for i, t in rows}
+    turns = docs.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert chat.format_conversations(turns).select(F.char_length("loss_text")).first()[0] == sum(len(t or "") for _, t in rows)
+    judged = url_filter.judge_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int"))
+    assert judged.count() == 5
+
+
+def test_repeated_payloads_by_either_join(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i}/", "same " * 50 if i % 3 else f"own {i} " * 30) for i in range(60)] + [(None, "http://n/", "same " * 50)], "page_id long, url string, html string")
+    both = []
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(warc, "FEW_BYTES", few)
+        both.append(sorted((repr(r.page_id), r.record_type, r.refers_to) for r in warc.plan_records(pages).collect()))
+    assert both[0] == both[1] and sum(k == "response" for _, k, _ in both[0]) == 21
+
+
+def test_one_document_many_times(spark):
+    """A doc_id with one text in many rows, and with different texts of one length, packs whole."""
+    rows = [(7, "same words here")] * 300 + [(8, f"word{k % 10} here") for k in range(50)] + [(None, "")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64).collect()
+    assert len(got) == len(rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
