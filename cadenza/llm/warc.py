@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path
 
-SMALLEST_REVISIT, FILE_BYTES, GAP_BYTES, READ_BYTES, TASK_BYTES, LEVEL = 100, 256 << 20, 64 << 10, 16 << 20, 128 << 20, 1
+SMALLEST_REVISIT, FILE_BYTES, GAP_BYTES, READ_BYTES, TASK_BYTES, LEVEL, FEW_BYTES = 100, 256 << 20, 64 << 10, 16 << 20, 128 << 20, 1, 16 << 20
 INDEX = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, file string, offset bigint, length bigint"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 #: What stands for a missing URL, as a record has to name one.
@@ -68,13 +68,16 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> page_id, url, payload (binary), payload_digest, record_type, refers_to, refers_url.
 
     Null html is an empty payload. Of equal payloads of SMALLEST_REVISIT bytes or more, the one with the smallest page_id (null: largest) is the
-    response; if that id is there several times, all its rows are. Only minima per digest are shuffled for finding it, combined first; the join by
-    digest is one that adaptive execution splits where one payload has a large share of the rows.
+    response; if that id is there several times, all its rows are. Only minima per digest are shuffled for finding it, combined first. Digests that come more than once
+    meet the pages where they lie, if they and their URLs take no more than FEW_BYTES; beyond that payloads are shuffled for a join that adaptive execution splits.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     first = rows.where(F.col("size") >= SMALLEST_REVISIT).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.min("page_id").alias("id"), F.count("*").alias("copies"))
     first = first.where("copies > 1").select("payload_digest", F.col("id").alias("first"), F.col("first")["url"].alias("first_url"))
+    first = materialize(first, "repeated")
+    size = first.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("first_url")), F.lit(0)).alias("urls")).first()
+    first = F.broadcast(first) if 100 * size["n"] + size["urls"] <= FEW_BYTES else first
     rows = rows.join(first, "payload_digest", "left")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.select(
