@@ -13,15 +13,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, worker_cache
+from .common import materialize, without, worker_cache
 
 #: Rows and length of the table of vectors; lengths of the character n-grams of "<word>".
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: The training sample is at most so many labelled documents.
-SAMPLE_DOCS, STEPS, RATE, LAYER_RATE, BIAS_RATE, SEED = 8000, 32_000, 30.0, 1.0, 0.02, 11
+SAMPLE_DOCS, STEPS, RATE, LAYER_RATE, BIAS_RATE, SEED = 6000, 32_000, 30.0, 1.0, 0.02, 11
 THRESHOLD = 0.3
 #: Features a pair of neighbouring words has.
 PAIRED = 4
+#: Parts in which the driver takes up the sample's features.
+FETCHES = 8
 #: Distinct words kept in each Python worker, if no longer than CACHED_WORD bytes, and bytes of text worked on at once.
 CACHE_WORDS, CACHED_WORD, SLICE_BYTES = 600_000, 64, 4 << 20
 PAIR, LETTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -194,11 +196,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subw
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "ids", "share"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(features, f"doc_id {kind}, h bigint, ids array<int>, share array<float>").toArrow().combine_chunks()
-    place = {k: i for i, k in enumerate(zip(got.column("doc_id").to_pylist(), got.column("h").to_pylist(), strict=True))}
-    vectors = [_lists(got.column(c)) for c in ("ids", "share")]
+    made = materialize(rows.mapInArrow(features, f"doc_id {kind}, h bigint, ids array<int>, share array<float>"), "features")
+    held = {}
+    for part in range(FETCHES):  # what is on its way through the driver's JVM is a part of it at a time
+        got = made.where(F.pmod("h", F.lit(FETCHES)) == part).toArrow()
+        keys = zip(got.column("doc_id").to_pylist(), got.column("h").to_pylist(), strict=True)
+        held |= dict(zip(keys, zip(_lists(got.column("ids")), _lists(got.column("share")), strict=True), strict=True))
     use = sorted(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "h", "label")), strict=True))
-    return SubwordClassifier().fit([(vectors[0][i], vectors[1][i]) for i in (place[d, h] for d, h, _ in use)], [int(label) for *_, label in use])
+    return SubwordClassifier().fit([held[d, h] for d, h, _ in use], [int(label) for *_, label in use])
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
