@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import numbered
+
 
 def condition_matrix(spark, noise_types: list[str], snrs: list[int]) -> DataFrame:
     """condition, noise_type, snr_db: ``clean`` and every noise at every SNR."""
@@ -135,6 +137,16 @@ def point_noises(items: DataFrame, pool: DataFrame, hash32: Callable[[Column], C
     return d.select("item_id", "n", "file", at.cast("bigint").alias("at_us"), snr.alias("snr_db"))
 
 
+def levels_in_turn(draws: DataFrame, kinds: dict[str, list[int]], hash32: Callable[[Column], Column]) -> DataFrame:
+    """``draws(item_id, n, kind, ...)`` with snr_db: the levels of a kind take turns over the draws of all items, in order of a hash of item and number, so that each comes equally often.
+
+    Draws are numbered within ranges of the hash and shifted by the counts of the ranges before; no window spans a kind.
+    """
+    t = numbered(draws.withColumn("_name", _key("turn", "item_id", "n")), ["kind"], "_name", hash32).drop("_name")
+    snr = F.coalesce(*[F.when(F.col("kind") == kind, _of(values, F.col("u"))) for kind, values in kinds.items()])
+    return t.select(*draws.columns, snr.alias("snr_db"))
+
+
 def isotropic_noises(items: DataFrame, noises: DataFrame, hash32: Callable[[Column], Column], snrs: list[int], share: int = 100) -> DataFrame:
     """A room's own noise under ``share`` percent of its ``items(item_id, room)``: item_id, file, at_us (0), snr_db.
 

@@ -87,12 +87,17 @@ def robustness(lb: DataFrame, key: list[str], metric: str, at_snr: int = 10, tol
     return made.select(*key, "noise", "clean", "degraded", ratio.alias("ratio"), F.forall(steps, lambda x: x).alias("monotone"))
 
 
-def published(lb: DataFrame, hidden_prefixes: tuple[str, ...] = (), kept: tuple[str, ...] = (), blank: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Without systems that are, or begin with, a hidden name and ``_`` unless they're in ``kept``; columns of the systems in ``blank`` are null."""
+def published(lb: DataFrame, hidden_prefixes: tuple[str, ...] = (), kept: tuple[str, ...] = (), blank: dict[str, tuple[str, ...]] | None = None, concise: bool = False, detailed_only: tuple[str, ...] = ()) -> DataFrame:
+    """Without systems that are, or begin with, a hidden name and ``_`` unless they're in ``kept``; columns of the systems in ``blank`` are null.
+
+    A ``concise`` table also goes without the systems in ``detailed_only``, releases of one system, say, that the detailed one compares.
+    """
     hidden = F.lit(False)
     for p in hidden_prefixes:
         hidden = hidden | (F.col("system") == p) | F.startswith("system", F.lit(p + "_"))
     rows = lb.where(~hidden | F.col("system").isin(*kept))
+    if concise and detailed_only:
+        rows = rows.where(~F.col("system").isin(*detailed_only))
     columns = {c for cs in (blank or {}).values() for c in cs}
     return rows.withColumns({c: F.when(~F.col("system").isin(*[s for s, cs in blank.items() if c in cs]), F.col(c)) for c in sorted(columns)})
 

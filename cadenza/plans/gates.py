@@ -8,7 +8,11 @@ from ..operators import gates as Q
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators import systems as Y
+from ..operators import sweep as W
 from ..operators import tiers as T
+from ..sources import ingest as I
+from ..sources.results import Files
+from ..sources.storage import scratch_path, stage
 from . import alignment as A
 from . import fixtures as fx
 from .fixture_sql import GOLD, HYP, hash32, with_
@@ -76,8 +80,68 @@ LINKED_SQL = with_(
 )
 
 
+#: Files as they lie where systems are kept: a recipe for each but sys_d, under its own name or its folder's; logs of sys_c and of sys_d lie under either track.
+SYSTEM_FILES = {
+    "aligners/sys_a/config.yaml": "name: sys_a\nmode: given\n", "aligners/base/v1.2/config.yaml": "# older\nname: 'sys_b'  # as rows name it\n", "timestamp_asrs/sys_c/config.yaml": "mode: decode\n",
+    "aligners/sys_c/log/dev.log": "ran", "timestamp_asrs/sys_d/log/dev.log": "ran", "timestamp_asrs/sys_d/en/config.yaml": "name: sys_e\n",
+}
+
+
+def system_tracks(spark, systems):
+    """The track of each of ``systems(system)`` by what lies in a folder that is written first."""
+    folder = scratch_path(spark, "systems")
+    files = Files(spark, folder)
+    for name, text in SYSTEM_FILES.items():
+        files.create(f"{files.root}/{name}", text)
+    recipes = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "config.yaml").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return W.tracks(systems, I.listing(spark, folder), recipes)
+
+
 def kinds(table):
-    return table.withColumn("kind", F.when(F.col("system") == "sys_c", "timestamp_asrs").otherwise("aligners"))
+    """``table(system, ...)`` with the system's track."""
+    found = stage(system_tracks(table.sparkSession, table.select("system").distinct()), "tracks")
+    return table.join(found.select("system", "kind"), "system", "left")
+
+
+def tracks(spark, sf_dir):
+    """The track of the systems that errors name, of one that has logs only, and of one that has nothing."""
+    names = fx.hyp(spark, sf_dir).select("system").unionAll(spark.sql("values ('sys_d'), ('sys_e')"))
+    t = system_tracks(spark, names).join(fx.hyp(spark, sf_dir).groupBy("system").agg(F.count("*").alias("n")), "system", "left")
+    return t.select("system", "kind", "origin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+TRACKS_SQL = with_(
+    GOLD, HYP, "t(system, kind, origin) as (values ('sys_a', 'aligners', 'recipe'), ('sys_b', 'aligners', 'recipe'), ('sys_c', 'timestamp_asrs', 'recipe'), ('sys_d', 'timestamp_asrs', 'folder'), ('sys_e', 'aligners', 'default'))",
+    select="select t.*, count(hyp.utt_id) as n from t left join hyp using (system) group by all",
+)
+
+
+def sweep(spark, sf_dir):
+    """A sweep over cells that end in every way: what each says of itself, and how many records it wrote."""
+    from ..sources import results as R
+
+    h = fx.hyp(spark, sf_dir)
+    path = scratch_path(spark, "sweep")
+
+    def plan(system, cond):
+        if system == "sys_x":
+            raise ValueError("no such system")
+        rows = h.where((F.col("system") == system) & (F.col("cond") == cond))
+        if system == "sys_c" and cond == "noise":
+            return rows.withColumn("label", F.raise_error(F.lit("out of order")))
+        return rows.where("pos < 0") if system == "sys_b" and cond == "noise" else rows
+
+    cells = [((s, c), lambda s=s, c=c: plan(s, c)) for s in (*fx.SYSTEMS, "sys_x") for c, _ in fx.CONDITIONS]
+    status = W.run_sweep(spark, cells, ["system", "cond"], lambda rows, name: R.publish(spark, f"{path}/{name[0]}-{name[1]}", {"hyp": R.Part(rows)}))
+    return status.select("system", "cond", "status", "records", (F.col("seconds") >= 0).alias("timed"), F.col("error").isNotNull().alias("said"))
+
+
+SWEEP_SQL = with_(
+    GOLD, HYP, "c as (select system, cond, count(*) as n from hyp group by all)",
+    select="""select system, cond, case when system = 'sys_c' and cond = 'noise' then 'FAIL' when system = 'sys_b' and cond = 'noise' then 'EMPTY' else 'OK' end as status,
+  case when system in ('sys_b', 'sys_c') and cond = 'noise' then 0 else n end as records, true as timed, system = 'sys_c' and cond = 'noise' as said from c
+union all select 'sys_x', cond, 'CONFIG_FAIL', 0, true, true from (values ('clean'), ('noise')) v(cond)""",
+)
 
 
 def by_track(spark, sf_dir):
@@ -149,6 +213,7 @@ SYSTEM_SQL = with_(
 )
 
 QUERIES = {
+    "system_tracks": (tracks, TRACKS_SQL), "sweep_status": (sweep, SWEEP_SQL),
     "gate_plausibility": (plausibility, PLAUSIBLE_SQL), "coverage_gaps": (gaps, GAPS_SQL), "coverage_summary": (gaps_summary, SUMMARY_SQL), "link_degraded": (linked, LINKED_SQL),
     "rank_by_track": (by_track, TRACK_SQL), "gate_known_answers": (known_answers, KNOWN_SQL), "word_pause_split": (pause_errors, PAUSE_SQL), "run_system": (run_system, SYSTEM_SQL),
 }

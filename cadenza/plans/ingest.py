@@ -11,7 +11,9 @@ from ..operators import pathscore as P
 from ..operators import scoring as S
 from ..operators import tiers as T
 from ..sources import ingest as I
-from ..sources.storage import stage
+from ..sources import media as D
+from ..sources import readers as R
+from ..sources.storage import scratch_path, stage
 from . import alignment as A
 from . import fixtures as fx
 from .fixture_sql import GOLD, HYP, hash32, with_
@@ -49,6 +51,33 @@ CUMULATIVE_SQL = with_(
 )
 
 
+def by_format(spark, sf_dir):
+    """Both kinds of tiers written as files of a folder and read by the name of their reader: labels and times of each utterance."""
+    g = fx.gold(spark, sf_dir)
+    ticks = lambda c: (F.col(c) * 16 / 1000).cast("bigint").cast("string")
+    body = lambda line: F.array_join(F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))["line"], "\n")
+    folder = scratch_path(spark, "tiers")
+    made = g.groupBy("speaker_id").agg(  # a file a speaker
+        body(F.concat_ws(" ", ticks("start_us"), ticks("end_us"), "label")).alias("phn"), F.concat(F.lit("x\n#\n"), body(F.concat_ws(" ", F.format_string("%.6f", F.col("end_us") / 1e6), F.lit("121"), F.concat("label", F.lit("; a b"))))).alias("words")
+    )
+    for kind in ("phn", "words"):
+        rows = made.select(F.concat("speaker_id", F.lit(f".{kind}")).alias("name"), F.encode(kind, "utf-8").alias("data"))
+        D.write_files(rows, folder).write.format("noop").mode("overwrite").save()
+    R.register(spark)
+    s = spark.read.format("cadenza_sample_tiers").option("rate", 16_000).option("groupBytes", 100_000).load(folder).drop("pos").withColumn("kind", F.lit("samples"))
+    c = spark.read.format("cadenza_cumulative_tiers").load(folder).select("path", "label", "start_us", "end_us", F.lit("cumulative").alias("kind"))
+    both = s.unionByName(c).withColumn("speaker_id", F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1))
+    return both.groupBy("kind", "speaker_id").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"), F.sum("end_us").alias("end_us"))
+
+
+FORMAT_SQL = with_(
+    GOLD, "k as (select speaker_id, label, end_us from gold where trim(label) <> '')",
+    "c as (select speaker_id, case when trim(split_part(label, ';', 1)) = '' then '121' else trim(split_part(label, ';', 1)) end as label, end_us from gold)",
+    select="""select 'samples' as kind, speaker_id, count(*) as n, count(distinct label) as n_labels, sum(end_us)::bigint as end_us from k group by speaker_id
+union all select 'cumulative', speaker_id, count(*), count(distinct label), sum(end_us)::bigint from c group by speaker_id""",
+)
+
+
 def pronunciations(spark, sf_dir):
     """Share of words said as the dictionary has them; one in three loses its first sound."""
     g = fx.gold(spark, sf_dir)
@@ -243,6 +272,7 @@ select system, cond, case when system = 'sys_c' then 'skipped' when n_attempted
 from cells left join pool using (system, cond)"""
 
 QUERIES = {
+    "tiers_by_format": (by_format, FORMAT_SQL),
     "path_cells": (path_cells, PATH_CELLS_SQL), "ingest_word_tiers": (word_tiers, WORDS_SQL), "layout_probe": (probes, PROBES_SQL),
     "ingest_sample_tiers": (sample_tiers, SAMPLE_SQL), "ingest_cumulative_tiers": (cumulative_tiers, CUMULATIVE_SQL), "word_pronunciations": (pronunciations, PRONUNCIATION_SQL), "ingest_textgrids": (textgrids, TEXTGRID_SQL),
     "ingest_json_cells": (json_cells, JSON_SQL), "mix_commands": (commands, COMMANDS_SQL), "resolve_media": (media, MEDIA_SQL), "apply_split": (split_applied, SPLIT_SQL), "merge_closures": (merged, MERGED_SQL),

@@ -62,6 +62,23 @@ POINT_SQL = with_(
 )
 
 
+def in_turn(spark, sf_dir):
+    """Noises of every item, levels taking turns over all of them: how often each level of a kind comes, and which item has which."""
+    p = noises(spark, sf_dir)
+    d = X.point_noises(items(spark, sf_dir), p, fx.hash32, p.count(), 60, SNRS, 80).drop("snr_db").join(p.select("file", "kind").distinct(), "file")
+    return X.levels_in_turn(d, SNRS, fx.hash32).select("item_id", "n", "kind", "snr_db")
+
+
+TURN_SQL = with_(
+    *PLAN_CTE, NOISES, "u as (select utt_id as item_id, dur_us, dur_us * 60 // 60000000 as most from utts)",
+    f"c as (select *, 1 + {h(chr(39) + 'ptn' + chr(39), 'item_id')} % most as many from u where most >= 1 and {h(chr(39) + 'ptp' + chr(39), 'item_id')} % 100 < 80)",
+    "d as (select item_id, unnest(range(many))::int as n from c)",
+    f"k as (select *, {h(chr(39) + 'pt' + chr(39), 'item_id', 'n')} % (select max(size) from tr) as idx from d)",
+    f"j as (select k.*, kind, row_number() over (partition by kind order by {h(chr(39) + 'u' + chr(39), '0', chr(39) + 'turn' + chr(39), 'item_id', 'n')}, item_id, n) - 1 as turn from k join tr using (idx))",
+    select=f"select item_id, n, kind, case when kind = 'foreground' then {of(SNRS['foreground'], 'turn')} else {of(SNRS['background'], 'turn')} end as snr_db from j",
+)
+
+
 def isotropic(spark, sf_dir):
     """Items stand in a room by hash; suppliers are recordings of rooms from number 5 on, so that five rooms have none."""
     i = items(spark, sf_dir).withColumn("room", (fx.hash32(fx.text("room:", F.col("item_id"))) % 25).cast("int"))
@@ -106,6 +123,7 @@ def replicas(spark, sf_dir):
 REPLICA_SQL = with_(PLAN_CTE[0], select="select 'rvb' || copy || '-' || utt_id || '_x' as utt_id, 'rvb' || copy || '-' || speaker_id as speaker_id, utt_id as original, copy::int as copy from (select distinct utt_id, speaker_id from gold) g, range(4) r(copy)")
 
 QUERIES = {
+    "levels_in_turn": (in_turn, TURN_SQL),
     "background_draws": (background, BACKGROUND_SQL), "point_noises": (point, POINT_SQL), "isotropic_noises": (isotropic, ISOTROPIC_SQL), "room_probabilities": (room_probabilities, ROOM_SQL),
     "replicate_recordings": (replicas, REPLICA_SQL),
 }

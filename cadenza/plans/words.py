@@ -157,6 +157,19 @@ DISPLAY_SQL = with_(
 )
 
 
+def concise(spark, sf_dir):
+    """The concise table beside the detailed one, each with places of its own: the noisy variant of a system is in the detailed one only."""
+    from ..operators.gates import rank_within
+
+    t = stage(lb(spark, sf_dir).withColumn("system", F.when(F.col("system") == "sys_b", "own_noisy").when(F.col("system") == "sys_c", "own_c").otherwise(F.col("system"))), "lb")
+    made = [rank_within(R.published(t, ("own",), ("own_noisy",), concise=c, detailed_only=("own_noisy",)), ["corpus", "cond"], "mae_ms").withColumn("view", F.lit(v)) for c, v in ((True, "concise"), (False, "detailed"))]
+    return made[0].unionByName(made[1]).select("view", "corpus", "cond", "system", "place", "mae_ms")
+
+
+CONCISE_SQL = lb_sql("""select view, corpus, cond, case when system = 'sys_b' then 'own_noisy' else system end as system, rank() over (partition by view, corpus, cond order by mae_ms nulls last)::int as place, mae_ms
+from lb, (values ('concise'), ('detailed')) v(view) where system = 'sys_a' or (system = 'sys_b' and view = 'detailed')""")
+
+
 def best_split(spark, sf_dir):
     """Each system's cells in the corpus it covers best, subsets in the order they're reported in."""
     t = R.best_covered(lb(spark, sf_dir), ["system"], "corpus", "n_gold")
@@ -192,6 +205,7 @@ SAMPLES_SQL = with_(
 )
 
 QUERIES = {
+    "concise_table": (concise, CONCISE_SQL),
     "error_view": (error_view, VIEW_SQL), "cell_samples": (samples, SAMPLES_SQL),
     "word_boundary_errors": (word_errors, WORD_ERRORS_SQL), "word_table": (word_table, WORD_TABLE_SQL), "real_time_factors": (real_time, RTF_SQL), "leaderboard_view": (board, BOARD_SQL),
     "calibration_panel": (calibration_panel, PANEL_SQL), "robustness": (robust, ROBUST_SQL), "published_table": (display, DISPLAY_SQL), "best_covered_split": (best_split, BEST_SQL),

@@ -30,7 +30,7 @@ def read_json(spark: SparkSession, path: str, schema: str = HYP) -> DataFrame:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """files(path, content) of every file below ``path``."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +93,7 @@ def cumulative_tiers(files: DataFrame) -> DataFrame:
     p = ls.join(head, "path").where("line > head").withColumn("p", F.split(F.trim("text"), r"\s+", 3))
     end = F.round(F.get("p", F.lit(0)).try_cast("double") * 1_000_000).cast("bigint")
     rest = F.split(F.coalesce(F.get("p", F.lit(2)), F.lit("")), ";")
-    t = p.select("path", "line", end.alias("end_us"), F.trim(F.get(rest, F.lit(0))).alias("label"), F.get("p", F.lit(1)).alias("code"), F.transform(F.slice(rest, 2, F.size(rest)), F.trim).alias("fields"))
+    t = p.select("path", "line", end.alias("end_us"), F.trim(F.get(rest, F.lit(0))).alias("label"), F.get("p", F.lit(1)).alias("code"), F.transform(F.slice(rest, 2, F.size(rest)), lambda x: F.trim(x)).alias("fields"))
     t = t.where("end_us is not null").withColumn("label", F.when(F.col("label") == "", F.col("code")).otherwise(F.col("label")))
     start = F.lag("end_us", 1, 0).over(Window.partitionBy("path").orderBy("line"))
     return _numbered(t.withColumn("start_us", start)).drop("code")

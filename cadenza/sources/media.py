@@ -130,6 +130,22 @@ def media_durations(media: DataFrame, headers: DataFrame, tier: DataFrame) -> Da
     return t.select("utt_id", "path", F.coalesce("_header", "_last", F.lit(0)).cast("bigint").alias("dur_us"), origin.alias("origin"))
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write ``rows(name, data)`` as files below ``folder``, each task its own, and return their paths. Null data makes an empty file."""
+
+    def run(batches):
+        store, base = store_of(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for name, data in zip(names, batch.column("data"), strict=True):
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(data.as_py() or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names], pa.string())], ["path"])
+
+    return rows.select("name", "data").mapInArrow(run, "path string")
+
+
 def write_media(recordings: DataFrame, folder: str) -> DataFrame:
     """Write ``recordings(name, rate, samples)`` (samples array<smallint>, mono; the name's extension says the format) below ``folder`` and return their paths.
 
@@ -137,17 +153,14 @@ def write_media(recordings: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        store, base = store_of(folder)
-        store.create_dir(base, recursive=True)
         for batch in batches:
-            names = batch.column("name").to_pylist()
-            for name, rate, x in zip(names, batch.column("rate").to_pylist(), batch.column("samples"), strict=True):
-                values = x.values.to_numpy().astype("<i2") if x.is_valid else []
-                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
-                    out.write(encode(name, rate, len(values), values.tobytes() if len(values) else b""))
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names])], ["path"])
+            made = []
+            for name, rate, x in zip(batch.column("name").to_pylist(), batch.column("rate").to_pylist(), batch.column("samples"), strict=True):
+                values = x.values.to_numpy().astype("<i2") if x.is_valid else b""
+                made.append(encode(name, rate, len(values), bytes(values)))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(made, pa.binary())], ["name", "data"])
 
-    return recordings.select("name", "rate", "samples").mapInArrow(run, "path string")
+    return write_files(recordings.select("name", "rate", "samples").mapInArrow(run, "name string, data binary"), folder)
 
 
 def encode(name: str, rate: int, frames: int, data: bytes) -> bytes:
