@@ -57,16 +57,32 @@ def _trace(n, m, move):
     return out
 
 
+def label_codes(*columns: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of all labels, how many each row has) of each list column of texts, or of structs with a label; one label has one number in all of them. Null rows are empty."""
+    flat = [c.flatten() for c in columns]
+    flat = [f.field("label") if pa.types.is_struct(f.type) else f for f in flat]
+    numbers = pa.chunked_array([f.cast(pa.string()) for f in flat], pa.string()).combine_chunks().dictionary_encode(null_encoding="encode")
+    numbers = (numbers.combine_chunks() if isinstance(numbers, pa.ChunkedArray) else numbers).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.cumsum([len(f) for f in flat])
+    return [(part, c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) for part, c in zip(np.split(numbers, cuts[:-1]), columns, strict=True)]
+
+
 def align_label_batch(gold: list[list[str]], hyp: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair the gold and hypothesis index of every step, -1 where one side is missing."""
-    n, m = (np.array([len(x) for x in side], np.int64) for side in (gold, hyp))
-    codes: dict[str, int] = {}
-    out = [None] * len(gold)
+    return align_codes(*label_codes(*(pa.array(side, pa.list_(pa.string())) for side in (gold, hyp))))
+
+
+def align_codes(gold: tuple[np.ndarray, np.ndarray], hyp: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for numbered labels: each side is (numbers of all rows, how many each row has)."""
+    (left, n), (right, m) = gold, hyp
+    at_n, at_m = np.cumsum(n) - n, np.cumsum(m) - m
+    out = [None] * len(n)
     for pick, high, wide in _batches(n, m):
         a, b = np.full((len(pick), high), -1, np.int64), np.full((len(pick), wide), -2, np.int64)
-        for row, k in enumerate(pick):
-            a[row, : n[k]] = [codes.setdefault(x, len(codes)) for x in gold[k]]
-            b[row, : m[k]] = [codes.setdefault(x, len(codes)) for x in hyp[k]]
+        for into, flat, at, size in ((a, left, at_n[pick], n[pick]), (b, right, at_m[pick], m[pick])):
+            row = np.repeat(np.arange(len(pick)), size)
+            col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            into[row, col] = flat[at[row] + col]
         score = np.zeros((high + 1, len(pick), wide + 1), np.int32)
         score[0] = GAP * np.arange(wide + 1)
         ramp = np.arange(wide + 1, dtype=np.int32)
@@ -145,9 +161,9 @@ def _with_steps(pairs: DataFrame, work) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def align_labels(pairs: DataFrame, gold: str = "gold_labels", hyp: str = "hyp_labels") -> DataFrame:
-    """Adds steps array<struct<g int, h int>> (0-based; null: an indel) to pairs with two label arrays. Null arrays count as empty. No shuffle."""
-    return _with_steps(pairs, lambda b: align_label_batch([x or [] for x in b.column(gold).to_pylist()], [x or [] for x in b.column(hyp).to_pylist()]))
+def align_labels(pairs: DataFrame, gold: str = "gold", hyp: str = "hyp") -> DataFrame:
+    """Adds steps array<struct<g int, h int>> (0-based; null: an indel) to pairs with two arrays of labels, or of structs that have one. Null arrays count as empty. No shuffle."""
+    return _with_steps(pairs, lambda b: align_codes(*label_codes(b.column(gold), b.column(hyp))))
 
 
 def align_times(pairs: DataFrame, gold: str = "gold", hyp: str = "hyp", weight: float = 2.0) -> DataFrame:

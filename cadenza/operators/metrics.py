@@ -152,8 +152,9 @@ def spearman(errors: DataFrame, group: list[str]) -> DataFrame:
 
 def auroc(errors: DataFrame, group: list[str], tol_ms: int = 25) -> DataFrame:
     """Chance that a boundary within ``tol_ms`` has a higher confidence than one beyond it, ties half; null where a class is empty."""
-    e = usable_conf(errors).withColumn("good", (F.col("abs_us") <= tol_ms * 1000).cast("bigint"))
-    ranks = by_value(e, group, "conf").select(*group, "conf", "rank")
+    e = usable_conf(errors)
+    ranks = by_value(e, group, "conf").select(*group, "conf", "rank")  # as Spearman's: planned together they're made once
+    e = e.withColumn("good", (F.col("abs_us") <= tol_ms * 1000).cast("bigint"))
     pos = e.groupBy(*group, "conf").agg(F.sum("good").alias("p"), F.count("*").alias("c")).join(ranks, [*group, "conf"])
     s = pos.groupBy(*group).agg(F.sum(F.col("p") * F.col("rank")).alias("w"), F.sum("p").alias("np"), (F.sum("c") - F.sum("p")).alias("nn"))
     return s.select(*group, r(F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("w") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn")))).alias("auroc"))

@@ -34,7 +34,7 @@ def pair(gold: DataFrame, hyp: DataFrame, extra: tuple[str, ...] = ()) -> DataFr
     n = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = pack(gold.repartition(n, "utt_id"), ["utt_id"], extra=extra, also=("speaker_id", "corpus")).withColumnRenamed("tier", "gold")
     h = pack(hyp.repartition(n, "utt_id"), PAIR, extra=("conf", *extra)).withColumnRenamed("tier", "hyp")
-    return h.join(g, "utt_id").withColumns({"gold_labels": F.col("gold")["label"], "hyp_labels": F.col("hyp")["label"]})
+    return h.join(g, "utt_id")
 
 
 def align(gold: DataFrame, hyp: DataFrame) -> DataFrame:
@@ -214,3 +214,17 @@ def common_matched(errors: DataFrame, key: list[str], system: str = "system") ->
     systems = seen.groupBy(*key).agg(F.countDistinct(system).alias("n_systems"))
     by = seen.groupBy(*key, "gold_idx").agg(F.count("*").alias("n"))
     return by.join(systems, key).where("n = n_systems").select(*key, "gold_idx")
+
+
+def common_steps(aligned: DataFrame, key: list[str], steps: Column | None = None) -> DataFrame:
+    """``aligned`` with ``common``: of its ``steps`` (default: matched labels) those whose reference interval every system matched that matched any in the same ``key``.
+
+    The systems' index arrays meet in one shuffle of packed pairs and are intersected there; nothing is exploded before.
+    """
+    own = aligned.withColumn("_steps", matched() if steps is None else steps)
+    own = own.withColumn("_own", F.transform("_steps", lambda s: s["g"]))
+    sets = F.filter(F.collect_list("_own").over(Window.partitionBy(*key)), lambda x: F.size(x) > 0)
+    met = own.withColumn("_sets", sets)
+    both = F.aggregate("_sets", F.get("_sets", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+    met = met.withColumn("_both", both)
+    return met.withColumn("common", F.filter("_steps", lambda s: F.array_contains(F.col("_both"), s["g"]))).drop("_steps", "_own", "_sets", "_both")

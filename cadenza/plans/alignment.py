@@ -181,10 +181,7 @@ join (select corpus, system, cond, {div('sum(n_matched)', 'sum(n_gold)')} as arr
 
 def common_matched(spark, sf_dir):
     """Mean error over the reference intervals that every system matched."""
-    e = stage(boundary_errors(spark, sf_dir), "errors")
-    keys = ["cond", "utt_id"]
-    common = S.common_matched(e, keys)
-    kept = e.join(common, [*keys, "gold_idx"], "left_semi")
+    kept = S.boundary_errors(S.common_steps(aligned(spark, sf_dir), ["cond", "utt_id"]), classify, F.col("common"))
     return kept.groupBy(*G).agg(F.count("*").alias("n_common"), M.mean_ms(F.col("abs_us")).alias("mae_common_ms"))
 
 
