@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import phones
 from . import metrics as M
 from . import scoring as S
 from .align import align_labels, align_times
@@ -61,3 +62,26 @@ def leaderboard(pairs: DataFrame, found: DataFrame, group: list[str], options: O
     out = M.edit_rates(S.counters(pairs), group).join(M.summary(found, group, options.thresholds_ms), group, "left")
     out = out.join(M.detection(S.segmentation_packed(pairs, options.tolerance_us, keep), group), group, "left")
     return out.withColumn("underpowered", F.col("n_matched") < options.least)
+
+
+def analysis_view(gold: DataFrame, hyp: DataFrame, sources: dict[str, str] | None = None, accent: str = "us", steps_by_class: bool = True) -> DataFrame:
+    """Boundary errors as analytics take them, from tiers in their own labels: folded to canonical symbols, aligned, pooled over pairs of one class, with silence told apart.
+
+    Both tiers have ``source``, the set each label is from. ``sources`` overrides it for a side (``gold``, ``hyp``) before folding, as for a system that writes another set than it
+    states; an unknown one raises. Deleted labels leave; unmapped ones stay as tokens that match nothing.
+    """
+    from . import labels as L
+
+    held = phones.label_map(gold.sparkSession, accent)
+
+    def folded(tier: DataFrame, side: str, key: list[str]) -> DataFrame:
+        forced = (sources or {}).get(side)
+        if forced:
+            tier = tier.withColumn("source", F.lit(L.check_source(forced, accent)))
+        made = L.prepare_tier(L.canonicalize(tier, held), key)
+        apart = F.when(F.startswith("label", F.lit("UNMAPPED:")), F.concat(F.lit(f"{side}:"), "label")).otherwise(F.col("label"))  # one side's unknown is never the other's
+        return made.withColumn("label", apart).drop("source")
+
+    options = Options(by_class=steps_by_class)
+    pairs = aligned(folded(gold, "gold", ["utt_id"]), folded(hyp, "hyp", S.PAIR), phones.manner, options)
+    return S.error_view(errors(pairs, phones.manner, options))

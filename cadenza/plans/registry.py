@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, cells, gates, ingest, labelling, levels, mixes, noise, pool, publishing, recordings, reports, tiers, words
+from . import alignment, analysis, cells, gates, ingest, labelling, levels, mixes, noise, pool, publishing, recordings, reports, tiers, words
 
-GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells, mixes, levels, recordings, publishing)
+GROUPS = (alignment, pool, tiers, reports, ingest, noise, gates, labelling, words, cells, mixes, levels, recordings, publishing, analysis)
 
 
 def flagship(spark, sf_dir):

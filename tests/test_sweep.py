@@ -1,10 +1,16 @@
 """Sweeps, tracks, readers by format, levels in turn."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.operators import align as L
 from cadenza.operators import mixplan as X
 from cadenza.operators import reports as R
+from cadenza.operators import score as E
+from cadenza.operators import scoring as S
 from cadenza.operators import sweep as W
 from cadenza.plans import fixtures as fx
 from cadenza.sources import ingest as I
@@ -80,3 +86,34 @@ def test_concise_hides_more(spark):
     t = spark.createDataFrame([("own",), ("own_x",), ("mine2",), ("mine3",)], "system string")
     names = lambda **k: {r.system for r in R.published(t, ("own",), ("own_x",), detailed_only=("mine2", "own_x"), **k).collect()}
     assert names() == {"own_x", "mine2", "mine3"} and names(concise=True) == {"mine3"}
+
+
+def test_common_steps(spark):
+    rng = random.Random(3)
+    rows = [(f"u{u}", s, "c", p, rng.choice("ab"), p * 10, p * 10 + 10, 0.5) for u in range(9) for s in "xyz" for p in range(rng.randrange(1, 9)) if (u, s) != (3, "z")]
+    gold = spark.createDataFrame([(f"u{u}", "s", "k", p, rng.choice("ab"), p * 10, p * 10 + 10) for u in range(9) for p in range(6)], "utt_id string, speaker_id string, corpus string, pos int, label string, start_us long, end_us long")
+    a = S.align(gold, spark.createDataFrame(rows, "utt_id string, system string, cond string, pos int, label string, start_us long, end_us long, conf double"))
+    e = S.boundary_errors(a, lambda x: x)
+    want = e.join(S.common_matched(e, ["utt_id"]), ["utt_id", "gold_idx"], "left_semi").groupBy("utt_id", "system").count()
+    got = S.boundary_errors(S.common_steps(a, ["utt_id"]), lambda x: x, F.col("common")).groupBy("utt_id", "system").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
+def test_labels_are_numbered_alike():
+    one = pa.array([["a", None], None, [], ["b", "a"]], pa.list_(pa.string()))
+    two = pa.array([[{"label": "b", "x": 1}], [{"label": None, "x": 1}]], pa.list_(pa.struct([("label", pa.string()), ("x", pa.int32())])))
+    (a, n), (b, m) = L.label_codes(one.slice(0, 4), two)
+    assert n.tolist() == [2, 0, 0, 2] and m.tolist() == [1, 1] and a[0] == a[3] and a[2] == b[0] and a[1] == b[1] and len({*a.tolist()}) == 3
+    (c, k), _ = L.label_codes(one.slice(3), two)
+    assert k.tolist() == [2] and len(c) == 2
+
+
+def test_forced_source(spark):
+    tier = "utt_id string, speaker_id string, corpus string, pos int, label string, start_us long, end_us long, source string"
+    gold = spark.createDataFrame([("u", "s", "k", i, x, i * 10, i * 10 + 10, "timit61") for i, x in enumerate(["t", "aa", "q", "??", "s"])], tier)
+    hyp = spark.createDataFrame([("u", "s", "k", i, x, i * 10 + 2, i * 10 + 12, "timit61", "y", "c", None) for i, x in enumerate(["T", "AA1", "zz9", "S"])], tier + ", system string, cond string, conf double")
+    own, forced = (E.analysis_view(gold, hyp, s).collect() for s in (None, {"hyp": "arpabet"}))
+    assert len([r for r in forced if r.left_class == "vowel" or r.right_class == "vowel"]) > len([r for r in own if r.left_class == "vowel" or r.right_class == "vowel"])
+    assert {r.gold_idx for r in forced} == {0, 1, 2, 3} and all(r.signed_ms in (0.002, -0.008) for r in forced)
+    with pytest.raises(ValueError, match="unknown label source"):
+        E.analysis_view(gold, hyp, {"hyp": "nothing"})
