@@ -25,7 +25,7 @@ PAIRED = 4
 #: Parts in which the driver takes up the sample's features.
 FETCHES = 8
 #: Distinct words kept in each Python worker, if no longer than CACHED_WORD bytes, and bytes of text worked on at once.
-CACHE_WORDS, CACHED_WORD, SLICE_BYTES = 600_000, 64, 4 << 20
+CACHE_WORDS, CACHED_WORD, SLICE_BYTES = 400_000, 64, 1 << 20
 PAIR, LETTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
