@@ -405,7 +405,7 @@ WHOLE_SQL = with_(
     "ac as (select corpus, system, cond, abs_us, count(*) as c from rk group by all)",
     "ar as (select *, coalesce(sum(c) over (partition by corpus, system, cond order by abs_us rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0::double as rank from ac)",
     "sp as (select corpus, system, cond, round(corr(cr.rank, -ar.rank), 6) as spearman from rk join cr using (corpus, system, cond, conf) join ar using (corpus, system, cond, abs_us) group by all)",
-    "au as (select corpus, system, cond, round((sum(p * rank) - sum(p)::double * (sum(p)::double + 1) / 2) / (sum(p)::double * sum(c - p)::double), 9) as auroc from cr group by all)",
+    "au as (select corpus, system, cond, round((sum(p * rank) - sum(p)::double * (sum(p)::double + 1) / 2) / nullif(sum(p)::double * sum(c - p)::double, 0), 9) as auroc from cr group by all)",
     "bn as (select corpus, system, cond, least(9, floor(round(conf * 1000) / 100)) as bin, count(*) as c, sum(good) as g, sum(round(conf * 1e6)::bigint) as m from rk group by all)",
     "ec as (select corpus, system, cond, sum(c)::bigint as n_conf, round(sum(abs(g * 1000000 - m))::double / 1e6::double / sum(c), 9) as ece from bn group by all)",
     select="select * from lb " + " ".join(f"left join {t} using (corpus, system, cond)" for t in ("bt", "cm", "sp", "au", "ec")), recursive=True,
