@@ -22,8 +22,8 @@ SAMPLE_DOCS, STEPS, RATE, LAYER_RATE, BIAS_RATE, SEED = 6000, 32_000, 30.0, 1.0,
 THRESHOLD = 0.3
 #: Features a pair of neighbouring words has.
 PAIRED = 4
-#: Parts in which the driver takes up the sample's features.
-FETCHES = 8
+#: Parts in which the driver takes up the sample's features; documents whose features a task holds at once.
+FETCHES, FEATURED = 8, 64
 #: Distinct words kept in each Python worker, if no longer than CACHED_WORD bytes, and bytes of text worked on at once.
 CACHE_WORDS, CACHED_WORD, SLICE_BYTES = 400_000, 64, 1 << 20
 PAIR, LETTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -191,9 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Subw
 
     def features(batches):
         for batch in batches:
-            made = [document_features(t) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "ids", "share"])
+            for start in range(0, batch.num_rows, FEATURED):
+                some = batch.slice(start, FEATURED)
+                made = [document_features(t) for t in some.column("text").to_pylist()]
+                columns = [pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("h"), *columns], ["doc_id", "h", "ids", "share"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = materialize(rows.mapInArrow(features, f"doc_id {kind}, h bigint, ids array<int>, share array<float>"), "features")
