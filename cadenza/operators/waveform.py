@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +31,27 @@ def active_power(waves: DataFrame, key: list[str], size: int, floor: float = FRA
     return f.join(peak, key).where(F.col("power") >= F.col("peak") * floor).groupBy(*key).agg(F.count("*").alias("n_active"), F.avg("power").alias("power"))
 
 
+@lru_cache(maxsize=4)
+def responses(g: float) -> tuple[np.ndarray, np.ndarray]:
+    """A block's response to its samples, 512 KB, and how the value before it fades: held once a worker, as all recordings of a rate share them."""
+    k = np.arange(BLOCK)
+    return np.where(k[:, None] >= k, (1 - g) * g ** np.maximum(k[:, None] - k, 0), 0.0).T, g ** (k + 1)
+
+
 class Smoother:
     """y[n] = g y[n-1] + (1 - g) x[n], block by block: within a block by one matrix product, from block to block by what is left of the last value."""
 
     def __init__(self, g: float):
-        self.g, self.last = g, 0.0
-        k = np.arange(BLOCK)
-        self.response = np.where(k[:, None] >= k, (1 - g) * g ** np.maximum(k[:, None] - k, 0), 0.0).T
-        self.fading = g ** (k + 1)
+        self.last = 0.0
+        self.response, self.fading = responses(g)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        rows = -(-len(x) // BLOCK)
-        y = np.zeros((rows, BLOCK))
+        rows, wide = -(-len(x) // BLOCK), min(len(x), BLOCK)
+        y = np.zeros((rows, wide))
         y.ravel()[: len(x)] = x
-        y = y @ self.response
+        y = y @ self.response[:wide, :wide]
         for r in range(rows):
-            y[r] += self.last * self.fading
+            y[r] += self.last * self.fading[:wide]
             self.last = float(y[r, -1])
         y = y.ravel()[: len(x)]
         self.last = float(y[-1]) if len(x) else self.last
@@ -147,9 +153,12 @@ def active_levels(slices: DataFrame, key: list[str], rate: float, order: str | N
     def run(batches):
         held, meter = None, None
 
+        def result(name, meter):  # figures only: a batch has thousands of meters
+            power = meter.power()
+            return (*name, meter.n, power, _db(power))
+
         def done(made):
-            columns = [pa.array([m[i] for m, _ in made], held_types[i]) for i in range(len(key))]
-            columns += [pa.array([v(m) for _, m in made], t) for v, t in zip((lambda m: m.n, lambda m: m.power(), lambda m: _db(m.power())), types, strict=True)]
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate([*held_types, *types])]
             return pa.RecordBatch.from_arrays(columns, [*key, "n_samples", "power", "level_db"])
 
         held_types = None
@@ -159,12 +168,12 @@ def active_levels(slices: DataFrame, key: list[str], rate: float, order: str | N
             for name, x in zip(zip(*(batch.column(k).to_pylist() for k in key), strict=True), _vectors(batch.column("samples")), strict=True):
                 if meter is None or name != held or order is None:
                     if meter is not None:
-                        out.append((held, meter))
+                        out.append(result(held, meter))
                     held, meter = name, SpeechLevel(rate)
                 meter.add(x)
             yield done(out)
         if meter is not None:
-            yield done([(held, meter)])
+            yield done([result(held, meter)])
 
     return rows.mapInArrow(run, ", ".join([*kinds, "n_samples bigint, power double, level_db double"]))
 

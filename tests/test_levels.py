@@ -37,6 +37,11 @@ def test_meter_equals_plain(rate):
     assert level.power() == pytest.approx(plain_level(x, rate), rel=1e-9)
 
 
+def test_many_meters_share_their_filters():
+    meters = [W.SpeechLevel(100) for _ in range(50)]
+    assert len({id(s.response) for m in meters for s in m.smoothers}) == 1  # half a megabyte each, for every row of a batch
+
+
 def test_known_answers():
     rate = 16_000
     tone = 0.5 * np.sin(2 * np.pi * 440 * np.arange(10 * rate) / rate)
