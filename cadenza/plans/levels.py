@@ -15,14 +15,16 @@ _HANG = math.ceil(RATE * W.HANGOVER)
 
 
 def level_cte(signals: str) -> str:
-    """level(id, sq, n, power) of ``signals(id, s)``: both smoothers at once by their common impulse response, the hangover as a window, then the interpolation."""
+    """level(id, sq, n, power) of ``signals(id, s)``: both smoothers at once by their common impulse response, the hangover as a window, of thresholds equally far below
+    their levels the lowest, then the interpolation."""
     return f"""
 samples as (select id, i, x, abs(x) as a from (select id, unnest(s)::double as x, generate_subscripts(s, 1) as i from {signals})),
 total as (select id, sum(x * x) as sq, count(*) as n from samples group by id),
 envelope as (select b.id, b.i, sum({(1 - _G) ** 2!r}::double * (b.i - a.i + 1) * pow({_G!r}::double, b.i - a.i) * a.a) as q from samples a join samples b on a.id = b.id and a.i <= b.i group by b.id, b.i),
 held as (select id, i, max(q) over (partition by id order by i rows between {_HANG} preceding and current row) as m from envelope),
 reached as (select id, k, count(*) filter (m >= pow(2.0::double, k)) as active from held, range(-{W.BITS}, 0) r(k) group by id, k),
-curve as (select id, 10 * log10(sq / active) as l, 10 * log10(sq / active) - 20 * log10(pow(2.0::double, k)) as d from reached join total using (id) where active > 0 and sq > 0),
+single as (select id, min(k) as k, arg_min(active, k) as active from reached where active > 0 group by id, active::hugeint * (1::hugeint << (2 * (k + {W.BITS}))::int)),
+curve as (select id, 10 * log10(sq / active) as l, 10 * log10(sq / active) - 20 * log10(pow(2.0::double, k)) as d from single join total using (id) where sq > 0),
 ends as (select id, max(d) filter (d <= {W.MARGIN}) as d0, arg_max(l, d) filter (d <= {W.MARGIN}) as l0, min(d) filter (d > {W.MARGIN}) as d1, arg_min(l, d) filter (d > {W.MARGIN}) as l1 from curve group by id),
 level as (
   select id, n, sq, case when sq = 0 then 0 when e.id is null then sq / n when d0 is null then pow(10, l1 / 10) when d1 is null then pow(10, l0 / 10)

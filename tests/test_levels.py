@@ -42,6 +42,13 @@ def test_many_meters_share_their_filters():
     assert len({id(s.response) for m in meters for s in m.smoothers}) == 1  # half a megabyte each, for every row of a batch
 
 
+def test_equally_distant_thresholds_go_by_the_lowest():
+    for energy in (1 - 1e-8, 1.0, 1 + 1e-8):  # 64 samples reach 2**-6 and one reaches 2**-3: equal distances, levels 18 dB apart
+        level = W.SpeechLevel(100)
+        level.active, level.energy, level.n = np.array([64] * 11 + [63, 62, 1, 0, 0]), energy, 64
+        assert level.power() == pytest.approx(0.0157146, rel=1e-4)
+
+
 def test_known_answers():
     rate = 16_000
     tone = 0.5 * np.sin(2 * np.pi * 440 * np.arange(10 * rate) / rate)
