@@ -43,12 +43,21 @@ def aligned(gold: DataFrame, hyp: DataFrame, classify: Callable[[Column], Column
 
         gold, hyp = drop_labels(gold, ["utt_id"], options.drop), drop_labels(hyp, S.PAIR, options.drop)
     gold, hyp = (t.withColumn("cls", classify(F.col("label"))) for t in (gold, hyp))  # before packing, where it's compiled
-    pairs = S.pair(gold, hyp, ("cls",))
-    if options.matcher == "labels":
-        return align_labels(pairs)
-    element = lambda x: F.struct(x["label"].alias("label"), x["cls"].alias("cls"), x["start_us"].alias("start_us"), x["end_us"].alias("end_us"))
-    timed = pairs.withColumns({"_g": F.transform("gold", element), "_h": F.transform("hyp", element)})
-    return align_times(timed, "_g", "_h", options.weight).drop("_g", "_h")
+    return stepped(S.pair(gold, hyp, ("cls",)), options)
+
+
+def aligned_pairs(pairs: DataFrame, classify: Callable[[Column], Column], options: Options = Options()) -> DataFrame:
+    """As ``aligned``, from tiers that are packed and paired already: no shuffle."""
+    if options.drop:
+        from .tiers import drop_packed
+
+        pairs = drop_packed(pairs, options.drop)
+    held = lambda side: F.transform(side, lambda x: x.withField("cls", classify(x["label"])))
+    return stepped(pairs.withColumns({"gold": held("gold"), "hyp": held("hyp")}), options)
+
+
+def stepped(pairs: DataFrame, options: Options) -> DataFrame:
+    return align_labels(pairs) if options.matcher == "labels" else align_times(pairs, weight=options.weight)
 
 
 def errors(pairs: DataFrame, classify: Callable[[Column], Column], options: Options = Options()) -> DataFrame:
