@@ -31,7 +31,7 @@ CACHE_BYTES, CACHED_WORD = 100 << 20, 64
 #: Fragments of more bytes are merged rank by rank.
 LONG_FRAGMENT = 128
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 NEVER = np.iinfo(np.int64).max
 
 
@@ -232,14 +232,9 @@ class ForcedBoundaryBPE:
         return " ".join(self.tokens[i] for i in ids)
 
 
-_BPES: dict[str, ForcedBoundaryBPE] = {}
-
-
 def cache_for(path: str, make) -> ChunkCache:
-    """This Python worker's encoder and cache for a vocabulary file; they outlive a task, as workers are used again."""
-    if path not in _BPES:
-        _BPES[path] = ForcedBoundaryBPE(path)
-    return worker_cache((path, make), lambda: ChunkCache(_BPES[path], make))
+    """This Python worker's encoder and cache for a vocabulary file; they outlive a task, as workers are used again, but not a stage that uses none of them."""
+    return worker_cache((path, make), lambda: ChunkCache(ForcedBoundaryBPE(path), make))
 
 
 class ChunkCache:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +36,26 @@ _CACHE: dict = {}
 def worker_cache(key, make):
     """What ``make`` gives, kept in this Python worker for tasks to come. Workers outlive stages: another key's cache takes this one's place, so they never add up."""
     if key not in _CACHE:
-        _CACHE.clear()
+        drop_caches()
         _CACHE[key] = make()
+    else:
+        give_back()
     return _CACHE[key]
 
 
+def drop_caches() -> None:
+    """For tasks that keep nothing in their worker: what earlier stages kept there goes."""
+    _CACHE.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system: its allocators would hold it while the executor's JVM grows."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it, other C libraries don't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph of ``edges(a long, b long)``.
 

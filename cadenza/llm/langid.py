@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import drop_caches, without
 
 #: Bytes a window, and of it that only give context, hidden units a direction, windows worked on at once.
 WINDOW, MARGIN, HIDDEN, LANES = 128, 16, 8, 1024
@@ -22,6 +22,8 @@ WINDOW, MARGIN, HIDDEN, LANES = 128, 16, 8, 1024
 SAMPLE_DOCS, STEPS, BATCH, RATE = 4000, 250, 128, 0.02
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+#: Documents predicted at once.
+TOGETHER = 2000
 
 
 def softsign(x: np.ndarray, spare: np.ndarray) -> None:
@@ -222,8 +224,9 @@ def predict(docs: DataFrame, net: LanguageNet, text: str = "text", names: tuple[
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
+        drop_caches()
         net = shared.value
-        for batch in batches:
+        for batch in (whole.slice(first, TOGETHER) for whole in batches for first in range(0, whole.num_rows, TOGETHER)):
             table = pa.Table.from_batches([batch])
             texts = table.column(text).to_pylist()
             known = [i for i, t in enumerate(texts) if net.languages and t and LETTER.search(t)]

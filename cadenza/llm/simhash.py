@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, drop_caches, materialize
 
 RADIUS, SEED, CELL, SMALL, QUERIES_AT_ONCE, TASKS_AT_ONCE = 2, 42, 4096, 128, 64, 1 << 18
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -40,6 +40,7 @@ def fingerprints(docs: DataFrame, words: int = 3, keep: tuple[str, ...] = ()) ->
     """``docs(doc_id, text)`` -> doc_id, fp (the 64 bits as a signed number), and the columns ``keep`` of long numbers. Null text counts as empty."""
 
     def run(batches):
+        drop_caches()
         for batch in batches:
             made = np.array([fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), *[batch.column(c) for c in keep]], ["doc_id", "fp", *keep])
@@ -210,6 +211,7 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     cells = cells.repartition("cell").sortWithinPartitions("cell", "bucket", "fp")
 
     def run(batches):
+        drop_caches()
         kept = np.zeros((2, 0), np.int64)
 
         def linked(rows):

@@ -1,12 +1,14 @@
 """The ten operators against brute force and in the awkward cases: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -534,6 +536,25 @@ def test_caches_do_not_add_up():
     assert common.worker_cache("a", list) is a and common.worker_cache("b", lambda: [2]) == [2] and [*common._CACHE] == ["b"]
 
 
+def test_stages_without_a_cache_drop_what_others_kept(spark):
+    from cadenza.llm import common
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en") for i in range(40)], "doc_id long, text string, lang string").coalesce(1)
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [len(common._CACHE)]})
+
+    held = lambda: {r["pid"]: r["n"] for r in docs.mapInArrow(kept, "pid long, n long").collect()}
+    net = langid.LanguageNet(["en", "fr"])
+    for stage in (lambda: langid.predict(docs.drop("lang"), net), lambda: simhash.fingerprints(docs)):
+        bpe.encode(docs.select("doc_id", "text"), PATH).collect()
+        before = held()
+        stage().collect()
+        after = held()
+        assert all(before.values()) and before.keys() == after.keys() and not any(after.values())
+
+
 def test_bpe_of_long_words():
     tok, ours, rng = Tokenizer.from_file(PATH), bpe.ForcedBoundaryBPE(PATH), random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz"
