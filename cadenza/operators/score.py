@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import phones
 from . import metrics as M
 from . import scoring as S
-from .align import align_labels, align_times
+from .align import align_labels, align_times, by_label, by_time
 
 
 @dataclass(frozen=True)
@@ -48,12 +48,22 @@ def aligned(gold: DataFrame, hyp: DataFrame, classify: Callable[[Column], Column
 
 def aligned_pairs(pairs: DataFrame, classify: Callable[[Column], Column], options: Options = Options()) -> DataFrame:
     """As ``aligned``, from tiers that are packed and paired already: no shuffle."""
+    return stepped(_classed(pairs, classify, options), options)
+
+
+def _classed(pairs: DataFrame, classify: Callable[[Column], Column], options: Options) -> DataFrame:
     if options.drop:
         from .tiers import drop_packed
 
         pairs = drop_packed(pairs, options.drop)
     held = lambda side: F.transform(side, lambda x: x.withField("cls", classify(x["label"])))
-    return stepped(pairs.withColumns({"gold": held("gold"), "hyp": held("hyp")}), options)
+    return pairs.withColumns({"gold": held("gold"), "hyp": held("hyp")})
+
+
+def tallied(pairs: DataFrame, classify: Callable[[Column], Column], options: Options = Options()) -> DataFrame:
+    """Packed pairs aligned and counted, a short row a pair: what ``leaderboard_of`` reads more than once. No shuffle."""
+    steps_of = by_label if options.matcher == "labels" else lambda batch, weight=options.weight: by_time(batch, weight=weight)
+    return S.tallies(_classed(pairs, classify, options), steps_of, options.tolerance_us, options.by_class, options.interior)
 
 
 def stepped(pairs: DataFrame, options: Options) -> DataFrame:
@@ -73,6 +83,14 @@ def leaderboard(pairs: DataFrame, found: DataFrame, group: list[str], options: O
     return out.withColumn("underpowered", F.col("n_matched") < options.least)
 
 
+def leaderboard_of(tallies: DataFrame, group: list[str], options: Options = Options()) -> DataFrame:
+    """As ``leaderboard``, from what ``tallied`` gave."""
+    edge = lambda e: tallies.select(*group, F.lit(e).alias("edge"), F.explode(e).alias("signed_us"))
+    found = edge("onset").unionByName(edge("offset")).withColumn("abs_us", F.abs("signed_us"))
+    out = M.edit_rates(tallies, group).join(M.summary(found, group, options.thresholds_ms), group, "left")
+    return out.join(M.detection(tallies, group), group, "left").withColumn("underpowered", F.col("n_matched") < options.least)
+
+
 def analysis_view(gold: DataFrame, hyp: DataFrame, sources: dict[str, str] | None = None, accent: str = "us", steps_by_class: bool = True) -> DataFrame:
     """Boundary errors as analytics take them, from tiers in their own labels: folded to canonical symbols, aligned, pooled over pairs of one class, with silence told apart.
 

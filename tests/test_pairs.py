@@ -2,11 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import align as L
+from cadenza.operators import score as E
 from cadenza.operators import scoring as S
 from cadenza.operators import tiers as T
+from cadenza.plans import alignment as A
 from cadenza.plans import fixtures as fx
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,3 +41,21 @@ def test_time_alignment_reads_columns():
     part = column.slice(2)  # a slice keeps to its own rows
     (codes, sizes), _ = L.timed_codes(part, part)
     assert codes.shape == (4, 1) and sizes.tolist() == [1] and codes[3].tolist() == [9] and np.issubdtype(codes.dtype, np.int64)
+
+
+@pytest.mark.parametrize("options", [E.Options(), E.Options(by_class=False, interior=True), E.Options(matcher="times", interior=True, drop=("uh",))])
+def test_tallies_are_counters_hits_and_errors(spark, options):
+    pairs = fx.pairs(spark, SMALL).where("substr(md5(utt_id), 1, 1) < '4'")
+    one = [("u", "s", "c", "sys_a", "clean", [(0, "uh", 0, 5)], [(0, "x", 1, 7, 0.5)]), ("v", "s", "c", "sys_a", "clean", [(0, None, 0, 5), (1, "a", 5, 9)], [(0, "a", 4, 9, 0.5), (1, None, 9, 9, None)]), ("w", "s", "c", "sys_b", "noise", [], [])]
+    pairs = pairs.unionByName(spark.createDataFrame(one, fx.PAIRS)).cache()
+    a, made = E.aligned_pairs(pairs, A.classify, options).cache(), E.tallied(pairs, A.classify, options).cache()
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    counted = S.counters(a)
+    assert same(made.select(*counted.columns), counted)
+    bounds = S.segmentation_packed(a, options.tolerance_us)
+    assert same(made.select(*bounds.columns), bounds)
+    errors = E.errors(a, A.classify, options)
+    for edge in ("onset", "offset"):
+        assert same(made.select(*S.PAIR, F.explode(edge).alias("signed_us")), errors.where(F.col("edge") == edge).select(*S.PAIR, "signed_us"))
+    assert same(E.leaderboard_of(made, A.G, options), E.leaderboard(a, errors, A.G, options))
+    assert {f.name for f in made.schema} & {"gold", "hyp", "steps"} == set()
