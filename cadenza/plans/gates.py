@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import gates as Q
 from ..operators import metrics as M
 from ..operators import scoring as S
-from ..operators.align import align_labels
 from ..operators import systems as Y
 from ..operators import sweep as W
 from ..operators import tiers as T
@@ -176,10 +175,10 @@ union all select 'lossy', count(*), count(*) filter (pos % 5 <> 4), round(count(
 
 def pause_errors(spark, sf_dir):
     """Word errors inside and beside pauses: silence tokens go first; an edge is beside a pause if it is the tier's or its gap is over 1 ms."""
-    p = A.words_only(A.spoken(fx.pairs(spark, sf_dir)))
-    a = align_labels(p.withColumn("gold", T.pauses_packed("gold", 1_000)))
-    e = S.boundary_errors(a, A.classify, keep=("before", "after"))
-    return M.edge_split(e.withColumn("silence_adjacent", F.when(F.col("edge") == "onset", F.col("before")).otherwise(F.col("after"))), ["system", "cond"])
+    columns = ("system", "cond", "abs_us", "paused")
+    found = S.error_batches(columns, A.class_of, gap_us=1_000)
+    e = fx.over_pairs(spark, sf_dir, lambda batches: found(A.word_batches(batches)), S.errors_schema(columns))
+    return M.edge_split(e.withColumnRenamed("paused", "silence_adjacent"), ["system", "cond"])
 
 
 _WORDS = A.WORD_SQL[: A.WORD_SQL.rindex("\nselect * exclude (per)")]
