@@ -82,3 +82,16 @@ QUERIES = {
 def test_one_job_from_turns_to_short_rows(spark, name):
     made = plan(QUERIES[name](spark, SMALL))
     assert made.count("MapInArrow") == 1 and "Generate" not in made and "Window" not in made
+
+
+@pytest.mark.parametrize("module, query, most", [(words, words.word_table, 2)])
+def test_stages_hold_short_rows(spark, monkeypatch, module, query, most):
+    held, real = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, label: held.append(df) or real(df, label))
+    query(spark, SMALL)
+    assert len(held) == 1 and not any(f.dataType.typeName() == "array" for f in held[0].schema.fields)
+    made = held[0].count()
+    if query is words.calibration_panel:
+        assert made == held[0].select(*A.G, "conf", "abs_us").distinct().count()
+    else:
+        assert made <= most * fx.pairs(spark, SMALL).count()
