@@ -76,6 +76,7 @@ def test_arrow_counts_are_counters_hits_and_sums(spark):
 QUERIES = {
     "word_pause_split": gates.pause_errors,
     "word_boundary_errors": words.word_errors,
+    "word_error_rates": A.word_rates,
 }
 
 
