@@ -77,6 +77,8 @@ QUERIES = {
     "word_pause_split": gates.pause_errors,
     "word_boundary_errors": words.word_errors,
     "word_error_rates": A.word_rates,
+    "error_view": words.error_view,
+    "boundary_errors": A.boundary_errors,
 }
 
 
