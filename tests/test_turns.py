@@ -79,6 +79,7 @@ QUERIES = {
     "word_error_rates": A.word_rates,
     "error_view": words.error_view,
     "boundary_errors": A.boundary_errors,
+    "type_panel": reports.panel,
 }
 
 
