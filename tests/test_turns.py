@@ -80,6 +80,7 @@ QUERIES = {
     "error_view": words.error_view,
     "boundary_errors": A.boundary_errors,
     "type_panel": reports.panel,
+    "edit_rates": A.edit_counts,
 }
 
 
