@@ -81,6 +81,7 @@ QUERIES = {
     "boundary_errors": A.boundary_errors,
     "type_panel": reports.panel,
     "edit_rates": A.edit_counts,
+    "per_type": A.per_type,
 }
 
 
