@@ -102,3 +102,12 @@ def test_stages_hold_short_rows(spark, monkeypatch, module, query, most):
         assert made == held[0].select(*A.G, "conf", "abs_us").distinct().count()
     else:
         assert made <= most * fx.pairs(spark, SMALL).count()
+
+
+def test_what_would_change_is_read_off_one_job(spark, monkeypatch):
+    from cadenza.sources import storage
+
+    held, real = [], storage.stage
+    monkeypatch.setattr(storage, "stage", lambda df, label: held.append(df) or real(df, label))
+    reports.changes(spark, SMALL)
+    assert len(held) == 1 and plan(held[0]).count("MapInArrow") == 1 and "Generate" not in plan(held[0])
