@@ -73,6 +73,14 @@ def test_arrow_counts_are_counters_hits_and_sums(spark):
     assert pairs.mapInArrow(lambda batches: (S.summed(b) for b in batches), S.SUMMED).where("n_hits is null and n_gold_bnd is null").count() == pairs.count()
 
 
+def test_confidence_measures_of_counted_errors(spark):
+    rows = [("a", i % 7 / 10, 5_000 * (i * i % 11)) for i in range(60)] + [("a", None, 5), ("b", 0.5, 10), ("b", float("nan"), 10)]
+    e = spark.createDataFrame(rows, "system string, conf double, abs_us long")
+    counted = e.groupBy("system", "conf", "abs_us").agg(F.count("*").alias("n"))
+    for measure in (M.spearman, M.auroc, M.ece):
+        assert same(measure(e, ["system"]), measure(counted, ["system"], n="n"))
+
+
 QUERIES = {
     "word_pause_split": gates.pause_errors,
     "word_boundary_errors": words.word_errors,
@@ -91,7 +99,7 @@ def test_one_job_from_turns_to_short_rows(spark, name):
     assert made.count("MapInArrow") == 1 and "Generate" not in made and "Window" not in made
 
 
-@pytest.mark.parametrize("module, query, most", [(words, words.word_table, 2)])
+@pytest.mark.parametrize("module, query, most", [(words, words.word_table, 2), (words, words.calibration_panel, 1)])
 def test_stages_hold_short_rows(spark, monkeypatch, module, query, most):
     held, real = [], module.stage
     monkeypatch.setattr(module, "stage", lambda df, label: held.append(df) or real(df, label))
