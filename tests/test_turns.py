@@ -81,6 +81,17 @@ def test_confidence_measures_of_counted_errors(spark):
         assert same(measure(e, ["system"]), measure(counted, ["system"], n="n"))
 
 
+def test_errors_are_counted_by_type_in_arrow(spark):
+    errors, counts = stage(A.boundary_errors(spark, SMALL), "errors"), stage(A.type_counts(spark, SMALL), "counts")
+    assert same(M.per_type(errors, A.G), M.type_rates(counts, A.G)) and same(M.per_type(errors, A.G), A.per_type(spark, SMALL))
+    assert errors.count() > 10 * counts.count() and errors.count() == counts.agg(F.sum("n")).first()[0]
+    one = [("v", "s", "c", "sys_a", "clean", [(0, "a", 0, 5), (1, "a", 5, None), (2, "m", 9, 30_000)], [(0, "a", 4, 9, 0.5), (1, "a", 9, 9, None), (2, "m", 10, 60_000, 0.5)]), ("w", "s", "c", "sys_b", "noise", [], [])]
+    pairs = spark.createDataFrame(one, fx.PAIRS)
+    made = pairs.mapInArrow(S.type_batches(tuple(A.G), A.class_of), S.type_schema(tuple(A.G)))
+    expected = pairs.mapInArrow(S.error_batches(S.ERROR_COLUMNS, A.class_of), S.errors_schema(S.ERROR_COLUMNS))
+    assert same(M.per_type(expected, A.G), M.type_rates(made, A.G)) and made.agg(F.sum("n") - F.sum("n_timed")).first()[0] == 1
+
+
 QUERIES = {
     "word_pause_split": gates.pause_errors,
     "word_boundary_errors": words.word_errors,
