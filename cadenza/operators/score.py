@@ -91,6 +91,12 @@ def leaderboard_of(tallies: DataFrame, group: list[str], options: Options = Opti
     return out.join(M.detection(tallies, group), group, "left").withColumn("underpowered", F.col("n_matched") < options.least)
 
 
+def leaderboard_of_counts(pooled: DataFrame, counts: DataFrame, group: list[str], options: Options = Options()) -> DataFrame:
+    """As ``leaderboard``, from ``scoring.POOLED`` rows and their errors counted (``scoring.counted_errors``)."""
+    out = M.edit_rates(pooled, group).join(M.counted_summary(counts, group, options.thresholds_ms), group, "left")
+    return out.join(M.detection(pooled, group), group, "left").withColumn("underpowered", F.col("n_matched") < options.least)
+
+
 def analysis_view(gold: DataFrame, hyp: DataFrame, sources: dict[str, str] | None = None, accent: str = "us", steps_by_class: bool = True) -> DataFrame:
     """Boundary errors as analytics take them, from tiers in their own labels: folded to canonical symbols, aligned, pooled over pairs of one class, with silence told apart.
 
