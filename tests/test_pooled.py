@@ -53,7 +53,7 @@ def test_pooled_rows_and_their_counts_are_those_of_long_tables(spark, monkeypatc
     assert same(per, made.where("n_errors > 0"))
 
 
-@pytest.mark.parametrize("query", [A.leaderboard_whole])
+@pytest.mark.parametrize("query", [A.leaderboard_full, A.leaderboard_whole])
 def test_one_job_from_turns_to_rows_of_pairs(spark, monkeypatch, query):
     held, real = [], A.stage
     monkeypatch.setattr(A, "stage", lambda df, label: held.append(df) or real(df, label))
