@@ -8,6 +8,7 @@ from cadenza.operators import metrics as M
 from cadenza.operators import resample as R
 from cadenza.operators import score as E
 from cadenza.operators import scoring as S
+from cadenza.operators.align import align_labels
 from cadenza.plans import alignment as A
 from cadenza.plans import fixtures as fx
 from cadenza.sources.storage import stage
@@ -71,3 +72,14 @@ def test_an_id_has_one_weight_in_all_groups(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS_AT_ONCE", 64)
     alone = [r for g in "abc" for r in R.poisson_sums(t.where(F.col("g") == g), ["g"], ["s", "c"], 30, 7).collect()]
     assert sorted(map(str, R.poisson_sums(t, ["g"], ["s", "c"], 30, 7).collect())) == sorted(map(str, alone))
+
+
+def test_common_matches_are_summed_where_pairs_are_made(spark):
+    made = A.common_matched(spark, SMALL)
+    assert plan(made).count("MapInArrow") == 1 and plan(made).count("Exchange") == plan(fx.pairs(spark, SMALL)).count("Exchange") + 1 and "Window" not in plan(made) and "Generate" not in plan(made)
+    one = [(*ODD[0][:5], [(0, "a", 0, 5), (1, "a", 5, None), (2, None, 9, 9)], [(0, "a", 4, 9, 0.5), (1, "a", 9, 9, None), (2, None, 9, 9, 0.5)]), (*ODD[1][:5], [(0, "a", 0, 5), (1, "a", 5, None), (2, None, 9, 9)], [(0, "a", 1, 9, 0.5), (1, "a", 9, 9, 0.5)]), *ODD[2:]]
+    pairs = stage(fx.pairs(spark, SMALL).where("substr(md5(utt_id), 1, 1) < '4'").unionByName(spark.createDataFrame(one, fx.PAIRS)), "pairs").coalesce(1).sortWithinPartitions("cond", "utt_id")
+    kept = S.boundary_errors(S.common_steps(align_labels(pairs), ["cond", "utt_id"]), A.classify, F.col("common"))
+    expected = kept.groupBy(*A.G).agg(F.count("*").alias("n"), F.count("abs_us").alias("n_timed"), F.sum("abs_us").alias("abs_us"))
+    got = pairs.mapInArrow(S.common_batches(tuple(A.G)), S.common_schema(tuple(A.G))).groupBy(*A.G).agg(*[F.sum(c).alias(c) for c in ("n", "n_timed", "abs_us")])
+    assert same(expected, got) and got.where("corpus = 'c' and n_timed < n").count() == 2
