@@ -18,14 +18,12 @@ G = A.G
 
 
 def _saved(spark, sf_dir, keep=None) -> str:
-    """Hypotheses as JSON lines under one folder a cell: kind, tool, language, corpus, subset, condition."""
-    h = fx.hyp(spark, sf_dir)
+    """Hypotheses as compressed JSON lines under one folder a cell: kind, tool, language, corpus, subset, condition. The tasks that make them write them: nothing is shuffled."""
+    h = fx.hypotheses(spark, sf_dir)
     h = h if keep is None else h.where(keep)
-    interval = F.struct("label", "start_us", "end_us", "conf").alias("x")
-    items = h.groupBy("system", "cond", "corpus", "utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", interval)))["x"].alias("words"))
     path = scratch_path(spark, "cells")
-    rows = items.select(F.lit("aligners").alias("kind"), F.col("system").alias("tool"), F.lit("en").alias("lang"), "corpus", F.lit("dev").alias("subset"), F.col("cond").alias("cell_condition"), F.col("utt_id").alias("item_id"), "utt_id", F.lit("given").alias("mode"), "words")
-    rows.repartition("tool", "cell_condition", F.pmod(F.xxhash64("utt_id"), F.lit(8))).write.partitionBy(*I.CELL).json(path)
+    rows = h.select(F.lit("aligners").alias("kind"), F.col("system").alias("tool"), F.lit("en").alias("lang"), "corpus", F.lit("dev").alias("subset"), F.col("cond").alias("cell_condition"), F.col("utt_id").alias("item_id"), "utt_id", F.lit("given").alias("mode"), "words")
+    rows.write.partitionBy(*I.CELL).options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).json(path)
     return path
 
 
@@ -34,8 +32,8 @@ def rescore(spark, sf_dir):
     path = _saved(spark, sf_dir)
     cells = I.list_cells(spark, path)
     items = I.read_cells(spark, path).where("_corrupt is null")
-    h = items.select("utt_id", F.col("tool").alias("system"), F.col("cell_condition").alias("cond"), F.posexplode("words").alias("pos", "x")).select("utt_id", "system", "cond", "pos", "x.*")
-    rates = M.edit_rates(S.counters(S.align(fx.gold(spark, sf_dir), h)), G)
+    h = items.select("utt_id", F.col("tool").alias("system"), F.col("cell_condition").alias("cond"), F.col("words.label").alias("hyp"))
+    rates = M.edit_rates(S.counted_labels(fx.gold_labels(spark, sf_dir), h), G)
     found = cells.select("corpus", F.col("tool").alias("system"), F.col("cell_condition").alias("cond"), "n_files")
     return found.where("n_files > 0").select(*G).join(rates, G, "left")
 
